@@ -12,7 +12,7 @@ import re
 from corpusprep.functions.html import ENTITIES, HTML_STEPS
 from corpusprep.operators.routing import CONVERTER_FORMATS, REGISTRATIONS
 from corpusprep.operators.text import CODE_EXTS, INVALID_JSON
-from corpusprep.plans.standins import DOC_FILES_SQL, IMG_PAGES_SQL
+from corpusprep.plans.standins import DOC_FILES_SQL, IMG_PAGES_SQL, MD_DOCS_SQL
 
 ORACLES: dict[str, str] = {}
 
@@ -254,3 +254,78 @@ WITH files AS (
   SELECT event_id, '/corpus/in/event_' || CAST(event_id AS VARCHAR) || '.json' AS path,
          CASE WHEN event_id % 7 = 0 THEN props || ',' ELSE props END AS text FROM events)
 SELECT event_id, json_valid(text) AS valid, markdown, error FROM ({render_simple_sql('files')})"""
+
+# ---------------------------------------------------------------- Markdown links
+
+_MD_RX = r'!\[([^\]]*)\]\(([^)\s]+)(?:\s*"([^"]*)")?\)'
+_HTML_RX = r"""(?i)<img\s+[^>]*?src\s*=\s*(?:'\s*([^'"]+)\s*'|"\s*([^'"]+)\s*")"""
+
+
+def _kind(r: str) -> str:
+    return (f"CASE WHEN starts_with({r}, 'http://') OR starts_with({r}, 'https://') THEN 'external' "
+            f"WHEN starts_with({r}, 'data:') THEN 'data' WHEN starts_with({r}, '/') THEN 'absolute' ELSE 'local' END")
+
+
+def _norm(p: str) -> str:
+    return (f"('/' || array_to_string(list_reduce(string_split({p}, '/'), lambda acc, s: CASE WHEN s = '' OR s = '.' THEN acc "
+            f"WHEN s = '..' THEN CASE WHEN len(acc) > 0 AND acc[-1] <> '..' THEN acc[1:len(acc) - 1] ELSE acc END "
+            f"ELSE list_append(acc, s) END, []::VARCHAR[]), '/'))")
+
+
+def _flat(r: str) -> str:
+    f = f"replace(replace(replace({r}, '../', ''), './', ''), '/', '_')"
+    return f"CASE WHEN regexp_matches({f}, '^\\.*[^.].*\\.[^.]*$') THEN {f} ELSE {f} || '.png' END"
+
+
+_REFS = f"""
+{MD_DOCS_SQL},
+x AS (SELECT doc_key, path, markdown, regexp_extract_all(markdown, {lit(_MD_RX)}, 2) AS l0,
+             regexp_extract_all(markdown, {lit(_HTML_RX)}, 1) AS h1, regexp_extract_all(markdown, {lit(_HTML_RX)}, 2) AS h2
+      FROM md_docs),
+refs AS (
+  SELECT doc_key, 0 AS syntax, generate_subscripts(l0, 1) - 1 AS pos, unnest(l0) AS ref FROM x
+  UNION ALL
+  SELECT doc_key, 1 AS syntax, i - 1 AS pos, CASE WHEN h1[i] <> '' THEN h1[i] ELSE h2[i] END AS ref
+  FROM (SELECT doc_key, h1, h2, unnest(generate_series(1, len(h1))) AS i FROM x)),
+dref AS (SELECT doc_key, ref, min(syntax * 1000000000 + pos) AS first FROM refs GROUP BY doc_key, ref),
+res AS (
+  SELECT d.doc_key, d.ref, d.first // 1000000000 AS syntax, d.first % 1000000000 AS pos,
+         {_norm("regexp_extract(m.path, '^(.*)/[^/]*$', 1) || '/' || d.ref")} AS resolved
+  FROM dref d JOIN md_docs m USING (doc_key) WHERE {_kind('d.ref')} = 'local'),
+res2 AS (
+  SELECT *, resolved IN (SELECT path FROM media) AS exists, {_flat('ref')} AS media_name FROM res)"""
+
+ORACLES["md_image_refs"] = f"""
+WITH {_REFS}
+SELECT doc_key, CAST(syntax AS BIGINT) AS syntax, CAST(pos AS BIGINT) AS pos, ref FROM refs"""
+
+ORACLES["md_distinct_refs"] = f"""
+WITH {_REFS}
+SELECT doc_key, ref, CAST(first // 1000000000 AS BIGINT) AS syntax, CAST(first % 1000000000 AS BIGINT) AS pos,
+       {_kind('ref')} AS kind FROM dref"""
+
+ORACLES["md_resolved_refs"] = f"""
+WITH {_REFS}
+SELECT doc_key, ref, resolved, exists, media_name, CASE WHEN exists THEN 'media/' || media_name END AS new_ref FROM res2"""
+
+ORACLES["md_missing_refs"] = f"""
+WITH {_REFS}
+SELECT doc_key, ref, resolved FROM res2 WHERE NOT exists"""
+
+ORACLES["md_name_clashes"] = f"""
+WITH {_REFS}
+SELECT doc_key, media_name, CAST(count(DISTINCT ref) AS BIGINT) AS refs FROM res2 WHERE exists
+GROUP BY doc_key, media_name HAVING count(DISTINCT ref) > 1"""
+
+_HTML_REW = r"(?i)(<img\s+[^>]*?src\s*=\s*)"
+ORACLES["md_rewritten"] = f"""
+WITH {_REFS},
+lk AS (SELECT doc_key, list(struct_pack(ref := ref, new_ref := 'media/' || media_name) ORDER BY length(ref) DESC, syntax, pos) AS links
+       FROM res2 WHERE exists GROUP BY doc_key)
+SELECT m.doc_key, CASE WHEN lk.links IS NULL THEN m.markdown ELSE list_reduce(lk.links, lambda acc, l:
+    regexp_replace(regexp_replace(regexp_replace(acc,
+        '!\\[([^\\]]*)\\]\\(' || regexp_escape(l.ref) || '(\\s*"(?:[^"]*)")?\\)', '![\\1](' || l.new_ref || '\\2)', 'g'),
+        {lit(_HTML_REW)} || '''' || regexp_escape(l.ref) || '''([^>]*?>)', '\\1''' || l.new_ref || '''\\2', 'g'),
+        {lit(_HTML_REW)} || '"' || regexp_escape(l.ref) || '"([^>]*?>)', '\\1"' || l.new_ref || '"\\2', 'g'),
+    m.markdown) END AS markdown
+FROM md_docs m LEFT JOIN lk USING (doc_key)"""

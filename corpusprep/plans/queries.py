@@ -22,9 +22,10 @@ from corpusprep.functions.html import (
 from corpusprep.functions.paths import basename, extension, is_temp_file
 from corpusprep.functions.text import clean_cell, clean_column_name, decode_detected, decode_text, detect_encoding, json_valid
 from corpusprep.operators import html as html_ops
+from corpusprep.operators import links
 from corpusprep.operators import routing
 from corpusprep.operators import text as text_ops
-from corpusprep.plans.standins import doc_files, img_pages
+from corpusprep.plans.standins import doc_files, img_pages, md_docs, media_listing
 from corpusprep.sources.tables import table
 
 QUERIES: dict = {}
@@ -195,3 +196,49 @@ def json_documents(spark, sf_dir):
     files = e.select("event_id", F.concat(F.lit("/corpus/in/event_"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), props.alias("text"))
     docs = text_ops.render_simple(files)
     return docs.select("event_id", json_valid(F.col("text")).alias("valid"), "markdown", "error")
+
+
+# ---------------------------------------------------------------- Markdown links
+
+
+def _resolved(spark, sf_dir):
+    docs = md_docs(spark, sf_dir)
+    refs = links.distinct_refs(links.image_refs(docs))
+    return docs, links.resolve_local_refs(refs, docs, media_listing(spark, sf_dir))
+
+
+@query
+def md_image_refs(spark, sf_dir):
+    refs = links.image_refs(md_docs(spark, sf_dir))
+    return refs.select("doc_key", _long("syntax").alias("syntax"), _long("pos").alias("pos"), "ref")
+
+
+@query
+def md_distinct_refs(spark, sf_dir):
+    refs = links.distinct_refs(links.image_refs(md_docs(spark, sf_dir)))
+    return refs.select("doc_key", "ref", _long("syntax").alias("syntax"), _long("pos").alias("pos"),
+                       links.classify_ref("ref").alias("kind"))
+
+
+@query
+def md_resolved_refs(spark, sf_dir):
+    _, res = _resolved(spark, sf_dir)
+    return res.select("doc_key", "ref", "resolved", "exists", "media_name", "new_ref")
+
+
+@query
+def md_missing_refs(spark, sf_dir):
+    _, res = _resolved(spark, sf_dir)
+    return links.missing_refs(res).select("doc_key", "ref", "resolved")
+
+
+@query
+def md_name_clashes(spark, sf_dir):
+    _, res = _resolved(spark, sf_dir)
+    return links.media_name_clashes(res).select("doc_key", "media_name", _long("refs").alias("refs"))
+
+
+@query
+def md_rewritten(spark, sf_dir):
+    docs, res = _resolved(spark, sf_dir)
+    return links.rewrite_links(docs, res).select("doc_key", "markdown")

@@ -76,3 +76,58 @@ img_pages AS (
               || '<img class="x" src="' || regexp_replace(url, '[?#].*$', '') || '/logo.png">'
               || '<img src="/static/local.png">' AS html
   FROM pages)"""
+
+
+def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as Markdown files with image refs of every kind appended:
+    ``doc_key, path, markdown``."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    m = (F.col("doc_id") * 7 % 2500).cast("string")
+    refs = F.concat(
+        F.lit("\n\n![Figure "), i, F.lit("](./img/p"), m, F.lit('.png "Fig '), i, F.lit('")'),
+        F.lit("\n![Logo](../assets/logo"), (F.col("doc_id") % 4).cast("string"), F.lit(")"),
+        F.lit("\n<IMG SRC='media/asset"), (F.col("doc_id") % 5).cast("string"), F.lit(".PNG' ALT='X'>"),
+        F.lit('\n<img src="img/p'), m, F.lit('.png">'),
+        F.lit("\n![remote](https://example.com/x"), i, F.lit(".png)"),
+        F.lit("\n![again](./img/p"), m, F.lit(".png)"),
+        F.lit("\n![abs](/abs/p"), i, F.lit(".png)"),
+        F.lit("\n![inline](data:image/png;base64,AAAA)"),
+    )
+    path = F.concat(F.lit("/corpus/docs/d"), (F.col("doc_id") % 10).cast("string"), F.lit("/doc_"), i, F.lit(".md"))
+    return d.select(F.col("doc_id").alias("doc_key"), path.alias("path"), F.concat(F.col("text"), refs).alias("markdown"))
+
+
+def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A media file listing derived from ``part``: ``path``."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    d = (k % 10).cast("string")
+    return p.select(
+        F.explode(
+            F.array(
+                F.concat(F.lit("/corpus/docs/d"), d, F.lit("/img/p"), k.cast("string"), F.lit(".png")),
+                F.concat(F.lit("/corpus/docs/assets/logo"), (k % 3).cast("string")),
+                F.concat(F.lit("/corpus/docs/d"), d, F.lit("/media/asset"), (k % 5).cast("string"), F.lit(".PNG")),
+            )
+        ).alias("path")
+    )
+
+
+MD_DOCS_SQL = """
+md_docs AS (
+  SELECT doc_id AS doc_key, '/corpus/docs/d' || CAST(doc_id % 10 AS VARCHAR) || '/doc_' || CAST(doc_id AS VARCHAR) || '.md' AS path,
+         text || chr(10) || chr(10) || '![Figure ' || CAST(doc_id AS VARCHAR) || '](./img/p' || CAST(doc_id * 7 % 2500 AS VARCHAR) || '.png "Fig ' || CAST(doc_id AS VARCHAR) || '")'
+              || chr(10) || '![Logo](../assets/logo' || CAST(doc_id % 4 AS VARCHAR) || ')'
+              || chr(10) || '<IMG SRC=''media/asset' || CAST(doc_id % 5 AS VARCHAR) || '.PNG'' ALT=''X''>'
+              || chr(10) || '<img src="img/p' || CAST(doc_id * 7 % 2500 AS VARCHAR) || '.png">'
+              || chr(10) || '![remote](https://example.com/x' || CAST(doc_id AS VARCHAR) || '.png)'
+              || chr(10) || '![again](./img/p' || CAST(doc_id * 7 % 2500 AS VARCHAR) || '.png)'
+              || chr(10) || '![abs](/abs/p' || CAST(doc_id AS VARCHAR) || '.png)'
+              || chr(10) || '![inline](data:image/png;base64,AAAA)' AS markdown
+  FROM documents),
+media AS (
+  SELECT unnest(['/corpus/docs/d' || CAST(p_partkey % 10 AS VARCHAR) || '/img/p' || CAST(p_partkey AS VARCHAR) || '.png',
+                 '/corpus/docs/assets/logo' || CAST(p_partkey % 3 AS VARCHAR),
+                 '/corpus/docs/d' || CAST(p_partkey % 10 AS VARCHAR) || '/media/asset' || CAST(p_partkey % 5 AS VARCHAR) || '.PNG']) AS path
+  FROM part)"""
