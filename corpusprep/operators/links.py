@@ -53,7 +53,7 @@ def normalize_path(path) -> Column:
     parts = F.split(p, "/")
 
     def step(acc, s):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         up = F.when((F.size(acc) > 0) & (last != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(
             F.when(absolute, acc).otherwise(F.concat(acc, F.array(s)))
         )

@@ -12,7 +12,8 @@ import re
 from corpusprep.functions.html import ENTITIES, HTML_STEPS
 from corpusprep.operators.routing import CONVERTER_FORMATS, REGISTRATIONS
 from corpusprep.operators.text import CODE_EXTS, INVALID_JSON
-from corpusprep.plans.standins import DOC_FILES_SQL, IMG_PAGES_SQL, MD_DOCS_SQL
+from corpusprep.operators.tables import NA_VALUES
+from corpusprep.plans.standins import CSV_LINES_SQL, DOC_FILES_SQL, IMG_PAGES_SQL, MD_DOCS_SQL
 
 ORACLES: dict[str, str] = {}
 
@@ -329,3 +330,208 @@ SELECT m.doc_key, CASE WHEN lk.links IS NULL THEN m.markdown ELSE list_reduce(lk
         {lit(_HTML_REW)} || '"' || regexp_escape(l.ref) || '"([^>]*?>)', '\\1"' || l.new_ref || '"\\2', 'g'),
     m.markdown) END AS markdown
 FROM md_docs m LEFT JOIN lk USING (doc_key)"""
+
+# ---------------------------------------------------------------- tables
+
+_NA = ", ".join(lit(v) for v in NA_VALUES)
+
+
+def split_sql(line: str, sep: str, lead: str = "") -> str:
+    rx = f"'{lead}(\"[^\"]*(?:\"\"[^\"]*)*\"|[^\"' || {sep} || ']*)' || {sep}"
+    return (f"list_transform(regexp_extract_all({line} || {sep}, {rx}, 1), lambda f: CASE WHEN starts_with(f, '\"') "
+            f"AND ends_with(f, '\"') AND length(f) >= 2 THEN replace(substr(f, 2, length(f) - 2), '\"\"', '\"') ELSE f END)")
+
+
+def na_empty(e: str) -> str:
+    return f"CASE WHEN {e} IS NULL OR {e} IN ({_NA}) THEN '' ELSE {e} END"
+
+
+def md_line(cells: str) -> str:
+    return (f"('| ' || array_to_string(list_transform({cells}, lambda c: CASE WHEN {py_strip('coalesce(c, ' + lit('') + ')')} = '' "
+            f"THEN '' ELSE c END), ' | ') || ' |')")
+
+
+def sep_line(n: str) -> str:
+    return f"('| ' || array_to_string(list_transform(range({n}), lambda i: '---'), ' | ') || ' |')"
+
+
+_SCORES = f"""
+{CSV_LINES_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM csv_lines),
+heads AS (SELECT path, list(line ORDER BY ord) AS head FROM ranked WHERE rn <= 128 GROUP BY path),
+seps(separator, sep_ord) AS (VALUES (';', 0), (',', 1), (chr(9), 2)),
+x AS (SELECT path, separator, sep_ord, head, list_filter(head, lambda l: l <> '') AS nb FROM heads, seps),
+y AS (SELECT *, nb[1] AS header, len({split_sql('nb[1]', 'separator')}) AS ncols FROM x WHERE len(nb) > 0),
+z AS (SELECT *, list_filter(nb[2:101], lambda l: len({split_sql('l', 'separator')}) <= ncols) AS good FROM y),
+w AS (SELECT *, len(good) AS n_df,
+         coalesce(nullif({na_empty(split_sql('good[1]', 'separator') + '[1]')}, ''), 'nan') AS first_cell,
+         list_transform(list_filter(list_transform(head[1:least(10, len(good) + 1)], lambda l: {py_strip('l')}), lambda l: l <> ''),
+                        lambda l: length(l) - length(replace(l, separator, ''))) AS counts,
+         len(list_filter({split_sql('header', 'separator')}, lambda n: (separator <> ',' AND NOT contains(n, ','))
+             OR (separator <> ';' AND NOT contains(n, ';')) OR (separator <> chr(9) AND NOT contains(n, chr(9))))) AS quality
+      FROM z),
+scores AS (
+  SELECT path, separator, sep_ord, CASE WHEN n_df = 0 THEN 0 ELSE greatest(0,
+      ncols * 10 + CASE WHEN separator = ';' THEN 15 ELSE 0 END
+      + CASE WHEN ncols = 1 THEN -50 + CASE WHEN (separator = ';' AND contains(first_cell, ',')) OR (separator = ',' AND contains(first_cell, ';')) THEN -100 ELSE 0 END ELSE 0 END
+      + CASE WHEN ncols > 1 THEN (CASE WHEN len(counts) = 0 THEN 0 WHEN len(list_distinct(counts)) = 1 THEN 20
+                                       WHEN list_max(counts) - list_min(counts) <= 1 THEN 10 ELSE -10 END) + quality * 2 ELSE 0 END
+      + CASE WHEN ncols > 100 THEN -30 ELSE 0 END) END AS score
+  FROM w),
+dialects AS (SELECT path, separator, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, sep_ord) AS r FROM scores) WHERE r = 1),
+hdr AS (SELECT c.path, d.separator, d.score, min(c.ord) AS header_ord FROM csv_lines c JOIN dialects d USING (path)
+        WHERE c.line <> '' GROUP BY c.path, d.separator, d.score),
+hdr2 AS (SELECT h.*, {split_sql('c.line', 'h.separator')} AS names FROM hdr h JOIN csv_lines c ON c.path = h.path AND c.ord = h.header_ord),
+hdr3 AS (SELECT *, len(names) AS ncols FROM hdr2),
+body AS (SELECT c.path, c.ord, {split_sql('c.line', 'h.separator')} AS fields, h.ncols
+         FROM csv_lines c JOIN hdr3 h ON c.path = h.path AND c.ord > h.header_ord WHERE c.line <> ''),
+prof AS (
+  SELECT h.path, h.separator, h.score, h.ncols, h.names,
+         coalesce(sum(CASE WHEN len(b.fields) <= h.ncols THEN 1 ELSE 0 END), 0) AS total_rows,
+         coalesce(sum(CASE WHEN len(b.fields) > h.ncols THEN 1 ELSE 0 END), 0) AS bad_lines
+  FROM hdr3 h LEFT JOIN body b USING (path) GROUP BY h.path, h.separator, h.score, h.ncols, h.names)"""
+
+ORACLES["csv_dialect_scores"] = f"WITH {_SCORES} SELECT path, separator, CAST(score AS BIGINT) AS score FROM scores"
+ORACLES["csv_dialects"] = f"WITH {_SCORES} SELECT path, separator, CAST(score AS BIGINT) AS score FROM dialects"
+ORACLES["csv_profiles"] = f"""WITH {_SCORES}
+SELECT path, CAST(total_rows AS BIGINT) AS total_rows, CAST(ncols AS BIGINT) AS total_columns,
+       CAST(least(total_rows, 1000) AS BIGINT) AS displayed_rows, CAST(least(ncols, 50) AS BIGINT) AS displayed_columns,
+       separator, CAST(score AS BIGINT) AS score, CASE WHEN bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END AS strategy,
+       bad_lines > 0 AS had_parsing_issues
+FROM prof"""
+
+_CELL = clean_cell(na_empty("c"))
+_HDR_NAMES = (f"list_transform(list_transform(names, lambda n, i: CASE WHEN trim(n) = '' THEN 'Unnamed: ' || CAST(i - 1 AS VARCHAR) ELSE n END)[1:50], "
+              f"lambda n: {clean_column_name('n')})")
+ORACLES["csv_documents"] = f"""WITH {_SCORES},
+good AS (SELECT path, ord, fields, row_number() OVER (PARTITION BY path ORDER BY ord) AS r FROM body WHERE len(fields) <= ncols),
+lines AS (SELECT g.path, g.ord, {md_line(f"list_transform(list_transform(range(1, least(p.ncols, 50) + 1), lambda i: g.fields[i]), lambda c: {_CELL})")} AS line
+          FROM good g JOIN prof p USING (path) WHERE g.r <= 1000),
+tabs AS (SELECT path, string_agg(line, chr(10) ORDER BY ord) AS body FROM lines GROUP BY path),
+docs AS (
+  SELECT p.path, 'pandas_csv' AS parser,
+    CASE WHEN p.total_rows = 0 THEN '# Empty CSV File' || chr(10) || chr(10) || 'The file ' || {basename('p.path')} || ' appears to be empty or could not be read.'
+    ELSE concat_ws(chr(10), '# ' || {basename('p.path')} || chr(10), '**File Type:** CSV', '**Encoding:** utf-8',
+        '**Separator:** ''' || p.separator || '''', '**Parsing Strategy:** ' || CASE WHEN p.bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END,
+        '**Detection Score:** ' || printf('%.2f', CAST(p.score AS DOUBLE)),
+        '**Dimensions:** ' || CAST(p.total_rows AS VARCHAR) || ' rows × ' || CAST(p.ncols AS VARCHAR) || ' columns',
+        CASE WHEN p.bad_lines > 0 THEN '**Note:** Some malformed lines were skipped during parsing for data quality.' END,
+        CASE WHEN p.total_rows > 1000 OR p.ncols > 50 THEN '**Display Note:** Data truncated for display (showing '
+             || CAST(least(p.total_rows, 1000) AS VARCHAR) || ' rows × ' || CAST(least(p.ncols, 50) AS VARCHAR) || ' columns)' END,
+        chr(10) || '## Data' || chr(10),
+        concat_ws(chr(10), {md_line(_HDR_NAMES)}, {sep_line('len(' + _HDR_NAMES + ')')}, t.body)) END AS markdown,
+    CASE WHEN p.total_rows = 0 THEN 'Empty or unreadable file' END AS error
+  FROM prof p LEFT JOIN tabs t USING (path))
+SELECT * FROM docs
+UNION ALL
+SELECT DISTINCT path, 'pandas_csv', NULL, 'Unable to parse CSV file with any common encoding/separator combination'
+FROM csv_lines WHERE path NOT IN (SELECT path FROM hdr3)"""
+
+ORACLES["table_row_lines"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey,
+       '| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) || ' |' AS line
+FROM nation"""
+
+ORACLES["orders_first_rows"] = """
+SELECT o_orderstatus, o_orderkey FROM (
+  SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders)
+WHERE r <= 1000"""
+
+
+def _frame_table(src: str, cols: list[tuple[str, bool]], order: str, group: str | None = None) -> str:
+    """SQL for a cleaned, capped Markdown table of ``src`` (``cols``: name, is_text)."""
+    cells = ", ".join(clean_cell(f"coalesce({c}, '')") if t else f"CAST({c} AS VARCHAR)" for c, t in cols)
+    names = ", ".join(lit(c) for c, _ in cols)
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""
+  SELECT {g}concat_ws(chr(10), {md_line('[' + names + ']')}, {sep_line(str(len(cols)))},
+         string_agg({md_line('[' + cells + ']')}, chr(10) ORDER BY {order})) AS "table"
+  FROM (SELECT *, row_number() OVER ({part}ORDER BY {order}) AS r FROM {src}) WHERE r <= 1000
+  {'GROUP BY ' + group if group else ''}"""
+
+
+ORACLES["orders_status_tables"] = _frame_table(
+    "orders", [("o_orderkey", False), ("o_custkey", False), ("o_orderpriority", True)], "o_orderkey", "o_orderstatus")
+
+ORACLES["lineitem_first_columns"] = """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       '| ' || concat_ws(' | ', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
+                         CAST(l_linenumber AS VARCHAR), CAST(l_quantity AS VARCHAR)) || ' |' AS line
+FROM lineitem"""
+
+ORACLES["customer_sanitized"] = f"""
+SELECT c_custkey, {clean_cell("coalesce(c_name, '')")} AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
+       {clean_cell("coalesce(c_mktsegment, '')")} AS c_mktsegment
+FROM customer"""
+
+ORACLES["bundle_flags"] = f"""
+WITH {CSV_LINES_SQL},
+all_lines AS (SELECT path, ord, line FROM csv_lines
+              UNION ALL SELECT '/corpus/csv/messages.csv', 0, 'bundle,"key",en,fr,de,es' FROM (SELECT count(*) FROM documents)),
+firsts AS (SELECT path, arg_min(line, ord) AS first_line FROM all_lines GROUP BY path)
+SELECT path, starts_with({py_strip('first_line')}, 'bundle,"key"') AS is_bundle FROM firsts"""
+
+_LANGS = ["en", "fr", "de", "es"]
+_BUNDLE_BASE = """
+b AS (SELECT doc_id, source, lang, regexp_replace(text, chr(10), ' ', 'g') AS t FROM documents),
+shown AS (SELECT * FROM b ORDER BY doc_id LIMIT 1000),
+facts AS (SELECT (SELECT count(*) FROM b) AS total_entries, (SELECT count(*) FROM shown) AS displayed,
+                 (SELECT count(DISTINCT source) FROM shown) AS unique_bundles)"""
+
+ORACLES["bundle_language_stats"] = f"""
+WITH {_BUNDLE_BASE},
+langs(lang) AS (VALUES {", ".join("(" + lit(x) + ")" for x in _LANGS)})
+SELECT '/corpus/csv/messages.csv' AS path, l.lang, CAST(f.total_entries AS BIGINT) AS total_entries,
+       CAST(f.displayed AS BIGINT) AS displayed_entries, CAST(f.unique_bundles AS BIGINT) AS unique_bundles,
+       CAST(f.displayed AS BIGINT) AS translations,
+       CAST((SELECT count(*) FROM b WHERE b.lang = l.lang AND b.t NOT IN ({_NA})) AS BIGINT) AS non_empty
+FROM langs l, facts f"""
+
+
+def _bundle_cell(e: str, limit: int) -> str:
+    esc = f"replace(replace(replace({e}, '|', '\\|'), chr(10), ' '), chr(13), ' ')"
+    return f"CASE WHEN lower({py_strip(e)}) IN ('nan', 'none', 'null') THEN '' ELSE {cut(esc, limit)} END"
+
+
+_BUNDLE_ROW = ("'| ' || concat_ws(' | ', " + _bundle_cell("source", 50) + ", " + _bundle_cell("'K' || CAST(doc_id AS VARCHAR)", 50) + ", "
+               + ", ".join(_bundle_cell(f"CASE WHEN lang = {lit(x)} THEN {clean_cell('t')} ELSE '' END", 150) for x in _LANGS) + ") || ' |'")
+ORACLES["bundle_documents"] = f"""
+WITH {_BUNDLE_BASE}
+SELECT '/corpus/csv/messages.csv' AS path, 'pandas_bundle_csv' AS parser, concat_ws(chr(10),
+  '# messages.csv - Translation Bundle' || chr(10), '**File Type:** Translation Bundle (CSV)', '**Encoding:** utf-8',
+  '**Structure:** Bundle translations with quoted text support', '**Languages:** en, fr, de, es',
+  '**Total Entries:** ' || CAST(f.total_entries AS VARCHAR) || ' translation entries', '**Total Languages:** 4',
+  CASE WHEN f.total_entries > 1000 THEN '**Note:** Showing first 1000 entries out of ' || CAST(f.total_entries AS VARCHAR) END,
+  chr(10) || '## Translation Data' || chr(10),
+  '| bundle | key | en | fr | de | es |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10)
+    || (SELECT string_agg({_BUNDLE_ROW}, chr(10) ORDER BY doc_id) FROM shown),
+  chr(10) || '## Summary' || chr(10), '- **Unique Bundles:** ' || CAST(f.unique_bundles AS VARCHAR),
+  {" || chr(10) || ".join(lit("- **" + x.upper() + " Translations:** ") + " || CAST(f.displayed AS VARCHAR)" for x in _LANGS)}) AS markdown
+FROM facts f"""
+
+_SHEETS = [("region", [("r_regionkey", False), ("r_name", True)], "r_regionkey"),
+           ("nation", [("n_nationkey", False), ("n_name", True), ("n_regionkey", False)], "n_nationkey"),
+           ("supplier", [("s_suppkey", False), ("s_name", True), ("s_nationkey", False), ("s_acctbal", False)], "s_suppkey")]
+
+
+def _sheet_sql(i: int, name: str, cols, order: str) -> str:
+    return f"""
+  SELECT {i} AS idx, {lit(name)} AS sheet_name, (SELECT count(*) FROM {name}) AS row_count, {len(cols)} AS column_count,
+         ({_frame_table(name, cols, order)}) AS tbl"""
+
+
+ORACLES["workbook_documents"] = f"""
+WITH sheets AS ({" UNION ALL ".join(_sheet_sql(i, n, c, o) for i, (n, c, o) in enumerate(_SHEETS))}),
+sec AS (SELECT idx, sheet_name, row_count, column_count,
+          CASE WHEN row_count = 0 THEN '## Sheet: ' || sheet_name || chr(10) || chr(10) || '*No data found in this sheet*' || chr(10)
+          ELSE concat_ws(chr(10), '## Sheet: ' || sheet_name || chr(10),
+               '**Dimensions:** ' || CAST(row_count AS VARCHAR) || ' rows × ' || CAST(column_count AS VARCHAR) || ' columns',
+               CASE WHEN row_count > 1000 THEN ' *(showing 1000 rows × ' || CAST(column_count AS VARCHAR) || ' columns)*' END,
+               chr(10), tbl || chr(10)) END AS section FROM sheets)
+SELECT '/corpus/xlsx/tables.xlsx' AS workbook, 'pandas_excel' AS parser,
+  concat_ws(chr(10), '# tables.xlsx' || chr(10), '**File Type:** Excel', '**Number of Sheets:** ' || CAST(count(*) AS VARCHAR),
+            '**Sheet Names:** ' || string_agg(sheet_name, ', ' ORDER BY idx) || chr(10), string_agg(section, chr(10) ORDER BY idx)) AS markdown,
+  CAST(count(*) AS BIGINT) AS sheet_count, CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(max(column_count) AS BIGINT) AS max_columns
+FROM sec"""

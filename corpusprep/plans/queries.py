@@ -24,8 +24,9 @@ from corpusprep.functions.text import clean_cell, clean_column_name, decode_dete
 from corpusprep.operators import html as html_ops
 from corpusprep.operators import links
 from corpusprep.operators import routing
+from corpusprep.operators import tables
 from corpusprep.operators import text as text_ops
-from corpusprep.plans.standins import doc_files, img_pages, md_docs, media_listing
+from corpusprep.plans.standins import bundle_lines, csv_lines, doc_files, img_pages, md_docs, media_listing
 from corpusprep.sources.tables import table
 
 QUERIES: dict = {}
@@ -242,3 +243,122 @@ def md_name_clashes(spark, sf_dir):
 def md_rewritten(spark, sf_dir):
     docs, res = _resolved(spark, sf_dir)
     return links.rewrite_links(docs, res).select("doc_key", "markdown")
+
+
+# ---------------------------------------------------------------- tables
+
+
+def _csv(spark, sf_dir):
+    lines = csv_lines(spark, sf_dir)
+    scores = tables.score_csv_dialects(lines)
+    dialects = tables.pick_csv_dialect(scores)
+    rows, headers = tables.parse_csv_lines(lines, dialects)
+    return lines, scores, dialects, rows, headers
+
+
+@query
+def csv_dialect_scores(spark, sf_dir):
+    _, scores, _, _, _ = _csv(spark, sf_dir)
+    return scores.select("path", "separator", _long("score").alias("score"))
+
+
+@query
+def csv_dialects(spark, sf_dir):
+    _, _, dialects, _, _ = _csv(spark, sf_dir)
+    return dialects.select("path", "separator", _long("score").alias("score"))
+
+
+@query
+def csv_profiles(spark, sf_dir):
+    _, _, dialects, rows, headers = _csv(spark, sf_dir)
+    prof = tables.table_profile(rows, headers, dialects)
+    return prof.select("path", "total_rows", "total_columns", "displayed_rows", "displayed_columns",
+                       "separator", _long("score").alias("score"), "strategy", "had_parsing_issues")
+
+
+@query
+def csv_documents(spark, sf_dir):
+    lines, _, dialects, rows, headers = _csv(spark, sf_dir)
+    prof = tables.table_profile(rows, headers, dialects)
+    docs = tables.render_table_document(prof, tables.csv_tables(rows, headers))
+    return docs.unionByName(tables.unreadable_documents(lines, headers)).select("path", "parser", "markdown", "error")
+
+
+@query
+def table_row_lines(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    cells = F.array(*[F.col(c).cast("string") for c in n.columns])
+    return n.select(_long("n_nationkey").alias("n_nationkey"), tables.markdown_line(cells).alias("line"))
+
+
+@query
+def orders_first_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return tables.truncate_rows(o, 1000, ["o_orderkey"], ["o_orderstatus"]).select("o_orderstatus", "o_orderkey")
+
+
+@query
+def orders_status_tables(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority")
+    return tables.frame_markdown_table(o, ["o_orderkey"], group_cols=["o_orderstatus"]).select("o_orderstatus", "table")
+
+
+@query
+def lineitem_first_columns(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    cells = tables.truncate_columns(F.array(*[F.col(c).cast("string") for c in li.columns]), 5)
+    return li.select("l_orderkey", _long("l_linenumber").alias("l_linenumber"), tables.markdown_line(cells).alias("line"))
+
+
+@query
+def customer_sanitized(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return tables.sanitize_table(c).select("c_custkey", "c_name", _long("c_nationkey").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+
+
+def _bundle(spark, sf_dir):
+    lines = bundle_lines(spark, sf_dir)
+    first = lines.groupBy("path").agg(F.min_by("line", "ord").alias("first_line"))
+    dialects = first.where(tables.is_bundle("first_line")).select("path", F.lit(",").alias("separator"))
+    rows, headers = tables.parse_csv_lines(lines, dialects, skip_initial_space=True)
+    return lines, first, rows, headers
+
+
+@query
+def bundle_flags(spark, sf_dir):
+    lines = bundle_lines(spark, sf_dir).unionByName(csv_lines(spark, sf_dir))
+    first = lines.groupBy("path").agg(F.min_by("line", "ord").alias("first_line"))
+    return first.select("path", tables.is_bundle("first_line").alias("is_bundle"))
+
+
+@query
+def bundle_language_stats(spark, sf_dir):
+    _, _, rows, headers = _bundle(spark, sf_dir)
+    stats = tables.bundle_stats(tables.bundle_cells(rows, headers))
+    return stats.select("path", "lang", *[_long(c).alias(c) for c in
+                        ("total_entries", "displayed_entries", "unique_bundles", "translations", "non_empty")])
+
+
+@query
+def bundle_documents(spark, sf_dir):
+    _, _, rows, headers = _bundle(spark, sf_dir)
+    stats = tables.bundle_stats(tables.bundle_cells(rows, headers))
+    docs = tables.render_bundle_document(stats, tables.bundle_tables(rows, headers))
+    return docs.select("path", "parser", "markdown")
+
+
+@query
+def workbook_documents(spark, sf_dir):
+    sheets = None
+    for idx, name, order in ((0, "region", "r_regionkey"), (1, "nation", "n_nationkey"), (2, "supplier", "s_suppkey")):
+        t = table(spark, sf_dir, name)
+        tab = tables.frame_markdown_table(t, [order])
+        facts = t.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit("/corpus/xlsx/tables.xlsx").alias("workbook"), F.lit(idx).alias("sheet_idx"), F.lit(name).alias("sheet_name"),
+            "row_count", F.lit(len(t.columns)).alias("column_count"),
+            F.least(F.col("row_count"), F.lit(1000)).alias("shown_rows"), F.lit(min(len(t.columns), 50)).alias("shown_columns"),
+            F.lit(None).cast("string").alias("error"),
+        )
+        sheet = facts.crossJoin(tab.select("table"))
+        sheets = sheet if sheets is None else sheets.unionByName(sheet)
+    return tables.assemble_workbook(sheets).select("workbook", "parser", "markdown", "sheet_count", "total_rows", "max_columns")

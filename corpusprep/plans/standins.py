@@ -131,3 +131,70 @@ media AS (
                  '/corpus/docs/assets/logo' || CAST(p_partkey % 3 AS VARCHAR),
                  '/corpus/docs/d' || CAST(p_partkey % 10 AS VARCHAR) || '/media/asset' || CAST(p_partkey % 5 AS VARCHAR) || '.PNG']) AS path
   FROM part)"""
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited files in line form ``(path, ord, line)``.
+
+    One file per ``part`` brand (separator by brand number: ``;`` ``,`` tab),
+    a quoted name column, a blank line every 89th key and an extra field every
+    97th key (a bad line); plus a one-column file of nation names, a
+    header-only file and a file holding only a blank line.
+    """
+    p = table(spark, sf_dir, "part")
+    brand = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    sep = F.element_at(F.array(F.lit(";"), F.lit(","), F.lit("\t")), brand % 3 + 1)
+    path = F.concat(F.lit("/corpus/csv/brand_"), brand.cast("string"), F.lit(".csv"))
+    k = F.col("p_partkey")
+    line = F.when(k % 89 == 0, F.lit("")).otherwise(
+        F.concat_ws(
+            "",
+            k.cast("string"), sep, F.lit('"'), F.col("p_name"), F.lit('"'), sep, F.col("p_type"), sep,
+            F.col("p_size").cast("string"), sep, F.col("p_retailprice").cast("string"),
+            F.when(k % 97 == 0, F.concat(sep, F.lit("extra"))),
+        )
+    )
+    data = p.select(path.alias("path"), (k + 1).alias("ord"), line.alias("line"))
+    header = p.select(path.alias("path"), sep.alias("sep")).distinct().select(
+        "path", F.lit(0).cast("bigint").alias("ord"),
+        F.concat(F.lit("key"), F.col("sep"), F.lit("name"), F.col("sep"), F.lit("type"), F.col("sep"), F.lit("size"),
+                 F.col("sep"), F.lit("price")).alias("line"),
+    )
+    n = table(spark, sf_dir, "nation")
+    names = n.select(F.lit("/corpus/csv/nation_names.csv").alias("path"), (F.col("n_nationkey") + 1).cast("bigint").alias("ord"), F.col("n_name").alias("line"))
+    names_h = n.agg(F.min("n_nationkey")).select(F.lit("/corpus/csv/nation_names.csv").alias("path"), F.lit(0).cast("bigint").alias("ord"), F.lit("n_name").alias("line"))
+    r = table(spark, sf_dir, "region").agg(F.count(F.lit(1)).alias("n"))
+    empty = r.select(F.lit("/corpus/csv/region_empty.csv").alias("path"), F.lit(0).cast("bigint").alias("ord"), F.lit("r_regionkey;r_name").alias("line"))
+    blank = r.select(F.lit("/corpus/csv/blank.csv").alias("path"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("line"))
+    return data.unionByName(header).unionByName(names).unionByName(names_h).unionByName(empty).unionByName(blank)
+
+
+CSV_LINES_SQL = """
+csv_lines AS (
+  SELECT '/corpus/csv/brand_' || CAST(CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INT) AS VARCHAR) || '.csv' AS path,
+         p_partkey + 1 AS ord,
+         CASE WHEN p_partkey % 89 = 0 THEN '' ELSE
+           CAST(p_partkey AS VARCHAR) || s || '"' || p_name || '"' || s || p_type || s || CAST(p_size AS VARCHAR) || s
+           || CAST(p_retailprice AS VARCHAR) || CASE WHEN p_partkey % 97 = 0 THEN s || 'extra' ELSE '' END END AS line
+  FROM (SELECT *, [';', ',', chr(9)][CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INT) % 3 + 1] AS s FROM part)
+  UNION ALL
+  SELECT DISTINCT '/corpus/csv/brand_' || CAST(CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INT) AS VARCHAR) || '.csv', 0,
+         concat_ws([';', ',', chr(9)][CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INT) % 3 + 1], 'key', 'name', 'type', 'size', 'price')
+  FROM part
+  UNION ALL SELECT '/corpus/csv/nation_names.csv', n_nationkey + 1, n_name FROM nation
+  UNION ALL SELECT '/corpus/csv/nation_names.csv', 0, 'n_name' FROM (SELECT min(n_nationkey) FROM nation)
+  UNION ALL SELECT '/corpus/csv/region_empty.csv', 0, 'r_regionkey;r_name' FROM (SELECT count(*) FROM region)
+  UNION ALL SELECT '/corpus/csv/blank.csv', 0, '' FROM (SELECT count(*) FROM region))"""
+
+
+def bundle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as one translation bundle: bundle = source, key = doc id, the
+    text (quoted, newlines as spaces) in the column of its language."""
+    d = table(spark, sf_dir, "documents")
+    q = F.concat(F.lit('"'), F.regexp_replace(F.replace(F.col("text"), F.lit('"'), F.lit('""')), "\n", " "), F.lit('"'))
+    cells = [F.when(F.col("lang") == lg, q).otherwise(F.lit("")) for lg in ("en", "fr", "de", "es")]
+    line = F.concat_ws(", ", F.col("source"), F.concat(F.lit('"K'), F.col("doc_id").cast("string"), F.lit('"')), *cells)
+    path = F.lit("/corpus/csv/messages.csv")
+    body = d.select(path.alias("path"), (F.col("doc_id") + 1).alias("ord"), line.alias("line"))
+    head = d.agg(F.count(F.lit(1))).select(path.alias("path"), F.lit(0).cast("bigint").alias("ord"), F.lit('bundle,"key",en,fr,de,es').alias("line"))
+    return body.unionByName(head)
