@@ -12,6 +12,7 @@ import re
 from corpusprep.functions.html import ENTITIES, HTML_STEPS
 from corpusprep.operators.routing import CONVERTER_FORMATS, REGISTRATIONS
 from corpusprep.operators.text import CODE_EXTS, INVALID_JSON
+from corpusprep.operators.slides import LEGACY_NOTICE
 from corpusprep.operators.tables import NA_VALUES
 from corpusprep.plans.standins import CSV_LINES_SQL, DOC_FILES_SQL, IMG_PAGES_SQL, MD_DOCS_SQL
 
@@ -535,3 +536,105 @@ SELECT '/corpus/xlsx/tables.xlsx' AS workbook, 'pandas_excel' AS parser,
             '**Sheet Names:** ' || string_agg(sheet_name, ', ' ORDER BY idx) || chr(10), string_agg(section, chr(10) ORDER BY idx)) AS markdown,
   CAST(count(*) AS BIGINT) AS sheet_count, CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(max(column_count) AS BIGINT) AS max_columns
 FROM sec"""
+
+# ---------------------------------------------------------------- slides
+
+_SLIDE_ROWS = f"""
+s AS (
+  SELECT conv_id, turn, role, text,
+    '/corpus/slides/conv_' || CAST(conv_id AS VARCHAR) || CASE WHEN conv_id % 5 = 0 THEN '.ppt' ELSE '.pptx' END AS deck,
+    split_part(text, chr(10), 1) AS first_line,
+    (role = 'user' AND turn = 0) AS flagged,
+    CASE role WHEN 'user' THEN unhex('89504E470D0A1A0A') WHEN 'assistant' THEN unhex('FFD8FFE0') ELSE unhex('474946383961') END || encode(text) AS img,
+    CASE role WHEN 'user' THEN '.png' WHEN 'assistant' THEN '.jpg' ELSE '.gif' END AS img_ext,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS image_no
+  FROM conversations),
+s2 AS (
+  SELECT *, CASE WHEN flagged OR role = 'system' THEN {py_strip('first_line')} END AS title,
+    'ppt_img_' || CAST(image_no AS VARCHAR) || '_' || substr(md5(img), 1, 12) || img_ext AS img_name,
+    CASE WHEN turn % 2 = 0 THEN 'Figure ' || CAST(turn AS VARCHAR) ELSE 'Picture ' || CAST(turn AS VARCHAR) END AS alt
+  FROM s),
+s3 AS (
+  SELECT *, concat_ws(chr(10),
+      '## ' || CASE WHEN title IS NOT NULL AND title <> '' THEN title ELSE 'Slide ' || CAST(turn + 1 AS VARCHAR) END || chr(10),
+      nullif(concat_ws(chr(10),
+          CASE WHEN NOT flagged AND {py_strip('first_line')} <> '' THEN {py_strip('first_line')} END,
+          CASE WHEN {py_strip('text')} <> '' THEN array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+              repeat('  ', (i - 1) % 3) || CASE WHEN (i - 1) % 3 = 0 THEN '* ' ELSE '- ' END || {py_strip('x')}), chr(10)) END), ''),
+      chr(10) || '![' || alt || '](media/' || img_name || ')' || chr(10),
+      CASE WHEN role = 'assistant' AND {py_strip('text')} <> '' THEN chr(10) || '> **Slide Notes:** ' || {py_strip('text')} || chr(10) END,
+      chr(10) || '---' || chr(10)) AS section
+  FROM s2)"""
+
+ORACLES["slide_image_names"] = f"""WITH {_SLIDE_ROWS}
+SELECT deck, CAST(turn + 1 AS BIGINT) AS slide_idx, CAST(image_no AS BIGINT) AS image_no, img_name AS name, alt FROM s3"""
+
+ORACLES["slide_sections"] = f"""WITH {_SLIDE_ROWS}
+SELECT deck, CAST(turn + 1 AS BIGINT) AS slide_idx, title, section FROM s3"""
+
+_NOTICE = lit(LEGACY_NOTICE)
+ORACLES["slide_decks"] = f"""WITH {_SLIDE_ROWS},
+d AS (SELECT deck, conv_id, string_agg(section, chr(10) ORDER BY turn) AS body, count(*) AS slide_count,
+             arg_min(coalesce(title, ''), turn) AS first_title FROM s3 GROUP BY deck, conv_id),
+d2 AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 'Deck ' || CAST(conv_id AS VARCHAR) ELSE nullif(first_title, '') END AS t FROM d)
+SELECT deck, 'pptx_parser' AS parser,
+  CASE WHEN ends_with(deck, '.ppt') THEN {_NOTICE} ELSE '' END || concat_ws(chr(10), CASE WHEN t <> '' THEN '# ' || t || chr(10) END, body) AS markdown,
+  CAST(slide_count AS BIGINT) AS slide_count, CAST(slide_count AS BIGINT) AS image_count,
+  CASE WHEN conv_id % 2 = 0 THEN t ELSE (SELECT s3.title FROM s3 WHERE s3.conv_id = d2.conv_id ORDER BY turn LIMIT 1) END AS title
+FROM d2"""
+
+# ---------------------------------------------------------------- images
+
+_IMG = """
+im AS (
+  SELECT p_partkey, p_name, p_size, p_partkey % 5 AS typ, p_size * 3 + p_partkey % 7 AS w, p_size * 2 + 1 AS h,
+         'pdf_' || CAST(p_partkey % 50 AS VARCHAR) AS doc_key,
+         'img_' || CAST(p_partkey AS VARCHAR) AS base,
+         ['.png', '.jpg', '.gif', '.dat', '.jpeg'][p_partkey % 5 + 1] AS ext
+  FROM part),
+im2 AS (
+  SELECT *, '/extract/' || doc_key || '/' || base || ext AS placeholder,
+    CASE typ WHEN 0 THEN unhex('89504E470D0A1A0A0000000D49484452' || lpad(hex(w), 8, '0') || lpad(hex(h), 8, '0') || '0806000000')
+             WHEN 2 THEN unhex('474946383961' || substr(lpad(hex(w), 4, '0'), 3, 2) || substr(lpad(hex(w), 4, '0'), 1, 2)
+                               || substr(lpad(hex(h), 4, '0'), 3, 2) || substr(lpad(hex(h), 4, '0'), 1, 2) || 'F70000')
+             WHEN 3 THEN ''::BLOB
+             ELSE unhex('FFD8FFE000104A46494600010100000100010000FFC0001108' || lpad(hex(h), 4, '0') || lpad(hex(w), 4, '0') || '03012200021101031101') END
+    || encode(repeat(p_name, p_size * 40)) AS bytes
+  FROM im),
+dec AS (
+  SELECT *, typ <> 3 AS decodable,
+    CASE WHEN typ <> 3 AND ext IN ('.jpg', '.jpeg') THEN 'JPEG' ELSE 'PNG' END AS fmt
+  FROM im2),
+dec2 AS (
+  SELECT *, CASE WHEN decodable AND w < 50 AND h < 50 THEN 'remove' WHEN decodable AND octet_length(bytes) < 5120 THEN 'embed' ELSE 'relink' END AS action
+  FROM dec),
+dec3 AS (
+  SELECT *, CASE WHEN action = 'embed' THEN 'data:image/' || lower(fmt) || ';base64,' || to_base64(bytes) END AS data_uri,
+            CASE WHEN action = 'relink' THEN 'media/' || base || '.' || lower(fmt) END AS new_path
+  FROM dec2)"""
+
+ORACLES["image_types"] = f"""WITH {_IMG}
+SELECT p_partkey, CASE typ WHEN 0 THEN '.png' WHEN 2 THEN '.gif' WHEN 3 THEN '.png' ELSE '.jpg' END AS ext FROM im"""
+
+ORACLES["image_sizes"] = f"""WITH {_IMG}
+SELECT p_partkey, CASE WHEN typ <> 3 THEN CAST(w AS BIGINT) END AS width, CASE WHEN typ <> 3 THEN CAST(h AS BIGINT) END AS height,
+       typ <> 3 AS decodable FROM im"""
+
+ORACLES["image_resize_plan"] = f"""WITH {_IMG}
+SELECT p_partkey,
+  CAST(CASE WHEN greatest(w, h) > 100 THEN greatest(1, round(w * least(1.0, 100.0 / greatest(w, h)))) ELSE w END AS BIGINT) AS target_width,
+  CAST(CASE WHEN greatest(w, h) > 100 THEN greatest(1, round(h * least(1.0, 100.0 / greatest(w, h)))) ELSE h END AS BIGINT) AS target_height
+FROM im WHERE typ <> 3"""
+
+ORACLES["image_decisions"] = f"""WITH {_IMG}
+SELECT p_partkey, action, fmt AS format, data_uri, new_path FROM dec3"""
+
+ORACLES["pdf_documents"] = f"""WITH {_IMG}
+SELECT doc_key, replace(string_agg('Text ' || p_name || chr(10) ||
+    CASE WHEN action = 'remove' THEN '' ELSE '![Image ' || CAST(p_partkey AS VARCHAR) || '](' || coalesce(data_uri, new_path)
+         || CASE WHEN p_partkey % 4 = 0 THEN ' "caption"' ELSE '' END || ')' END, chr(10) ORDER BY p_partkey), ' " **;**', '"**;**') AS markdown
+FROM dec3 GROUP BY doc_key"""
+
+ORACLES["image_summary"] = f"""WITH {_IMG}
+SELECT doc_key, action, CAST(count(*) AS BIGINT) AS images, CAST(sum(octet_length(bytes)) AS BIGINT) AS bytes
+FROM dec3 GROUP BY ROLLUP (doc_key, action)"""

@@ -23,10 +23,24 @@ from corpusprep.functions.paths import basename, extension, is_temp_file
 from corpusprep.functions.text import clean_cell, clean_column_name, decode_detected, decode_text, detect_encoding, json_valid
 from corpusprep.operators import html as html_ops
 from corpusprep.operators import links
+from corpusprep.config import Settings
+from corpusprep.functions.images import sniff_image_type
+from corpusprep.operators import images as images_ops
 from corpusprep.operators import routing
+from corpusprep.operators import slides as slides_ops
 from corpusprep.operators import tables
 from corpusprep.operators import text as text_ops
-from corpusprep.plans.standins import bundle_lines, csv_lines, doc_files, img_pages, md_docs, media_listing
+from corpusprep.plans.standins import (
+    bundle_lines,
+    csv_lines,
+    doc_files,
+    img_pages,
+    md_docs,
+    media_listing,
+    part_images,
+    pdf_docs,
+    slides,
+)
 from corpusprep.sources.tables import table
 
 QUERIES: dict = {}
@@ -362,3 +376,68 @@ def workbook_documents(spark, sf_dir):
         sheet = facts.crossJoin(tab.select("table"))
         sheets = sheet if sheets is None else sheets.unionByName(sheet)
     return tables.assemble_workbook(sheets).select("workbook", "parser", "markdown", "sheet_count", "total_rows", "max_columns")
+
+
+# ---------------------------------------------------------------- slides
+
+
+@query
+def slide_decks(spark, sf_dir):
+    decks = slides_ops.legacy_notice(slides_ops.assemble_deck(slides(spark, sf_dir)))
+    return decks.select("deck", "parser", "markdown", "slide_count", "image_count", "title")
+
+
+@query
+def slide_image_names(spark, sf_dir):
+    imgs = slides_ops.slide_images(slides(spark, sf_dir))
+    return imgs.select("deck", _long("slide_idx").alias("slide_idx"), "image_no", "name", "alt")
+
+
+@query
+def slide_sections(spark, sf_dir):
+    s = slides(spark, sf_dir)
+    sec = slides_ops.slide_sections(s, slides_ops.slide_images(s))
+    return sec.select("deck", _long("slide_idx").alias("slide_idx"), "title", "section")
+
+
+# ---------------------------------------------------------------- images
+
+TRIAGE = Settings(exclude_decorative=True, decorative_threshold_px=50, embed_small_images=True, small_image_threshold_kb=5)
+
+
+@query
+def image_types(spark, sf_dir):
+    im = part_images(spark, sf_dir)
+    return im.select("p_partkey", sniff_image_type(F.col("bytes")).alias("ext"))
+
+
+@query
+def image_sizes(spark, sf_dir):
+    im = images_ops.with_size(part_images(spark, sf_dir))
+    return im.select("p_partkey", "width", "height", "decodable")
+
+
+@query
+def image_resize_plan(spark, sf_dir):
+    im = images_ops.resize_plan(images_ops.with_size(part_images(spark, sf_dir)).where("decodable"), 100)
+    return im.select("p_partkey", "target_width", "target_height")
+
+
+@query
+def image_decisions(spark, sf_dir):
+    d = images_ops.triage_images(part_images(spark, sf_dir), TRIAGE)
+    return d.select("p_partkey", "action", "format", "data_uri", "new_path")
+
+
+@query
+def pdf_documents(spark, sf_dir):
+    d = images_ops.triage_images(part_images(spark, sf_dir), TRIAGE)
+    docs = images_ops.apply_image_decisions(pdf_docs(spark, sf_dir), d)
+    return docs.select("doc_key", fix_pdf_quotes(F.col("markdown")).alias("markdown"))
+
+
+@query
+def image_summary(spark, sf_dir):
+    d = images_ops.triage_images(part_images(spark, sf_dir), TRIAGE)
+    s = images_ops.image_summary(d)
+    return s.select("doc_key", "action", _long("images").alias("images"), _long("bytes").alias("bytes"))

@@ -198,3 +198,91 @@ def bundle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = d.select(path.alias("path"), (F.col("doc_id") + 1).alias("ord"), line.alias("line"))
     head = d.agg(F.count(F.lit(1))).select(path.alias("path"), F.lit(0).cast("bigint").alias("ord"), F.lit('bundle,"key",en,fr,de,es').alias("line"))
     return body.unionByName(head)
+
+
+SLIDE_PARAGRAPHS = "array<struct<level:int,text:string>>"
+
+
+def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as decks: conversation = deck, turn = slide.
+
+    Shapes per slide: a text shape named after the role (``Title 1`` for
+    system turns; flagged title for a user's first turn) holding the first
+    line; a content shape whose paragraphs are the turn's lines (level = line
+    index mod 3); a picture whose bytes are the text behind a PNG, JPEG or GIF
+    signature chosen by role. Even conversations carry a stored deck title,
+    assistant turns carry notes, every fifth deck is a legacy ``.ppt``.
+    """
+    c = table(spark, sf_dir, "conversations")
+    deck = F.concat(F.lit("/corpus/slides/conv_"), F.col("conv_id").cast("string"),
+                    F.when(F.col("conv_id") % 5 == 0, F.lit(".ppt")).otherwise(F.lit(".pptx")))
+    magic = (F.when(F.col("role") == "user", F.unhex(F.lit("89504E470D0A1A0A")))
+             .when(F.col("role") == "assistant", F.unhex(F.lit("FFD8FFE0")))
+             .otherwise(F.unhex(F.lit("474946383961"))))
+    no_pars = F.lit(None).cast(SLIDE_PARAGRAPHS)
+    shapes = F.array(
+        F.struct(F.lit("text").alias("kind"), F.when(F.col("role") == "system", F.lit("Title 1")).otherwise(F.col("role")).alias("name"),
+                 F.substring_index("text", "\n", 1).alias("text"), ((F.col("role") == "user") & (F.col("turn") == 0)).alias("is_title"),
+                 no_pars.alias("paragraphs"), F.lit(None).cast("binary").alias("image"), F.lit(None).cast("string").alias("alt")),
+        F.struct(F.lit("text").alias("kind"), F.concat(F.lit("Content "), F.col("turn").cast("string")).alias("name"),
+                 F.col("text").alias("text"), F.lit(False).alias("is_title"),
+                 F.transform(F.split("text", "\n"), lambda x, i: F.struct((i % 3).alias("level"), x.alias("text"))).alias("paragraphs"),
+                 F.lit(None).cast("binary").alias("image"), F.lit(None).cast("string").alias("alt")),
+        F.struct(F.lit("picture").alias("kind"), F.concat(F.lit("Picture "), F.col("turn").cast("string")).alias("name"),
+                 F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_title"), no_pars.alias("paragraphs"),
+                 F.concat(magic, F.encode("text", "UTF-8")).alias("image"),
+                 F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Figure "), F.col("turn").cast("string"))).alias("alt")),
+    )
+    return c.select(
+        deck.alias("deck"),
+        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Deck "), F.col("conv_id").cast("string"))).alias("core_title"),
+        (F.col("turn") + 1).alias("slide_idx"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("notes"),
+        shapes.alias("shapes"),
+    )
+
+
+# Image kinds cycled over parts (``.dat`` bytes are not an image).
+IMAGE_EXTS = [".png", ".jpg", ".gif", ".dat", ".jpeg"]
+
+
+def _hex_be(c, n):
+    return F.lpad(F.hex(c), 2 * n, "0")
+
+
+def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` rows as images extracted from 50 PDF documents:
+    ``p_partkey, doc_key, placeholder, filename, bytes`` (width = size*3 + key mod 7,
+    height = size*2 + 1; padding of the part name repeated size*40 times)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    w = F.col("p_size") * 3 + k % 7
+    h = F.col("p_size") * 2 + 1
+    typ = (k % 5).cast("int")
+    ext = F.element_at(F.array(*[F.lit(e) for e in IMAGE_EXTS]), typ + 1)
+    pad = F.encode(F.repeat(F.col("p_name"), F.col("p_size") * 40), "UTF-8")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex_be(w, 4), _hex_be(h, 4), F.lit("0806000000")))
+    jpg = F.unhex(F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), _hex_be(h, 2), _hex_be(w, 2),
+                           F.lit("03012200021101031101")))
+    gif = F.unhex(F.concat(F.lit("474946383961"), F.substring(_hex_be(w, 2), 3, 2), F.substring(_hex_be(w, 2), 1, 2),
+                           F.substring(_hex_be(h, 2), 3, 2), F.substring(_hex_be(h, 2), 1, 2), F.lit("F70000")))
+    head = F.when(typ == 0, png).when(typ == 2, gif).when(typ == 3, F.unhex(F.lit(""))).otherwise(jpg)
+    doc = F.concat(F.lit("pdf_"), (k % 50).cast("string"))
+    name = F.concat(F.lit("img_"), k.cast("string"), ext)
+    return p.select(
+        "p_partkey", doc.alias("doc_key"),
+        F.concat(F.lit("/extract/"), doc, F.lit("/"), name).alias("placeholder"),
+        name.alias("filename"), F.concat(head, pad).alias("bytes"),
+    )
+
+
+def pdf_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Markdown document per ``doc_key`` of :func:`part_images`: per image a
+    line of text and an image link (every fourth with a title), in key order."""
+    from corpusprep.operators.ordered import ordered_concat
+
+    imgs = part_images(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    k = F.col("p_partkey")
+    piece = F.concat(F.lit("Text "), F.col("p_name"), F.lit("\n![Image "), k.cast("string"), F.lit("]("), F.col("placeholder"),
+                     F.when(k % 4 == 0, F.lit(' "caption"')).otherwise(F.lit("")), F.lit(")"))
+    return ordered_concat(imgs.select("doc_key", "p_partkey", piece.alias("piece")), ["doc_key"], "p_partkey", "piece", "\n", "markdown")
