@@ -314,9 +314,11 @@ def csv_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT
 
 
 def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CSV", path: str = "path",
-                          encoding: Column | str = "utf-8") -> DataFrame:
-    """Markdown document per table file (heading, facts, ``## Data``, table)."""
+                          encoding: Column | str = "utf-8", name: Column | None = None) -> DataFrame:
+    """Markdown document per table file (heading, facts, ``## Data``, table).
+    ``name`` overrides the file name shown (default: base name of ``path``)."""
     enc = encoding if isinstance(encoding, Column) else F.lit(encoding)
+    fname = basename(name if name is not None else F.col(path))
     j = profile.join(tables.select(path, "table"), path, "left")
     truncated = (F.col("total_rows") > F.col("displayed_rows")) | (F.col("total_columns") > F.col("displayed_columns"))
     dims = F.concat(F.lit("**Dimensions:** "), F.col("total_rows").cast("string"), F.lit(" rows × "),
@@ -325,7 +327,7 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
     table = F.when(F.col("total_rows") == 0, F.lit("*No data found in file*")).otherwise(F.col("table"))
     if kind == "CSV":
         parts = [
-            F.concat(F.lit("# "), basename(F.col(path)), F.lit("\n")),
+            F.concat(F.lit("# "), fname, F.lit("\n")),
             F.lit("**File Type:** CSV"),
             F.concat(F.lit("**Encoding:** "), enc),
             F.concat(F.lit("**Separator:** '"), F.col("separator"), F.lit("'")),
@@ -337,13 +339,13 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
             F.lit("\n## Data\n"),
             table,
         ]
-        empty = F.concat(F.lit("# Empty CSV File\n\nThe file "), basename(F.col(path)), F.lit(" appears to be empty or could not be read."))
+        empty = F.concat(F.lit("# Empty CSV File\n\nThe file "), fname, F.lit(" appears to be empty or could not be read."))
         md = F.when(F.col("total_rows") == 0, empty).otherwise(F.concat_ws("\n", *parts))
         err = F.when(F.col("total_rows") == 0, F.lit("Empty or unreadable file"))
         parser = "pandas_csv"
     else:
         parts = [
-            F.concat(F.lit("# "), basename(F.col(path)), F.lit("\n")),
+            F.concat(F.lit("# "), fname, F.lit("\n")),
             F.lit(f"**File Type:** {kind}"),
             dims,
             F.when(truncated, F.concat(F.lit("**Note:** Data truncated for display (showing "), shown)),
@@ -356,11 +358,11 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
     return j.select(path, F.lit(parser).alias("parser"), md.alias("markdown"), err.alias("error"))
 
 
-def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path") -> DataFrame:
+def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path", parser: str = "pandas_csv") -> DataFrame:
     """Files with no non-blank line: no Markdown, an error row."""
     return files.select(path).distinct().join(headers.select(path), path, "left_anti").select(
         path,
-        F.lit("pandas_csv").alias("parser"),
+        F.lit(parser).alias("parser"),
         F.lit(None).cast("string").alias("markdown"),
         F.lit("Unable to parse CSV file with any common encoding/separator combination").alias("error"),
     )

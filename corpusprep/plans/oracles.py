@@ -13,6 +13,7 @@ from corpusprep.functions.html import ENTITIES, HTML_STEPS
 from corpusprep.operators.routing import CONVERTER_FORMATS, REGISTRATIONS
 from corpusprep.operators.text import CODE_EXTS, INVALID_JSON
 from corpusprep.operators.slides import LEGACY_NOTICE
+from corpusprep.plans.convert import NOT_BUILT
 from corpusprep.operators.tables import NA_VALUES
 from corpusprep.plans.standins import CSV_LINES_SQL, DOC_FILES_SQL, IMG_PAGES_SQL, MD_DOCS_SQL
 
@@ -638,3 +639,87 @@ FROM dec3 GROUP BY doc_key"""
 ORACLES["image_summary"] = f"""WITH {_IMG}
 SELECT doc_key, action, CAST(count(*) AS BIGINT) AS images, CAST(sum(octet_length(bytes)) AS BIGINT) AS bytes
 FROM dec3 GROUP BY ROLLUP (doc_key, action)"""
+
+# ---------------------------------------------------------------- packages and report
+
+
+def _json_field(name: str, e: str, first: bool = False) -> str:
+    sep = "" if first else ","
+    return f"CASE WHEN {e} IS NOT NULL THEN '{sep}\"{name}\":' || to_json({e})::VARCHAR ELSE '' END"
+
+
+ORACLES["metadata_documents"] = f"""
+WITH {DOC_FILES_SQL}, {ROUTED_SQL},
+simple AS ({render_simple_sql("(SELECT * FROM routed WHERE supported AND NOT is_temp AND processor = 'simple')")})
+SELECT doc_id, '{{' || {_json_field('source_filename', basename('path'), True)} || {_json_field('parser', 'parser')}
+       || {_json_field('language', 'language')} || {_json_field('error', 'error')} || '}}' AS metadata
+FROM simple"""
+
+ORACLES["metadata_merged"] = """
+SELECT doc_id, 'txt_simple' AS parser, CAST(5 AS BIGINT) AS n_keys, lang, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS source_filename
+FROM documents"""
+
+_MEDIA = """
+media_src AS (
+  SELECT 'doc_' || CAST(p_partkey * 7 % 1000 AS VARCHAR) AS package,
+         CASE WHEN p_partkey % 2 = 0 THEN 'media/' ELSE 'media/media/' END || 'p' || CAST(p_partkey AS VARCHAR) || '.png' AS entry,
+         encode(p_name) AS bytes FROM part
+  UNION ALL
+  SELECT 'doc_' || CAST(p_partkey * 7 % 1000 AS VARCHAR), 'media/media/p' || CAST(p_partkey AS VARCHAR) || '.png', encode(upper(p_name))
+  FROM part WHERE p_partkey % 6 = 0),
+flat AS (
+  SELECT package, final AS entry, entry AS source_entry, bytes FROM (
+    SELECT *, row_number() OVER (PARTITION BY package, final ORDER BY depth) AS rn FROM (
+      SELECT *, CASE WHEN starts_with(entry, 'media/media/') THEN 'media/' || substr(entry, 13) ELSE entry END AS final,
+                CASE WHEN starts_with(entry, 'media/media/') THEN 1 ELSE 0 END AS depth FROM media_src))
+  WHERE rn = 1)"""
+
+ORACLES["media_flattened"] = f"WITH {_MEDIA} SELECT package, entry, source_entry, md5(bytes) AS digest FROM flat"
+
+ORACLES["package_entry_list"] = f"""
+WITH {_MEDIA},
+docs AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS package, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS markdown FROM documents),
+ok AS (SELECT * FROM docs WHERE length(markdown) > 0)
+SELECT package, package || '.md' AS entry, 'markdown' AS kind, CAST(octet_length(encode(markdown)) AS BIGINT) AS size, md5(markdown) AS digest FROM ok
+UNION ALL
+SELECT package, 'metadata.json', 'metadata',
+       CAST(octet_length(encode('{{"source_filename":"' || package || '.txt","parser":"txt_simple"}}')) AS BIGINT),
+       md5('{{"source_filename":"' || package || '.txt","parser":"txt_simple"}}') FROM ok
+UNION ALL
+SELECT f.package, f.entry, 'media', CAST(octet_length(f.bytes) AS BIGINT), md5(f.bytes) FROM flat f WHERE f.package IN (SELECT package FROM ok)"""
+
+_NONBLANK = "len(list_filter(string_split(text, chr(10)), lambda l: regexp_replace(l, '\\r$', '') <> '')) > 0"
+_OUTCOMES = f"""
+{DOC_FILES_SQL}, {ROUTED_SQL},
+o AS (
+  SELECT doc_id, path, ext, processor, supported AND NOT is_temp AS todo,
+    CASE WHEN ext = '.json' THEN 'json_simple' WHEN ext IN ({", ".join(lit(c) for c in CODE_EXTS)}) THEN 'code_simple' ELSE 'txt_simple' END AS simple_parser,
+    CASE
+      WHEN processor = 'simple' THEN ext = '.json' OR ext IN ({", ".join(lit(c) for c in CODE_EXTS)}) OR length(text) > 0
+      WHEN processor = 'markdown' THEN length(text) > 0
+      WHEN processor = 'converter' AND ext IN ('.html', '.htm') THEN length({html_chain('text')}) > 0
+      WHEN processor = 'tabular' AND ext IN ('.csv', '.tsv') THEN {_NONBLANK}
+      ELSE false END AS produced
+  FROM routed),
+outs AS (
+  SELECT doc_id, path,
+    CASE WHEN NOT todo THEN processor
+         WHEN processor = 'simple' THEN simple_parser WHEN processor = 'markdown' THEN 'md_custom'
+         WHEN processor = 'converter' AND ext IN ('.html', '.htm') THEN 'pandoc'
+         WHEN processor = 'tabular' AND ext = '.csv' THEN 'pandas_csv' WHEN processor = 'tabular' AND ext = '.tsv' THEN 'pandas_tsv'
+         ELSE processor END AS parser,
+    CASE WHEN NOT todo THEN 'skipped' WHEN produced THEN 'ok' ELSE 'failed' END AS status,
+    CASE WHEN NOT todo THEN 'Skipping unsupported file' WHEN produced THEN 'Successfully processed'
+         WHEN processor = 'tabular' AND ext IN ('.csv', '.tsv') THEN 'Unable to parse CSV file with any common encoding/separator combination'
+         WHEN processor IN ('simple', 'markdown') OR (processor = 'converter' AND ext IN ('.html', '.htm')) THEN 'Failed to process'
+         ELSE {lit(NOT_BUILT)} END AS message
+  FROM o)"""
+
+ORACLES["file_outcomes"] = f"WITH {_OUTCOMES} SELECT doc_id, path, parser, status, message FROM outs"
+ORACLES["batch_report"] = f"""WITH {_OUTCOMES}
+SELECT parser, CAST(count(*) AS BIGINT) AS found, CAST(count(*) FILTER (WHERE status = 'ok') AS BIGINT) AS ok,
+       CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed
+FROM outs WHERE status <> 'skipped' GROUP BY parser"""
+ORACLES["batch_progress"] = f"""WITH {_OUTCOMES}
+SELECT doc_id, CAST(row_number() OVER (ORDER BY path, doc_id) AS DOUBLE) / count(*) OVER () * 100 AS percent
+FROM outs WHERE status <> 'skipped'"""

@@ -26,11 +26,17 @@ from corpusprep.operators import links
 from corpusprep.config import Settings
 from corpusprep.functions.images import sniff_image_type
 from corpusprep.operators import images as images_ops
+from corpusprep.operators import ordered as ordered_ops
+from corpusprep.operators import package as package_ops
+from corpusprep.operators import report as report_ops
 from corpusprep.operators import routing
 from corpusprep.operators import slides as slides_ops
 from corpusprep.operators import tables
 from corpusprep.operators import text as text_ops
+from corpusprep.plans import convert
 from corpusprep.plans.standins import (
+    package_docs,
+    package_media,
     bundle_lines,
     csv_lines,
     doc_files,
@@ -441,3 +447,71 @@ def image_summary(spark, sf_dir):
     d = images_ops.triage_images(part_images(spark, sf_dir), TRIAGE)
     s = images_ops.image_summary(d)
     return s.select("doc_key", "action", _long("images").alias("images"), _long("bytes").alias("bytes"))
+
+
+# ---------------------------------------------------------------- packages and report
+
+
+@query
+def metadata_documents(spark, sf_dir):
+    routed = convert.route_files(doc_files(spark, sf_dir))
+    docs = text_ops.render_simple(routed.where(~F.col("_skip") & (F.col("processor") == "simple")))
+    return package_ops.metadata_json(docs, ["language", "error"]).select("doc_id", "metadata")
+
+
+@query
+def metadata_merged(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("parser"), F.lit("custom"),
+                        F.lit("n_chars"), F.col("n_chars").cast("string"))
+    base = F.create_map(F.lit("source_filename"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")),
+                        F.lit("parser"), F.lit("txt_simple"))
+    m = package_ops.normalize_metadata(meta, base)
+    return d.select("doc_id", m["parser"].alias("parser"), _long(F.size(m)).alias("n_keys"), m["lang"].alias("lang"),
+                    m["source_filename"].alias("source_filename"))
+
+
+@query
+def media_flattened(spark, sf_dir):
+    flat = package_ops.flatten_nested_media(package_media(spark, sf_dir))
+    return flat.select("package", "entry", "source_entry", F.md5("bytes").alias("digest"))
+
+
+@query
+def package_entry_list(spark, sf_dir):
+    docs = package_ops.metadata_json(package_docs(spark, sf_dir))
+    media = package_ops.flatten_nested_media(package_media(spark, sf_dir)).select("package", F.regexp_replace("entry", "^media/", "").alias("name"), "bytes")
+    e = package_ops.package_entries(docs, media)
+    return e.select("package", "entry", "kind", _long(F.length("bytes")).alias("size"), F.md5("bytes").alias("digest"))
+
+
+def _table_outcomes(spark, sf_dir):
+    routed = convert.route_files(doc_files(spark, sf_dir))
+    docs = convert.convert_texts(routed, key="doc_id")
+    return report_ops.outcomes(routed, docs, key="doc_id").join(routed.select("doc_id", "path"), "doc_id")
+
+
+@query
+def file_outcomes(spark, sf_dir):
+    return _table_outcomes(spark, sf_dir).select("doc_id", "path", "parser", "status", "message")
+
+
+@query
+def batch_report(spark, sf_dir):
+    rep = report_ops.batch_report(_table_outcomes(spark, sf_dir))
+    return rep.select("parser", _long("found").alias("found"), _long("ok").alias("ok"), _long("failed").alias("failed"))
+
+
+@query
+def batch_progress(spark, sf_dir):
+    outs = _table_outcomes(spark, sf_dir).withColumn("order_key", F.struct("path", "doc_id"))
+    found = outs.where(F.col("status") != "skipped").select("doc_id", "order_key")
+    n = found.agg(F.count(F.lit(1)).alias("_n"))
+    idx = ordered_ops.global_index(found, ["order_key"], "_i")
+    return idx.crossJoin(F.broadcast(n)).select("doc_id", ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))
+
+
+@query
+def corpus_documents(spark, sf_dir):
+    docs = convert.convert_tables(spark, sf_dir)
+    return docs.select("path", "parser", "markdown", "error")

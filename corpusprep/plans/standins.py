@@ -286,3 +286,28 @@ def pdf_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece = F.concat(F.lit("Text "), F.col("p_name"), F.lit("\n![Image "), k.cast("string"), F.lit("]("), F.col("placeholder"),
                      F.when(k % 4 == 0, F.lit(' "caption"')).otherwise(F.lit("")), F.lit(")"))
     return ordered_concat(imgs.select("doc_key", "p_partkey", piece.alias("piece")), ["doc_key"], "p_partkey", "piece", "\n", "markdown")
+
+
+def package_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as converted text files: ``package, source_filename, parser, markdown``
+    (every 11th document produced no text)."""
+    d = table(spark, sf_dir, "documents")
+    pkg = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    return d.select(
+        pkg.alias("package"), F.concat(pkg, F.lit(".txt")).alias("source_filename"), F.lit("txt_simple").alias("parser"),
+        F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).alias("markdown"),
+    )
+
+
+def package_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media of the packages from ``part``: ``package, entry, name, bytes``; odd keys
+    sit in a nested ``media/media/`` folder, every sixth key also has a nested twin."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pkg = F.concat(F.lit("doc_"), (k * 7 % 1000).cast("string"))
+    name = F.concat(F.lit("p"), k.cast("string"), F.lit(".png"))
+    main = p.select(pkg.alias("package"), F.concat(F.when(k % 2 == 0, F.lit("media/")).otherwise(F.lit("media/media/")), name).alias("entry"),
+                    name.alias("name"), F.encode("p_name", "UTF-8").alias("bytes"))
+    twin = p.where(k % 6 == 0).select(pkg.alias("package"), F.concat(F.lit("media/media/"), name).alias("entry"), name.alias("name"),
+                                      F.encode(F.upper("p_name"), "UTF-8").alias("bytes"))
+    return main.unionByName(twin)
