@@ -130,12 +130,16 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
     files = files.withColumn("path", F.regexp_replace("path", "^file:", ""))
     docs, outs = convert_files(files, settings, suffix, media)
     entries = package.package_entries(docs)
-    # media of Markdown documents: found local refs, bytes joined from the listing
-    md_docs = docs.where(F.col("parser") == "md_custom").select(F.col("path").alias("doc_key"), "path", "markdown", "package")
-    refs = links.resolve_local_refs(links.distinct_refs(links.image_refs(md_docs)), md_docs, media).where("exists")
+    # media of Markdown documents: local refs of the original text that exist,
+    # bytes joined from the listing (only found media travel, never document text)
+    routed = route_files(files.select("path", "content"), settings, suffix)
+    md_src = routed.where(~F.col("_skip") & (F.col("processor") == "markdown")).select(
+        F.col("path").alias("doc_key"), "path", "package", decode_text(F.col("content")).alias("markdown")
+    )
+    refs = links.resolve_local_refs(links.distinct_refs(links.image_refs(md_src)), md_src, media).where("exists")
     blobs = everything.select(F.regexp_replace("path", "^file:", "").alias("resolved"), F.col("content").alias("bytes"))
     media_rows = (
-        refs.join(md_docs.select("doc_key", "package"), "doc_key")
+        refs.join(md_src.select("doc_key", "package"), "doc_key")
         .join(blobs, "resolved")
         .select("package", F.col("media_name").alias("name"), "bytes")
         .dropDuplicates(["package", "name"])
