@@ -69,34 +69,35 @@ def file_heads(lines: DataFrame, n: int = HEAD_LINES, path: str = "path", ord_:
     )
 
 
-def _score(head: Column, sep: Column) -> tuple[Column, Column]:
-    """(parseable, score) of one separator on a file head (see module docs of ``score_csv_dialects``)."""
-    nb = F.filter(head, lambda l: l != "")
-    header = F.try_element_at(nb, F.lit(1))
-    ncols = F.size(split_fields(header, sep))
-    data = F.slice(nb, 2, 100)
-    good = F.filter(data, lambda l: F.size(split_fields(l, sep)) <= ncols)
-    n_df = F.size(good)
-    first_cell = na_to_empty(F.try_element_at(split_fields(F.try_element_at(good, F.lit(1)), sep), F.lit(1)))
-    first_cell = F.when(first_cell == "", F.lit("nan")).otherwise(first_cell)
-    checked = F.filter(F.transform(F.slice(head, 1, F.least(F.lit(10), n_df + 1)), py_strip), lambda l: l != "")
-    counts = F.transform(checked, lambda l: F.length(l) - F.length(F.replace(l, sep, F.lit(""))))
+def _score_stages(df: DataFrame) -> DataFrame:
+    """Score one separator on one file head. Intermediate values are staged as
+    columns so the per-line lambdas never recompute the header or its width."""
+    sep = F.col("separator")
+    df = df.withColumn("_nb", F.filter("head", lambda l: l != ""))
+    df = df.withColumn("_header", F.try_element_at(F.col("_nb"), F.lit(1)))
+    df = df.withColumn("_names", split_fields(F.col("_header"), sep)).withColumn("_ncols", F.size("_names"))
+    df = df.withColumn("_good", F.filter(F.slice("_nb", 2, 100), lambda l: F.size(split_fields(l, sep)) <= F.col("_ncols")))
+    df = df.withColumn("_n_df", F.size("_good"))
+    first_cell = na_to_empty(F.try_element_at(split_fields(F.try_element_at(F.col("_good"), F.lit(1)), sep), F.lit(1)))
+    df = df.withColumn("_first", F.when(first_cell == "", F.lit("nan")).otherwise(first_cell))
+    checked = F.filter(F.transform(F.slice("head", F.lit(1), F.least(F.lit(10), F.col("_n_df") + 1)), py_strip), lambda l: l != "")
+    df = df.withColumn("_counts", F.transform(checked, lambda l: F.length(l) - F.length(F.replace(l, sep, F.lit("")))))
+    counts = F.col("_counts")
     consistency = (
         F.when(F.size(counts) == 0, 0)
         .when(F.size(F.array_distinct(counts)) == 1, 20)
         .when(F.array_max(counts) - F.array_min(counts) <= 1, 10)
         .otherwise(-10)
     )
-    names = split_fields(header, sep)
     quality = F.size(
         F.filter(
-            names,
+            "_names",
             lambda n: ((sep != ",") & ~n.contains(",")) | ((sep != ";") & ~n.contains(";")) | ((sep != "\t") & ~n.contains("\t")),
         )
     )
-    one_col = F.lit(-50) + F.when(
-        ((sep == ";") & first_cell.contains(",")) | ((sep == ",") & first_cell.contains(";")), -100
-    ).otherwise(0)
+    first = F.col("_first")
+    ncols = F.col("_ncols")
+    one_col = F.lit(-50) + F.when(((sep == ";") & first.contains(",")) | ((sep == ",") & first.contains(";")), -100).otherwise(0)
     score = (
         ncols * 10
         + F.when(sep == ";", 15).otherwise(0)
@@ -104,8 +105,8 @@ def _score(head: Column, sep: Column) -> tuple[Column, Column]:
         + F.when(ncols > 1, consistency + quality * 2).otherwise(0)
         + F.when(ncols > 100, -30).otherwise(0)
     )
-    score = F.when(n_df == 0, 0).otherwise(F.greatest(score, F.lit(0)))
-    return header.isNotNull(), score
+    score = F.when(F.col("_n_df") == 0, 0).otherwise(F.greatest(score, F.lit(0)))
+    return df.where(F.col("_header").isNotNull()).withColumn("score", score)
 
 
 def score_csv_dialects(lines: DataFrame, path: str = "path", ord_: str = "ord", line: str = "line") -> DataFrame:
@@ -121,9 +122,8 @@ def score_csv_dialects(lines: DataFrame, path: str = "path", ord_: str = "ord",
     """
     heads = file_heads(lines, HEAD_LINES, path, ord_, line)
     seps = lines.sparkSession.createDataFrame(list(zip(SEPARATORS, range(3))), "separator string, sep_ord int")
-    scored = heads.crossJoin(F.broadcast(seps))
-    ok, score = _score(F.col("head"), F.col("separator"))
-    return scored.where(ok).select(path, "separator", "sep_ord", score.alias("score"))
+    scored = _score_stages(heads.crossJoin(F.broadcast(seps)))
+    return scored.select(path, "separator", "sep_ord", "score")
 
 
 def pick_csv_dialect(scores: DataFrame, path: str = "path") -> DataFrame:
