@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusprep.functions.common import PY_SPACE, col_of, cut, py_strip
+from corpusprep.functions.common import PY_SPACE_RUN, col_of, cut, py_strip
 
 
 def normalize_newlines(c) -> Column:
@@ -67,11 +67,13 @@ def clean_cell(c, escape_times: int = 1) -> Column:
 
 
 def _clean_once(c: Column) -> Column:
-    stripped = py_strip(c)
-    null_like = c.isNull() | (c == "") | (stripped == "") | F.lower(c).isin("nan", "none", "null")
-    spaced = F.regexp_replace(stripped, f"{PY_SPACE}+", " ")
+    # Each step feeds the next exactly once. Blank input needs no test of its
+    # own: stripping makes it ''. The final strip of the original is a no-op
+    # here (the text was stripped first and a cut ends in '...').
+    spaced = F.regexp_replace(py_strip(c), PY_SPACE_RUN, " ")
     escaped = F.regexp_replace(spaced, r"([|\[\]])", r"\\$1")
-    return F.when(null_like, F.lit("")).otherwise(py_strip(cut(escaped, 500)))
+    null_like = c.isNull() | F.lower(c).isin("nan", "none", "null")
+    return F.when(null_like, F.lit("")).otherwise(cut(escaped, 500))
 
 
 def json_valid(c) -> Column:
