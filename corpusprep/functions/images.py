@@ -51,10 +51,13 @@ def _le(b: Column, pos: int, n: int) -> Column:
 
 def _jpeg_size(b: Column) -> Column:
     """(width, height) from the first SOF0-3 marker, walking JPEG segments."""
+    # the bytes ride in the accumulator: a lambda referring to the input
+    # expression would re-evaluate it at every step
     init = F.struct(F.lit(3).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("w"),
-                    F.lit(None).cast("bigint").alias("h"), F.lit(False).alias("done"))
+                    F.lit(None).cast("bigint").alias("h"), F.lit(False).alias("done"), b.alias("b"))
 
     def step(acc, _i):
+        b = acc["b"]
         pos = acc["pos"]
         marker = F.hex(F.substring(b, pos.cast("int"), F.lit(2)))
         is_sof = marker.isin(*JPEG_SOF)
@@ -63,11 +66,11 @@ def _jpeg_size(b: Column) -> Column:
         return F.when(acc["done"], acc).when(
             is_sof,
             F.struct(pos.alias("pos"), _be(b, (pos + 7).cast("int"), 2).alias("w"), _be(b, (pos + 5).cast("int"), 2).alias("h"),
-                     F.lit(True).alias("done")),
+                     F.lit(True).alias("done"), b.alias("b")),
         ).when(
             valid & seg_len.isNotNull() & (seg_len >= 2),
-            F.struct((pos + 2 + seg_len).alias("pos"), acc["w"], acc["h"], F.lit(False).alias("done")),
-        ).otherwise(F.struct(pos.alias("pos"), acc["w"], acc["h"], F.lit(True).alias("done")))
+            F.struct((pos + 2 + seg_len).alias("pos"), acc["w"], acc["h"], F.lit(False).alias("done"), b.alias("b")),
+        ).otherwise(F.struct(pos.alias("pos"), acc["w"], acc["h"], F.lit(True).alias("done"), b.alias("b")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(JPEG_SCAN_STEPS)), init, step)
 

@@ -91,6 +91,11 @@ def triage_images(images: DataFrame, settings: Settings = DEFAULT, bytes_col: st
     return out
 
 
+_NS = PY_SPACE[1:-1]
+# any Markdown image link whose target has no blank and no ')': alt, target, title
+LINK = rf'!\[([^\]]*)\]\(([^){_NS}]+)({PY_SPACE}*"(?:[^"]*)")?\)'
+
+
 def _apply_one(acc, d):
     rx = F.concat(F.lit(r"!\[([^\]]*)\]\("), regex_quote(d["placeholder"]), F.lit(rf'({PY_SPACE}*"(?:[^"]*)")?\)'))
     rep = F.when(d["action"] == "remove", F.lit("")).otherwise(
@@ -99,22 +104,62 @@ def _apply_one(acc, d):
     return F.regexp_replace(acc, rx, rep)
 
 
+def _single_pass(md, dmap):
+    """Rewrite every link whose target is a key of ``dmap`` in one scan of the text:
+    split around all links, look each target up, join the pieces again.
+
+    The per-link arrays are zipped first: a lambda that referred to them would
+    re-run their regex for every element.
+    """
+    segs = F.split(md, LINK, -1)
+    z = F.arrays_zip(
+        F.regexp_extract_all(md, F.lit(LINK), 0).alias("whole"),
+        F.regexp_extract_all(md, F.lit(LINK), 1).alias("alt"),
+        F.regexp_extract_all(md, F.lit(LINK), 2).alias("target"),
+        F.regexp_extract_all(md, F.lit(LINK), 3).alias("title"),
+        segs.alias("seg"),
+    )
+
+    def piece(e):
+        d = F.element_at(dmap, e["target"])
+        link = (
+            F.when(e["whole"].isNull(), F.lit(""))
+            .when(d.isNull(), e["whole"])
+            .when(d["action"] == "remove", F.lit(""))
+            .otherwise(F.concat(F.lit("!["), e["alt"], F.lit("]("), d["target"], e["title"], F.lit(")")))
+        )
+        return link
+
+    # element i holds link i and the text after link i-1; the first text comes first
+    pieces = F.transform(z, lambda e: F.concat(e["seg"], piece(e)))
+    return F.when(dmap.isNull(), md).otherwise(F.array_join(pieces, ""))
+
+
 def apply_image_decisions(docs: DataFrame, decisions: DataFrame, key: str = "doc_key", md_col: str = "markdown") -> DataFrame:
-    """Edit Markdown image links by decision, longest placeholder first; titles kept."""
+    """Edit Markdown image links by decision (remove / embed / relink); titles kept.
+
+    Placeholders without blanks or ``)`` (all extracted files) are applied in
+    one scan of the text through a per-document map, so the cost is linear in
+    the text however many images a document has. Others fall back to one
+    regex pass each, longest placeholder first.
+    """
+    target = F.coalesce(F.col("data_uri"), F.col("new_path"))
+    simple = ~F.col("placeholder").rlike(rf"[){_NS}]")
     per_doc = decisions.groupBy(key).agg(
+        F.map_from_entries(
+            F.collect_list(F.when(simple, F.struct(F.col("placeholder"), F.struct(F.col("action"), target.alias("target")))))
+        ).alias("_m"),
         F.array_sort(
             F.collect_list(
-                F.struct(
-                    (-F.length("placeholder")).alias("neg_len"), "placeholder", "action",
-                    F.coalesce(F.col("data_uri"), F.col("new_path")).alias("target"),
-                )
+                F.when(~simple, F.struct((-F.length("placeholder")).alias("neg_len"), "placeholder", "action", target.alias("target")))
             )
-        ).alias("_d")
+        ).alias("_d"),
     )
     j = docs.join(per_doc, key, "left")
+    one = _single_pass(F.col(md_col), F.col("_m"))
     return j.withColumn(
-        md_col, F.aggregate(F.coalesce(F.col("_d"), F.array().cast(DECISION_SCHEMA)), F.col(md_col), _apply_one)
-    ).drop("_d")
+        md_col, F.aggregate(F.coalesce(F.col("_d"), F.array().cast(DECISION_SCHEMA)), one, _apply_one)
+    ).drop("_d", "_m")
 
 
 def image_summary(decisions: DataFrame, key: str = "doc_key", bytes_col: str = "bytes") -> DataFrame:

@@ -76,7 +76,11 @@ def _score_stages(df: DataFrame) -> DataFrame:
     df = df.withColumn("_nb", F.filter("head", lambda l: l != ""))
     df = df.withColumn("_header", F.try_element_at(F.col("_nb"), F.lit(1)))
     df = df.withColumn("_names", split_fields(F.col("_header"), sep)).withColumn("_ncols", F.size("_names"))
-    df = df.withColumn("_good", F.filter(F.slice("_nb", 2, 100), lambda l: F.size(split_fields(l, sep)) <= F.col("_ncols")))
+    # the header width is zipped into every element: a lambda referring to it
+    # would recompute it per line
+    data = F.slice("_nb", 2, 100)
+    zipped = F.arrays_zip(data.alias("l"), F.array_repeat(F.col("_ncols"), F.size(data)).alias("n"))
+    df = df.withColumn("_good", F.transform(F.filter(zipped, lambda e: F.size(split_fields(e["l"], sep)) <= e["n"]), lambda e: e["l"]))
     df = df.withColumn("_n_df", F.size("_good"))
     first_cell = na_to_empty(F.try_element_at(split_fields(F.try_element_at(F.col("_good"), F.lit(1)), sep), F.lit(1)))
     df = df.withColumn("_first", F.when(first_cell == "", F.lit("nan")).otherwise(first_cell))
@@ -301,13 +305,13 @@ def csv_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT
     times = 2 if settings.legacy_double_escape else 1
     good = truncate_rows(rows.where(~F.col("bad")), settings.max_rows_display, ["ord"], [path])
     ncols = headers.select(path, "ncols")
+    m = F.least(F.col("ncols"), F.lit(k))
+    # exactly min(ncols, k) cells, missing ones null (zip pads the shorter array)
+    picked = F.arrays_zip(F.sequence(F.lit(1), m).alias("i"), F.slice(F.col("fields"), F.lit(1), m).alias("c"))
     cells = good.join(ncols, path).select(
         path,
         "ord",
-        F.transform(
-            F.transform(F.sequence(F.lit(1), F.least(F.col("ncols"), F.lit(k))), lambda i: F.try_element_at(F.col("fields"), i)),
-            lambda c: clean_cell(na_to_empty(c), times),
-        ).alias("cells"),
+        F.transform(picked, lambda e: clean_cell(na_to_empty(e["c"]), times)).alias("cells"),
     )
     names = headers.select(path, F.transform(F.slice(header_names("names"), 1, k), clean_column_name).alias("names"))
     return markdown_table(cells, names, [path], "ord")
@@ -415,14 +419,16 @@ def bundle_stats(cells: DataFrame, settings: Settings = DEFAULT, path: str = "pa
 def bundle_table_line(cells, names) -> Column:
     """Bundle row with the fallback formatter: pipes escaped, CR/LF -> space,
     bundle/key cut at 50 (47 + ``...``), translations at 150 (147 + ``...``)."""
-    def cell(c, i):
-        name = F.lower(F.try_element_at(col_of(names), i + 1))
+    def cell(e):
+        c, name = e["c"], F.lower(e["n"])
         c2 = F.translate(F.replace(c, F.lit("|"), F.lit("\\|")), "\n\r", "  ")
         limited = F.when(name.isin("bundle", "key"), cut(c2, 50)).otherwise(cut(c2, 150))
         empty = c.isNull() | F.lower(py_strip(c)).isin("nan", "none", "null")
         return F.when(empty, F.lit("")).otherwise(limited)
 
-    return F.concat(F.lit("| "), F.array_join(F.transform(col_of(cells), cell), " | ", ""), F.lit(" |"))
+    cells = col_of(cells)
+    z = F.arrays_zip(cells.alias("c"), F.slice(col_of(names), F.lit(1), F.size(cells)).alias("n"))
+    return F.concat(F.lit("| "), F.array_join(F.transform(z, cell), " | ", ""), F.lit(" |"))
 
 
 def bundle_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT, path: str = "path") -> DataFrame:
@@ -430,10 +436,8 @@ def bundle_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFA
     good = truncate_rows(rows.where(~F.col("bad")), settings.max_rows_display, ["ord"], [path])
     names = headers.select(path, F.transform(header_names("names"), clean_column_name).alias("names"))
     j = good.join(names, path)
-    cleaned = F.transform(
-        F.col("fields"),
-        lambda c, i: F.when(F.lower(F.try_element_at(F.col("names"), i + 1)) == "bundle", c).otherwise(clean_cell(na_to_empty(c))),
-    )
+    z = F.arrays_zip(F.col("fields").alias("c"), F.slice(F.col("names"), F.lit(1), F.size("fields")).alias("n"))
+    cleaned = F.transform(z, lambda e: F.when(F.lower(e["n"]) == "bundle", e["c"]).otherwise(clean_cell(na_to_empty(e["c"]))))
     lines = j.select(path, "ord", bundle_table_line(cleaned, F.col("names")).alias("_line"))
     body = ordered_join(lines, [path], "ord", "_line", "\n", "_body")
     out = names.join(body, path, "left")
@@ -524,3 +528,44 @@ def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFram
         F.col("total_rows").cast("bigint").alias("total_rows"),
         F.col("max_columns").cast("bigint").alias("max_columns"),
     )
+
+
+# ---------------------------------------------------------------- whole flows
+
+
+def _once(df: DataFrame, materialize: bool) -> DataFrame:
+    if not materialize:
+        return df
+    from corpusprep.session import materialize as checkpointed
+
+    return checkpointed(df)
+
+
+def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", kind: str = "CSV",
+                  materialize: bool = True, name: Column | None = None) -> DataFrame:
+    """Delimited files in line form -> one document per file (unreadable ones as error rows).
+
+    The parsed rows feed the profile, the table and the unreadable check; with
+    ``materialize`` they are computed once into the checkpoint folder instead
+    of once per branch.
+    """
+    if kind == "CSV":
+        dialects = pick_csv_dialect(score_csv_dialects(lines, path=path), path=path)
+    else:
+        dialects = lines.select(path).distinct().withColumn("separator", F.lit("\t")).withColumn("score", F.lit(0))
+    dialects = _once(dialects, materialize)
+    rows, headers = parse_csv_lines(lines, dialects, path=path)
+    rows, headers = _once(rows, materialize), _once(headers, materialize)
+    prof = table_profile(rows, headers, dialects, settings, path=path)
+    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name)
+    return docs.unionByName(unreadable_documents(lines, headers, path=path, parser=f"pandas_{kind.lower()}"))
+
+
+def bundle_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", materialize: bool = True) -> DataFrame:
+    """Translation bundle files in line form -> one document per bundle file."""
+    first = lines.groupBy(path).agg(F.min_by(F.col("line"), F.col("ord")).alias("first_line"))
+    dialects = first.where(is_bundle("first_line")).select(path, F.lit(",").alias("separator"))
+    rows, headers = parse_csv_lines(lines, dialects, path=path, skip_initial_space=True)
+    rows, headers = _once(rows, materialize), _once(headers, materialize)
+    stats = bundle_stats(bundle_cells(rows, headers, path=path), settings, path=path)
+    return render_bundle_document(stats, bundle_tables(rows, headers, settings, path=path), settings, path=path)

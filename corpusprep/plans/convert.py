@@ -74,15 +74,8 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
         tab = todo.where((proc == "tabular") & (ext == ext_name)).select(key, "path", "text")
         tkey = "_tkey"
         lines = text_lines(tab.withColumn(tkey, F.to_json(F.struct(F.col(key), F.col("path")))), path=tkey)
-        if kind == "CSV":
-            dialects = tables.pick_csv_dialect(tables.score_csv_dialects(lines, path=tkey), path=tkey)
-        else:
-            dialects = lines.select(tkey).distinct().withColumn("separator", F.lit("\t")).withColumn("score", F.lit(0))
-        rows, headers = tables.parse_csv_lines(lines, dialects, path=tkey)
-        prof = tables.table_profile(rows, headers, dialects, settings, path=tkey)
-        t_docs = tables.render_table_document(prof, tables.csv_tables(rows, headers, settings, path=tkey), kind=kind, path=tkey,
-                                              name=F.get_json_object(F.col(tkey), "$.path"))
-        t_docs = t_docs.unionByName(tables.unreadable_documents(lines, headers, path=tkey, parser=f"pandas_{kind.lower()}"))
+        t_docs = tables.csv_documents(lines, settings, path=tkey, kind=kind, materialize=False,
+                                      name=F.get_json_object(F.col(tkey), "$.path"))
         t_docs = t_docs.join(tab.withColumn(tkey, F.to_json(F.struct(F.col(key), F.col("path")))).drop("text"), tkey).drop(tkey)
         t_docs = t_docs.withColumn("source_filename", basename("path"))
         out.append(_meta(t_docs).select(*DOC_COLS))

@@ -298,10 +298,8 @@ def csv_profiles(spark, sf_dir):
 
 @query
 def csv_documents(spark, sf_dir):
-    lines, _, dialects, rows, headers = _csv(spark, sf_dir)
-    prof = tables.table_profile(rows, headers, dialects)
-    docs = tables.render_table_document(prof, tables.csv_tables(rows, headers))
-    return docs.unionByName(tables.unreadable_documents(lines, headers)).select("path", "parser", "markdown", "error")
+    docs = tables.csv_documents(csv_lines(spark, sf_dir))
+    return docs.select("path", "parser", "markdown", "error")
 
 
 @query
@@ -361,9 +359,7 @@ def bundle_language_stats(spark, sf_dir):
 
 @query
 def bundle_documents(spark, sf_dir):
-    _, _, rows, headers = _bundle(spark, sf_dir)
-    stats = tables.bundle_stats(tables.bundle_cells(rows, headers))
-    docs = tables.render_bundle_document(stats, tables.bundle_tables(rows, headers))
+    docs = tables.bundle_documents(bundle_lines(spark, sf_dir))
     return docs.select("path", "parser", "markdown")
 
 

@@ -45,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and read it from there.
+
+    Used where one expensive intermediate (parsed table rows) feeds several
+    branches of a plan that would otherwise each recompute it.
+    """
+    return cut_lineage(df)
