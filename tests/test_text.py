@@ -56,7 +56,7 @@ def test_clean_cell(spark):
     assert _one(spark, clean_cell(F.col("v")), "a  b") == "a b"
     long = _one(spark, clean_cell(F.col("v")), "x" * 600)
     assert len(long) == 500 and long.endswith("...")
-    assert _one(spark, clean_cell(F.col("v"), 2), "a|b") == "a\\\\\\|b"
+    assert _one(spark, clean_cell(F.col("v"), 2), "a|b") == "a\\\\|b"
 
 
 def test_clean_column_name(spark):
