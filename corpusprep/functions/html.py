@@ -26,11 +26,7 @@ from corpusprep.functions.common import PY_SPACE, col_of, py_strip
 # The (pattern, replacement) steps, in order. Replacements use
 # ``$n`` group references (Spark); the SQL oracle spells the same steps with ``\n``.
 HTML_STEPS: list[tuple[str, str]] = [
-    (r"(?is)<!doctype[^>]*>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script[^>]*>.*?</script>", ""),
-    (r"(?is)<style[^>]*>.*?</style>", ""),
-    (r"(?is)<title[^>]*>.*?</title>", ""),
+    (r"(?is)<!doctype[^>]*>|<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>", ""),
     (r"\*", r"\\*"),
     (r"(?is)<pre[^>]*>[ \t\r\n]*<code[^>]*>(.*?)</code>[ \t\r\n]*</pre>", "\n\n```\n$1\n```\n\n"),
     (r"(?is)<code[^>]*>([^<]*)</code>", "`$1`"),
@@ -58,8 +54,7 @@ HTML_STEPS: list[tuple[str, str]] = [
     (r"&copy;", "©"),
     (r"&middot;", "·"),
     (r"&amp;", "&"),
-    (r"[ \t]+\n", "\n"),
-    (r"\n[ \t]+", "\n"),
+    (r"[ \t]*\n[ \t]*", "\n"),
     (r"\n{3,}", "\n\n"),
     (r"^\n+|\n+\z", ""),
 ]
@@ -84,10 +79,23 @@ def decode_entities(c) -> Column:
     return out
 
 
+# steps whose pattern is plain text run as ``replace`` (no regex, no conversion
+# of the value to a Java string)
+_LITERAL = {r"\*": ("*", "\\*")}
+
+
+def _literal(pattern: str) -> bool:
+    return pattern in _LITERAL or all(ch.isalnum() or ch in "&#;" for ch in pattern)
+
+
 def html_to_markdown(html) -> Column:
     out = col_of(html)
     for pattern, repl in HTML_STEPS:
-        out = F.regexp_replace(out, pattern, repl)
+        if _literal(pattern):
+            old, new = _LITERAL.get(pattern, (pattern, repl))
+            out = F.replace(out, F.lit(old), F.lit(new))
+        else:
+            out = F.regexp_replace(out, pattern, repl)
     return out
 
 
