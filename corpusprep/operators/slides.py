@@ -73,27 +73,39 @@ def notes_block(notes) -> Column:
     return F.when(n.isNotNull() & (n != ""), F.concat(F.lit("\n> **Slide Notes:** "), n, F.lit("\n")))
 
 
-def slide_images(slides: DataFrame, deck: str = "deck") -> DataFrame:
-    """One row per picture: ``(deck, slide_idx, shape_idx, image_no, name, alt, image)``.
+def _no_bytes(shapes) -> Column:
+    """Shapes with image bytes dropped (what the text of a slide needs)."""
+    return F.transform(col_of(shapes), lambda s: s.withField("image", F.lit(None).cast("binary")))
+
+
+def slide_images(slides: DataFrame, deck: str = "deck", with_bytes: bool = True) -> DataFrame:
+    """One row per picture: ``(deck, slide_idx, shape_idx, image_no, name, alt[, image])``.
 
     ``image_no`` runs through the deck from 0; name ``ppt_img_<n>_<md5 12><ext>``;
-    alt = alt text, else shape name, else ``Slide i Image n``.
+    alt = alt text, else shape name, else ``Slide i Image n``. Digest and type
+    are read where the bytes are; only ``with_bytes`` keeps the bytes for the
+    media entries of a package.
     """
     is_pic = lambda s: (s["kind"] == "picture") & s["image"].isNotNull()
     pics = slides.select(deck, "slide_idx", "shapes", F.posexplode("shapes").alias("shape_idx", "s")).where(is_pic(F.col("s")))
     pics = pics.withColumn("_in_slide", F.size(F.filter(F.slice("shapes", 1, F.col("shape_idx")), is_pic))).drop("shapes")
+    pics = pics.select(
+        deck, "slide_idx", "shape_idx", "_in_slide",
+        F.struct(F.col("s.name").alias("name"), F.col("s.alt").alias("alt"), (F.col("s.image") if with_bytes else F.lit(None).cast("binary")).alias("image"),
+                 md5_prefix(F.col("s.image")).alias("digest"), sniff_image_type(F.col("s.image")).alias("ext")).alias("s"),
+    )
     per_slide = slides.select(deck, "slide_idx", F.size(F.filter("shapes", is_pic)).alias("_n"))
     offsets = running_sum_before(per_slide, [deck], "slide_idx", "_n", "_off").drop("_n")
     ranked = pics.join(offsets, [deck, "slide_idx"])
     no = (F.col("_off") + F.col("_in_slide")).cast("bigint")
-    name = F.concat(F.lit("ppt_img_"), no.cast("string"), F.lit("_"), md5_prefix(F.col("s.image")), sniff_image_type(F.col("s.image")))
+    name = F.concat(F.lit("ppt_img_"), no.cast("string"), F.lit("_"), F.col("s.digest"), F.col("s.ext"))
     alt = F.coalesce(
         F.when(F.col("s.alt") != "", F.col("s.alt")),
         F.when(F.col("s.name") != "", F.col("s.name")),
         F.concat(F.lit("Slide "), F.col("slide_idx").cast("string"), F.lit(" Image "), no.cast("string")),
     )
-    return ranked.select(deck, "slide_idx", "shape_idx", no.alias("image_no"), name.alias("name"), alt.alias("alt"),
-                         F.col("s.image").alias("image"))
+    cols = [deck, "slide_idx", "shape_idx", no.alias("image_no"), name.alias("name"), alt.alias("alt")]
+    return ranked.select(*cols, F.col("s.image").alias("image")) if with_bytes else ranked.select(*cols)
 
 
 def slide_sections(slides: DataFrame, images: DataFrame, deck: str = "deck") -> DataFrame:
@@ -101,7 +113,7 @@ def slide_sections(slides: DataFrame, images: DataFrame, deck: str = "deck") ->
     links = images.groupBy(deck, "slide_idx").agg(
         F.array_sort(F.collect_list(F.struct("shape_idx", F.concat(F.lit("\n!["), F.col("alt"), F.lit("](media/"), F.col("name"), F.lit(")\n")).alias("l")))).alias("_imgs")
     )
-    j = slides.join(links, [deck, "slide_idx"], "left")
+    j = slides.select(deck, "slide_idx", "notes", _no_bytes("shapes").alias("shapes")).join(links, [deck, "slide_idx"], "left")
     title = slide_title(F.col("shapes"))
     heading = F.coalesce(F.when(title != "", title), F.concat(F.lit("Slide "), F.col("slide_idx").cast("string")))
     text = bullets(F.col("shapes"))
@@ -128,7 +140,7 @@ def deck_title(slides: DataFrame, deck: str = "deck") -> DataFrame:
 
 def assemble_deck(slides: DataFrame, deck: str = "deck") -> DataFrame:
     """One Markdown document per deck with ``slide_count``, ``image_count``, ``title``."""
-    images = slide_images(slides, deck)
+    images = slide_images(slides, deck, with_bytes=False)
     sections = slide_sections(slides, images, deck)
     body = ordered_concat(sections, [deck], "slide_idx", "section", "\n", "_body")
     counts = slides.groupBy(deck).agg(F.count(F.lit(1)).alias("slide_count"))

@@ -24,9 +24,9 @@ from corpusprep.sources.folder import scan_folder, text_lines
 NOT_BUILT = "no parser for this binary format in this build"
 
 
-def route_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str = "") -> DataFrame:
+def route_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str = "", registry: DataFrame | None = None) -> DataFrame:
     """Routing, skip flag and output names for a listing with ``path``."""
-    routed = routing.route(files, settings=settings)
+    routed = routing.route(files, registry, settings=settings)
     skip = ~F.col("supported")
     if settings.skip_temp_files:
         skip = skip | is_temp_file(F.col("path"))
@@ -38,15 +38,26 @@ def _meta(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: Settings = DEFAULT,
-                  key: str = "path") -> DataFrame:
+                  key: str = "path", custom: dict | None = None) -> DataFrame:
     """Documents from routed files that carry decoded ``text``:
     ``(key, path, parser, markdown, error, metadata)``; one branch per kind.
-    ``key`` identifies a file when paths repeat (table form)."""
+    ``key`` identifies a file when paths repeat (table form).
+
+    ``custom`` maps a processor name (registered with
+    :func:`corpusprep.operators.routing.register`) to a DataFrame function: it
+    gets the files routed to that processor (``key, path, source_filename,
+    text``) and returns them with ``parser``, ``markdown`` and ``error``.
+    """
     DOC_COLS = list(dict.fromkeys([key, "path", "parser", "markdown", "error", "metadata"]))
+    custom = custom or {}
     todo = routed.where(~F.col("_skip"))
     proc = F.col("processor")
     ext = extension("path")
     out = []
+    for name, fn in custom.items():
+        mine = todo.where(proc == name).select(*list(dict.fromkeys([key, "path", "source_filename", "text"])))
+        out.append(_meta(fn(mine)).select(*DOC_COLS))
+    todo = todo.where(~proc.isin(*custom)) if custom else todo
 
     simple = render_simple(todo.where(proc == "simple"))
     out.append(_meta(simple, ["language", "error"]).select(*DOC_COLS))
@@ -97,12 +108,13 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     return docs
 
 
-def convert_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str = "", media: DataFrame | None = None):
+def convert_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str = "", media: DataFrame | None = None,
+                  registry: DataFrame | None = None, custom: dict | None = None):
     """(docs, outcomes) for a ``binaryFile`` listing. ``content`` is decoded in
     the same projection that routes, and dropped before any shuffle."""
-    routed = route_files(files.select("path", "content"), settings, suffix)
+    routed = route_files(files.select("path", "content"), settings, suffix, registry)
     textual = routed.withColumn("text", decode_text(F.col("content"))).drop("content")
-    docs = convert_texts(textual, media, settings)
+    docs = convert_texts(textual, media, settings, custom=custom)
     named = docs.join(routed.select("path", "package", "source_filename"), "path")
     outs = report.outcomes(routed, docs)
     return named, outs

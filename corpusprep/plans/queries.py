@@ -391,14 +391,14 @@ def slide_decks(spark, sf_dir):
 
 @query
 def slide_image_names(spark, sf_dir):
-    imgs = slides_ops.slide_images(slides(spark, sf_dir))
+    imgs = slides_ops.slide_images(slides(spark, sf_dir), with_bytes=False)
     return imgs.select("deck", _long("slide_idx").alias("slide_idx"), "image_no", "name", "alt")
 
 
 @query
 def slide_sections(spark, sf_dir):
     s = slides(spark, sf_dir)
-    sec = slides_ops.slide_sections(s, slides_ops.slide_images(s))
+    sec = slides_ops.slide_sections(s, slides_ops.slide_images(s, with_bytes=False))
     return sec.select("deck", _long("slide_idx").alias("slide_idx"), "title", "section")
 
 

@@ -41,3 +41,13 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     )
     # order key: block start in the high bits, position in task in the low bits
     return df.select("path", (F.col("_blk") * F.lit(1 << 20) + (F.col("_mono") % F.lit(1 << 20))).alias("ord"), "line")
+
+
+def read_image_sizes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """Sizes of image files any type the JVM decodes, by path: ``path, width, height``.
+
+    Spark's built-in ``image`` source decodes each file on the executors; files
+    it cannot decode are kept with width and height -1 (``dropInvalid`` off).
+    """
+    img = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return img.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))

@@ -88,3 +88,38 @@ def test_stream_folder(spark, tmp_dir):
     assert sorted(os.listdir(out)) == ["a.zip", "b.zip"]
     with zipfile.ZipFile(os.path.join(out, "b.zip")) as z:
         assert z.read("b.md").decode() == "```py\nprint(1)\n```"
+
+
+def test_custom_processor(spark, tmp_dir):
+    from corpusprep.operators import routing
+    from corpusprep.plans.convert import convert_files
+    from corpusprep.sources.folder import scan_folder
+
+    with open(os.path.join(tmp_dir, "notes.log"), "w") as f:
+        f.write("line one\nline two")
+    reg = routing.register(routing.extension_registry(spark), ".log", "logfile")
+
+    def logs(df):
+        return df.withColumn("parser", F.lit("log_custom")).withColumn(
+            "markdown", F.concat(F.lit("# Log\n\n"), F.regexp_replace("text", "(?m)^", "- "))
+        ).withColumn("error", F.lit(None).cast("string"))
+
+    files = scan_folder(spark, tmp_dir).withColumn("path", F.regexp_replace("path", "^file:", ""))
+    docs, outs = convert_files(files, registry=reg, custom={"logfile": logs})
+    d = docs.collect()[0]
+    assert (d.parser, d.markdown) == ("log_custom", "# Log\n\n- line one\n- line two")
+    assert outs.collect()[0].status == "ok"
+
+
+def test_image_sizes_by_path(spark, tmp_dir):
+    import base64
+
+    from corpusprep.sources.folder import read_image_sizes
+
+    png = base64.b64decode("iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mP8z8BQDwAEhQGAhKmMIQAAAABJRU5ErkJggg==")
+    with open(os.path.join(tmp_dir, "a.png"), "wb") as f:
+        f.write(png)
+    with open(os.path.join(tmp_dir, "bad.png"), "wb") as f:
+        f.write(b"not an image")
+    got = {os.path.basename(r.path): (r.width, r.height) for r in read_image_sizes(spark, tmp_dir).collect()}
+    assert got["a.png"] == (1, 1) and got["bad.png"] == (-1, -1)
