@@ -246,6 +246,13 @@ def markdown_line(cells, fallback_escape: bool = False, fallback_cut: bool = Fal
     return F.concat(F.lit("| "), F.array_join(F.transform(col_of(cells), cell), " | ", ""), F.lit(" |"))
 
 
+def markdown_line_of(cols: list) -> Column:
+    """``| a | b |`` for a fixed list of columns (no array, no lambda: stays in codegen)."""
+    cells = [F.coalesce(col_of(c), F.lit("")) for c in cols]
+    cells = [F.when(py_strip(c) == "", F.lit("")).otherwise(c) for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def separator_line(n) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     return F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |"))
@@ -290,13 +297,15 @@ def frame_markdown_table(df: DataFrame, order_cols: list[str], settings: Setting
     )
     names = [clean_column_name(F.lit(c)) for c in value_cols]
     key = F.struct(*[F.col(c) for c in order_cols])
-    rows = capped.select(*group_cols, key.alias("_ord"), F.array(*[F.col(c).cast("string") for c in value_cols]).alias("cells"))
-    if group_cols:
-        header = df.select(*group_cols).distinct().withColumn("names", F.array(*names))
-        return markdown_table(rows, header, group_cols, "_ord")
-    rows = rows.withColumn("_g", F.lit(0))
-    header = df.sparkSession.range(1).select(F.lit(0).alias("_g"), F.array(*names).alias("names"))
-    return markdown_table(rows, header, ["_g"], "_ord").drop("_g")
+    line = markdown_line_of([F.col(c).cast("string") for c in value_cols])
+    lines = capped.select(*group_cols, key.alias("_ord"), line.alias("_line"))
+    gcols = group_cols or ["_g"]
+    if not group_cols:
+        lines = lines.withColumn("_g", F.lit(0))
+    body = ordered_join(lines, gcols, "_ord", "_line", "\n", "_body")
+    head = F.concat_ws("\n", markdown_line_of(names), separator_line(len(names)), F.col("_body"))
+    out = body.select(*gcols, head.alias("table"), F.array(*names).alias("names"))
+    return out.drop("_g") if not group_cols else out
 
 
 def csv_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT, path: str = "path") -> DataFrame:

@@ -324,8 +324,9 @@ def orders_status_tables(spark, sf_dir):
 @query
 def lineitem_first_columns(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    cells = tables.truncate_columns(F.array(*[F.col(c).cast("string") for c in li.columns]), 5)
-    return li.select("l_orderkey", _long("l_linenumber").alias("l_linenumber"), tables.markdown_line(cells).alias("line"))
+    first = li.columns[:5]  # the column cap (op 25) on a known schema is a projection
+    line = tables.markdown_line_of([F.col(c).cast("string") for c in first])
+    return li.select("l_orderkey", _long("l_linenumber").alias("l_linenumber"), line.alias("line"))
 
 
 @query
