@@ -121,7 +121,7 @@ def _single_pass(md, dmap):
     )
 
     def piece(e):
-        d = F.element_at(dmap, e["target"])
+        d = F.try_element_at(dmap, e["target"])
         link = (
             F.when(e["whole"].isNull(), F.lit(""))
             .when(d.isNull(), e["whole"])

@@ -11,15 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.functions.common import PY_SPACE, col_of, regex_quote, replacement_quote
+from corpusprep.functions.common import PY_SPACE, col_of
 
 _NS = PY_SPACE[1:-1]  # the class body, to build negated classes
 MD_IMAGE = rf'!\[([^\]]*)\]\(([^){_NS}]+)(?:{PY_SPACE}*"([^"]*)")?\)'
 HTML_IMAGE = rf"(?i)<img{PY_SPACE}+[^>]*?src{PY_SPACE}*={PY_SPACE}*(['\"]){PY_SPACE}*([^'\"]+){PY_SPACE}*\1"
 
-REF_SCHEMA = "array<struct<neg_len:int,syntax:int,pos:int,ref:string,new_ref:string>>"
-
-
 def image_refs(docs: DataFrame, key: str = "doc_key", text_col: str = "markdown") -> DataFrame:
     """All image refs: ``(key, syntax, pos, ref)``; syntax 0 = ``![..](..)``, 1 = ``<img src>``;
     ``pos`` counts matches of that syntax in document order."""
@@ -106,31 +103,61 @@ def media_name_clashes(resolved: DataFrame, key: str = "doc_key") -> DataFrame:
     ).where("refs > 1")
 
 
-def _rewrite_one(acc: Column, link: Column) -> Column:
-    ref_rx = regex_quote(link["ref"])
-    new = replacement_quote(link["new_ref"])
-    md_rx = F.concat(F.lit(r"!\[([^\]]*)\]\("), ref_rx, F.lit(rf'({PY_SPACE}*"(?:[^"]*)")?\)'))
-    md_rep = F.concat(F.lit("![$1]("), new, F.lit("$2)"))
-    html_rx = F.concat(F.lit(rf"(?i)(<img{PY_SPACE}+[^>]*?src{PY_SPACE}*={PY_SPACE}*)(['\"])"), ref_rx, F.lit(r"\2([^>]*?>)"))
-    html_rep = F.concat(F.lit("$1$2"), new, F.lit("$2$3"))
-    return F.regexp_replace(F.regexp_replace(acc, md_rx, md_rep), html_rx, html_rep)
+# any Markdown image link (alt, target, title) and any <img ... src=...> tag
+# (prefix, quote, value, rest); the tag's value is matched case-insensitively
+MD_LINK = rf'!\[([^\]]*)\]\(([^){_NS}]+)({PY_SPACE}*"(?:[^"]*)")?\)'
+IMG_TAG = rf"(?i)(<img{PY_SPACE}+[^>]*?src{PY_SPACE}*={PY_SPACE}*)(['\"])([^'\"]*)\2([^>]*?>)"
+
+
+def split_rewrite(text: Column, pattern: str, groups: int, build) -> Column:
+    """Rewrite every match of ``pattern`` in one scan: split the text around the
+    matches, rebuild each match with ``build(element)`` (fields ``g0``..``gN``),
+    join the pieces. Linear in the text however many matches there are."""
+    # two scans of the text (matches, and the pieces between them); the groups
+    # are then read from each short match
+    z = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("seg"))
+
+    def piece(e):
+        g = {f"g{k}": F.regexp_extract(e["m"], pattern, k) for k in range(1, groups + 1)}
+        g["g0"] = e["m"]
+        return F.concat(e["seg"], F.when(e["m"].isNull(), F.lit("")).otherwise(build(g)))
+
+    return F.array_join(F.transform(z, piece), "")
 
 
 def rewrite_links(docs: DataFrame, resolved: DataFrame, key: str = "doc_key", text_col: str = "markdown") -> DataFrame:
-    """Replace every found local ref by its ``media/`` name, longest ref first,
-    in both syntaxes, keeping alt text and titles. Documents without a found
-    local ref are not joined."""
-    links = resolved.where("exists").groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.struct((-F.length("ref")).alias("neg_len"), "syntax", "pos", "ref", "new_ref"))
-        ).alias("_links")
+    """Replace every found local ref by its ``media/`` name in both syntaxes,
+    keeping alt text, titles and tag attributes.
+
+    Each document gets a map ``ref -> new_ref`` (and a lower-cased one for
+    ``<img>`` tags, which match case-insensitively; on a clash the longer,
+    then earlier, ref wins); the text is then rewritten in one scan per
+    syntax. Documents without an image link are not joined at all.
+    """
+    found = resolved.where("exists")
+    rank = F.struct((-F.length("ref")).alias("l"), F.col("syntax"), F.col("pos"))
+    exact = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ref", "new_ref"))).alias("_m"))
+    folded = (
+        found.groupBy(key, F.lower("ref").alias("_lref"))
+        .agg(F.min_by("new_ref", rank).alias("_new"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("_lref", "_new"))).alias("_mi"))
     )
+    maps = exact.join(folded, key)
     flagged = docs.withColumn("_has_local", _has_local_ref(F.col(text_col)))
-    touched = flagged.where("_has_local").join(links, key, "left")
-    rewritten = touched.withColumn(
-        text_col,
-        F.aggregate(F.coalesce(F.col("_links"), F.array().cast(REF_SCHEMA)), F.col(text_col), _rewrite_one),
-    ).drop("_links")
+    touched = flagged.where("_has_local").join(maps, key, "left")
+
+    def md(e):
+        new = F.try_element_at(F.col("_m"), e["g2"])
+        return F.when(new.isNull(), e["g0"]).otherwise(F.concat(F.lit("!["), e["g1"], F.lit("]("), new, e["g3"], F.lit(")")))
+
+    def tag(e):
+        new = F.try_element_at(F.col("_mi"), F.lower(e["g3"]))
+        return F.when(new.isNull(), e["g0"]).otherwise(F.concat(e["g1"], e["g2"], new, e["g2"], e["g4"]))
+
+    text = F.col(text_col)
+    once = split_rewrite(split_rewrite(text, MD_LINK, 3, md), IMG_TAG, 4, tag)
+    rewritten = touched.withColumn(text_col, F.when(F.col("_m").isNull(), text).otherwise(once)).drop("_m", "_mi")
     return rewritten.unionByName(flagged.where(~F.col("_has_local"))).drop("_has_local")
 
 
