@@ -57,19 +57,23 @@ def ordered_concat(df: DataFrame, group_cols: list[str], order_col: str, value_c
     return parts.groupBy(*group_cols).agg(joined(blk, "_part").alias(out_col))
 
 
-def global_index(df: DataFrame, order_cols: list[str], out_col: str = "index", partitions: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order_cols: list[str], out_col: str = "index", partitions: int | None = None,
+                 total_col: str | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order, without a single-task window.
 
     Rows are range-partitioned and sorted; each range partition numbers its
-    rows locally, and the partition sizes (one row per partition) give the offsets.
+    rows locally, and the partition sizes (one row per partition) give the
+    offsets and, with ``total_col``, the row count.
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # the sizes table has one row per partition: bounded by the partition count
     offs = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
-    return local.join(F.broadcast(offs), "_pid").withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop(
-        "_pid", "_local", "_off"
-    )
+    ).withColumn("_total", F.sum("_n").over(Window.partitionBy())).drop("_n")
+    out = local.join(F.broadcast(offs), "_pid").withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint"))
+    if total_col:
+        out = out.withColumn(total_col, F.col("_total").cast("bigint"))
+    return out.drop("_pid", "_local", "_off", "_total")

@@ -38,6 +38,5 @@ def batch_report(outs: DataFrame) -> DataFrame:
 def progress(outs: DataFrame, key: str = "path") -> DataFrame:
     """Running percent ``(i + 1) / n * 100`` in path order over the files processed."""
     found = outs.where(F.col("status") != "skipped").select(key)
-    n = found.agg(F.count(F.lit(1)).alias("_n"))
-    idx = global_index(found, [key], "_i")
-    return idx.crossJoin(F.broadcast(n)).select(key, ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))
+    idx = global_index(found, [key], "_i", total_col="_n")
+    return idx.select(key, ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))

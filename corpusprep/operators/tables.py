@@ -125,8 +125,10 @@ def score_csv_dialects(lines: DataFrame, path: str = "path", ord_: str = "ord",
     (cells are read as text) and is left out.
     """
     heads = file_heads(lines, HEAD_LINES, path, ord_, line)
-    seps = lines.sparkSession.createDataFrame(list(zip(SEPARATORS, range(3))), "separator string, sep_ord int")
-    scored = _score_stages(heads.crossJoin(F.broadcast(seps)))
+    # three candidate rows per file head, by explode of a fixed list (no join)
+    cands = F.array(*[F.struct(F.lit(sep).alias("separator"), F.lit(i).alias("sep_ord")) for i, sep in enumerate(SEPARATORS)])
+    per_sep = heads.select(path, "head", F.explode(cands).alias("c")).select(path, "head", "c.separator", "c.sep_ord")
+    scored = _score_stages(per_sep)
     return scored.select(path, "separator", "sep_ord", "score")
 
 

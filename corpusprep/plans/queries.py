@@ -369,14 +369,14 @@ def workbook_documents(spark, sf_dir):
     sheets = None
     for idx, name, order in ((0, "region", "r_regionkey"), (1, "nation", "n_nationkey"), (2, "supplier", "s_suppkey")):
         t = table(spark, sf_dir, name)
-        tab = tables.frame_markdown_table(t, [order])
+        tab = tables.frame_markdown_table(t, [order]).withColumn("sheet_idx", F.lit(idx))
         facts = t.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit("/corpus/xlsx/tables.xlsx").alias("workbook"), F.lit(idx).alias("sheet_idx"), F.lit(name).alias("sheet_name"),
             "row_count", F.lit(len(t.columns)).alias("column_count"),
             F.least(F.col("row_count"), F.lit(1000)).alias("shown_rows"), F.lit(min(len(t.columns), 50)).alias("shown_columns"),
             F.lit(None).cast("string").alias("error"),
         )
-        sheet = facts.crossJoin(tab.select("table"))
+        sheet = facts.join(tab.select("sheet_idx", "table"), "sheet_idx")
         sheets = sheet if sheets is None else sheets.unionByName(sheet)
     return tables.assemble_workbook(sheets).select("workbook", "parser", "markdown", "sheet_count", "total_rows", "max_columns")
 
@@ -503,9 +503,8 @@ def batch_report(spark, sf_dir):
 def batch_progress(spark, sf_dir):
     outs = _table_outcomes(spark, sf_dir).withColumn("order_key", F.struct("path", "doc_id"))
     found = outs.where(F.col("status") != "skipped").select("doc_id", "order_key")
-    n = found.agg(F.count(F.lit(1)).alias("_n"))
-    idx = ordered_ops.global_index(found, ["order_key"], "_i")
-    return idx.crossJoin(F.broadcast(n)).select("doc_id", ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))
+    idx = ordered_ops.global_index(found, ["order_key"], "_i", total_col="_n")
+    return idx.select("doc_id", ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))
 
 
 @query
