@@ -38,7 +38,7 @@ def _meta(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: Settings = DEFAULT,
-                  key: str = "path", custom: dict | None = None) -> DataFrame:
+                  key: str = "path", custom: dict | None = None, kind_col: str = "processor") -> DataFrame:
     """Documents from routed files that carry decoded ``text``:
     ``(key, path, parser, markdown, error, metadata)``; one branch per kind.
     ``key`` identifies a file when paths repeat (table form).
@@ -47,11 +47,15 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     :func:`corpusprep.operators.routing.register`) to a DataFrame function: it
     gets the files routed to that processor (``key, path, source_filename,
     text``) and returns them with ``parser``, ``markdown`` and ``error``.
+
+    ``kind_col`` selects the branch of a row. When it is a literal per union
+    input (as in :func:`convert_folder`), Catalyst prunes every other input
+    from each branch, so each file is read by one branch only.
     """
     DOC_COLS = list(dict.fromkeys([key, "path", "parser", "markdown", "error", "metadata"]))
     custom = custom or {}
     todo = routed.where(~F.col("_skip"))
-    proc = F.col("processor")
+    proc = F.col(kind_col)
     ext = extension("path")
     out = []
     for name, fn in custom.items():
@@ -91,16 +95,17 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
         t_docs = t_docs.withColumn("source_filename", basename("path"))
         out.append(_meta(t_docs).select(*DOC_COLS))
 
-    rest = todo.where(
-        ~proc.isin("simple", "markdown")
-        & ~((proc == "converter") & ext.isin(".html", ".htm"))
-        & ~((proc == "tabular") & ext.isin(".csv", ".tsv"))
-    )
-    rest = rest.select(
-        *list(dict.fromkeys([key, "path"])), F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"),
-        F.lit(NOT_BUILT).alias("error"), F.to_json(F.struct(F.col("source_filename"), F.col("processor").alias("parser"))).alias("metadata"),
-    )
-    out.append(rest)
+    if kind_col == "processor":  # with a literal kind column the caller reports unread kinds itself
+        rest = todo.where(
+            ~proc.isin("simple", "markdown")
+            & ~((proc == "converter") & ext.isin(".html", ".htm"))
+            & ~((proc == "tabular") & ext.isin(".csv", ".tsv"))
+        )
+        rest = rest.select(
+            *list(dict.fromkeys([key, "path"])), F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"),
+            F.lit(NOT_BUILT).alias("error"), F.to_json(F.struct(F.col("source_filename"), F.col("processor").alias("parser"))).alias("metadata"),
+        )
+        out.append(rest)
 
     docs = out[0]
     for d in out[1:]:
@@ -120,32 +125,84 @@ def convert_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str =
     return named, outs
 
 
-def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str = "", settings: Settings = DEFAULT):
+# Extensions read as media of Markdown documents (by glob, any case).
+MEDIA_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".svg", ".webp", ".tif", ".tiff", ".ico"]
+TEXT_KINDS = {"simple": None, "markdown": None, "converter": [".html", ".htm"], "tabular": [".csv", ".tsv"]}
+
+
+def _glob(exts: list[str]) -> str:
+    """Case-insensitive glob for file extensions: ``*.{[tT][xX][tT],...}``."""
+    def ci(e: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip("."))
+
+    return "*.{" + ",".join(ci(e) for e in exts) + "}"
+
+
+def _text_kinds(spark: SparkSession, registry: DataFrame | None, settings: Settings, custom: dict) -> dict[str, list[str]]:
+    """Extensions read as text, per kind, from the (fixed-size) registry."""
+    reg = routing.resolve_registry(registry if registry is not None else routing.extension_registry(spark)).collect()
+    by_kind: dict[str, list[str]] = {}
+    for r in reg:
+        by_kind.setdefault(r.processor, []).append(r.ext)
+    if settings.converter_formats:
+        known = {r.ext for r in reg}
+        by_kind.setdefault("converter", []).extend(e for e in routing.CONVERTER_FORMATS if e not in known)
+    out = {}
+    for kind, only in {**TEXT_KINDS, **{k: None for k in custom}}.items():
+        exts = [e for e in by_kind.get(kind, []) if only is None or e in only]
+        if exts:
+            out[kind] = exts
+    return out
+
+
+def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str = "", settings: Settings = DEFAULT,
+                   registry: DataFrame | None = None, custom: dict | None = None):
     """Convert every supported file of ``in_dir`` into ``<out_dir>/<package>.zip``.
 
-    Returns the outcomes DataFrame (path, parser, status, message). Local
-    images referenced by Markdown files are looked up in ``in_dir`` and below
-    and packed under ``media/``.
+    Returns the outcomes DataFrame (path, parser, status, message). Routing
+    reads the listing only. File bytes are read per kind through a
+    ``pathGlobFilter`` (each file once, only kinds handled as text); binary
+    kinds fail from the listing without being read. Local images referenced by
+    Markdown files are looked up in ``in_dir`` and below and packed under ``media/``.
     """
     from corpusprep.sinks.zip_packages import write_packages
 
-    files = scan_folder(spark, in_dir)
-    everything = scan_folder(spark, in_dir, recursive=True)
-    media = everything.select(F.regexp_replace("path", "^file:", "").alias("path"))
-    files = files.withColumn("path", F.regexp_replace("path", "^file:", ""))
-    docs, outs = convert_files(files, settings, suffix, media)
+    custom = custom or {}
+    strip = F.regexp_replace("path", "^file:", "")
+    listing = scan_folder(spark, in_dir).select(strip.alias("path"))
+    routed = route_files(listing, settings, suffix, registry)
+
+    kinds = _text_kinds(spark, registry, settings, custom)
+    parts = [
+        scan_folder(spark, in_dir, glob=_glob(exts)).select(strip.alias("path"), "content", F.lit(kind).alias("_kind"))
+        for kind, exts in kinds.items()
+    ]
+    contents = parts[0]
+    for p_ in parts[1:]:
+        contents = contents.unionByName(p_)
+    textual = route_files(contents, settings, suffix, registry).withColumn("text", decode_text(F.col("content"))).drop("content")
+    media = scan_folder(spark, in_dir, recursive=True, glob=_glob(MEDIA_EXTS)).select(strip.alias("path"), F.col("content").alias("bytes"))
+    docs = convert_texts(textual, media.select("path"), settings, custom=custom, kind_col="_kind")
+    handled = F.lit(False)
+    for kind, exts in kinds.items():
+        handled = handled | ((F.col("processor") == kind) & extension("path").isin(*exts))
+    unread = routed.where(~F.col("_skip") & ~handled).select(
+        "path", F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"), F.lit(NOT_BUILT).alias("error"),
+        F.to_json(F.struct(F.col("source_filename"), F.col("processor").alias("parser"))).alias("metadata"),
+    )
+    docs = docs.unionByName(unread).join(routed.select("path", "package"), "path")
+    outs = report.outcomes(routed, docs)
     entries = package.package_entries(docs)
-    # media of Markdown documents: local refs of the original text that exist,
-    # bytes joined from the listing (only found media travel, never document text)
-    routed = route_files(files.select("path", "content"), settings, suffix)
-    md_src = routed.where(~F.col("_skip") & (F.col("processor") == "markdown")).select(
-        F.col("path").alias("doc_key"), "path", "package", decode_text(F.col("content")).alias("markdown")
+
+    # media of Markdown documents: local refs of the original text that exist;
+    # bytes come from the media scan, joined on the resolved path
+    md_src = textual.where(~F.col("_skip") & (F.col("_kind") == "markdown")).select(
+        F.col("path").alias("doc_key"), "path", "package", F.col("text").alias("markdown")
     )
-    refs = links.resolve_local_refs(links.distinct_refs(links.image_refs(md_src)), md_src, media).where("exists")
-    blobs = everything.select(F.regexp_replace("path", "^file:", "").alias("resolved"), F.col("content").alias("bytes"))
+    refs = links.resolve_local_refs(links.distinct_refs(links.image_refs(md_src)), md_src, media.select("path")).where("exists")
     media_rows = (
         refs.join(md_src.select("doc_key", "package"), "doc_key")
-        .join(blobs, "resolved")
+        .join(media.withColumnRenamed("path", "resolved"), "resolved")
         .select("package", F.col("media_name").alias("name"), "bytes")
         .dropDuplicates(["package", "name"])
     )
