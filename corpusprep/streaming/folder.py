@@ -17,24 +17,34 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 
 def stream_folder(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, suffix: str = "",
-                  settings: Settings = DEFAULT, available_now: bool = True, report_table: str | None = None):
+                  settings: Settings = DEFAULT, available_now: bool = True, report_table: str | None = None,
+                  max_files_per_trigger: int = 1000):
     """Start the streaming conversion; returns the ``StreamingQuery``.
 
     ``checkpoint`` must be a shared, durable folder on a cluster. With
-    ``available_now`` the query converts what is there and stops.
+    ``available_now`` the query converts what is there and stops. Each
+    micro-batch holds at most ``max_files_per_trigger`` files; it is persisted
+    for the duration of the batch so the conversion branches read each file
+    once (a lost block is recomputed from the source).
     """
     from corpusprep.operators import package
     from corpusprep.plans.convert import convert_files
     from corpusprep.sinks.zip_packages import write_packages
 
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).load(in_dir)
+    files = (
+        spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+        .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir)
+    )
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df = df.withColumn("path", F.regexp_replace("path", "^file:", ""))
-        docs, outs = convert_files(df, settings, suffix)
-        write_packages(package.package_entries(docs), out_dir)
-        if report_table:
-            outs.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(report_table)
+        df = df.withColumn("path", F.regexp_replace("path", "^file:", "")).persist()
+        try:
+            docs, outs = convert_files(df, settings, suffix)
+            write_packages(package.package_entries(docs), out_dir)
+            if report_table:
+                outs.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(report_table)
+        finally:
+            df.unpersist()
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
