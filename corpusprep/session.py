@@ -48,9 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read it from there.
+    """Compute ``df`` once into a Parquet table in the shared checkpoint folder and read it back.
 
     Used where one expensive intermediate (parsed table rows) feeds several
-    branches of a plan that would otherwise each recompute it.
+    branches of a plan that would otherwise each recompute it. The table is on
+    shared storage, so losing an executor afterwards costs nothing; Parquet
+    keeps it columnar, so each branch reads only the columns it needs.
     """
-    return cut_lineage(df)
+    import uuid
+
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
