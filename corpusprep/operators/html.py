@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.config import DEFAULT, Settings
-from corpusprep.functions.common import md5_prefix, regex_quote, replacement_quote
+from corpusprep.functions.common import md5_prefix
 from corpusprep.functions.html import (
     fix_media_paths,
     fix_table_captions,
@@ -64,35 +64,34 @@ def fetch_plan(refs: DataFrame, existing_media: DataFrame | None = None) -> Data
     return plan
 
 
+_IMG_SRC_TAG = r"(?i)(<img[ \t\r\n][^>]*?src=)([\"'])([^\"']*)([\"'])"
+
+
 def localize_images(pages: DataFrame, fetched: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """Point every ``src`` of a fetched URL at its local copy; other sources stay.
 
-    Only pages with external images take part in the join; the rest pass
-    through untouched, so page bodies without images are never shuffled.
+    Each page gets a map ``url -> local path`` and is rewritten in one scan,
+    however many images it has. Only pages with external images take part in
+    the join; the rest pass through untouched, so their bodies never shuffle.
     """
+    from corpusprep.operators.links import split_rewrite
+
     refs = external_images(pages, key, html_col).select(key, "url").distinct()
     links = refs.join(fetched.select("url", "local_path"), "url")
-    per_page = links.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.struct((-F.length("url")).alias("neg_len"), F.col("url"), F.col("local_path")))
-        ).alias("_links")
-    )
+    per_page = links.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("url", "local_path"))).alias("_m"))
     has_img = F.regexp_extract_all(F.col(html_col), F.lit(_IMG_SRC), 1)
     has_ext = F.exists(has_img, lambda u: u.startswith("http://") | u.startswith("https://"))
     with_flag = pages.withColumn("_has_ext", has_ext)
     touched = with_flag.where("_has_ext").join(per_page, key, "left")
+
+    def tag(e):
+        new = F.try_element_at(F.col("_m"), e["g3"])
+        return F.when(new.isNull(), e["g0"]).otherwise(F.concat(e["g1"], e["g2"], new, e["g4"]))
+
+    html = F.col(html_col)
     rewritten = touched.withColumn(
-        html_col,
-        F.aggregate(
-            F.coalesce(F.col("_links"), F.array().cast(per_page.schema["_links"].dataType)),
-            F.col(html_col),
-            lambda acc, l: F.regexp_replace(
-                acc,
-                F.concat(F.lit(r"(?i)(<img[ \t\r\n][^>]*?src=)([\"'])"), regex_quote(l["url"]), F.lit(r"([\"'])")),
-                F.concat(F.lit("$1$2"), replacement_quote(l["local_path"]), F.lit("$3")),
-            ),
-        ),
-    ).drop("_links")
+        html_col, F.when(F.col("_m").isNull(), html).otherwise(split_rewrite(html, _IMG_SRC_TAG, 4, tag))
+    ).drop("_m")
     untouched = with_flag.where(~F.col("_has_ext"))
     return rewritten.unionByName(untouched).drop("_has_ext")
 

@@ -19,7 +19,7 @@ from corpusprep.functions.html import (
     html_links,
     table_of_contents,
 )
-from corpusprep.functions.paths import basename, extension, is_temp_file
+from corpusprep.functions.paths import basename, is_temp_file
 from corpusprep.functions.text import clean_cell, clean_column_name, decode_detected, decode_text, detect_encoding, json_valid
 from corpusprep.operators import html as html_ops
 from corpusprep.operators import links
