@@ -89,7 +89,7 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
         tab = todo.where((proc == "tabular") & (ext == ext_name)).select(key, "path", "text")
         tkey = "_tkey"
         lines = text_lines(tab.withColumn(tkey, F.to_json(F.struct(F.col(key), F.col("path")))), path=tkey)
-        t_docs = tables.csv_documents(lines, settings, path=tkey, kind=kind, materialize=False,
+        t_docs = tables.csv_documents(lines, settings, path=tkey, kind=kind, materialize=True,
                                       name=F.get_json_object(F.col(tkey), "$.path"))
         t_docs = t_docs.join(tab.withColumn(tkey, F.to_json(F.struct(F.col(key), F.col("path")))).drop("text"), tkey).drop(tkey)
         t_docs = t_docs.withColumn("source_filename", basename("path"))
