@@ -357,8 +357,10 @@ def sep_line(n: str) -> str:
     return f"('| ' || array_to_string(list_transform(range({n}), lambda i: '---'), ' | ') || ' |')"
 
 
-_SCORES = f"""
-{CSV_LINES_SQL},
+def _table_ctes(lines_sql: str, kind: str = "CSV") -> str:
+    """CTE chain from a ``csv_lines`` CTE (path, ord, line) to ``prof``; TSV skips scoring."""
+    if kind == "CSV":
+        dialect = f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM csv_lines),
 heads AS (SELECT path, list(line ORDER BY ord) AS head FROM ranked WHERE rn <= 128 GROUP BY path),
 seps(separator, sep_ord) AS (VALUES (';', 0), (',', 1), (chr(9), 2)),
@@ -381,7 +383,11 @@ scores AS (
       + CASE WHEN ncols > 100 THEN -30 ELSE 0 END) END AS score
   FROM w),
 dialects AS (SELECT path, separator, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, sep_ord) AS r FROM scores) WHERE r = 1),
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, sep_ord) AS r FROM scores) WHERE r = 1),"""
+    else:
+        dialect = "\ndialects AS (SELECT DISTINCT path, chr(9) AS separator, 0 AS score FROM csv_lines),"
+    return f"""
+{lines_sql},{dialect}
 hdr AS (SELECT c.path, d.separator, d.score, min(c.ord) AS header_ord FROM csv_lines c JOIN dialects d USING (path)
         WHERE c.line <> '' GROUP BY c.path, d.separator, d.score),
 hdr2 AS (SELECT h.*, {split_sql('c.line', 'h.separator')} AS names FROM hdr h JOIN csv_lines c ON c.path = h.path AND c.ord = h.header_ord),
@@ -394,6 +400,9 @@ prof AS (
          coalesce(sum(CASE WHEN len(b.fields) > h.ncols THEN 1 ELSE 0 END), 0) AS bad_lines
   FROM hdr3 h LEFT JOIN body b USING (path) GROUP BY h.path, h.separator, h.score, h.ncols, h.names)"""
 
+
+_SCORES = _table_ctes(CSV_LINES_SQL)
+
 ORACLES["csv_dialect_scores"] = f"WITH {_SCORES} SELECT path, separator, CAST(score AS BIGINT) AS score FROM scores"
 ORACLES["csv_dialects"] = f"WITH {_SCORES} SELECT path, separator, CAST(score AS BIGINT) AS score FROM dialects"
 ORACLES["csv_profiles"] = f"""WITH {_SCORES}
@@ -406,30 +415,48 @@ FROM prof"""
 _CELL = clean_cell(na_empty("c"))
 _HDR_NAMES = (f"list_transform(list_transform(names, lambda n, i: CASE WHEN trim(n) = '' THEN 'Unnamed: ' || CAST(i - 1 AS VARCHAR) ELSE n END)[1:50], "
               f"lambda n: {clean_column_name('n')})")
-ORACLES["csv_documents"] = f"""WITH {_SCORES},
+def table_docs_sql(lines_sql: str, kind: str = "CSV", name: str | None = None) -> str:
+    """``(path, parser, markdown, error)`` documents of delimited files in line form."""
+    name = name or basename("p.path")
+    dims = "'**Dimensions:** ' || CAST(p.total_rows AS VARCHAR) || ' rows × ' || CAST(p.ncols AS VARCHAR) || ' columns'"
+    shown = "CAST(least(p.total_rows, 1000) AS VARCHAR) || ' rows × ' || CAST(least(p.ncols, 50) AS VARCHAR) || ' columns)'"
+    table = f"concat_ws(chr(10), {md_line(_HDR_NAMES)}, {sep_line('len(' + _HDR_NAMES + ')')}, t.body)"
+    q = "'"
+    if kind == "CSV":
+        md = (
+            f"CASE WHEN p.total_rows = 0 THEN '# Empty CSV File' || chr(10) || chr(10) || 'The file ' || {name} "
+            f"|| ' appears to be empty or could not be read.' "
+            f"ELSE concat_ws(chr(10), '# ' || {name} || chr(10), '**File Type:** CSV', '**Encoding:** utf-8', "
+            f"'**Separator:** {q}{q}' || p.separator || '{q}{q}', "
+            f"'**Parsing Strategy:** ' || CASE WHEN p.bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END, "
+            f"'**Detection Score:** ' || printf('%.2f', CAST(p.score AS DOUBLE)), {dims}, "
+            f"CASE WHEN p.bad_lines > 0 THEN '**Note:** Some malformed lines were skipped during parsing for data quality.' END, "
+            f"CASE WHEN p.total_rows > 1000 OR p.ncols > 50 THEN '**Display Note:** Data truncated for display (showing ' || {shown} END, "
+            f"chr(10) || '## Data' || chr(10), {table}) END"
+        )
+        err = "CASE WHEN p.total_rows = 0 THEN 'Empty or unreadable file' END"
+    else:
+        md = (
+            f"concat_ws(chr(10), '# ' || {name} || chr(10), '**File Type:** {kind}', {dims}, "
+            f"CASE WHEN p.total_rows > 1000 OR p.ncols > 50 THEN '**Note:** Data truncated for display (showing ' || {shown} END, "
+            f"chr(10) || '## Data' || chr(10), CASE WHEN p.total_rows = 0 THEN '*No data found in file*' ELSE {table} END)"
+        )
+        err = "CAST(NULL AS VARCHAR)"
+    parser = f"pandas_{kind.lower()}"
+    cells = f"list_transform(list_transform(range(1, least(p.ncols, 50) + 1), lambda i: g.fields[i]), lambda c: {_CELL})"
+    return f"""WITH {_table_ctes(lines_sql, kind)},
 good AS (SELECT path, ord, fields, row_number() OVER (PARTITION BY path ORDER BY ord) AS r FROM body WHERE len(fields) <= ncols),
-lines AS (SELECT g.path, g.ord, {md_line(f"list_transform(list_transform(range(1, least(p.ncols, 50) + 1), lambda i: g.fields[i]), lambda c: {_CELL})")} AS line
-          FROM good g JOIN prof p USING (path) WHERE g.r <= 1000),
+lines AS (SELECT g.path, g.ord, {md_line(cells)} AS line FROM good g JOIN prof p USING (path) WHERE g.r <= 1000),
 tabs AS (SELECT path, string_agg(line, chr(10) ORDER BY ord) AS body FROM lines GROUP BY path),
-docs AS (
-  SELECT p.path, 'pandas_csv' AS parser,
-    CASE WHEN p.total_rows = 0 THEN '# Empty CSV File' || chr(10) || chr(10) || 'The file ' || {basename('p.path')} || ' appears to be empty or could not be read.'
-    ELSE concat_ws(chr(10), '# ' || {basename('p.path')} || chr(10), '**File Type:** CSV', '**Encoding:** utf-8',
-        '**Separator:** ''' || p.separator || '''', '**Parsing Strategy:** ' || CASE WHEN p.bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END,
-        '**Detection Score:** ' || printf('%.2f', CAST(p.score AS DOUBLE)),
-        '**Dimensions:** ' || CAST(p.total_rows AS VARCHAR) || ' rows × ' || CAST(p.ncols AS VARCHAR) || ' columns',
-        CASE WHEN p.bad_lines > 0 THEN '**Note:** Some malformed lines were skipped during parsing for data quality.' END,
-        CASE WHEN p.total_rows > 1000 OR p.ncols > 50 THEN '**Display Note:** Data truncated for display (showing '
-             || CAST(least(p.total_rows, 1000) AS VARCHAR) || ' rows × ' || CAST(least(p.ncols, 50) AS VARCHAR) || ' columns)' END,
-        chr(10) || '## Data' || chr(10),
-        concat_ws(chr(10), {md_line(_HDR_NAMES)}, {sep_line('len(' + _HDR_NAMES + ')')}, t.body)) END AS markdown,
-    CASE WHEN p.total_rows = 0 THEN 'Empty or unreadable file' END AS error
-  FROM prof p LEFT JOIN tabs t USING (path))
+docs AS (SELECT p.path, '{parser}' AS parser, {md} AS markdown, {err} AS error FROM prof p LEFT JOIN tabs t USING (path))
 SELECT * FROM docs
 UNION ALL
-SELECT DISTINCT path, 'pandas_csv', NULL, 'Unable to parse CSV file with any common encoding/separator combination'
+SELECT DISTINCT path, '{parser}', NULL, 'Unable to parse CSV file with any common encoding/separator combination'
 FROM csv_lines WHERE path NOT IN (SELECT path FROM hdr3)"""
 
+
+ORACLES["csv_documents"] = table_docs_sql(CSV_LINES_SQL)
+
 ORACLES["table_row_lines"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey,
        '| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) || ' |' AS line
@@ -723,3 +750,39 @@ FROM outs WHERE status <> 'skipped' GROUP BY parser"""
 ORACLES["batch_progress"] = f"""WITH {_OUTCOMES}
 SELECT doc_id, CAST(row_number() OVER (ORDER BY path, doc_id) AS DOUBLE) / count(*) OVER () * 100 AS percent
 FROM outs WHERE status <> 'skipped'"""
+
+# ---------------------------------------------------------------- table-form conversion
+
+
+def _lines_of(kind_ext: str) -> str:
+    return f"""csv_lines AS (
+  SELECT path, CAST(ord AS BIGINT) AS ord, regexp_replace(line, '\\r$', '') AS line FROM (
+    SELECT path, generate_subscripts(l, 1) - 1 AS ord, unnest(l) AS line FROM (
+      SELECT path, string_split(text, chr(10)) AS l FROM routed
+      WHERE supported AND NOT is_temp AND processor = 'tabular' AND ext = '{kind_ext}')))"""
+
+
+ORACLES["corpus_documents"] = f"""
+WITH {DOC_FILES_SQL.replace("doc_files AS (", "docs0 AS (", 1)},
+doc_files AS (SELECT path, text FROM docs0
+              UNION ALL SELECT '/corpus/in/page_' || CAST(page_id AS VARCHAR) || '.html', html FROM pages),
+{ROUTED_SQL},
+todo AS (SELECT * FROM routed WHERE supported AND NOT is_temp),
+html_src AS (SELECT path, {_TITLE.replace('html', 'text')} AS title, {html_chain('text')} AS body
+             FROM todo WHERE processor = 'converter' AND ext IN ('.html', '.htm'))
+SELECT path, parser, markdown, error FROM ({render_simple_sql("(SELECT * FROM todo WHERE processor = 'simple')")})
+UNION ALL
+SELECT path, 'md_custom', text, NULL FROM todo WHERE processor = 'markdown'
+UNION ALL
+SELECT path, 'pandoc',
+  {rx_replace("replace(CASE WHEN title IS NULL THEN body ELSE '---' || chr(10) || 'title: ' || title || chr(10) || '---' || chr(10) || chr(10) || body END, 'media/media/', 'media/')", r"(\n\n): \[\]\{.*?\}(Tabela[^\n]+)", "\n\n**$2**")},
+  NULL
+FROM html_src
+UNION ALL
+SELECT * FROM ({table_docs_sql(_lines_of('.csv'), 'CSV')})
+UNION ALL
+SELECT * FROM ({table_docs_sql(_lines_of('.tsv'), 'TSV')})
+UNION ALL
+SELECT path, processor, NULL, {lit(NOT_BUILT)} FROM todo
+WHERE processor NOT IN ('simple', 'markdown') AND NOT (processor = 'converter' AND ext IN ('.html', '.htm'))
+  AND NOT (processor = 'tabular' AND ext IN ('.csv', '.tsv'))"""
