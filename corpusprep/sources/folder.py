@@ -29,9 +29,10 @@ def text_lines(files: DataFrame, path: str = "path", text_col: str = "text") ->
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Large delimited files in line form without loading a file into one row.
 
-    ``spark.read.text`` splits big files across tasks; the order key is
-    ``(file block start, position inside the task)``, which keeps physical
-    line order inside each file.
+    ``spark.read.text`` splits big files across tasks; the order key is the
+    struct ``(file block start, row id inside the task)``, which keeps physical
+    line order inside each file however many lines a split holds (operators
+    only compare and sort ``ord``, and structs order field by field).
     """
     df = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
@@ -39,8 +40,7 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         F.monotonically_increasing_id().alias("_mono"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     )
-    # order key: block start in the high bits, position in task in the low bits
-    return df.select("path", (F.col("_blk") * F.lit(1 << 20) + (F.col("_mono") % F.lit(1 << 20))).alias("ord"), "line")
+    return df.select("path", F.struct(F.col("_blk").alias("block"), F.col("_mono").alias("row")).alias("ord"), "line")
 
 
 def read_image_sizes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:

@@ -121,3 +121,15 @@ def test_same_result_for_one_and_many_partitions(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]
+
+
+def test_read_lines_feeds_csv_documents(spark, tmp_dir):
+    p = _write(tmp_dir, "big.csv", "a;b\n" + "".join(f"{i};x{i}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        doc = tables.csv_documents(read_lines(spark, p), materialize=False).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "**Dimensions:** 3000 rows × 2 columns" in doc.markdown
+    assert "| a | b |\n| --- | --- |\n| 0 | x0 |\n| 1 | x1 |" in doc.markdown
