@@ -26,8 +26,9 @@ def html_documents(pages: DataFrame, html_col: str = "html", settings: Settings
     if settings.pandoc_toc:
         toc = table_of_contents(md_body)
         md_body = F.when(toc == "", md_body).otherwise(F.concat(toc, F.lit("\n\n"), md_body))
-    md = fix_table_captions(fix_media_paths(with_front_matter(md_body, html_title(F.col(html_col)))))
-    return pages.withColumn("title", html_title(F.col(html_col))).withColumn("markdown", md)
+    with_title = pages.withColumn("title", html_title(F.col(html_col)))
+    md = fix_table_captions(fix_media_paths(with_front_matter(md_body, F.col("title"))))
+    return with_title.withColumn("markdown", md)
 
 
 def with_toc(docs: DataFrame, md_col: str = "markdown") -> DataFrame:
