@@ -102,5 +102,5 @@ def image_format(name) -> Column:
 
 def data_uri(image, fmt) -> Column:
     """``data:image/<fmt>;base64,<bytes>`` without line breaks."""
-    b64 = F.regexp_replace(F.base64(col_of(image)), "[\r\n]", "")
+    b64 = F.replace(F.replace(F.base64(col_of(image)), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
     return F.concat(F.lit("data:image/"), F.lower(col_of(fmt)), F.lit(";base64,"), b64)

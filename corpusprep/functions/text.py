@@ -14,7 +14,7 @@ from corpusprep.functions.common import PY_SPACE_RUN, col_of, cut, py_strip
 
 def normalize_newlines(c) -> Column:
     """Text-mode read: ``\\r\\n`` and lone ``\\r`` become ``\\n``."""
-    return F.regexp_replace(col_of(c), "\r\n?", "\n")
+    return F.replace(F.replace(col_of(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def decode_text(content) -> Column:
@@ -71,7 +71,10 @@ def _clean_once(c: Column) -> Column:
     # own: stripping makes it ''. The final strip of the original is a no-op
     # here (the text was stripped first and a cut ends in '...').
     spaced = F.regexp_replace(py_strip(c), PY_SPACE_RUN, " ")
-    escaped = F.regexp_replace(spaced, r"([|\[\]])", r"\\$1")
+    # three literal replaces (no regex, no conversion to a Java string)
+    escaped = spaced
+    for ch in "|[]":
+        escaped = F.replace(escaped, F.lit(ch), F.lit("\\" + ch))
     null_like = c.isNull() | F.lower(c).isin("nan", "none", "null")
     return F.when(null_like, F.lit("")).otherwise(cut(escaped, 500))
 
