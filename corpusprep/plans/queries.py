@@ -47,6 +47,7 @@ from corpusprep.plans.standins import (
     pdf_docs,
     slides,
 )
+from corpusprep.session import materialize
 from corpusprep.sources.tables import table
 
 QUERIES: dict = {}
@@ -270,21 +271,21 @@ def md_rewritten(spark, sf_dir):
 
 def _csv(spark, sf_dir):
     lines = csv_lines(spark, sf_dir)
-    scores = tables.score_csv_dialects(lines)
-    dialects = tables.pick_csv_dialect(scores)
+    scores = materialize(tables.score_csv_dialects(lines))
+    dialects = materialize(tables.pick_csv_dialect(scores))
     rows, headers = tables.parse_csv_lines(lines, dialects)
-    return lines, scores, dialects, rows, headers
+    return lines, scores, dialects, materialize(rows), materialize(headers)
 
 
 @query
 def csv_dialect_scores(spark, sf_dir):
-    _, scores, _, _, _ = _csv(spark, sf_dir)
+    scores = tables.score_csv_dialects(csv_lines(spark, sf_dir))
     return scores.select("path", "separator", _long("score").alias("score"))
 
 
 @query
 def csv_dialects(spark, sf_dir):
-    _, _, dialects, _, _ = _csv(spark, sf_dir)
+    dialects = tables.pick_csv_dialect(tables.score_csv_dialects(csv_lines(spark, sf_dir)))
     return dialects.select("path", "separator", _long("score").alias("score"))
 
 
@@ -340,6 +341,7 @@ def _bundle(spark, sf_dir):
     first = lines.groupBy("path").agg(F.min_by("line", "ord").alias("first_line"))
     dialects = first.where(tables.is_bundle("first_line")).select("path", F.lit(",").alias("separator"))
     rows, headers = tables.parse_csv_lines(lines, dialects, skip_initial_space=True)
+    rows, headers = materialize(rows), materialize(headers)
     return lines, first, rows, headers
 
 
