@@ -378,9 +378,13 @@ def workbook_documents(spark, sf_dir):
             F.least(F.col("row_count"), F.lit(1000)).alias("shown_rows"), F.lit(min(len(t.columns), 50)).alias("shown_columns"),
             F.lit(None).cast("string").alias("error"),
         )
-        sheet = facts.join(tab.select("sheet_idx", "table"), "sheet_idx")
+        # facts and table are one row each: union them and merge per sheet (no join)
+        sheet = facts.withColumn("table", F.lit(None).cast("string")).unionByName(
+            tab.select("sheet_idx", "table"), allowMissingColumns=True
+        )
         sheets = sheet if sheets is None else sheets.unionByName(sheet)
-    return tables.assemble_workbook(sheets).select("workbook", "parser", "markdown", "sheet_count", "total_rows", "max_columns")
+    merged = sheets.groupBy("sheet_idx").agg(*[F.max(c).alias(c) for c in sheets.columns if c != "sheet_idx"])
+    return tables.assemble_workbook(merged).select("workbook", "parser", "markdown", "sheet_count", "total_rows", "max_columns")
 
 
 # ---------------------------------------------------------------- slides
