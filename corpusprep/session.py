@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,35 +29,49 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the cluster. Only where it is unset (tests,
-    local runs) a folder of our own is created and registered.
+    A cluster has to name one, as its executors share no local folder. Only a
+    local session without one (tests, trial runs) gets a folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    folder = tempfile.mkdtemp(prefix="corpusprep-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="corpusprep-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared checkpoint folder and read it back.
 
-    Used where one expensive intermediate (parsed table rows) feeds several
-    branches of a plan that would otherwise each recompute it. The table is on
-    shared storage, so losing an executor afterwards costs nothing; Parquet
-    keeps it columnar, so each branch reads only the columns it needs.
+    Used where an expensive intermediate feeds several branches that would
+    otherwise each recompute it, and to cut lineage: the table is on shared
+    storage, so losing an executor afterwards costs nothing. The shuffle files
+    of the job that wrote it are removed when it ends. ``drop_tables`` removes
+    the tables.
     """
-    import uuid
+    spark = df.sparkSession
+    folder = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
-    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete this application's materialized tables, once nothing reads them any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
