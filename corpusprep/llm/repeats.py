@@ -10,9 +10,11 @@ some tens of windows:
 1. count anchors (partial aggregates) and keep those that occur twice;
 2. list, for each document, its repeated anchors, and write out its contexts
    under them as hashes with positions;
-3. fold identical contexts into one with a count and the first occurrence;
-4. bring the units of each distinct context to the shard of its anchor, where a
-   judge (a suffix automaton or a suffix array) decides on its windows;
+3. fold identical contexts into one with a count and the first occurrence: all
+   windows of such copies repeat;
+4. where an anchor has several distinct contexts, bring their units to the
+   anchor's shard, in which a judge (a suffix automaton or a suffix array)
+   decides on their windows;
 5. an anchor with more distinct contexts than one task should hold is settled
    by counting its windows one by one, with partial aggregates, instead;
 6. bring the decided spans back to the documents.
@@ -41,7 +43,8 @@ SHARD_BYTES = 1 << 20
 #: Distinct contexts of one anchor that go to a shard; an anchor with more is settled window by window.
 CONTEXTS_PER_ANCHOR = 2000
 
-#: judge(units of each context, their windows, their counts, order of their first occurrences) -> flagged window starts of each
+#: judge(units of distinct contexts, their windows, their counts, order of their first occurrences) -> window starts in each
+#: that are to go at its first occurrence
 Judge = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
@@ -70,22 +73,15 @@ def _runs(batch: pa.RecordBatch, unit: str, window: int, gram: int) -> Iterator:
 def repeated_anchors(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     """k1 and the sorted anchors of that document that occur twice or more in the corpus."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in _runs(batch, unit, window, gram):
-                yield pa.RecordBatch.from_arrays([_signed(run.anchor)], ["anchor"])
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1 = batch.column("k1").to_numpy()
             for run in _runs(batch, unit, window, gram):
                 yield pa.RecordBatch.from_arrays([_signed(run.anchor), pa.array(k1[run.row])], ["anchor", "k1"])
 
-    repeated = docs.select("units").mapInArrow(count, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    return (
-        docs.select("k1", "units").mapInArrow(place, "anchor bigint, k1 bigint").join(repeated, "anchor", "left_semi")
-        .groupBy("k1").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
-    )
+    placed = materialize(docs.select("k1", "units").mapInArrow(place, "anchor bigint, k1 bigint"))
+    repeated = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    return placed.join(repeated, "anchor", "left_semi").groupBy("k1").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
 
 
 def occurrences(docs: DataFrame, anchors: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
@@ -122,16 +118,14 @@ def _groups(sorted_rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(sorted_rows[lo]), int(lo), int(hi)
 
 
-def distinct_contexts(places: DataFrame, least_contexts: int) -> DataFrame:
-    """Identical contexts as one row: n, first (its first occurrence) and, of its anchor, the number of distinct contexts.
+def distinct_contexts(places: DataFrame) -> DataFrame:
+    """Identical contexts as one row: anchor, context, n, first (its first occurrence)."""
+    return places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("first"))
 
-    Kept are anchors that have windows to compare: n of 2 or more in all, and ``least_contexts`` distinct ones.
-    """
-    distinct = places.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("first")
-    )
-    anchors = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("all"))
-    anchors = anchors.where((F.col("all") > 1) & (F.col("contexts") >= least_contexts)).drop("all")
+
+def _to_compare(distinct: DataFrame) -> DataFrame:
+    """Those whose anchor has others, with the number of its contexts."""
+    anchors = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
     return distinct.join(anchors, "anchor")
 
 
@@ -151,7 +145,7 @@ def _with_units(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", "units").join(wanted, ["k1", "k2"])
 
 
-_FLAGS = "anchor bigint, context bigint, flagged array<int>"
+_SPANS = "k1 bigint, k2 bigint, lo bigint, hi bigint"
 
 
 def _judged_in_shards(docs: DataFrame, chosen: DataFrame, unit: str, window: int, judge: Judge, shards: int) -> DataFrame:
@@ -176,17 +170,20 @@ def _judged_in_shards(docs: DataFrame, chosen: DataFrame, unit: str, window: int
         k1, k2, start, windows, n = (table.column(c).to_numpy() for c in ("k1", "k2", "start", "windows", "n"))
         order = np.empty(len(k1), dtype=np.int64)
         order[np.lexsort((start, k2, k1))] = np.arange(len(k1))
-        flagged = judge(table.column("units").to_pylist(), windows, n, order)
-        keep = np.flatnonzero([len(f) > 0 for f in flagged])
-        return pa.table({
-            "anchor": table.column("anchor").take(pa.array(keep)), "context": table.column("context").take(pa.array(keep)),
-            "flagged": pa.array([flagged[i].astype(np.int32) for i in keep], type=pa.list_(pa.int32())),
-        })
+        piece, lo, hi = [], [], []
+        for i, flagged in enumerate(judge(table.column("units").to_pylist(), windows, n, order)):
+            if len(flagged):
+                a, b = merged(flagged, flagged + window)
+                piece.append(np.full(len(a), i))
+                lo.append(a + start[i])
+                hi.append(b + start[i])
+        piece, lo, hi = (np.concatenate([*x, np.empty(0, dtype=np.int64)]) for x in (piece, lo, hi))
+        return pa.table({"k1": k1[piece], "k2": k2[piece], "lo": lo, "hi": hi})
 
     pieces = _with_units(docs, chosen).mapInArrow(
         cut, "shard bigint, anchor bigint, context bigint, n bigint, k1 bigint, k2 bigint, start bigint, windows int, units binary"
     )
-    return pieces.groupBy("shard").applyInArrow(decide, _FLAGS)
+    return pieces.groupBy("shard").applyInArrow(decide, _SPANS)
 
 
 _PIECES = pa.schema([
@@ -200,7 +197,7 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _judged_by_window(docs: DataFrame, chosen: DataFrame, unit: str, window: int, later_only: bool) -> DataFrame:
-    """The same decision for contexts of crowded anchors: a window is flagged by the count, or the first place, of its hash."""
+    """The same decision for contexts of crowded anchors: a window goes by the count, or the first place, of its hash."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,43 +223,51 @@ def _judged_by_window(docs: DataFrame, chosen: DataFrame, unit: str, window: int
     hit = rows.join(facts, ["h1", "h2"])
     if later_only:
         hit = hit.where(F.struct("k1", "k2", "at") > F.col("earliest"))
-    return hit.groupBy("anchor", "context").agg(F.sort_array(F.collect_set("i")).alias("flagged"))
+    return hit.select("k1", "k2", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, judge: Judge, later_only: bool,
                    shard_bytes: int = SHARD_BYTES, contexts_per_anchor: int = CONTEXTS_PER_ANCHOR) -> DataFrame:
-    """k1, k2 and the units of a document that repeated windows cover, as spans [lo, hi).
+    """k1, k2 and spans [lo, hi) of units that repeated windows of the document cover.
 
     docs: as ``keyed`` returns. later_only: an occurrence without an earlier one stays.
     """
     anchors = materialize(repeated_anchors(docs, unit, window, gram))
     places = materialize(occurrences(docs, anchors, unit, window, gram))
-    chosen = materialize(distinct_contexts(places, 2 if later_only else 1))
+    distinct = materialize(distinct_contexts(places))
+    chosen = materialize(_to_compare(distinct))
     crowded = F.col("contexts") > contexts_per_anchor
     size = chosen.agg(F.sum(F.col("first.windows") + window), F.max("contexts")).first()
     units = (size[0] or 0) * (6 if unit == "word" else 1)
     shards = max(1, math.ceil(units / shard_bytes))
-    flags = _judged_in_shards(docs, chosen.where(~crowded), unit, window, judge, shards)
+    spans = _judged_in_shards(docs, chosen.where(~crowded), unit, window, judge, shards)
     if (size[1] or 0) > contexts_per_anchor:
-        flags = flags.unionByName(_judged_by_window(docs, chosen.where(crowded), unit, window, later_only))
-    flags = materialize(flags)
-    cover = F.transform("flagged", lambda i: F.struct((F.col("start") + i).alias("lo"), (F.col("start") + i + window).alias("hi")))
-    spans = places.join(flags, ["anchor", "context"])
+        spans = spans.unionByName(_judged_by_window(docs, chosen.where(crowded), unit, window, later_only))
+    copies = places.join(distinct.where("n > 1").select("anchor", "context", F.struct("first.k1", "first.k2", "first.start").alias("earliest")), ["anchor", "context"])
     if later_only:
-        folded = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("earliest"))
-        copies = places.join(folded.where("n > 1"), ["anchor", "context"]).where(F.struct("k1", "k2", "start") > F.col("earliest"))
-        whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("windows") + window - 1).alias("hi")))
-        spans = spans.select("k1", "k2", cover.alias("spans")).unionByName(copies.select("k1", "k2", whole.alias("spans")))
-    else:
-        spans = spans.select("k1", "k2", cover.alias("spans"))
-    return materialize(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-
-
-def covered(spans: list[tuple[int, int]], length: int) -> np.ndarray:
-    """For each unit, whether a span covers it."""
-    edge = np.zeros(length + 1, dtype=np.int32)
-    if spans:
-        lo, hi = np.array(spans, dtype=np.int64).T
-        np.add.at(edge, lo, 1)
-        np.add.at(edge, hi, -1)
-    return np.cumsum(edge)[:length] > 0
+        copies = copies.where(F.struct("k1", "k2", "start") > F.col("earliest"))
+    spans = spans.unionByName(copies.select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + window - 1).alias("hi")))
+    return materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+
+
+def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of at least one span, as maximal runs in order."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    apart = lo[1:] > hi[:-1]
+    return lo[np.append(True, apart)], hi[np.append(apart, True)]
+
+
+def runs_of(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int]]]:
+    """Maximal runs of each row's ``spans`` (none for null)."""
+    spans = batch.column("spans")
+    offsets, values = spans.offsets.to_numpy(), spans.values
+    lo, hi = values.field("lo").to_numpy(), values.field("hi").to_numpy()
+    for a, b, null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans.is_null().to_pylist(), strict=True):
+        yield [] if null or a == b else [(x, y) for x, y in zip(*(z.tolist() for z in merged(lo[a:b], hi[a:b])), strict=True)]
+
+
+def without(units, runs: list[tuple[int, int]]) -> list:
+    """Parts of a sequence between the runs."""
+    ends = [0, *(hi for _, hi in runs)]
+    return [units[a:b] for a, b in zip(ends, [*(lo for lo, _ in runs), len(units)], strict=True)]

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusprep.llm.repeats import CONTEXTS_PER_ANCHOR, SHARD_BYTES, covered, keyed, repeated_spans
+from corpusprep.llm.repeats import CONTEXTS_PER_ANCHOR, SHARD_BYTES, keyed, repeated_spans, runs_of, without
 
 MIN_WORDS = 35
 #: Words of an anchor gram; unique in most of a corpus, yet much shorter than the threshold.
@@ -106,9 +106,10 @@ def automaton_judge(least: int):
             automaton.add(words, times)
         automaton.finish()
         flagged = []
-        for words in texts:
-            matched = np.array(automaton.matching_statistics(words))
-            flagged.append(np.flatnonzero(matched >= least) - (least - 1))
+        for words, times in zip(texts, n.tolist(), strict=True):
+            # of one that is folded from several, all copies go anyway
+            matched = automaton.matching_statistics(words) if times == 1 else []
+            flagged.append(np.flatnonzero(np.array(matched) >= least) - (least - 1))
         return flagged
 
     return judge
@@ -131,17 +132,12 @@ def remove_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram:
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, cut in zip(batch.column("units").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("units").to_pylist(), runs_of(batch), strict=True):
                 words = (text or b"").split()
-                runs: list[dict] = []
-                kept = words
-                if cut:
-                    gone = covered([(c["lo"], c["hi"]) for c in cut], len(words))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    runs = [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                kept = [w for part in without(words, runs) for w in part] if runs else words
                 joined = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest(), runs))
+                out.append((len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest(),
+                            [{"lo": a, "hi": b} for a, b in runs]))
             cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()),

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusprep.llm.repeats import CONTEXTS_PER_ANCHOR, SHARD_BYTES, covered, keyed, repeated_spans
+from corpusprep.llm.repeats import CONTEXTS_PER_ANCHOR, SHARD_BYTES, keyed, repeated_spans, runs_of, without
 
 MIN_BYTES = 100
 #: Bytes of an anchor gram: rarely found twice by chance, yet well below a window.
@@ -99,14 +99,11 @@ def remove_later_copies(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int =
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, cut in zip(batch.column("units").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, kept, runs = text or b"", text or b"", []
-                if cut:
-                    gone = covered([(c["lo"], c["hi"]) for c in cut], len(data))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    runs = [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                out.append((len(data), len(data) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest(), runs))
+            for text, runs in zip(batch.column("units").to_pylist(), runs_of(batch), strict=True):
+                data = text or b""
+                kept = b"".join(without(data, runs)) if runs else data
+                out.append((len(data), len(data) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest(),
+                            [{"lo": a, "hi": b} for a, b in runs]))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(cols[i], pa.int64()) for i in range(3)), pa.array(cols[3], pa.binary()),
