@@ -44,9 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared checkpoint folder and read it back.
 
+    options: those of the Parquet writer.
+
     Used where an expensive intermediate feeds several branches that would
     otherwise each recompute it, and to cut lineage: the table is on shared
     storage, so losing an executor afterwards costs nothing. The shuffle files
@@ -58,7 +60,7 @@ def materialize(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(folder)
+        df.write.options(**options).parquet(folder)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
