@@ -1,6 +1,6 @@
 """License scans with ordered signature rules.
 
-A rule is a regular expression over a text's normalised words (A-Z in lower
+A rule is a hand-written regular expression over a text's normalised words (A-Z in lower
 case, everything but letters, digits and non-ASCII characters a blank), with a
 label, a priority and a keyword. One pass of a keyword automaton over the text
 selects the rules whose keyword stands in it; only their expressions run.
@@ -33,7 +33,7 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 CONFIDENCE = (0.99, 0.95, 0.9, 0.8, 0.6, 0.4)
 TAG, ADDRESS, GRANT, NAME, WEAK, NOTICE = range(6)
 
-#: label; keyword; signatures by priority: t(ag), a(ddress), g(rant), n(ame), w(eak). One line for each expression.
+#: label; keyword (it stands in every signature); signatures by priority: t(ag), a(ddress), g(rant), n(ame), w(eak). One line for each expression.
 SIGNATURES = r"""
 mit; mit
  t spdx license identifier mit\b
@@ -115,10 +115,10 @@ lgpl; gnu
 lgpl; lgpl
  w (?:the )?lgpl\b
 agpl-3.0; affero
- a gnu org licenses agpl 3 0
  n gnu affero general public licen[cs]e (?:version |v )?3
  n affero general public licen[cs]e
 agpl-3.0; agpl
+ a gnu org licenses agpl 3 0
  t spdx license identifier agpl 3 0(?: only| or later)?
  n agpl ?v?3(?: 0)?\b
  w (?:the )?agpl\b
@@ -330,7 +330,7 @@ odbl-1.0; odbl
  t spdx license identifier odbl 1 0
 odbl-1.0; open database
  n open database licen[cs]e
-odbl-1.0; open data commons
+odbl-1.0; opendatacommons
  a opendatacommons org licenses odbl
 psf-2.0; python
  t spdx license identifier (?:psf|python) 2 0
@@ -432,8 +432,10 @@ elastic-2.0; elastic
 commons-clause; commons clause
  n commons clause (?:licen[cs]e )?condition
  w commons clause\b
+openrail; open rail
+ n (?:creativeml )?open rail (?:m )?licen[cs]e
 openrail; openrail
- n (?:creativeml )?open ?rail (?:m )?licen[cs]e
+ n (?:creativeml )?openrail (?:m )?licen[cs]e
  w openrail\b
 llama; llama
  n llama [0-9 ]*community licen[cs]e
@@ -472,14 +474,17 @@ proprietary; proprietary
 confidential; confidential
  o unauthorized copying .{0,60}?(?:is )?(?:strictly )?prohibited.{0,20}?confidential
  o company confidential
-noncommercial; commercial
- o (?:for )?non ?commercial use only
+noncommercial; noncommercial
+ o (?:for )?noncommercial use only
+noncommercial; non commercial
+ o (?:for )?non commercial use only
+noncommercial; not for commercial
  o not for commercial use
 licensed; licen
  o licen[cs]ed under
  o see (?:the )?licen[cs]e file
  o licen[cs]e agreement
-warranty; warranty
+warranty; warrant
  o without warranty of any kind
  o without any warranty
  o disclaims? all warranties

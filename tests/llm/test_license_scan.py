@@ -70,7 +70,8 @@ def test_whole_table(spark):
 
 def test_prefilter_loses_nothing(spark):
     for r in rules():
-        text = re.sub(r"\\b|\?:|\(|\)\??|\?", "", r.signature.split("|")[0])
+        assert r.keyword in r.signature, r
+        text = re.sub(r"\\b|\?:|\(|\)\??|\?", "", re.sub(r"\.\{.*?\}\??", " some words ", r.signature).split("|")[0])
         words = text.split()
         assert [tuple(d) for d in detections([w.encode() for w in words])] == [tuple(d) for d in _plain_detections(words)]
 

@@ -8,7 +8,7 @@ import cases
 from corpusprep.llm import secret_scan as s
 
 SF = "/root/testdata/sf0.01"
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 KINDS = ["assign", "access", "hex", "markov"]
 
 
