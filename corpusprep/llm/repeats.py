@@ -80,7 +80,8 @@ def repeated_anchors(docs: DataFrame, unit: str, window: int, gram: int) -> Data
                 yield pa.RecordBatch.from_arrays([_signed(run.anchor), pa.array(k1[run.row])], ["anchor", "k1"])
 
     placed = materialize(docs.select("k1", "units").mapInArrow(place, "anchor bigint, k1 bigint"))
-    repeated = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join below deals both sides out anew and can split a hot anchor
+    repeated = materialize(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     return placed.join(repeated, "anchor", "left_semi").groupBy("k1").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
 
 
@@ -125,7 +126,7 @@ def distinct_contexts(places: DataFrame) -> DataFrame:
 
 def _to_compare(distinct: DataFrame) -> DataFrame:
     """Those whose anchor has others, with the number of its contexts."""
-    anchors = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    anchors = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"))
     return distinct.join(anchors, "anchor")
 
 
