@@ -20,8 +20,11 @@ class Settings:
     embed_small_images: bool = False
     small_image_threshold_kb: int = 50
     # tables
-    max_rows_display: int = 1000
-    max_columns_display: int = 50
+    max_rows_display: int | None = None       # a limit only where one is asked for; so the next three
+    max_columns_display: int | None = None
+    max_cell_chars: int | None = None
+    max_name_chars: int | None = None
+    part_rows: int = 10_000                   # order keys in a part of a table
     # converted documents
     pandoc_toc: bool = False
     # our own switches

@@ -25,12 +25,14 @@ def py_strip(c) -> Column:
     return F.trim(col_of(c), F.lit(PY_SPACE_CHARS))
 
 
-def cut(c, limit: int, keep: int | None = None) -> Column:
-    """Longer than ``limit`` code points -> first ``keep`` (default limit-3) plus ``...``.
+def cut(c, limit: int | None, keep: int | None = None) -> Column:
+    """Longer than ``limit`` code points -> first ``keep`` (default limit-3) plus ``...``; as it is without a limit.
 
     One regex over the value (it is referenced once, so an expensive input
     expression is evaluated once).
     """
+    if limit is None:
+        return col_of(c)
     keep = limit - 3 if keep is None else keep
     return F.regexp_replace(col_of(c), f"(?s)^(.{{{keep}}}).{{{limit - keep + 1},}}\\z", "$1...")
 

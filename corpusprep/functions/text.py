@@ -41,32 +41,32 @@ def decode_detected(content) -> Column:
     return F.when(F.is_valid_utf8(b), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
 
 
-def clean_column_name(c) -> Column:
+def clean_column_name(c, max_chars: int | None = None) -> Column:
     """Header cell for a Markdown table.
 
     Blank / ``nan`` / ``NaN`` / ``None`` -> ``Unnamed_Column``; stripped; ``|`` -> ``_``;
-    CR and LF -> space; longer than 50 -> 47 characters and ``...``.
+    CR and LF -> space; longer than ``max_chars`` -> cut there with ``...`` (default: whole).
     """
     c = col_of(c)
     s = py_strip(c)
-    cleaned = cut(F.translate(s, "|\n\r", "_  "), 50)
+    cleaned = cut(F.translate(s, "|\n\r", "_  "), max_chars)
     return F.when(c.isNull() | s.isin("", "nan", "NaN", "None"), F.lit("Unnamed_Column")).otherwise(cleaned)
 
 
-def clean_cell(c, escape_times: int = 1) -> Column:
+def clean_cell(c, escape_times: int = 1, max_chars: int | None = None) -> Column:
     """Table cell: null-like -> ``''``; whitespace runs -> one space; ``| [ ]`` escaped;
-    longer than 500 -> 497 characters and ``...``; stripped.
+    longer than ``max_chars`` -> cut there with ``...`` (default: whole); stripped.
 
     ``escape_times=2`` reproduces the double cleaning of CSV and workbook cells.
     """
     c = col_of(c)
     out = c
     for _ in range(escape_times):
-        out = _clean_once(out)
+        out = _clean_once(out, max_chars)
     return out
 
 
-def _clean_once(c: Column) -> Column:
+def _clean_once(c: Column, max_chars: int | None) -> Column:
     # Each step feeds the next exactly once. Blank input needs no test of its
     # own: stripping makes it ''. The final strip of the original is a no-op
     # here (the text was stripped first and a cut ends in '...').
@@ -76,19 +76,13 @@ def _clean_once(c: Column) -> Column:
     for ch in "|[]":
         escaped = F.replace(escaped, F.lit(ch), F.lit("\\" + ch))
     null_like = c.isNull() | F.lower(c).isin("nan", "none", "null")
-    return F.when(null_like, F.lit("")).otherwise(cut(escaped, 500))
+    return F.when(null_like, F.lit("")).otherwise(cut(escaped, max_chars))
 
 
 def json_valid(c) -> Column:
-    """True when the whole text is one JSON value (an empty string is not).
-
-    ``try_parse_json`` alone stops after the first value and ignores trailing
-    text (``{"k": 1},``); wrapping the text in ``[...]`` and asking for exactly
-    one element rejects such input, as a strict parser does.
-    """
-    c = col_of(c)
-    one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
-    return F.coalesce(F.try_parse_json(c).isNotNull() & one, F.lit(False))
+    """True when the whole text is one JSON value (an empty string is not): what :func:`pretty_json`
+    can print, whatever its size. Repeated keys, ``NaN`` and ``Infinity`` are accepted."""
+    return pretty_json(col_of(c)).isNotNull()
 
 
 @F.pandas_udf(T.StringType())
@@ -104,7 +98,7 @@ def pretty_json(s: pd.Series) -> pd.Series:
             return None
         try:
             return json.dumps(json.loads(x), indent=2)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return s.map(fmt)

@@ -78,7 +78,7 @@ def localize_images(pages: DataFrame, fetched: DataFrame, key: str = "page_id",
     from corpusprep.operators.links import split_rewrite
 
     refs = external_images(pages, key, html_col).select(key, "url").distinct()
-    links = refs.join(fetched.select("url", "local_path"), "url")
+    links = refs.join(fetched.groupBy("url").agg(F.min("local_path").alias("local_path")), "url")
     per_page = links.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("url", "local_path"))).alias("_m"))
     has_img = F.regexp_extract_all(F.col(html_col), F.lit(_IMG_SRC), 1)
     has_ext = F.exists(has_img, lambda u: u.startswith("http://") | u.startswith("https://"))

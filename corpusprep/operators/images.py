@@ -25,10 +25,9 @@ DECISION_SCHEMA = "array<struct<neg_len:int,placeholder:string,action:string,tar
 
 def with_size(images: DataFrame, bytes_col: str = "bytes") -> DataFrame:
     """Add ``width``, ``height`` (null when unknown) and ``decodable``."""
-    size = image_size(F.col(bytes_col))
-    return images.withColumn("width", size["width"]).withColumn("height", size["height"]).withColumn(
-        "decodable", size["width"].isNotNull() & size["height"].isNotNull()
-    )
+    sized = images.withColumn("_size", image_size(F.col(bytes_col)))
+    sized = sized.withColumn("width", F.col("_size.width")).withColumn("height", F.col("_size.height")).drop("_size")
+    return sized.withColumn("decodable", F.col("width").isNotNull() & F.col("height").isNotNull())
 
 
 def final_name(filename) -> F.Column:
@@ -144,6 +143,9 @@ def apply_image_decisions(docs: DataFrame, decisions: DataFrame, key: str = "doc
     regex pass each, longest placeholder first.
     """
     target = F.coalesce(F.col("data_uri"), F.col("new_path"))
+    # of a placeholder decided on twice, the least decision counts
+    once = decisions.groupBy(key, "placeholder").agg(F.min(F.struct("action", "data_uri", "new_path")).alias("_x"))
+    decisions = once.select(key, "placeholder", "_x.*")
     simple = ~F.col("placeholder").rlike(rf"[){_NS}]")
     per_doc = decisions.groupBy(key).agg(
         F.map_from_entries(

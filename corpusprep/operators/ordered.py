@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusprep.session import materialize
+
 BLOCK = 4096
 
 
@@ -57,6 +59,18 @@ def ordered_concat(df: DataFrame, group_cols: list[str], order_col: str, value_c
     return parts.groupBy(*group_cols).agg(joined(blk, "_part").alias(out_col))
 
 
+def _range_placed(df: DataFrame, order_cols: list[str], partitions: int | None) -> DataFrame:
+    """``df`` with ``_pid`` and ``_place``: range partition in ``order_cols`` order, and position in it from 0.
+
+    Written once into the shared checkpoint folder: bounds of a range partitioning come from a
+    sample of the columns that a branch keeps, so two branches of a plan would disagree.
+    """
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    placed = ranged.sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
+    # the id's low 33 bits count the rows of a partition
+    return materialize(placed.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
 def global_index(df: DataFrame, order_cols: list[str], out_col: str = "index", partitions: int | None = None,
                  total_col: str | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order, without a single-task window.
@@ -65,15 +79,23 @@ def global_index(df: DataFrame, order_cols: list[str], out_col: str = "index", p
     rows locally, and the partition sizes (one row per partition) give the
     offsets and, with ``total_col``, the row count.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    placed = _range_placed(df, order_cols, partitions)
     # the sizes table has one row per partition: bounded by the partition count
+    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_total", F.sum("_n").over(Window.partitionBy())).drop("_n")
-    out = local.join(F.broadcast(offs), "_pid").withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint"))
+    out = placed.join(F.broadcast(offs), "_pid").withColumn(out_col, (F.col("_off") + F.col("_place")).cast("bigint"))
     if total_col:
         out = out.withColumn(total_col, F.col("_total").cast("bigint"))
-    return out.drop("_pid", "_local", "_off", "_total")
+    return out.drop("_pid", "_place", "_off", "_total")
+
+
+def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "index") -> DataFrame:
+    """0-based position of each row in its group in ``order_cols`` order; a huge group is spread over tasks.
+
+    The global position, less that of the group's first row.
+    """
+    indexed = global_index(df, [*group_cols, *order_cols], "_global")
+    start = indexed.groupBy(*group_cols).agg(F.min("_global").alias("_start"))
+    return indexed.join(start, group_cols).withColumn(out_col, F.col("_global") - F.col("_start")).drop("_global", "_start")

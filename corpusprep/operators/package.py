@@ -44,8 +44,14 @@ def package_entries(docs: DataFrame, media: DataFrame | None = None, package: st
     ``(package, entry, kind, bytes)``. Documents with empty or missing Markdown
     get no package at all (and their media are dropped with them)."""
     ok = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0))
-    md = ok.select(package, F.concat(F.col(package), F.lit(".md")).alias("entry"), F.lit("markdown").alias("kind"),
+    name = F.col(package)
+    first = ok
+    if "part_no" in docs.columns:  # later parts of a long table are entries of their own
+        name = F.when(F.col("part_no") == 0, name).otherwise(F.format_string("%s.part%05d", name, F.col("part_no")))
+        first = ok.where("part_no = 0")
+    md = ok.select(package, F.concat(name, F.lit(".md")).alias("entry"), F.lit("markdown").alias("kind"),
                    F.encode("markdown", "UTF-8").alias("bytes"))
+    ok = first
     meta = ok.select(package, F.lit("metadata.json").alias("entry"), F.lit("metadata").alias("kind"),
                      F.encode(F.coalesce("metadata", F.lit("{}")), "UTF-8").alias("bytes"))
     out = md.unionByName(meta)

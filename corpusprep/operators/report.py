@@ -12,9 +12,8 @@ def outcomes(routed: DataFrame, docs: DataFrame, key: str = "path") -> DataFrame
     """``(path, parser, status, message)``: ``skipped`` for unsupported or temp
     files, ``failed`` when no Markdown came out (or it is empty), else ``ok``.
     A failure never stops the batch: it is just a row."""
-    j = routed.select(key, "processor", "_skip").join(
-        docs.select(key, "parser", "markdown", "error"), key, "left"
-    )
+    first = docs.where("part_no = 0") if "part_no" in docs.columns else docs
+    j = routed.select(key, "processor", "_skip").join(first.select(key, "parser", "markdown", "error"), key, "left")
     produced = F.col("markdown").isNotNull() & (F.length("markdown") > 0)
     status = F.when(F.col("_skip"), F.lit("skipped")).when(produced, F.lit("ok")).otherwise(F.lit("failed"))
     message = (
@@ -35,8 +34,9 @@ def batch_report(outs: DataFrame) -> DataFrame:
     )
 
 
-def progress(outs: DataFrame, key: str = "path") -> DataFrame:
+def progress(outs: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
     """Running percent ``(i + 1) / n * 100`` in path order over the files processed."""
-    found = outs.where(F.col("status") != "skipped").select(key)
-    idx = global_index(found, [key], "_i", total_col="_n")
-    return idx.select(key, ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))
+    order_cols = order_cols or ["path"]
+    found = outs.where(F.col("status") != "skipped").select(*order_cols)
+    idx = global_index(found, order_cols, "_i", total_col="_n")
+    return idx.select(*order_cols, ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))

@@ -1,15 +1,14 @@
 """Delimited tables -> Markdown: dialect scoring, parsing, truncation, rendering.
 
-Tabular input is kept in *line* form, ``(path, ord, line)``: one row per
-physical line with an order key inside its file. Nothing collects a whole file:
-
-* head-of-file work (header, scoring sample, raw consistency lines) takes the
-  first lines per file with a window limit, which Spark runs map-side
-  (``WindowGroupLimit``) before the shuffle, so a huge file sends only its
-  head through the exchange;
-* counts are partial aggregates;
-* rendered tables are capped at ``max_rows_display`` rows the same way before
-  the ordered string aggregation.
+Tabular input is kept in *line* form, ``(path, ord, line)``: one row per line (or
+per record, where a quoted field holds line breaks) with an order key inside its
+file. Nothing collects a whole file:
+
+* header, dialect scores and counts are partial aggregates per file over all its lines;
+* rendered tables hold all rows and columns; they come out in ordered parts
+  ``(path, part_no)`` of ``Settings.part_rows`` consecutive order keys, so that no
+  string grows with the file;
+* a row or column limit applies only where the caller's settings set one.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusprep.config import DEFAULT, Settings
 from corpusprep.functions.common import col_of, cut, py_strip
 from corpusprep.functions.paths import basename
-from corpusprep.functions.text import clean_cell, clean_column_name
+from corpusprep.functions.text import clean_cell, clean_column_name, normalize_newlines
 
 # Separators in the order they are tried (ties keep the first).
 SEPARATORS = [";", ",", "\t"]
@@ -29,27 +28,56 @@ NA_VALUES = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-HEAD_LINES = 128  # lines per file looked at by the dialect scorer (100 rows + header + blanks)
 
 
 # ---------------------------------------------------------------- fields
 
 
 def split_fields(line, sep, skip_initial_space: bool = False) -> Column:
-    """Quote-aware split of one line (``"`` quotes, ``""`` inside quotes);
-    ``skip_initial_space`` drops blanks after each separator."""
+    """Fields of one record.
+
+    A field that starts with ``"`` runs to its closing quote, with ``""`` for a quote
+    inside and separators and line breaks taken as text; what follows up to the
+    separator is appended. Without a closing quote it runs to the end. A quote
+    anywhere else is text. ``skip_initial_space`` drops blanks after separators.
+    """
     line = col_of(line)
-    sep = sep if isinstance(sep, Column) else F.lit(sep)
+    if not isinstance(sep, Column):
+        return _split(line, sep, skip_initial_space)
+    # a literal pattern for each separator, so none is compiled per row
+    out = None
+    for s in SEPARATORS:
+        out = F.when(sep == s, _split(line, s, skip_initial_space)) if out is None else out.when(sep == s, _split(line, s, skip_initial_space))
+    return out
+
+
+def _split(line: Column, sep: str, skip_initial_space: bool) -> Column:
     lead = " *" if skip_initial_space else ""
-    # unrolled quoted-field pattern: no per-character recursion in Java's engine
-    rx = F.concat(F.lit(lead + '("[^"]*(?:""[^"]*)*"|[^"'), sep, F.lit(']*)'), sep)
-    raw = F.regexp_extract_all(F.concat(line, sep), rx, 1)
+    field = rf'"[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|"[\s\S]*(?={sep}\z)|[^"{sep}][^{sep}]*+|'
+    raw = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(f"{lead}({field}){sep}"), 1)
     return F.transform(raw, _unquote)
 
 
+_QUOTED = r'^"([^"]*+(?:""[^"]*+)*+)"?([\s\S]*)\z'
+
+
 def _unquote(f: Column) -> Column:
-    quoted = f.startswith('"') & f.endswith('"') & (F.length(f) >= 2)
-    return F.when(quoted, F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+    body = F.concat(F.replace(F.regexp_extract(f, _QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(f, _QUOTED, 2))
+    return F.when(f.startswith('"'), body).otherwise(f)
+
+
+def csv_records(texts: DataFrame, dialects: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Records ``(path, ord, line)`` of whole texts: lines, joined where a quoted field goes on."""
+    def records(sep: str) -> Column:
+        field = rf'(?:"[^"]*+(?:""[^"]*+)*+"[^{sep}\n]*+|"[\s\S]*\z|[^"{sep}\n][^{sep}\n]*+|)'
+        return F.regexp_extract_all(normalize_newlines(text), F.lit(rf"({field}(?:{sep}{field})*+)(?:\n|\z)"), 1)
+
+    sep = F.col("separator")
+    found = None
+    for s in SEPARATORS:
+        found = F.when(sep == s, records(s)) if found is None else found.when(sep == s, records(s))
+    j = texts.select(path, text).join(dialects.select(path, "separator"), path)
+    return j.select(path, F.posexplode(found).alias("ord", "line")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 def na_to_empty(c) -> Column:
@@ -57,79 +85,56 @@ def na_to_empty(c) -> Column:
     return F.when(c.isNull() | c.isin(*NA_VALUES), F.lit("")).otherwise(c)
 
 
-# ---------------------------------------------------------------- head of file
-
+# ---------------------------------------------------------------- dialects
 
-def file_heads(lines: DataFrame, n: int = HEAD_LINES, path: str = "path", ord_: str = "ord", line: str = "line") -> DataFrame:
-    """First ``n`` physical lines per file as an ordered array ``head``."""
-    w = Window.partitionBy(path).orderBy(ord_)
-    top = lines.select(path, ord_, line).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return top.groupBy(path).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(ord_, line))), lambda s: s[line]).alias("head")
-    )
 
-
-def _score_stages(df: DataFrame) -> DataFrame:
-    """Score one separator on one file head. Intermediate values are staged as
-    columns so the per-line lambdas never recompute the header or its width."""
-    sep = F.col("separator")
-    df = df.withColumn("_nb", F.filter("head", lambda l: l != ""))
-    df = df.withColumn("_header", F.try_element_at(F.col("_nb"), F.lit(1)))
-    df = df.withColumn("_names", split_fields(F.col("_header"), sep)).withColumn("_ncols", F.size("_names"))
-    # the header width is zipped into every element: a lambda referring to it
-    # would recompute it per line
-    data = F.slice("_nb", 2, 100)
-    zipped = F.arrays_zip(data.alias("l"), F.array_repeat(F.col("_ncols"), F.size(data)).alias("n"))
-    df = df.withColumn("_good", F.transform(F.filter(zipped, lambda e: F.size(split_fields(e["l"], sep)) <= e["n"]), lambda e: e["l"]))
-    df = df.withColumn("_n_df", F.size("_good"))
-    first_cell = na_to_empty(F.try_element_at(split_fields(F.try_element_at(F.col("_good"), F.lit(1)), sep), F.lit(1)))
-    df = df.withColumn("_first", F.when(first_cell == "", F.lit("nan")).otherwise(first_cell))
-    checked = F.filter(F.transform(F.slice("head", F.lit(1), F.least(F.lit(10), F.col("_n_df") + 1)), py_strip), lambda l: l != "")
-    df = df.withColumn("_counts", F.transform(checked, lambda l: F.length(l) - F.length(F.replace(l, sep, F.lit("")))))
-    counts = F.col("_counts")
-    consistency = (
-        F.when(F.size(counts) == 0, 0)
-        .when(F.size(F.array_distinct(counts)) == 1, 20)
-        .when(F.array_max(counts) - F.array_min(counts) <= 1, 10)
-        .otherwise(-10)
-    )
-    quality = F.size(
-        F.filter(
-            "_names",
-            lambda n: ((sep != ",") & ~n.contains(",")) | ((sep != ";") & ~n.contains(";")) | ((sep != "\t") & ~n.contains("\t")),
-        )
-    )
-    first = F.col("_first")
-    ncols = F.col("_ncols")
-    one_col = F.lit(-50) + F.when(((sep == ";") & first.contains(",")) | ((sep == ",") & first.contains(";")), -100).otherwise(0)
-    score = (
-        ncols * 10
-        + F.when(sep == ";", 15).otherwise(0)
-        + F.when(ncols == 1, one_col).otherwise(0)
-        + F.when(ncols > 1, consistency + quality * 2).otherwise(0)
-        + F.when(ncols > 100, -30).otherwise(0)
-    )
-    score = F.when(F.col("_n_df") == 0, 0).otherwise(F.greatest(score, F.lit(0)))
-    return df.where(F.col("_header").isNotNull()).withColumn("score", score)
+def first_lines(lines: DataFrame, path: str = "path", ord_: str = "ord", line: str = "line") -> DataFrame:
+    """``(path, header_ord, header)``: the first line of every file that isn't empty."""
+    first = lines.where(F.col(line) != "").groupBy(path).agg(F.min_by(F.struct(ord_, line), ord_).alias("h"))
+    return first.select(path, F.col(f"h.{ord_}").alias("header_ord"), F.col(f"h.{line}").alias("header"))
 
 
 def score_csv_dialects(lines: DataFrame, path: str = "path", ord_: str = "ord", line: str = "line") -> DataFrame:
     """Score of every separator for every file: ``(path, separator, sep_ord, score)``.
 
     score = 10 per column; +15 for ``;``; one column: -50, and -100 more when
-    the first cell holds the other of ``;``/``,``; separator counts over the
-    first <=10 raw lines (stripped): +20 all equal, +10 range <=1, -10 else;
-    -30 above 100 columns; +2 per header name lacking an unused separator;
-    floored at 0; no data rows -> 0. Files with no non-blank line get no row
-    (they cannot be parsed). The type-mix bonus of the original never fires
-    (cells are read as text) and is left out.
+    the first cell holds the other of ``;``/``,``; separators per line (stripped,
+    blank ones aside): +20 all equal, +10 range <=1, -10 else; -30 above 100
+    columns; +2 per header name lacking an unused separator; floored at 0; no
+    data rows -> 0. All lines count, by partial aggregates. Files without a
+    non-blank line get no row (they cannot be parsed). The type-mix bonus of the
+    original never fires (cells are read as text) and is left out.
     """
-    heads = file_heads(lines, HEAD_LINES, path, ord_, line)
-    # three candidate rows per file head, by explode of a fixed list (no join)
-    cands = F.array(*[F.struct(F.lit(sep).alias("separator"), F.lit(i).alias("sep_ord")) for i, sep in enumerate(SEPARATORS)])
-    per_sep = heads.select(path, "head", F.explode(cands).alias("c")).select(path, "head", "c.separator", "c.sep_ord")
-    scored = _score_stages(per_sep)
-    return scored.select(path, "separator", "sep_ord", "score")
+    headers = first_lines(lines, path, ord_, line)
+    widths = F.array(*[F.size(split_fields(F.col("header"), s)) for s in SEPARATORS])
+    # per-file facts join the lines once; AQE broadcasts them when small and splits a file that is skewed
+    j = lines.select(path, ord_, line).join(headers.select(path, "header_ord", widths.alias("_w")), path)
+    text = py_strip(line)
+    aggs = []
+    for i, s in enumerate(SEPARATORS):
+        data = (F.col(ord_) > F.col("header_ord")) & (F.col(line) != "")
+        good = data & (F.size(split_fields(F.col(line), s)) <= F.col("_w")[i])
+        count = F.when(text != "", F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))))
+        aggs.append(F.struct(
+            F.lit(s).alias("separator"), F.lit(i).alias("sep_ord"), F.count_if(good).alias("n"), F.min(count).alias("lo"), F.max(count).alias("hi"),
+            F.min_by(F.when(good, F.col(line)), F.when(good, F.col(ord_))).alias("first"),
+        ))
+    facts = j.groupBy(path).agg(F.array(*aggs).alias("_f")).join(headers.select(path, "header"), path)
+    per_sep = facts.select(path, "header", F.inline("_f"))
+    sep = F.col("separator")
+    names = per_sep.withColumn("_names", split_fields(F.col("header"), sep)).withColumn("_ncols", F.size("_names"))
+    first = na_to_empty(F.try_element_at(split_fields(F.col("first"), sep), F.lit(1)))
+    names = names.withColumn("_first", F.when(first == "", F.lit("nan")).otherwise(first))
+    consistency = F.when(F.col("lo") == F.col("hi"), 20).when(F.col("hi") - F.col("lo") <= 1, 10).when(F.col("hi").isNull(), 0).otherwise(-10)
+    either = lambda s, t: F.size(F.filter("_names", lambda n: ~n.contains(s) | ~n.contains(t)))
+    quality = F.when(sep == ";", either(",", "\t")).when(sep == ",", either(";", "\t")).otherwise(either(",", ";"))
+    ncols, first = F.col("_ncols"), F.col("_first")
+    one_col = F.lit(-50) + F.when(((sep == ";") & first.contains(",")) | ((sep == ",") & first.contains(";")), -100).otherwise(0)
+    score = (
+        ncols * 10 + F.when(sep == ";", 15).otherwise(0) + F.when(ncols == 1, one_col).otherwise(0)
+        + F.when(ncols > 1, consistency + quality * 2).otherwise(0) + F.when(ncols > 100, -30).otherwise(0)
+    )
+    return names.select(path, "separator", "sep_ord", F.when(F.col("n") == 0, 0).otherwise(F.greatest(score, F.lit(0))).alias("score"))
 
 
 def pick_csv_dialect(scores: DataFrame, path: str = "path") -> DataFrame:
@@ -145,17 +150,16 @@ def parse_csv_lines(lines: DataFrame, dialects: DataFrame, path: str = "path", o
                     line: str = "line", skip_initial_space: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, headers) of every file with its chosen separator.
 
-    ``rows``: ``(path, ord, fields, n_fields, bad)`` for every non-blank line after
+    ``rows``: ``(path, ord, fields, ncols, n_fields, bad)`` for every non-blank line after
     the header; ``bad`` = more fields than the header (skipped by the
     skip-bad-lines strategy). ``headers``: ``(path, header_ord, names, ncols)``.
     """
     nb = lines.where(F.col(line) != "")
-    first = nb.groupBy(path).agg(F.min_by(F.struct(ord_, line), ord_).alias("h"))
-    headers = first.join(dialects.select(path, "separator"), path).select(
+    headers = first_lines(lines, path, ord_, line).join(dialects.select(path, "separator"), path).select(
         path,
         "separator",
-        F.col(f"h.{ord_}").alias("header_ord"),
-        split_fields(F.col(f"h.{line}"), F.col("separator"), skip_initial_space).alias("names"),
+        "header_ord",
+        split_fields(F.col("header"), F.col("separator"), skip_initial_space).alias("names"),
     ).withColumn("ncols", F.size("names"))
     # the only join of the line table: one per-file row (AQE broadcasts it when small)
     body = nb.join(headers.select(path, "separator", "header_ord", "ncols"), path).where(F.col(ord_) > F.col("header_ord"))
@@ -164,7 +168,6 @@ def parse_csv_lines(lines: DataFrame, dialects: DataFrame, path: str = "path", o
         body.select(path, ord_, fields.alias("fields"), "ncols")
         .withColumn("n_fields", F.size("fields"))
         .withColumn("bad", F.col("n_fields") > F.col("ncols"))
-        .drop("ncols")
     )
     return rows, headers
 
@@ -194,8 +197,8 @@ def table_profile(rows: DataFrame, headers: DataFrame, dialects: DataFrame, sett
         path,
         F.col("total_rows").cast("bigint").alias("total_rows"),
         F.col("ncols").cast("bigint").alias("total_columns"),
-        F.least(F.col("total_rows"), F.lit(settings.max_rows_display)).cast("bigint").alias("displayed_rows"),
-        F.least(F.col("ncols"), F.lit(settings.max_columns_display)).cast("bigint").alias("displayed_columns"),
+        at_most(F.col("total_rows"), settings.max_rows_display).cast("bigint").alias("displayed_rows"),
+        at_most(F.col("ncols"), settings.max_columns_display).cast("bigint").alias("displayed_columns"),
         "separator",
         "score",
         strategy.alias("strategy"),
@@ -206,29 +209,39 @@ def table_profile(rows: DataFrame, headers: DataFrame, dialects: DataFrame, sett
 # ---------------------------------------------------------------- rendering
 
 
-def truncate_rows(df: DataFrame, n: int, order_cols: list[str], group_cols: list[str] | None = None) -> DataFrame:
-    """First ``n`` rows (per group when ``group_cols``) by ``order_cols``.
+def at_most(c: Column, limit: int | None) -> Column:
+    return c if limit is None else F.least(c, F.lit(limit))
+
 
-    Grouped form: ``row_number() <= n``, which Spark plans as a map-side
-    ``WindowGroupLimit`` so only ``n`` rows per group and task are shuffled.
+def truncate_rows(df: DataFrame, n: int | None, order_cols: list[str], group_cols: list[str] | None = None, salts: int = 64) -> DataFrame:
+    """First ``n`` rows (per group when ``group_cols``) by ``order_cols``; all rows for ``None``.
+
+    Grouped form: ``row_number() <= n`` first within ``salts`` pieces of each group, then
+    within the group, so a huge group's rows are cut in many tasks and one task sees at most
+    ``salts * n`` of them.
     """
+    if n is None:
+        return df
     if not group_cols:
         return df.orderBy(*order_cols).limit(n)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_cols), F.lit(salts)))
+    piece = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
+    some = salted.withColumn("_rn", F.row_number().over(piece)).where(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return some.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def truncate_columns(cells, k: int) -> Column:
-    """First ``k`` cells of a row array."""
-    return F.slice(col_of(cells), 1, k)
+def truncate_columns(cells, k: int | None) -> Column:
+    """First ``k`` cells of a row array; all for ``None``."""
+    return col_of(cells) if k is None else F.slice(col_of(cells), 1, k)
 
 
-def sanitize_table(df: DataFrame, escape_times: int = 1) -> DataFrame:
+def sanitize_table(df: DataFrame, escape_times: int = 1, max_chars: int | None = None) -> DataFrame:
     """Null -> ``''`` and cell cleaning for text columns; other columns kept."""
     out = []
     for name, dtype in df.dtypes:
         if dtype == "string":
-            out.append(clean_cell(F.coalesce(F.col(name), F.lit("")), escape_times).alias(name))
+            out.append(clean_cell(F.coalesce(F.col(name), F.lit("")), escape_times, max_chars).alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)
@@ -269,72 +282,97 @@ def ordered_join(df: DataFrame, group_cols: list[str], order_col: str, value_col
     return df.groupBy(*group_cols).agg(agg.alias(alias))
 
 
+def part_no(order_col: str, settings: Settings = DEFAULT) -> Column:
+    """Part of a row: ``part_rows`` consecutive order keys (from 0) are one."""
+    return F.floor(F.col(order_col) / F.lit(settings.part_rows)).cast("bigint")
+
+
 def markdown_table(rows: DataFrame, header: DataFrame, group_cols: list[str], order_col: str, cells_col: str = "cells",
-                   names_col: str = "names", empty_text: str = "*No data to display*", **fmt) -> DataFrame:
-    """Whole table per group: header line, ``---`` line, one line per row in order.
+                   names_col: str = "names", empty_text: str = "*No data to display*", settings: Settings = DEFAULT, **fmt) -> DataFrame:
+    """Tables per group in ordered parts ``(group.., part_no, names, table)``: header and
+    ``---`` line in part 0, one line per row in order.
 
-    ``rows``: ``(group.., order_col, cells)`` already capped; ``header``: ``(group.., names)``.
+    ``rows``: ``(group.., order_col, cells)``, order keys from 0; ``header``: ``(group.., names)``.
     Groups with a header and no rows get ``empty_text``.
     """
     lines = rows.select(*group_cols, order_col, markdown_line(F.col(cells_col), **fmt).alias("_line"))
-    body = ordered_join(lines, group_cols, order_col, "_line", "\n", "_body")
-    out = header.join(body, group_cols, "left")
-    table = F.concat_ws(
-        "\n", markdown_line(F.col(names_col)), separator_line(F.size(names_col)), F.col("_body")
+    return join_parts(lines, header, group_cols, order_col, names_col, empty_text, settings)
+
+
+def join_parts(lines: DataFrame, header: DataFrame, group_cols: list[str], order_col: str, names_col: str = "names",
+               empty_text: str = "*No data to display*", settings: Settings = DEFAULT) -> DataFrame:
+    """Parts of the tables whose row lines are ``_line``; see :func:`markdown_table`."""
+    body = ordered_join(lines.withColumn("part_no", part_no(order_col, settings)), [*group_cols, "part_no"], order_col, "_line", "\n", "_body")
+    found = body.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_parts"))
+    heads = header.join(found, group_cols, "left").select(*group_cols, names_col, "_parts")
+    top = F.concat_ws("\n", markdown_line(F.col(names_col)), separator_line(F.size(names_col)))
+    first = heads.select(
+        *group_cols, F.lit(0).cast("bigint").alias("part_no"), names_col, F.when(F.col("_parts").isNull(), F.lit(empty_text)).otherwise(top).alias("_top")
     )
-    return out.withColumn("table", F.when(F.col("_body").isNull(), F.lit(empty_text)).otherwise(table)).drop("_body")
+    parts = first.join(body, [*group_cols, "part_no"], "full")
+    return parts.select(*group_cols, "part_no", names_col, F.concat_ws("\n", "_top", "_body").alias("table"))
+
+
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 def frame_markdown_table(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
                          group_cols: list[str] | None = None) -> DataFrame:
-    """A Spark DataFrame as Markdown table(s): cleaned cells, first rows/columns.
+    """A Spark DataFrame as Markdown table(s) in parts: ``(group.., part_no, table, names)``.
 
-    Without ``group_cols`` the result is one row; with them, one row per group.
+    Rows are ordered by the raw values of ``order_cols``; cells are cleaned after. With an integral
+    first order column, a part holds ``part_rows`` consecutive values of it; otherwise rows are
+    numbered in blocks first (:func:`corpusprep.operators.ordered.group_index`).
     """
     group_cols = group_cols or []
     value_cols = [c for c in df.columns if c not in group_cols][: settings.max_columns_display]
-    clean = sanitize_table(df.select(*group_cols, *value_cols, *[c for c in order_cols if c not in value_cols and c not in group_cols]))
-    capped = truncate_rows(clean, settings.max_rows_display, order_cols, group_cols or None) if group_cols else truncate_rows(
-        clean, settings.max_rows_display, order_cols
-    )
-    names = [clean_column_name(F.lit(c)) for c in value_cols]
-    key = F.struct(*[F.col(c) for c in order_cols])
-    line = markdown_line_of([F.col(c).cast("string") for c in value_cols])
-    lines = capped.select(*group_cols, key.alias("_ord"), line.alias("_line"))
+    capped = truncate_rows(df, settings.max_rows_display, order_cols, group_cols or None)
     gcols = group_cols or ["_g"]
     if not group_cols:
-        lines = lines.withColumn("_g", F.lit(0))
-    body = ordered_join(lines, gcols, "_ord", "_line", "\n", "_body")
-    head = F.concat_ws("\n", markdown_line_of(names), separator_line(len(names)), F.col("_body"))
-    out = body.select(*gcols, head.alias("table"), F.array(*names).alias("names"))
+        capped = capped.withColumn("_g", F.lit(0))
+    if dict(df.dtypes)[order_cols[0]] in _INTEGRAL:
+        capped = capped.withColumn("_at", F.col(order_cols[0]).cast("bigint"))
+    else:
+        from corpusprep.operators.ordered import group_index
+
+        capped = group_index(capped, gcols, order_cols, "_at")
+    key = F.struct(*[F.col(c) for c in order_cols]).alias("_ord")
+    clean = sanitize_table(capped.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(gcols)], "_at", key, *value_cols), 1, settings.max_cell_chars)
+    names = [clean_column_name(F.lit(c), settings.max_name_chars) for c in value_cols]
+    line = markdown_line_of([F.col(c).cast("string") for c in value_cols])
+    lines = clean.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(gcols)], "_at", "_ord", line.alias("_line"))
+    parts = lines.withColumn("part_no", part_no("_at", settings))
+    body = ordered_join(parts, [*gcols, "part_no"], "_ord", "_line", "\n", "_body")
+    start = body.groupBy(*gcols).agg(F.min("part_no").alias("_from"))
+    out = body.join(start, gcols).withColumn("part_no", F.col("part_no") - F.col("_from"))
+    top = F.when(F.col("part_no") == 0, F.concat_ws("\n", markdown_line_of(names), separator_line(len(names))))
+    out = out.select(*gcols, "part_no", F.concat_ws("\n", top, F.col("_body")).alias("table"), F.array(*names).alias("names"))
     return out.drop("_g") if not group_cols else out
 
 
 def csv_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT, path: str = "path") -> DataFrame:
-    """Cleaned, capped Markdown table per file: ``(path, names, table)``."""
+    """Cleaned Markdown tables in parts per file: ``(path, part_no, names, table)``."""
     k = settings.max_columns_display
     times = 2 if settings.legacy_double_escape else 1
     good = truncate_rows(rows.where(~F.col("bad")), settings.max_rows_display, ["ord"], [path])
-    ncols = headers.select(path, "ncols")
-    m = F.least(F.col("ncols"), F.lit(k))
+    m = at_most(F.col("ncols"), k)
     # exactly min(ncols, k) cells, missing ones null (zip pads the shorter array)
     picked = F.arrays_zip(F.sequence(F.lit(1), m).alias("i"), F.slice(F.col("fields"), F.lit(1), m).alias("c"))
-    cells = good.join(ncols, path).select(
-        path,
-        "ord",
-        F.transform(picked, lambda e: clean_cell(na_to_empty(e["c"]), times)).alias("cells"),
+    cells = good.select(path, "ord", F.transform(picked, lambda e: clean_cell(na_to_empty(e["c"]), times, settings.max_cell_chars)).alias("cells"))
+    names = headers.select(
+        path, F.transform(truncate_columns(header_names("names"), k), lambda n: clean_column_name(n, settings.max_name_chars)).alias("names")
     )
-    names = headers.select(path, F.transform(F.slice(header_names("names"), 1, k), clean_column_name).alias("names"))
-    return markdown_table(cells, names, [path], "ord")
+    return markdown_table(cells, names, [path], "ord", settings=settings)
 
 
 def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CSV", path: str = "path",
                           encoding: Column | str = "utf-8", name: Column | None = None) -> DataFrame:
-    """Markdown document per table file (heading, facts, ``## Data``, table).
-    ``name`` overrides the file name shown (default: base name of ``path``)."""
+    """Markdown document per table file in parts ``(path, part_no, ...)``: heading, facts and
+    ``## Data`` in part 0, then the table. ``name`` overrides the file name shown (default: base
+    name of ``path``); ``encoding`` may be a column of ``profile``."""
     enc = encoding if isinstance(encoding, Column) else F.lit(encoding)
     fname = basename(name if name is not None else F.col(path))
-    j = profile.join(tables.select(path, "table"), path, "left")
+    j = profile.join(tables.select(path, "part_no", "table"), path, "left").withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("bigint")))
     truncated = (F.col("total_rows") > F.col("displayed_rows")) | (F.col("total_columns") > F.col("displayed_columns"))
     dims = F.concat(F.lit("**Dimensions:** "), F.col("total_rows").cast("string"), F.lit(" rows × "),
                     F.col("total_columns").cast("string"), F.lit(" columns"))
@@ -370,13 +408,18 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
         md = F.concat_ws("\n", *parts)
         err = F.lit(None).cast("string")
         parser = f"pandas_{kind.lower()}"
-    return j.select(path, F.lit(parser).alias("parser"), md.alias("markdown"), err.alias("error"))
+    md = F.when(F.col("part_no") == 0, md).otherwise(F.col("table"))
+    return j.select(
+        path, "part_no", F.lit(parser).alias("parser"), md.alias("markdown"), err.alias("error"), "total_rows", "total_columns",
+        *([enc.alias("encoding"), "separator", "strategy", "score", "had_parsing_issues"] if kind == "CSV" else []),
+    )
 
 
 def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path", parser: str = "pandas_csv") -> DataFrame:
     """Files with no non-blank line: no Markdown, an error row."""
     return files.select(path).distinct().join(headers.select(path), path, "left_anti").select(
         path,
+        F.lit(0).cast("bigint").alias("part_no"),
         F.lit(parser).alias("parser"),
         F.lit(None).cast("string").alias("markdown"),
         F.lit("Unable to parse CSV file with any common encoding/separator combination").alias("error"),
@@ -392,124 +435,138 @@ def is_bundle(first_line) -> Column:
 
 
 def bundle_cells(rows: DataFrame, headers: DataFrame, path: str = "path") -> DataFrame:
-    """Long form of bundle files: ``(path, ord, bundle, key, lang, text)`` (one row per
-    translation cell; language = header name of every column but bundle/key)."""
+    """Long form of bundle files: ``(path, ord, bundle, key, lang_ord, lang, text)`` (one row per
+    translation cell; language = header name of every column but bundle/key). A row without any
+    translation has one with a null language."""
     names = headers.select(path, "names")
     j = rows.where(~F.col("bad")).join(names, path)
     cells = j.select(
         path, "ord",
         F.try_element_at(F.col("fields"), F.lit(1)).alias("bundle"),
         F.try_element_at(F.col("fields"), F.lit(2)).alias("key"),
-        F.posexplode(F.slice("fields", 3, 1 << 20)).alias("i", "text"),
+        F.posexplode_outer(F.slice("fields", F.lit(3), F.greatest(F.size("fields"), F.lit(1)))).alias("i", "text"),
         "names",
     )
     return cells.select(path, "ord", "bundle", "key", F.col("i").alias("lang_ord"),
                         F.try_element_at(F.col("names"), F.col("i") + 3).alias("lang"), "text")
 
 
-def bundle_stats(cells: DataFrame, settings: Settings = DEFAULT, path: str = "path") -> DataFrame:
-    """Per bundle file: entries, languages, unique bundles over shown rows, per-language counts.
+def bundle_stats(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT, path: str = "path") -> DataFrame:
+    """Per bundle file and language of its header: entries, unique bundles over shown rows, filled cells.
 
     ``translations`` equals the shown rows as in the original (its count runs
     after blanks became ``''``); ``non_empty`` is the true count of filled cells.
+    Short rows count; a file with a header only has no entries; one without
+    languages has a row with a null language.
     """
-    rows = cells.select(path, "ord", "bundle").distinct()
-    shown = truncate_rows(rows, settings.max_rows_display, ["ord"], [path])
-    per_file = rows.groupBy(path).agg(F.count(F.lit(1)).alias("total_entries"))
+    good = rows.where(~F.col("bad"))
+    cells = bundle_cells(rows, headers, path)
+    shown = truncate_rows(good.select(path, "ord", F.try_element_at(F.col("fields"), F.lit(1)).alias("bundle")), settings.max_rows_display, ["ord"], [path])
+    per_file = good.groupBy(path).agg(F.count(F.lit(1)).alias("total_entries"))
     uniq = shown.groupBy(path).agg(F.countDistinct("bundle").alias("unique_bundles"), F.count(F.lit(1)).alias("displayed_entries"))
-    per_lang = cells.groupBy(path, "lang_ord", "lang").agg(
-        F.count_if(na_to_empty(F.col("text")) != "").alias("non_empty")
-    )
-    out = per_lang.join(per_file, path).join(uniq, path)
-    return out.select(
+    filled = cells.where(na_to_empty(F.col("text")) != "").groupBy(path, "lang_ord").agg(F.count(F.lit(1)).alias("non_empty"))
+    langs = headers.select(path, F.posexplode_outer(F.slice("names", F.lit(3), F.greatest(F.size("names"), F.lit(1)))).alias("lang_ord", "lang"))
+    out = langs.join(per_file, path, "left").join(uniq, path, "left").join(filled, [path, "lang_ord"], "left")
+    counts = ["total_entries", "displayed_entries", "unique_bundles", "non_empty"]
+    return out.fillna(0, counts).select(
         path, "lang_ord", "lang", "total_entries", "displayed_entries", "unique_bundles",
         F.col("displayed_entries").alias("translations"), "non_empty",
     )
 
 
-def bundle_table_line(cells, names) -> Column:
-    """Bundle row with the fallback formatter: pipes escaped, CR/LF -> space,
-    bundle/key cut at 50 (47 + ``...``), translations at 150 (147 + ``...``)."""
+def bundle_table_line(cells, names, settings: Settings = DEFAULT) -> Column:
+    """Bundle row with the fallback formatter: pipes escaped, CR/LF -> space; a limit on
+    characters applies where the settings set one (bundle and key: ``max_name_chars``)."""
     def cell(e):
         c, name = e["c"], F.lower(e["n"])
         c2 = F.translate(F.replace(c, F.lit("|"), F.lit("\\|")), "\n\r", "  ")
-        limited = F.when(name.isin("bundle", "key"), cut(c2, 50)).otherwise(cut(c2, 150))
+        limited = F.when(name.isin("bundle", "key"), cut(c2, settings.max_name_chars)).otherwise(cut(c2, settings.max_cell_chars))
         empty = c.isNull() | F.lower(py_strip(c)).isin("nan", "none", "null")
         return F.when(empty, F.lit("")).otherwise(limited)
 
-    cells = col_of(cells)
-    z = F.arrays_zip(cells.alias("c"), F.slice(col_of(names), F.lit(1), F.size(cells)).alias("n"))
+    # a short row is padded to the header's columns
+    z = F.arrays_zip(col_of(names).alias("n"), col_of(cells).alias("c"))
     return F.concat(F.lit("| "), F.array_join(F.transform(z, cell), " | ", ""), F.lit(" |"))
 
 
 def bundle_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT, path: str = "path") -> DataFrame:
-    """Markdown table per bundle file (``bundle`` column left uncleaned, others cleaned)."""
+    """Markdown tables in parts per bundle file (``bundle`` column left uncleaned, others cleaned)."""
     good = truncate_rows(rows.where(~F.col("bad")), settings.max_rows_display, ["ord"], [path])
-    names = headers.select(path, F.transform(header_names("names"), clean_column_name).alias("names"))
+    names = headers.select(path, F.transform(header_names("names"), lambda n: clean_column_name(n, settings.max_name_chars)).alias("names"))
     j = good.join(names, path)
     z = F.arrays_zip(F.col("fields").alias("c"), F.slice(F.col("names"), F.lit(1), F.size("fields")).alias("n"))
-    cleaned = F.transform(z, lambda e: F.when(F.lower(e["n"]) == "bundle", e["c"]).otherwise(clean_cell(na_to_empty(e["c"]))))
-    lines = j.select(path, "ord", bundle_table_line(cleaned, F.col("names")).alias("_line"))
-    body = ordered_join(lines, [path], "ord", "_line", "\n", "_body")
-    out = names.join(body, path, "left")
-    table = F.concat_ws("\n", markdown_line(F.col("names")), separator_line(F.size("names")), F.col("_body"))
-    return out.select(path, "names", F.when(F.col("_body").isNull(), F.lit("*No translation data to display*")).otherwise(table).alias("table"))
+    cleaned = F.transform(z, lambda e: F.when(F.lower(e["n"]) == "bundle", e["c"]).otherwise(clean_cell(na_to_empty(e["c"]), 1, settings.max_cell_chars)))
+    lines = j.select(path, "ord", bundle_table_line(cleaned, F.col("names"), settings).alias("_line"))
+    return join_parts(lines, names, [path], "ord", "names", "*No translation data to display*", settings)
 
 
 def render_bundle_document(stats: DataFrame, tables: DataFrame, settings: Settings = DEFAULT,
-                           path: str = "path", encoding: str = "utf-8") -> DataFrame:
-    """Translation bundle document: heading, facts, table, summary bullets."""
+                           path: str = "path", encoding: Column | str = "utf-8", name: Column | None = None) -> DataFrame:
+    """Translation bundle document in parts: heading and facts, the table, summary bullets after its last part."""
     langs = stats.groupBy(path).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("lang_ord"), F.col("lang")))).alias("_l"),
+        F.array_sort(F.collect_list(F.when(F.col("lang_ord").isNotNull(), F.struct(F.col("lang_ord"), F.col("lang"))))).alias("_l"),
         F.first("total_entries").alias("total_entries"),
         F.first("unique_bundles").alias("unique_bundles"),
         F.first("displayed_entries").alias("displayed_entries"),
-        F.array_sort(F.collect_list(F.struct(F.col("lang_ord"), F.col("translations")))).alias("_t"),
     )
+    last = tables.groupBy(path).agg(F.max("part_no").alias("_last"))
     lang_names = F.transform("_l", lambda s: s["lang"])
     summary_lines = F.transform(
         F.col("_l"),
         lambda s: F.concat(F.lit("- **"), F.upper(s["lang"]), F.lit(" Translations:** "), F.col("displayed_entries").cast("string")),
     )
-    j = langs.join(tables.select(path, "table"), path, "left")
+    enc = encoding if isinstance(encoding, Column) else F.lit(encoding)
+    j = langs.join(last, path).join(tables.select(path, "part_no", "table"), path)
+    filled, is_first, is_last = F.col("total_entries") > 0, F.col("part_no") == 0, F.col("part_no") == F.col("_last")
     parts = [
-        F.concat(F.lit("# "), basename(F.col(path)), F.lit(" - Translation Bundle\n")),
-        F.lit("**File Type:** Translation Bundle (CSV)"),
-        F.lit(f"**Encoding:** {encoding}"),
-        F.lit("**Structure:** Bundle translations with quoted text support"),
-        F.concat(F.lit("**Languages:** "), F.array_join(lang_names, ", ")),
-        F.concat(F.lit("**Total Entries:** "), F.col("total_entries").cast("string"), F.lit(" translation entries")),
-        F.concat(F.lit("**Total Languages:** "), F.size(lang_names).cast("string")),
-        F.when(F.col("total_entries") > settings.max_rows_display,
-               F.concat(F.lit(f"**Note:** Showing first {settings.max_rows_display} entries out of "), F.col("total_entries").cast("string"))),
-        F.lit("\n## Translation Data\n"),
-        F.when(F.col("total_entries") == 0, F.lit("*No translation data found*")).otherwise(F.col("table")),
-        F.when(F.col("total_entries") > 0, F.lit("\n## Summary\n")),
-        F.when(F.col("total_entries") > 0, F.concat(F.lit("- **Unique Bundles:** "), F.col("unique_bundles").cast("string"))),
-        F.when(F.col("total_entries") > 0, F.array_join(summary_lines, "\n")),
+        F.when(is_first, F.concat_ws(
+            "\n",
+            F.concat(F.lit("# "), basename(name if name is not None else F.col(path)), F.lit(" - Translation Bundle\n")),
+            F.lit("**File Type:** Translation Bundle (CSV)"),
+            F.concat(F.lit("**Encoding:** "), enc),
+            F.lit("**Structure:** Bundle translations with quoted text support"),
+            F.concat(F.lit("**Languages:** "), F.array_join(lang_names, ", ")),
+            F.concat(F.lit("**Total Entries:** "), F.col("total_entries").cast("string"), F.lit(" translation entries")),
+            F.concat(F.lit("**Total Languages:** "), F.size(lang_names).cast("string")),
+            F.when(F.col("total_entries") > F.col("displayed_entries"),
+                   F.concat(F.lit("**Note:** Showing first "), F.col("displayed_entries").cast("string"), F.lit(" entries out of "), F.col("total_entries").cast("string"))),
+            F.lit("\n## Translation Data\n"),
+        )),
+        F.when(filled, F.col("table")).otherwise(F.lit("*No translation data found*")),
+        F.when(filled & is_last, F.concat_ws(
+            "\n", F.lit("\n## Summary\n"), F.concat(F.lit("- **Unique Bundles:** "), F.col("unique_bundles").cast("string")),
+            F.when(F.size("_l") > 0, F.array_join(summary_lines, "\n")),
+        )),
     ]
-    return j.select(path, F.lit("pandas_bundle_csv").alias("parser"), F.concat_ws("\n", *parts).alias("markdown"))
+    return j.select(
+        path, "part_no", F.lit("pandas_bundle_csv").alias("parser"), F.concat_ws("\n", *parts).alias("markdown"), F.lit(None).cast("string").alias("error"),
+        "total_entries", lang_names.alias("languages"), enc.alias("encoding"),
+    )
 
 
 # ---------------------------------------------------------------- workbooks
 
 
 def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFrame:
-    """One document per workbook from per-sheet rows
-    ``(workbook, sheet_idx, sheet_name, row_count, column_count, shown_rows, shown_columns, table, error)``.
+    """Documents of workbooks in parts, from per-sheet rows in parts
+    ``(workbook, sheet_idx, sheet_name, part_no, row_count, column_count, shown_rows, shown_columns, table, error)``.
 
-    Empty sheet -> ``*No data found in this sheet*``; failed sheet -> its error;
-    total rows = sum, max columns = max over sheets with data.
+    One part per part of a sheet, in order: ``(workbook, part_no, parser, markdown, sheet_count,
+    total_rows, max_columns, sheets_data)``. The workbook's heading opens the first. Empty sheet ->
+    ``*No data found in this sheet*``; failed sheet -> its error; total rows = sum, max columns = max
+    over sheets with data; ``sheets_data`` maps each sheet with data to its size.
     """
     ok = F.col("error").isNull() & (F.col("row_count") > 0)
     truncated = (F.col("row_count") > F.col("shown_rows")) | (F.col("column_count") > F.col("shown_columns"))
+    heading = F.concat(F.lit("## Sheet: "), F.col("sheet_name"))
     section = (
-        F.when(F.col("error").isNotNull(), F.concat(F.lit("## Sheet: "), F.col("sheet_name"), F.lit("\n\n*Error processing this sheet: "), F.col("error"), F.lit("*\n")))
-        .when(F.col("row_count") == 0, F.concat(F.lit("## Sheet: "), F.col("sheet_name"), F.lit("\n\n*No data found in this sheet*\n")))
+        F.when(F.col("error").isNotNull(), F.concat(heading, F.lit("\n\n*Error processing this sheet: "), F.col("error"), F.lit("*\n")))
+        .when(F.col("row_count") == 0, F.concat(heading, F.lit("\n\n*No data found in this sheet*\n")))
+        .when(F.col("part_no") > 0, F.concat(F.col("table"), F.lit("\n")))
         .otherwise(
             F.concat_ws(
                 "\n",
-                F.concat(F.lit("## Sheet: "), F.col("sheet_name"), F.lit("\n")),
+                F.concat(heading, F.lit("\n")),
                 F.concat(F.lit("**Dimensions:** "), F.col("row_count").cast("string"), F.lit(" rows × "), F.col("column_count").cast("string"), F.lit(" columns")),
                 F.when(truncated, F.concat(F.lit(" *(showing "), F.col("shown_rows").cast("string"), F.lit(" rows × "), F.col("shown_columns").cast("string"), F.lit(" columns)*"))),
                 F.lit("\n"),
@@ -517,27 +574,30 @@ def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFram
             )
         )
     )
-    per_sheet = sheets.withColumn("_section", section)
-    agg = per_sheet.groupBy(workbook).agg(
-        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet_name", "_section"))).alias("_s"),
-        F.sum(F.when(ok, F.col("row_count")).otherwise(0)).alias("total_rows"),
-        F.max(F.when(ok, F.col("column_count")).otherwise(0)).alias("max_columns"),
-        F.count(F.lit(1)).alias("sheet_count"),
+    size = F.struct(F.col("row_count").cast("bigint").alias("rows"), F.col("column_count").cast("bigint").alias("columns"))
+    facts = sheets.where("part_no = 0").groupBy(workbook).agg(
+        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet_name"))).alias("_s"),
+        F.sum(F.when(ok, F.col("row_count")).otherwise(0)).cast("bigint").alias("total_rows"),
+        F.max(F.when(ok, F.col("column_count")).otherwise(0)).cast("bigint").alias("max_columns"),
+        F.count(F.lit(1)).cast("bigint").alias("sheet_count"),
+        F.map_from_entries(F.array_distinct(F.collect_list(F.when(ok, F.struct("sheet_name", size))))).alias("sheets_data"),
     )
+    # a workbook's parts are few: a row for each part of a sheet
+    order = Window.partitionBy(workbook).orderBy("sheet_idx", "part_no")
+    parts = sheets.select(workbook, "sheet_idx", F.row_number().over(order).cast("bigint").alias("_n"), section.alias("_section"))
+    j = parts.join(facts, workbook)
     names = F.transform("_s", lambda s: s["sheet_name"])
-    md = F.concat_ws(
+    head = F.concat_ws(
         "\n",
         F.concat(F.lit("# "), basename(F.col(workbook)), F.lit("\n")),
         F.lit("**File Type:** Excel"),
         F.concat(F.lit("**Number of Sheets:** "), F.col("sheet_count").cast("string")),
         F.concat(F.lit("**Sheet Names:** "), F.array_join(names, ", "), F.lit("\n")),
-        F.array_join(F.transform("_s", lambda s: s["_section"]), "\n"),
     )
-    return agg.select(
-        workbook, F.lit("pandas_excel").alias("parser"), md.alias("markdown"),
-        F.col("sheet_count").cast("bigint").alias("sheet_count"),
-        F.col("total_rows").cast("bigint").alias("total_rows"),
-        F.col("max_columns").cast("bigint").alias("max_columns"),
+    md = F.concat_ws("\n", F.when(F.col("_n") == 1, head), F.col("_section"))
+    return j.select(
+        workbook, (F.col("_n") - 1).alias("part_no"), F.lit("pandas_excel").alias("parser"), md.alias("markdown"),
+        "sheet_count", "total_rows", "max_columns", "sheets_data",
     )
 
 
@@ -553,30 +613,34 @@ def _once(df: DataFrame, materialize: bool) -> DataFrame:
 
 
 def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", kind: str = "CSV",
-                  materialize: bool = True, name: Column | None = None) -> DataFrame:
-    """Delimited files in line form -> one document per file (unreadable ones as error rows).
+                  materialize: bool = True, name: Column | None = None, texts: DataFrame | None = None,
+                  encoding: Column | str = "utf-8") -> DataFrame:
+    """Delimited files in line form -> documents in parts (unreadable ones as error rows).
 
-    The parsed rows feed the profile, the table and the unreadable check; with
-    ``materialize`` they are computed once into the checkpoint folder instead
-    of once per branch.
+    With ``texts`` (``path, text``, the whole files), records may span lines inside quotes. The parsed
+    rows feed the profile, the table and the unreadable check; with ``materialize`` they are computed
+    once into the checkpoint folder instead of once per branch.
     """
     if kind == "CSV":
         dialects = pick_csv_dialect(score_csv_dialects(lines, path=path), path=path)
     else:
         dialects = lines.select(path).distinct().withColumn("separator", F.lit("\t")).withColumn("score", F.lit(0))
     dialects = _once(dialects, materialize)
-    rows, headers = parse_csv_lines(lines, dialects, path=path)
+    records = lines if texts is None else csv_records(texts, dialects, path)
+    rows, headers = parse_csv_lines(records, dialects, path=path)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
     prof = table_profile(rows, headers, dialects, settings, path=path)
-    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name)
-    return docs.unionByName(unreadable_documents(lines, headers, path=path, parser=f"pandas_{kind.lower()}"))
+    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name, encoding=encoding)
+    return docs.unionByName(unreadable_documents(lines, headers, path=path, parser=f"pandas_{kind.lower()}"), allowMissingColumns=True)
 
 
-def bundle_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", materialize: bool = True) -> DataFrame:
-    """Translation bundle files in line form -> one document per bundle file."""
+def bundle_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", materialize: bool = True,
+                     name: Column | None = None, texts: DataFrame | None = None, encoding: Column | str = "utf-8") -> DataFrame:
+    """Translation bundle files in line form -> documents in parts."""
     first = lines.groupBy(path).agg(F.min_by(F.col("line"), F.col("ord")).alias("first_line"))
     dialects = first.where(is_bundle("first_line")).select(path, F.lit(",").alias("separator"))
-    rows, headers = parse_csv_lines(lines, dialects, path=path, skip_initial_space=True)
+    records = lines if texts is None else csv_records(texts, dialects, path)
+    rows, headers = parse_csv_lines(records, dialects, path=path, skip_initial_space=True)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
-    stats = bundle_stats(bundle_cells(rows, headers, path=path), settings, path=path)
-    return render_bundle_document(stats, bundle_tables(rows, headers, settings, path=path), settings, path=path)
+    stats = bundle_stats(rows, headers, settings, path=path)
+    return render_bundle_document(stats, bundle_tables(rows, headers, settings, path=path), settings, path=path, name=name, encoding=encoding)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.functions.paths import extension
-from corpusprep.functions.text import fence, json_valid, pretty_json
+from corpusprep.functions.text import fence, pretty_json
 
 # Code extensions rendered as fenced blocks tagged with the extension.
 CODE_EXTS = [".py", ".js", ".java", ".cs", ".c", ".cpp", ".go", ".rb", ".php", ".rs", ".kt", ".swift"]
@@ -20,16 +20,13 @@ def render_simple(files: DataFrame, path_col: str = "path", text_col: str = "tex
     ``.json``: pretty-printed (indent 2) in a ``json`` fence when valid, else the
     raw text in a bare fence with ``error`` set. Code: fence tagged with the
     extension, ``language`` set. Anything else (``.txt`` and unknown types): the
-    text unchanged. The JSON pretty printer is the only Python step and gets
-    nulls for every row that is not valid JSON.
+    text unchanged. The JSON pretty printer is the only Python step; it decides
+    validity too and gets nulls for every row that is no JSON file.
     """
     ext = extension(F.col(path_col))
     text = F.col(text_col)
     is_json = ext == ".json"
-    is_code = ext.isin(*CODE_EXTS)
-    valid = json_valid(text)
-    lang = F.regexp_replace(ext, r"^\.", "")
-    out = files.withColumn("_ext", ext).withColumn("_pretty", pretty_json(F.when(is_json & valid, text)))
+    out = files.withColumn("_ext", ext).withColumn("_pretty", pretty_json(F.when(is_json, text)))
     ext_c = F.col("_ext")
     is_json = ext_c == ".json"
     is_code = ext_c.isin(*CODE_EXTS)

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from corpusprep.config import DEFAULT, Settings
 from corpusprep.functions.html import html_title, html_to_markdown, with_front_matter, fix_media_paths, fix_table_captions
 from corpusprep.functions.paths import basename, extension, is_temp_file
-from corpusprep.functions.text import decode_text
+from corpusprep.functions.text import decode_detected, decode_text, detect_encoding, normalize_newlines
 from corpusprep.operators import links, package, report, routing, tables
 from corpusprep.operators.html import with_toc
 from corpusprep.operators.text import render_simple
+from corpusprep.session import materialize
 from corpusprep.sources.folder import scan_folder, text_lines
 
 NOT_BUILT = "no parser for this binary format in this build"
@@ -37,11 +38,21 @@ def _meta(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return package.metadata_json(df, extra)
 
 
+def _table_docs(docs: DataFrame, facts: list[str], key: str) -> DataFrame:
+    """Documents keyed by ``_tkey`` with their file's key and path again, and metadata of the parser."""
+    back = docs.withColumn("path", F.get_json_object("_tkey", "$.path"))
+    if key != "path":
+        back = back.withColumn(key, F.get_json_object("_tkey", f"$.{key}").cast("bigint"))
+    return _meta(back.withColumn("source_filename", basename("path")), [*facts, "error"])
+
+
 def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: Settings = DEFAULT,
                   key: str = "path", custom: dict | None = None, kind_col: str = "processor") -> DataFrame:
     """Documents from routed files that carry decoded ``text``:
-    ``(key, path, parser, markdown, error, metadata)``; one branch per kind.
-    ``key`` identifies a file when paths repeat (table form).
+    ``(key, path, part_no, parser, markdown, error, metadata)``; one branch per
+    kind. Tables come in parts from 0, everything else as part 0. ``key`` is what
+    identifies a file. ``encoding``, where the files have it, is named in the
+    documents of tables.
 
     ``custom`` maps a processor name (registered with
     :func:`corpusprep.operators.routing.register`) to a DataFrame function: it
@@ -52,7 +63,8 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     input (as in :func:`convert_folder`), Catalyst prunes every other input
     from each branch, so each file is read by one branch only.
     """
-    DOC_COLS = list(dict.fromkeys([key, "path", "parser", "markdown", "error", "metadata"]))
+    DOC_COLS = list(dict.fromkeys([key, "path", "part_no", "parser", "markdown", "error", "metadata"]))
+    first_part = F.lit(0).cast("bigint")
     custom = custom or {}
     todo = routed.where(~F.col("_skip"))
     proc = F.col(kind_col)
@@ -60,11 +72,11 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     out = []
     for name, fn in custom.items():
         mine = todo.where(proc == name).select(*list(dict.fromkeys([key, "path", "source_filename", "text"])))
-        out.append(_meta(fn(mine)).select(*DOC_COLS))
+        out.append(_meta(fn(mine)).withColumn("part_no", first_part).select(*DOC_COLS))
     todo = todo.where(~proc.isin(*custom)) if custom else todo
 
     simple = render_simple(todo.where(proc == "simple"))
-    out.append(_meta(simple, ["language", "error"]).select(*DOC_COLS))
+    out.append(_meta(simple, ["language", "error"]).withColumn("part_no", first_part).select(*DOC_COLS))
 
     md = todo.where(proc == "markdown").withColumn("parser", F.lit("md_custom")).withColumn("markdown", F.col("text"))
     if media is not None:
@@ -73,7 +85,7 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
         res = links.resolve_local_refs(refs, md_docs, media)
         md = links.rewrite_links(md_docs, res).drop("path").withColumnRenamed("doc_key", "path")
     md = md.withColumn("error", F.lit(None).cast("string"))
-    out.append(_meta(md).select(*DOC_COLS))
+    out.append(_meta(md).withColumn("part_no", first_part).select(*DOC_COLS))
 
     html = todo.where((proc == "converter") & ext.isin(".html", ".htm"))
     body = html_to_markdown(F.col("text"))
@@ -83,17 +95,22 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     if settings.pandoc_toc:
         html = with_toc(html)
     html = html.withColumn("parser", F.lit("pandoc")).withColumn("error", F.lit(None).cast("string"))
-    out.append(_meta(html, ["title"]).select(*DOC_COLS))
+    out.append(_meta(html, ["title"]).withColumn("part_no", first_part).select(*DOC_COLS))
 
     for kind, ext_name in (("CSV", ".csv"), ("TSV", ".tsv")):
-        tab = todo.where((proc == "tabular") & (ext == ext_name)).select(key, "path", "text")
-        tkey = "_tkey"
-        lines = text_lines(tab.withColumn(tkey, F.to_json(F.struct(F.col(key), F.col("path")))), path=tkey)
-        t_docs = tables.csv_documents(lines, settings, path=tkey, kind=kind, materialize=True,
-                                      name=F.get_json_object(F.col(tkey), "$.path"))
-        t_docs = t_docs.join(tab.withColumn(tkey, F.to_json(F.struct(F.col(key), F.col("path")))).drop("text"), tkey).drop(tkey)
-        t_docs = t_docs.withColumn("source_filename", basename("path"))
-        out.append(_meta(t_docs).select(*DOC_COLS))
+        encoding = F.col("encoding") if "encoding" in todo.columns else F.lit("utf-8")
+        tab = todo.where((proc == "tabular") & (ext == ext_name)).select(*dict.fromkeys([key, "path"]), "text", encoding.alias("encoding"))
+        bundle = tables.is_bundle(F.substring_index("text", "\n", 1)) & F.lit(kind == "CSV")
+        keyed = tab.withColumn("_tkey", F.to_json(F.struct(key, "path", "encoding"))).withColumn("_bundle", bundle)
+        shown = {"name": F.get_json_object(F.col("_tkey"), "$.path"), "encoding": F.get_json_object(F.col("_tkey"), "$.encoding")}
+        plain = keyed.where(~F.col("_bundle"))
+        docs = tables.csv_documents(text_lines(plain, path="_tkey"), settings, path="_tkey", kind=kind, texts=plain, **shown)
+        facts = ["encoding", "separator", "strategy", "score", "had_parsing_issues", "total_rows", "total_columns"] if kind == "CSV" else ["total_rows", "total_columns"]
+        out.append(_table_docs(docs, facts, key).select(*DOC_COLS))
+        if kind == "CSV":
+            bundles = keyed.where(F.col("_bundle"))
+            docs = tables.bundle_documents(text_lines(bundles, path="_tkey"), settings, path="_tkey", texts=bundles, **shown)
+            out.append(_table_docs(docs, ["encoding", "total_entries", "languages"], key).select(*DOC_COLS))
 
     if kind_col == "processor":  # with a literal kind column the caller reports unread kinds itself
         rest = todo.where(
@@ -102,7 +119,7 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
             & ~((proc == "tabular") & ext.isin(".csv", ".tsv"))
         )
         rest = rest.select(
-            *list(dict.fromkeys([key, "path"])), F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"),
+            *list(dict.fromkeys([key, "path"])), first_part.alias("part_no"), F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"),
             F.lit(NOT_BUILT).alias("error"), F.to_json(F.struct(F.col("source_filename"), F.col("processor").alias("parser"))).alias("metadata"),
         )
         out.append(rest)
@@ -116,16 +133,32 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
 def convert_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str = "", media: DataFrame | None = None,
                   registry: DataFrame | None = None, custom: dict | None = None):
     """(docs, outcomes) for a ``binaryFile`` listing. ``content`` is decoded in
-    the same projection that routes, and dropped before any shuffle."""
-    routed = route_files(files.select("path", "content"), settings, suffix, registry)
-    textual = routed.withColumn("text", decode_text(F.col("content"))).drop("content")
+    the same projection that routes, and dropped before any shuffle. Of files that
+    would have the same package, one is converted (:func:`resolve_collisions`)."""
+    routed = resolve_collisions(route_files(files.select("path", "content"), settings, suffix, registry))
+    textual = _decoded(routed)
     docs = convert_texts(textual, media, settings, custom=custom)
     named = docs.join(routed.select("path", "package", "source_filename"), "path")
     outs = report.outcomes(routed, docs)
     return named, outs
 
 
-# Extensions read as media of Markdown documents (by glob, any case).
+def resolve_collisions(routed: DataFrame) -> DataFrame:
+    """Files that lose their package's name to another (:func:`routing.name_collisions`) are skipped."""
+    named = routed.where(~F.col("_skip")).select("path", "package")
+    losers = routing.name_collisions(named).where(~F.col("survivor")).select("path", F.lit(True).alias("_lost")).distinct()
+    return routed.join(losers, "path", "left").withColumn("_skip", F.col("_skip") | F.coalesce("_lost", F.lit(False))).drop("_lost")
+
+
+def _decoded(files: DataFrame) -> DataFrame:
+    """``text`` and ``encoding`` of ``content``: tables by the encodings tried in turn, other files as UTF-8."""
+    tabular = extension("path").isin(".csv", ".tsv")
+    content = F.col("content")
+    text = F.when(tabular, normalize_newlines(decode_detected(content))).otherwise(decode_text(content))
+    return files.withColumn("text", text).withColumn("encoding", detect_encoding(content)).drop("content")
+
+
+# Extensions of media looked for where no document refers to any.
 MEDIA_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".svg", ".webp", ".tif", ".tiff", ".ico"]
 TEXT_KINDS = {"simple": None, "markdown": None, "converter": [".html", ".htm"], "tabular": [".csv", ".tsv"]}
 
@@ -170,7 +203,7 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
     custom = custom or {}
     strip = F.regexp_replace("path", "^file:", "")
     listing = scan_folder(spark, in_dir).select(strip.alias("path"))
-    routed = route_files(listing, settings, suffix, registry)
+    routed = materialize(resolve_collisions(route_files(listing, settings, suffix, registry)))
 
     kinds = _text_kinds(spark, registry, settings, custom)
     parts = [
@@ -180,14 +213,17 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
     contents = parts[0]
     for p_ in parts[1:]:
         contents = contents.unionByName(p_)
-    textual = route_files(contents, settings, suffix, registry).withColumn("text", decode_text(F.col("content"))).drop("content")
-    media = scan_folder(spark, in_dir, recursive=True, glob=_glob(MEDIA_EXTS)).select(strip.alias("path"), F.col("content").alias("bytes"))
-    docs = convert_texts(textual, media.select("path"), settings, custom=custom, kind_col="_kind")
+    kept = routed.where(~F.col("_skip")).select("path")
+    textual = _decoded(route_files(contents, settings, suffix, registry).join(kept, "path", "left_semi"))
+    # the listing holds no bytes; those of the files referred to are read below
+    listing_below = scan_folder(spark, in_dir, recursive=True).select(strip.alias("path"))
+    docs = materialize(convert_texts(textual, listing_below, settings, custom=custom, kind_col="_kind"))
     handled = F.lit(False)
     for kind, exts in kinds.items():
         handled = handled | ((F.col("processor") == kind) & extension("path").isin(*exts))
     unread = routed.where(~F.col("_skip") & ~handled).select(
-        "path", F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"), F.lit(NOT_BUILT).alias("error"),
+        "path", F.lit(0).cast("bigint").alias("part_no"), F.col("processor").alias("parser"), F.lit(None).cast("string").alias("markdown"),
+        F.lit(NOT_BUILT).alias("error"),
         F.to_json(F.struct(F.col("source_filename"), F.col("processor").alias("parser"))).alias("metadata"),
     )
     docs = docs.unionByName(unread).join(routed.select("path", "package"), "path")
@@ -199,16 +235,16 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
     md_src = textual.where(~F.col("_skip") & (F.col("_kind") == "markdown")).select(
         F.col("path").alias("doc_key"), "path", "package", F.col("text").alias("markdown")
     )
-    refs = links.resolve_local_refs(links.distinct_refs(links.image_refs(md_src)), md_src, media.select("path")).where("exists")
-    media_rows = (
-        refs.join(md_src.select("doc_key", "package"), "doc_key")
-        .join(media.withColumnRenamed("path", "resolved"), "resolved")
-        .select("package", F.col("media_name").alias("name"), "bytes")
-        .dropDuplicates(["package", "name"])
-    )
-    ok_pkgs = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0)).select("package")
+    refs = materialize(links.resolve_local_refs(links.distinct_refs(links.image_refs(md_src)), md_src, listing_below).where("exists").join(
+        md_src.select("doc_key", "package"), "doc_key").select("doc_key", "package", "media_name", "resolved", "syntax", "pos"))
+    # of refs that come to one media name, the last counts; whatever its extension is, the file is read
+    last = refs.groupBy("package", "media_name").agg(F.max_by("resolved", F.struct("syntax", "pos")).alias("resolved"))
+    exts = [r[0] for r in refs.select(extension("resolved")).distinct().collect()]  # a few kinds of files
+    media = scan_folder(spark, in_dir, recursive=True, glob=None if "" in exts else _glob(exts or MEDIA_EXTS))
+    media_rows = last.join(media.select(strip.alias("resolved"), F.col("content").alias("bytes")), "resolved")
+    ok_pkgs = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0)).select("package").distinct()
     media_entries = media_rows.join(ok_pkgs, "package", "left_semi").select(
-        "package", F.concat(F.lit("media/"), F.col("name")).alias("entry"), F.lit("media").alias("kind"), "bytes"
+        "package", F.concat(F.lit("media/"), F.col("media_name")).alias("entry"), F.lit("media").alias("kind"), "bytes"
     )
     write_packages(entries.unionByName(media_entries), out_dir)
     return outs
@@ -219,9 +255,11 @@ def convert_tables(spark: SparkSession, sf_dir: str, settings: Settings = DEFAUL
     from corpusprep.plans.standins import doc_files
     from corpusprep.sources.tables import table
 
-    files = doc_files(spark, sf_dir).select("path", "text")
+    files = doc_files(spark, sf_dir).select("doc_id", "path", "text")
+    # pages are keyed below zero, apart from documents
     pages = table(spark, sf_dir, "pages").select(
+        (-1 - F.col("page_id")).cast("bigint").alias("doc_id"),
         F.concat(F.lit("/corpus/in/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text")
     )
     routed = route_files(files.unionByName(pages), settings)
-    return convert_texts(routed, None, settings)
+    return convert_texts(routed, None, settings, key="doc_id")

@@ -67,21 +67,21 @@ def py_strip(e: str) -> str:
     return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
 
 
-def cut(e: str, limit: int) -> str:
-    return f"CASE WHEN length({e}) > {limit} THEN substr({e}, 1, {limit - 3}) || '...' ELSE {e} END"
-
-
 def clean_cell(e: str) -> str:
     s = py_strip(e)
     esc = f"regexp_replace(regexp_replace({s}, '\\s+', ' ', 'g'), '([|\\[\\]])', '\\\\\\1', 'g')"
-    return (f"CASE WHEN {e} IS NULL OR {e} = '' OR {s} = '' OR lower({e}) IN ('nan', 'none', 'null') THEN '' "
-            f"ELSE {py_strip(cut(esc, 500))} END")
+    return f"CASE WHEN {e} IS NULL OR {s} = '' OR lower({e}) IN ('nan', 'none', 'null') THEN '' ELSE {py_strip(esc)} END"
 
 
 def clean_column_name(e: str) -> str:
     s = py_strip(e)
     return (f"CASE WHEN {e} IS NULL OR {s} IN ('', 'nan', 'NaN', 'None') THEN 'Unnamed_Column' "
-            f"ELSE {cut(f'translate({s}, ' + lit('|' + chr(10) + chr(13)) + ", '_  ')", 50)} END")
+            f"ELSE translate({s}, {lit('|' + chr(10) + chr(13))}, '_  ') END")
+
+
+def table_part(ord_: str) -> str:
+    """Part of a table that a row is in: ten thousand order keys each."""
+    return f"CAST(floor(({ord_}) / 10000) AS BIGINT)"
 
 
 def ext_img_name(u: str) -> str:
@@ -338,10 +338,10 @@ FROM md_docs m LEFT JOIN lk USING (doc_key)"""
 _NA = ", ".join(lit(v) for v in NA_VALUES)
 
 
-def split_sql(line: str, sep: str, lead: str = "") -> str:
-    rx = f"'{lead}(\"[^\"]*(?:\"\"[^\"]*)*\"|[^\"' || {sep} || ']*)' || {sep}"
-    return (f"list_transform(regexp_extract_all({line} || {sep}, {rx}, 1), lambda f: CASE WHEN starts_with(f, '\"') "
-            f"AND ends_with(f, '\"') AND length(f) >= 2 THEN replace(substr(f, 2, length(f) - 2), '\"\"', '\"') ELSE f END)")
+def split_sql(line: str, sep: str) -> str:
+    """Fields of a line. No quoted field of the stand-in files holds a separator or a quote."""
+    return (f"list_transform(string_split({line}, {sep}), lambda f: CASE WHEN starts_with(f, '\"') AND ends_with(f, '\"') AND length(f) >= 2 "
+            f"THEN substr(f, 2, length(f) - 2) ELSE f END)")
 
 
 def na_empty(e: str) -> str:
@@ -361,15 +361,14 @@ def _table_ctes(lines_sql: str, kind: str = "CSV") -> str:
     """CTE chain from a ``csv_lines`` CTE (path, ord, line) to ``prof``; TSV skips scoring."""
     if kind == "CSV":
         dialect = f"""
-ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM csv_lines),
-heads AS (SELECT path, list(line ORDER BY ord) AS head FROM ranked WHERE rn <= 128 GROUP BY path),
+heads AS (SELECT path, list(line ORDER BY ord) AS head FROM csv_lines GROUP BY path),
 seps(separator, sep_ord) AS (VALUES (';', 0), (',', 1), (chr(9), 2)),
 x AS (SELECT path, separator, sep_ord, head, list_filter(head, lambda l: l <> '') AS nb FROM heads, seps),
 y AS (SELECT *, nb[1] AS header, len({split_sql('nb[1]', 'separator')}) AS ncols FROM x WHERE len(nb) > 0),
-z AS (SELECT *, list_filter(nb[2:101], lambda l: len({split_sql('l', 'separator')}) <= ncols) AS good FROM y),
+z AS (SELECT *, list_filter(nb[2:], lambda l: len({split_sql('l', 'separator')}) <= ncols) AS good FROM y),
 w AS (SELECT *, len(good) AS n_df,
          coalesce(nullif({na_empty(split_sql('good[1]', 'separator') + '[1]')}, ''), 'nan') AS first_cell,
-         list_transform(list_filter(list_transform(head[1:least(10, len(good) + 1)], lambda l: {py_strip('l')}), lambda l: l <> ''),
+         list_transform(list_filter(list_transform(head, lambda l: {py_strip('l')}), lambda l: l <> ''),
                         lambda l: length(l) - length(replace(l, separator, ''))) AS counts,
          len(list_filter({split_sql('header', 'separator')}, lambda n: (separator <> ',' AND NOT contains(n, ','))
              OR (separator <> ';' AND NOT contains(n, ';')) OR (separator <> chr(9) AND NOT contains(n, chr(9))))) AS quality
@@ -407,19 +406,18 @@ ORACLES["csv_dialect_scores"] = f"WITH {_SCORES} SELECT path, separator, CAST(sc
 ORACLES["csv_dialects"] = f"WITH {_SCORES} SELECT path, separator, CAST(score AS BIGINT) AS score FROM dialects"
 ORACLES["csv_profiles"] = f"""WITH {_SCORES}
 SELECT path, CAST(total_rows AS BIGINT) AS total_rows, CAST(ncols AS BIGINT) AS total_columns,
-       CAST(least(total_rows, 1000) AS BIGINT) AS displayed_rows, CAST(least(ncols, 50) AS BIGINT) AS displayed_columns,
+       CAST(total_rows AS BIGINT) AS displayed_rows, CAST(ncols AS BIGINT) AS displayed_columns,
        separator, CAST(score AS BIGINT) AS score, CASE WHEN bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END AS strategy,
        bad_lines > 0 AS had_parsing_issues
 FROM prof"""
 
 _CELL = clean_cell(na_empty("c"))
-_HDR_NAMES = (f"list_transform(list_transform(names, lambda n, i: CASE WHEN trim(n) = '' THEN 'Unnamed: ' || CAST(i - 1 AS VARCHAR) ELSE n END)[1:50], "
+_HDR_NAMES = (f"list_transform(list_transform(names, lambda n, i: CASE WHEN trim(n) = '' THEN 'Unnamed: ' || CAST(i - 1 AS VARCHAR) ELSE n END), "
               f"lambda n: {clean_column_name('n')})")
 def table_docs_sql(lines_sql: str, kind: str = "CSV", name: str | None = None) -> str:
-    """``(path, parser, markdown, error)`` documents of delimited files in line form."""
+    """``(path, part_no, parser, markdown, error)`` documents of delimited files in line form."""
     name = name or basename("p.path")
     dims = "'**Dimensions:** ' || CAST(p.total_rows AS VARCHAR) || ' rows × ' || CAST(p.ncols AS VARCHAR) || ' columns'"
-    shown = "CAST(least(p.total_rows, 1000) AS VARCHAR) || ' rows × ' || CAST(least(p.ncols, 50) AS VARCHAR) || ' columns)'"
     table = f"concat_ws(chr(10), {md_line(_HDR_NAMES)}, {sep_line('len(' + _HDR_NAMES + ')')}, t.body)"
     q = "'"
     if kind == "CSV":
@@ -431,27 +429,26 @@ def table_docs_sql(lines_sql: str, kind: str = "CSV", name: str | None = None) -
             f"'**Parsing Strategy:** ' || CASE WHEN p.bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END, "
             f"'**Detection Score:** ' || printf('%.2f', CAST(p.score AS DOUBLE)), {dims}, "
             f"CASE WHEN p.bad_lines > 0 THEN '**Note:** Some malformed lines were skipped during parsing for data quality.' END, "
-            f"CASE WHEN p.total_rows > 1000 OR p.ncols > 50 THEN '**Display Note:** Data truncated for display (showing ' || {shown} END, "
             f"chr(10) || '## Data' || chr(10), {table}) END"
         )
         err = "CASE WHEN p.total_rows = 0 THEN 'Empty or unreadable file' END"
     else:
         md = (
             f"concat_ws(chr(10), '# ' || {name} || chr(10), '**File Type:** {kind}', {dims}, "
-            f"CASE WHEN p.total_rows > 1000 OR p.ncols > 50 THEN '**Note:** Data truncated for display (showing ' || {shown} END, "
             f"chr(10) || '## Data' || chr(10), CASE WHEN p.total_rows = 0 THEN '*No data found in file*' ELSE {table} END)"
         )
         err = "CAST(NULL AS VARCHAR)"
     parser = f"pandas_{kind.lower()}"
-    cells = f"list_transform(list_transform(range(1, least(p.ncols, 50) + 1), lambda i: g.fields[i]), lambda c: {_CELL})"
+    cells = f"list_transform(list_transform(range(1, p.ncols + 1), lambda i: g.fields[i]), lambda c: {_CELL})"
     return f"""WITH {_table_ctes(lines_sql, kind)},
-good AS (SELECT path, ord, fields, row_number() OVER (PARTITION BY path ORDER BY ord) AS r FROM body WHERE len(fields) <= ncols),
-lines AS (SELECT g.path, g.ord, {md_line(cells)} AS line FROM good g JOIN prof p USING (path) WHERE g.r <= 1000),
-tabs AS (SELECT path, string_agg(line, chr(10) ORDER BY ord) AS body FROM lines GROUP BY path),
-docs AS (SELECT p.path, '{parser}' AS parser, {md} AS markdown, {err} AS error FROM prof p LEFT JOIN tabs t USING (path))
+lines AS (SELECT g.path, g.ord, {md_line(cells)} AS line FROM body g JOIN prof p USING (path) WHERE len(g.fields) <= g.ncols),
+tabs AS (SELECT path, {table_part('ord')} AS part_no, string_agg(line, chr(10) ORDER BY ord) AS body FROM lines GROUP BY ALL),
+parts AS (SELECT path, CAST(0 AS BIGINT) AS part_no FROM prof UNION SELECT path, part_no FROM tabs),
+docs AS (SELECT p.path, i.part_no, '{parser}' AS parser, CASE WHEN i.part_no = 0 THEN {md} ELSE t.body END AS markdown, {err} AS error
+         FROM parts i JOIN prof p USING (path) LEFT JOIN tabs t ON t.path = i.path AND t.part_no = i.part_no)
 SELECT * FROM docs
 UNION ALL
-SELECT DISTINCT path, '{parser}', NULL, 'Unable to parse CSV file with any common encoding/separator combination'
+SELECT DISTINCT path, CAST(0 AS BIGINT), '{parser}', NULL, 'Unable to parse CSV file with any common encoding/separator combination'
 FROM csv_lines WHERE path NOT IN (SELECT path FROM hdr3)"""
 
 
@@ -469,16 +466,16 @@ WHERE r <= 1000"""
 
 
 def _frame_table(src: str, cols: list[tuple[str, bool]], order: str, group: str | None = None) -> str:
-    """SQL for a cleaned, capped Markdown table of ``src`` (``cols``: name, is_text)."""
+    """SQL for cleaned Markdown tables of ``src`` in parts (``cols``: name, is_text)."""
     cells = ", ".join(clean_cell(f"coalesce({c}, '')") if t else f"CAST({c} AS VARCHAR)" for c, t in cols)
     names = ", ".join(lit(c) for c, _ in cols)
     g = f"{group}, " if group else ""
-    part = f"PARTITION BY {group} " if group else ""
+    over = f"PARTITION BY {group}" if group else ""
     return f"""
-  SELECT {g}concat_ws(chr(10), {md_line('[' + names + ']')}, {sep_line(str(len(cols)))},
-         string_agg({md_line('[' + cells + ']')}, chr(10) ORDER BY {order})) AS "table"
-  FROM (SELECT *, row_number() OVER ({part}ORDER BY {order}) AS r FROM {src}) WHERE r <= 1000
-  {'GROUP BY ' + group if group else ''}"""
+  SELECT {g}part_no, CASE WHEN part_no = 0 THEN {md_line('[' + names + ']')} || chr(10) || {sep_line(str(len(cols)))} || chr(10) ELSE '' END
+         || string_agg({md_line('[' + cells + ']')}, chr(10) ORDER BY {order}) AS "table"
+  FROM (SELECT *, {table_part(order)} - min({table_part(order)}) OVER ({over}) AS part_no FROM {src})
+  GROUP BY {g}part_no"""
 
 
 ORACLES["orders_status_tables"] = _frame_table(
@@ -505,9 +502,7 @@ SELECT path, starts_with({py_strip('first_line')}, 'bundle,"key"') AS is_bundle
 _LANGS = ["en", "fr", "de", "es"]
 _BUNDLE_BASE = """
 b AS (SELECT doc_id, source, lang, regexp_replace(text, chr(10), ' ', 'g') AS t FROM documents),
-shown AS (SELECT * FROM b ORDER BY doc_id LIMIT 1000),
-facts AS (SELECT (SELECT count(*) FROM b) AS total_entries, (SELECT count(*) FROM shown) AS displayed,
-                 (SELECT count(DISTINCT source) FROM shown) AS unique_bundles)"""
+facts AS (SELECT count(*) AS total_entries, count(*) AS displayed, count(DISTINCT source) AS unique_bundles FROM b)"""
 
 ORACLES["bundle_language_stats"] = f"""
 WITH {_BUNDLE_BASE},
@@ -519,26 +514,28 @@ SELECT '/corpus/csv/messages.csv' AS path, l.lang, CAST(f.total_entries AS BIGIN
 FROM langs l, facts f"""
 
 
-def _bundle_cell(e: str, limit: int) -> str:
+def _bundle_cell(e: str) -> str:
     esc = f"replace(replace(replace({e}, '|', '\\|'), chr(10), ' '), chr(13), ' ')"
-    return f"CASE WHEN lower({py_strip(e)}) IN ('nan', 'none', 'null') THEN '' ELSE {cut(esc, limit)} END"
+    return f"CASE WHEN lower({py_strip(e)}) IN ('nan', 'none', 'null') THEN '' ELSE {esc} END"
 
 
-_BUNDLE_ROW = ("'| ' || concat_ws(' | ', " + _bundle_cell("source", 50) + ", " + _bundle_cell("'K' || CAST(doc_id AS VARCHAR)", 50) + ", "
-               + ", ".join(_bundle_cell(f"CASE WHEN lang = {lit(x)} THEN {clean_cell('t')} ELSE '' END", 150) for x in _LANGS) + ") || ' |'")
+_BUNDLE_ROW = ("'| ' || concat_ws(' | ', " + _bundle_cell("source") + ", " + _bundle_cell("'K' || CAST(doc_id AS VARCHAR)") + ", "
+               + ", ".join(_bundle_cell(f"CASE WHEN lang = {lit(x)} THEN {clean_cell('t')} ELSE '' END") for x in _LANGS) + ") || ' |'")
 ORACLES["bundle_documents"] = f"""
-WITH {_BUNDLE_BASE}
-SELECT '/corpus/csv/messages.csv' AS path, 'pandas_bundle_csv' AS parser, concat_ws(chr(10),
-  '# messages.csv - Translation Bundle' || chr(10), '**File Type:** Translation Bundle (CSV)', '**Encoding:** utf-8',
-  '**Structure:** Bundle translations with quoted text support', '**Languages:** en, fr, de, es',
-  '**Total Entries:** ' || CAST(f.total_entries AS VARCHAR) || ' translation entries', '**Total Languages:** 4',
-  CASE WHEN f.total_entries > 1000 THEN '**Note:** Showing first 1000 entries out of ' || CAST(f.total_entries AS VARCHAR) END,
-  chr(10) || '## Translation Data' || chr(10),
-  '| bundle | key | en | fr | de | es |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10)
-    || (SELECT string_agg({_BUNDLE_ROW}, chr(10) ORDER BY doc_id) FROM shown),
-  chr(10) || '## Summary' || chr(10), '- **Unique Bundles:** ' || CAST(f.unique_bundles AS VARCHAR),
-  {" || chr(10) || ".join(lit("- **" + x.upper() + " Translations:** ") + " || CAST(f.displayed AS VARCHAR)" for x in _LANGS)}) AS markdown
-FROM facts f"""
+WITH {_BUNDLE_BASE},
+parts AS (SELECT {table_part('doc_id + 1')} AS part_no, string_agg({_BUNDLE_ROW}, chr(10) ORDER BY doc_id) AS body FROM b GROUP BY 1)
+SELECT '/corpus/csv/messages.csv' AS path, p.part_no, 'pandas_bundle_csv' AS parser, concat_ws(chr(10),
+  CASE WHEN p.part_no = 0 THEN concat_ws(chr(10),
+    '# messages.csv - Translation Bundle' || chr(10), '**File Type:** Translation Bundle (CSV)', '**Encoding:** utf-8',
+    '**Structure:** Bundle translations with quoted text support', '**Languages:** en, fr, de, es',
+    '**Total Entries:** ' || CAST(f.total_entries AS VARCHAR) || ' translation entries', '**Total Languages:** 4',
+    chr(10) || '## Translation Data' || chr(10),
+    '| bundle | key | en | fr | de | es |' || chr(10) || '| --- | --- | --- | --- | --- | --- |') END,
+  p.body,
+  CASE WHEN p.part_no = (SELECT max(part_no) FROM parts) THEN concat_ws(chr(10),
+    chr(10) || '## Summary' || chr(10), '- **Unique Bundles:** ' || CAST(f.unique_bundles AS VARCHAR),
+    {" || chr(10) || ".join(lit("- **" + x.upper() + " Translations:** ") + " || CAST(f.displayed AS VARCHAR)" for x in _LANGS)}) END) AS markdown
+FROM parts p, facts f"""
 
 _SHEETS = [("region", [("r_regionkey", False), ("r_name", True)], "r_regionkey"),
            ("nation", [("n_nationkey", False), ("n_name", True), ("n_regionkey", False)], "n_nationkey"),
@@ -547,23 +544,26 @@ _SHEETS = [("region", [("r_regionkey", False), ("r_name", True)], "r_regionkey")
 
 def _sheet_sql(i: int, name: str, cols, order: str) -> str:
     return f"""
-  SELECT {i} AS idx, {lit(name)} AS sheet_name, (SELECT count(*) FROM {name}) AS row_count, {len(cols)} AS column_count,
-         ({_frame_table(name, cols, order)}) AS tbl"""
+  SELECT {i} AS idx, {lit(name)} AS sheet_name, part_no, (SELECT count(*) FROM {name}) AS row_count, {len(cols)} AS column_count, "table" AS tbl
+  FROM ({_frame_table(name, cols, order)})"""
 
 
 ORACLES["workbook_documents"] = f"""
 WITH sheets AS ({" UNION ALL ".join(_sheet_sql(i, n, c, o) for i, (n, c, o) in enumerate(_SHEETS))}),
-sec AS (SELECT idx, sheet_name, row_count, column_count,
-          CASE WHEN row_count = 0 THEN '## Sheet: ' || sheet_name || chr(10) || chr(10) || '*No data found in this sheet*' || chr(10)
-          ELSE concat_ws(chr(10), '## Sheet: ' || sheet_name || chr(10),
+facts AS (SELECT count(*) AS sheet_count, string_agg(sheet_name, ', ' ORDER BY idx) AS names, sum(row_count) AS total_rows,
+                 max(column_count) AS max_columns,
+                 '{{' || string_agg('"' || sheet_name || '":{{"rows":' || row_count || ',"columns":' || column_count || '}}', ',' ORDER BY idx) || '}}' AS data
+          FROM sheets WHERE part_no = 0),
+sec AS (SELECT row_number() OVER (ORDER BY idx, part_no) AS n,
+          CASE WHEN part_no > 0 THEN tbl || chr(10) ELSE concat_ws(chr(10), '## Sheet: ' || sheet_name || chr(10),
                '**Dimensions:** ' || CAST(row_count AS VARCHAR) || ' rows × ' || CAST(column_count AS VARCHAR) || ' columns',
-               CASE WHEN row_count > 1000 THEN ' *(showing 1000 rows × ' || CAST(column_count AS VARCHAR) || ' columns)*' END,
                chr(10), tbl || chr(10)) END AS section FROM sheets)
-SELECT '/corpus/xlsx/tables.xlsx' AS workbook, 'pandas_excel' AS parser,
-  concat_ws(chr(10), '# tables.xlsx' || chr(10), '**File Type:** Excel', '**Number of Sheets:** ' || CAST(count(*) AS VARCHAR),
-            '**Sheet Names:** ' || string_agg(sheet_name, ', ' ORDER BY idx) || chr(10), string_agg(section, chr(10) ORDER BY idx)) AS markdown,
-  CAST(count(*) AS BIGINT) AS sheet_count, CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(max(column_count) AS BIGINT) AS max_columns
-FROM sec"""
+SELECT '/corpus/xlsx/tables.xlsx' AS workbook, CAST(n - 1 AS BIGINT) AS part_no, 'pandas_excel' AS parser,
+  concat_ws(chr(10), CASE WHEN n = 1 THEN concat_ws(chr(10), '# tables.xlsx' || chr(10), '**File Type:** Excel',
+            '**Number of Sheets:** ' || CAST(sheet_count AS VARCHAR), '**Sheet Names:** ' || names || chr(10)) END, section) AS markdown,
+  CAST(sheet_count AS BIGINT) AS sheet_count, CAST(total_rows AS BIGINT) AS total_rows, CAST(max_columns AS BIGINT) AS max_columns,
+  data AS sheets_data
+FROM sec, facts"""
 
 # ---------------------------------------------------------------- slides
 
@@ -650,9 +650,9 @@ SELECT p_partkey, CASE WHEN typ <> 3 THEN CAST(w AS BIGINT) END AS width, CASE W
 
 ORACLES["image_resize_plan"] = f"""WITH {_IMG}
 SELECT p_partkey,
-  CAST(CASE WHEN greatest(w, h) > 100 THEN greatest(1, round(w * least(1.0, 100.0 / greatest(w, h)))) ELSE w END AS BIGINT) AS target_width,
-  CAST(CASE WHEN greatest(w, h) > 100 THEN greatest(1, round(h * least(1.0, 100.0 / greatest(w, h)))) ELSE h END AS BIGINT) AS target_height
-FROM im WHERE typ <> 3"""
+  CASE WHEN typ <> 3 THEN CAST(CASE WHEN greatest(w, h) > 100 THEN greatest(1, round(w * least(1.0, 100.0 / greatest(w, h)))) ELSE w END AS BIGINT) END AS target_width,
+  CASE WHEN typ <> 3 THEN CAST(CASE WHEN greatest(w, h) > 100 THEN greatest(1, round(h * least(1.0, 100.0 / greatest(w, h)))) ELSE h END AS BIGINT) END AS target_height
+FROM im"""
 
 ORACLES["image_decisions"] = f"""WITH {_IMG}
 SELECT p_partkey, action, fmt AS format, data_uri, new_path FROM dec3"""
@@ -764,25 +764,26 @@ def _lines_of(kind_ext: str) -> str:
 
 ORACLES["corpus_documents"] = f"""
 WITH {DOC_FILES_SQL.replace("doc_files AS (", "docs0 AS (", 1)},
-doc_files AS (SELECT path, text FROM docs0
-              UNION ALL SELECT '/corpus/in/page_' || CAST(page_id AS VARCHAR) || '.html', html FROM pages),
+doc_files AS (SELECT doc_id, path, text FROM docs0
+              UNION ALL SELECT -1 - page_id, '/corpus/in/page_' || CAST(page_id AS VARCHAR) || '.html', html FROM pages),
 {ROUTED_SQL},
 todo AS (SELECT * FROM routed WHERE supported AND NOT is_temp),
-html_src AS (SELECT path, {_TITLE.replace('html', 'text')} AS title, {html_chain('text')} AS body
-             FROM todo WHERE processor = 'converter' AND ext IN ('.html', '.htm'))
-SELECT path, parser, markdown, error FROM ({render_simple_sql("(SELECT * FROM todo WHERE processor = 'simple')")})
-UNION ALL
-SELECT path, 'md_custom', text, NULL FROM todo WHERE processor = 'markdown'
-UNION ALL
-SELECT path, 'pandoc',
-  {rx_replace("replace(CASE WHEN title IS NULL THEN body ELSE '---' || chr(10) || 'title: ' || title || chr(10) || '---' || chr(10) || chr(10) || body END, 'media/media/', 'media/')", r"(\n\n): \[\]\{.*?\}(Tabela[^\n]+)", "\n\n**$2**")},
-  NULL
-FROM html_src
-UNION ALL
-SELECT * FROM ({table_docs_sql(_lines_of('.csv'), 'CSV')})
-UNION ALL
-SELECT * FROM ({table_docs_sql(_lines_of('.tsv'), 'TSV')})
+html_src AS (SELECT doc_id, path, {_TITLE.replace('html', 'text')} AS title, {html_chain('text')} AS body
+             FROM todo WHERE processor = 'converter' AND ext IN ('.html', '.htm')),
+tables AS (SELECT * FROM ({table_docs_sql(_lines_of('.csv'), 'CSV')}) UNION ALL SELECT * FROM ({table_docs_sql(_lines_of('.tsv'), 'TSV')})),
+one AS (
+  SELECT doc_id, path, parser, markdown, error FROM ({render_simple_sql("(SELECT * FROM todo WHERE processor = 'simple')")})
+  UNION ALL
+  SELECT doc_id, path, 'md_custom', text, NULL FROM todo WHERE processor = 'markdown'
+  UNION ALL
+  SELECT doc_id, path, 'pandoc',
+    {rx_replace("replace(CASE WHEN title IS NULL THEN body ELSE '---' || chr(10) || 'title: ' || title || chr(10) || '---' || chr(10) || chr(10) || body END, 'media/media/', 'media/')", r"(\n\n): \[\]\{.*?\}(Tabela[^\n]+)", "\n\n**$2**")},
+    NULL
+  FROM html_src
+  UNION ALL
+  SELECT doc_id, path, processor, NULL, {lit(NOT_BUILT)} FROM todo
+  WHERE processor NOT IN ('simple', 'markdown') AND NOT (processor = 'converter' AND ext IN ('.html', '.htm'))
+    AND NOT (processor = 'tabular' AND ext IN ('.csv', '.tsv')))
+SELECT doc_id, path, CAST(0 AS BIGINT) AS part_no, parser, markdown, error FROM one
 UNION ALL
-SELECT path, processor, NULL, {lit(NOT_BUILT)} FROM todo
-WHERE processor NOT IN ('simple', 'markdown') AND NOT (processor = 'converter' AND ext IN ('.html', '.htm'))
-  AND NOT (processor = 'tabular' AND ext IN ('.csv', '.tsv'))"""
+SELECT d.doc_id, t.path, t.part_no, t.parser, t.markdown, t.error FROM tables t JOIN todo d USING (path)"""

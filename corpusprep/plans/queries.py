@@ -300,7 +300,7 @@ def csv_profiles(spark, sf_dir):
 @query
 def csv_documents(spark, sf_dir):
     docs = tables.csv_documents(csv_lines(spark, sf_dir))
-    return docs.select("path", "parser", "markdown", "error")
+    return docs.select("path", "part_no", "parser", "markdown", "error")
 
 
 @query
@@ -319,14 +319,14 @@ def orders_first_rows(spark, sf_dir):
 @query
 def orders_status_tables(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority")
-    return tables.frame_markdown_table(o, ["o_orderkey"], group_cols=["o_orderstatus"]).select("o_orderstatus", "table")
+    return tables.frame_markdown_table(o, ["o_orderkey"], group_cols=["o_orderstatus"]).select("o_orderstatus", "part_no", "table")
 
 
 @query
 def lineitem_first_columns(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    first = li.columns[:5]  # the column cap (op 25) on a known schema is a projection
-    line = tables.markdown_line_of([F.col(c).cast("string") for c in first])
+    cells = tables.truncate_columns(F.array(*[F.col(c).cast("string") for c in li.columns]), 5)
+    line = tables.markdown_line(cells)
     return li.select("l_orderkey", _long("l_linenumber").alias("l_linenumber"), line.alias("line"))
 
 
@@ -355,7 +355,7 @@ def bundle_flags(spark, sf_dir):
 @query
 def bundle_language_stats(spark, sf_dir):
     _, _, rows, headers = _bundle(spark, sf_dir)
-    stats = tables.bundle_stats(tables.bundle_cells(rows, headers))
+    stats = tables.bundle_stats(rows, headers)
     return stats.select("path", "lang", *[_long(c).alias(c) for c in
                         ("total_entries", "displayed_entries", "unique_bundles", "translations", "non_empty")])
 
@@ -363,7 +363,7 @@ def bundle_language_stats(spark, sf_dir):
 @query
 def bundle_documents(spark, sf_dir):
     docs = tables.bundle_documents(bundle_lines(spark, sf_dir))
-    return docs.select("path", "parser", "markdown")
+    return docs.select("path", "part_no", "parser", "markdown")
 
 
 @query
@@ -371,20 +371,17 @@ def workbook_documents(spark, sf_dir):
     sheets = None
     for idx, name, order in ((0, "region", "r_regionkey"), (1, "nation", "n_nationkey"), (2, "supplier", "s_suppkey")):
         t = table(spark, sf_dir, name)
-        tab = tables.frame_markdown_table(t, [order]).withColumn("sheet_idx", F.lit(idx))
-        facts = t.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit("/corpus/xlsx/tables.xlsx").alias("workbook"), F.lit(idx).alias("sheet_idx"), F.lit(name).alias("sheet_name"),
-            "row_count", F.lit(len(t.columns)).alias("column_count"),
-            F.least(F.col("row_count"), F.lit(1000)).alias("shown_rows"), F.lit(min(len(t.columns), 50)).alias("shown_columns"),
-            F.lit(None).cast("string").alias("error"),
-        )
-        # facts and table are one row each: union them and merge per sheet (no join)
-        sheet = facts.withColumn("table", F.lit(None).cast("string")).unionByName(
-            tab.select("sheet_idx", "table"), allowMissingColumns=True
+        tab = tables.frame_markdown_table(t, [order]).select("part_no", "table")
+        facts = t.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(idx).alias("sheet_idx"), "row_count")
+        sheet = tab.withColumn("sheet_idx", F.lit(idx)).join(facts, "sheet_idx").select(
+            F.lit("/corpus/xlsx/tables.xlsx").alias("workbook"), "sheet_idx", F.lit(name).alias("sheet_name"), "part_no",
+            "row_count", F.lit(len(t.columns)).alias("column_count"), F.col("row_count").alias("shown_rows"),
+            F.lit(len(t.columns)).alias("shown_columns"), "table", F.lit(None).cast("string").alias("error"),
         )
         sheets = sheet if sheets is None else sheets.unionByName(sheet)
-    merged = sheets.groupBy("sheet_idx").agg(*[F.max(c).alias(c) for c in sheets.columns if c != "sheet_idx"])
-    return tables.assemble_workbook(merged).select("workbook", "parser", "markdown", "sheet_count", "total_rows", "max_columns")
+    docs = tables.assemble_workbook(sheets)
+    return docs.select("workbook", "part_no", "parser", "markdown", "sheet_count", "total_rows", "max_columns",
+                       F.to_json("sheets_data").alias("sheets_data"))
 
 
 # ---------------------------------------------------------------- slides
@@ -428,7 +425,7 @@ def image_sizes(spark, sf_dir):
 
 @query
 def image_resize_plan(spark, sf_dir):
-    im = images_ops.resize_plan(images_ops.with_size(part_images(spark, sf_dir)).where("decodable"), 100)
+    im = images_ops.resize_plan(images_ops.with_size(part_images(spark, sf_dir)), 100)
     return im.select("p_partkey", "target_width", "target_height")
 
 
@@ -507,13 +504,10 @@ def batch_report(spark, sf_dir):
 
 @query
 def batch_progress(spark, sf_dir):
-    outs = _table_outcomes(spark, sf_dir).withColumn("order_key", F.struct("path", "doc_id"))
-    found = outs.where(F.col("status") != "skipped").select("doc_id", "order_key")
-    idx = ordered_ops.global_index(found, ["order_key"], "_i", total_col="_n")
-    return idx.select("doc_id", ((F.col("_i") + 1) / F.col("_n") * 100).alias("percent"))
+    return report_ops.progress(_table_outcomes(spark, sf_dir), ["path", "doc_id"]).select("doc_id", "percent")
 
 
 @query
 def corpus_documents(spark, sf_dir):
     docs = convert.convert_tables(spark, sf_dir)
-    return docs.select("path", "parser", "markdown", "error")
+    return docs.select("doc_id", "path", "part_no", "parser", "markdown", "error")

@@ -30,13 +30,18 @@ def _sql_array(values: list[str]) -> str:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as files: ``doc_id, path, text`` (path under ``/corpus/in/``)."""
+    """``documents`` as files: ``doc_id, path, text`` (path under ``/corpus/in/``).
+
+    Paths are unique. One in twelve has the name of the file six ids before with
+    another extension, so that packages collide.
+    """
     d = table(spark, sf_dir, "documents")
     ext = F.element_at(F.array(*[F.lit(e) for e in DOC_EXTS]), (F.col("doc_id") % len(DOC_EXTS) + 1).cast("int"))
     prefix = F.element_at(F.array(*[F.lit(p) for p in DOC_PREFIXES]), (F.col("doc_id") % len(DOC_PREFIXES) + 1).cast("int"))
     special = F.element_at(F.array(*[F.lit(p) for p in SPECIAL_NAMES]), (F.col("doc_id") % len(SPECIAL_NAMES) + 1).cast("int"))
-    name = F.when(F.col("doc_id") % 37 == 5, special).otherwise(
-        F.concat(prefix, (F.col("doc_id") % 400).cast("string"), ext)
+    number = F.when(F.col("doc_id") % 12 == 9, F.col("doc_id") - 6).otherwise(F.col("doc_id")).cast("string")
+    name = F.when(F.col("doc_id") % 37 == 5, F.concat(F.col("doc_id").cast("string"), F.lit("/"), special)).otherwise(
+        F.concat(prefix, number, ext)
     )
     return d.select("doc_id", F.concat(F.lit("/corpus/in/"), name).alias("path"), "text", "lang", "source")
 
@@ -45,9 +50,9 @@ DOC_FILES_SQL = f"""
 doc_files AS (
   SELECT doc_id,
          '/corpus/in/' || CASE WHEN doc_id % 37 = 5
-              THEN {_sql_array(SPECIAL_NAMES)}[doc_id % {len(SPECIAL_NAMES)} + 1]
+              THEN CAST(doc_id AS VARCHAR) || '/' || {_sql_array(SPECIAL_NAMES)}[doc_id % {len(SPECIAL_NAMES)} + 1]
               ELSE {_sql_array(DOC_PREFIXES)}[doc_id % {len(DOC_PREFIXES)} + 1]
-                   || CAST(doc_id % 400 AS VARCHAR)
+                   || CAST(CASE WHEN doc_id % 12 = 9 THEN doc_id - 6 ELSE doc_id END AS VARCHAR)
                    || {_sql_array(DOC_EXTS)}[doc_id % {len(DOC_EXTS)} + 1] END AS path,
          text, lang, source
   FROM documents)"""

@@ -66,6 +66,39 @@ def test_convert_folder(spark, tmp_dir):
         assert z.read("e_rag.md").decode() == "---\ntitle: T\n---\n\n# H\n\npara"
 
 
+def _zip(out, name):
+    with zipfile.ZipFile(os.path.join(out, f"{name}.zip")) as z:
+        return {n: z.read(n) for n in z.namelist()}
+
+
+def test_convert_folder_tables(spark, tmp_dir):
+    src, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    os.makedirs(src)
+    files = {
+        "same.csv": b"a;b\n1;2\n", "same.txt": b"the text", "latin.csv": "name;town\nJos\u00e9;K\u00f6ln\n".encode("latin-1"),
+        "quoted.csv": b'n;t\n1;"two\nlines"\n2;5" pipe\n', "words.csv": 'bundle,"key",en,pl\nshop, "OPEN", "Open now", "Otwarte"\n'.encode(),
+        "doc.md": b"![a](pic.weird) ![b](sub/../pic.weird) ![c](plain)", "pic.weird": b"W", "plain": b"P",
+    }
+    for name, data in files.items():
+        with open(os.path.join(src, name), "wb") as f:
+            f.write(data)
+    outs = {os.path.basename(r.path): r.status for r in convert_folder(spark, src, out).collect()}
+    assert outs["same.csv"] == "skipped" and outs["same.txt"] == "ok"  # one of them keeps the package
+    assert _zip(out, "same")["same.md"] == b"the text" and len(_zip(out, "same")) == 2
+    latin = _zip(out, "latin")
+    assert "| Jos\u00e9 | K\u00f6ln |" in latin["latin.md"].decode() and "**Encoding:** latin-1" in latin["latin.md"].decode()
+    meta = json.loads(latin["metadata.json"])
+    assert (meta["encoding"], meta["separator"], meta["strategy"], meta["total_rows"], meta["total_columns"]) == ("latin-1", ";", "strict", 1, 2)
+    quoted = _zip(out, "quoted")["quoted.md"].decode()
+    assert "| 1 | two lines |\n| 2 | 5\" pipe |" in quoted and "2 rows" in quoted
+    words = _zip(out, "words")
+    assert "Translation Bundle" in words["words.md"].decode() and "| shop | OPEN | Open now | Otwarte |" in words["words.md"].decode()
+    assert json.loads(words["metadata.json"])["languages"] == ["en", "pl"]
+    doc = _zip(out, "doc")
+    assert doc["doc.md"].count(b"media/") == 3 and doc["media/pic.weird"] == b"W"
+    assert [v for k, v in doc.items() if k.startswith("media/plain")] == [b"P"]
+
+
 def test_write_markdown(spark, tmp_dir):
     docs = spark.createDataFrame([("a", "a.txt", "txt_simple", "x", "{}", None)],
                                  "package string, source_filename string, parser string, markdown string, metadata string, error string")

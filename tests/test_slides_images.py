@@ -62,3 +62,32 @@ def test_markdown_edits(spark):
     )
     out = images.apply_image_decisions(docs, dec).collect()[0].markdown
     assert out == '![A](media/p1.png) ![B](data:image/png;base64,AA "t") '
+
+
+def _jpeg(segments, sof, width, height):
+    body = b"".join(bytes([0xFF, 0xE1]) + (2 + 5).to_bytes(2, "big") + b"xxxxx" for _ in range(segments))
+    frame = bytes([0xFF, sof]) + (11).to_bytes(2, "big") + b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x01\x11\x00"
+    return b"\xff\xd8" + body + frame
+
+
+def _tiff(order, width, height):
+    pack = lambda n, v: v.to_bytes(n, "little" if order == b"II" else "big")
+    entry = lambda tag, kind, v: pack(2, tag) + pack(2, kind) + pack(4, 1) + (pack(2, v) + b"\0\0" if kind == 3 else pack(4, v))
+    return order + pack(2, 42) + pack(4, 8) + pack(2, 2) + entry(256, 3, width) + entry(257, 4, height)
+
+
+def test_sizes_of_every_header(spark):
+    webp = lambda chunk, rest: b"RIFF\0\0\0\0WEBP" + chunk + b"\0\0\0\0" + rest
+    images = {
+        "jpeg40": _jpeg(40, 0xC0, 10, 20), "sof9": _jpeg(0, 0xC9, 30, 40), "sof2": _jpeg(100, 0xC2, 5, 6), "tiff": _tiff(b"II", 70, 80),
+        "tiff_be": _tiff(b"MM", 7, 8), "vp8x": webp(b"VP8X", b"\0\0\0\0" + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")),
+        "vp8l": webp(b"VP8L", b"\x2f" + ((13 - 1) | (17 - 1) << 14).to_bytes(4, "little")),
+        "vp8": webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + (21).to_bytes(2, "little") + (22).to_bytes(2, "little")),
+        "cut": b"\xff\xd8\xff\xe0\xff\xff", "none": b"", "text": b"plain text",
+    }
+    df = spark.createDataFrame(list(images.items()), "n string, b binary")
+    got = {r.n: (r.s.width, r.s.height) for r in df.select("n", image_size(F.col("b")).alias("s")).collect()}
+    assert got == {
+        "jpeg40": (10, 20), "sof9": (30, 40), "sof2": (5, 6), "tiff": (70, 80), "tiff_be": (7, 8), "vp8x": (100, 50), "vp8l": (13, 17),
+        "vp8": (21, 22), "cut": (None, None), "none": (None, None), "text": (None, None),
+    }

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from corpusprep.config import Settings
 from corpusprep.operators import tables
 
 
@@ -27,7 +28,7 @@ def test_empty_and_header_only(spark):
     lines, d = _dialects(spark, files)
     rows, headers = tables.parse_csv_lines(lines, d)
     prof = tables.table_profile(rows, headers, d)
-    docs = tables.render_table_document(prof, tables.csv_tables(rows, headers)).unionByName(tables.unreadable_documents(lines, headers))
+    docs = tables.render_table_document(prof, tables.csv_tables(rows, headers)).unionByName(tables.unreadable_documents(lines, headers), allowMissingColumns=True)
     got = {r.path: r for r in docs.collect()}
     assert got["empty.csv"].markdown is None and "Unable to parse CSV" in got["empty.csv"].error
     assert got["head.csv"].markdown.startswith("# Empty CSV File")
@@ -54,18 +55,18 @@ def test_row_cap_is_window_limit(spark):
 
 
 def test_bundle(spark):
-    files = {"b.csv": 'bundle,"key",en,pl\nmain,"GREETING","Hello","Cześć"\n'}
+    files = {"b.csv": 'bundle,"key",en,pl\nshop,"OPEN","Open now","Otwarte"\nshop\n'}
     lines = _lines(spark, files)
     first = lines.groupBy("path").agg(F.min_by("line", "ord").alias("first_line"))
     assert first.select(tables.is_bundle("first_line")).collect()[0][0] is True
     d = first.select("path", F.lit(",").alias("separator"))
     rows, headers = tables.parse_csv_lines(lines, d, skip_initial_space=True)
-    stats = tables.bundle_stats(tables.bundle_cells(rows, headers))
+    stats = tables.bundle_stats(rows, headers)
     doc = tables.render_bundle_document(stats, tables.bundle_tables(rows, headers)).collect()[0].markdown
     assert "**Languages:** en, pl" in doc
     assert "| bundle | key | en | pl |" in doc
-    assert "| main | GREETING | Hello | Cześć |" in doc
-    assert "- **PL Translations:** 1" in doc
+    assert "| shop | OPEN | Open now | Otwarte |\n| shop |  |  |  |" in doc
+    assert "- **PL Translations:** 2" in doc
 
 
 def test_frame_table_and_workbook(spark):
@@ -73,14 +74,72 @@ def test_frame_table_and_workbook(spark):
     t = tables.frame_markdown_table(df, ["a"]).collect()[0].table
     assert t == "| a | b |\n| --- | --- |\n| 1 | 3 |\n| 2 | 4 |"
     sheets = spark.createDataFrame(
-        [("w.xlsx", 0, "Sheet1", 2, 2, 2, 2, t, None), ("w.xlsx", 1, "Empty", 0, 0, 0, 0, None, None)],
-        "workbook string, sheet_idx int, sheet_name string, row_count long, column_count int, shown_rows long, shown_columns int, table string, error string",
+        [("w.xlsx", 0, "Sheet1", 0, 2, 2, 2, 2, t, None), ("w.xlsx", 1, "Empty", 0, 0, 0, 0, 0, None, None)],
+        "workbook string, sheet_idx int, sheet_name string, part_no long, row_count long, column_count int, shown_rows long, shown_columns int, table string, error string",
     )
-    wb = tables.assemble_workbook(sheets).collect()[0]
+    wb, rest = sorted(tables.assemble_workbook(sheets).collect(), key=lambda r: r.part_no)
     assert wb.sheet_count == 2 and wb.total_rows == 2 and wb.max_columns == 2
-    assert "**Sheet Names:** Sheet1, Empty" in wb.markdown and "*No data found in this sheet*" in wb.markdown
+    assert {k: tuple(v) for k, v in wb.sheets_data.items()} == {"Sheet1": (2, 2)}
+    assert "**Sheet Names:** Sheet1, Empty" in wb.markdown and "*No data found in this sheet*" in rest.markdown
 
 
 def test_pandas_header_names(spark):
     df = spark.createDataFrame([(["a", "", "a", "b", "a"],)], "n array<string>")
     assert df.select(tables.header_names("n")).collect()[0][0] == ["a", "Unnamed: 1", "a.1", "b", "a.2"]
+
+
+def _split(spark, line, sep, **kw):
+    return spark.createDataFrame([(line,)], "v string").select(tables.split_fields("v", sep, **kw).alias("o")).collect()[0].o
+
+
+def test_quotes_inside_fields_are_text(spark):
+    assert _split(spark, 'a;5" pipe;c', ";") == ["a", '5" pipe', "c"]
+    assert _split(spark, 'k;it"s;v', ";") == ["k", 'it"s', "v"]
+    assert _split(spark, 'a;"x;y"z;c', ";") == ["a", "x;yz", "c"]
+    assert _split(spark, '"a ""b"" c","",d,', ",") == ['a "b" c', "", "d", ""]
+    assert _split(spark, '1,"open, to the end', ",") == ["1", "open, to the end"]
+    assert _split(spark, 'a, "b, c",  d', ",", skip_initial_space=True) == ["a", "b, c", "d"]
+    assert _split(spark, "", ";") == [""]
+
+
+def test_records_span_lines_inside_quotes(spark):
+    text = 'n;text\n1;"two\nlines; and ""more"""\n2;it"s\n\n3;plain'
+    files = spark.createDataFrame([("f.csv", text)], "path string, text string")
+    d = spark.createDataFrame([("f.csv", ";")], "path string, separator string")
+    rows, headers = tables.parse_csv_lines(tables.csv_records(files, d), d)
+    got = [r.fields for r in rows.orderBy("ord").collect()]
+    assert got == [["1", 'two\nlines; and "more"'], ["2", 'it"s'], ["3", "plain"]]
+    assert headers.collect()[0].names == ["n", "text"]
+
+
+def test_no_limit_on_blank_lines_columns_and_cells(spark):
+    wide = ",".join(f"c{i}" for i in range(70))
+    files = {"blank.csv": "a,b" + "\n" * 140 + "1,2", "wide.csv": wide + "\n" + ",".join(str(i) for i in range(70)) + "\n", "long.csv": "a,b\n" + "x" * 900 + ",y"}
+    lines, d = _dialects(spark, files)
+    assert {r.separator for r in d.collect()} == {","}
+    docs = {r.path: r.markdown for r in tables.csv_documents(lines).collect()}
+    assert "| 1 | 2 |" in docs["blank.csv"] and "| 68 | 69 |" in docs["wide.csv"] and "c69 |" in docs["wide.csv"] and "x" * 900 in docs["long.csv"]
+
+
+def test_tables_come_in_parts(spark):
+    text = "n;v\n" + "\n".join(f"{i};v{i}" for i in range(1, 26))
+    lines = _lines(spark, {"f.csv": text})
+    parts = sorted(tables.csv_documents(lines, Settings(part_rows=10)).collect(), key=lambda r: r.part_no)
+    assert [p.part_no for p in parts] == [0, 1, 2]
+    body = "\n".join(p.markdown for p in parts)
+    assert body.endswith("\n".join(f"| {i} | v{i} |" for i in range(1, 26))) and "**Dimensions:** 25 rows" in parts[0].markdown
+    limited = tables.csv_documents(lines, Settings(max_rows_display=3)).collect()[0].markdown
+    assert limited.endswith("| 3 | v3 |") and "Data truncated for display (showing 3 rows" in limited
+
+
+def test_frame_tables_sort_by_raw_values(spark):
+    df = spark.createDataFrame([("[b",), ("a",), ("|c",), (None,)], "t string")
+    (r,) = tables.frame_markdown_table(df, ["t"]).collect()
+    assert r.table.split("\n")[2:] == ["|  |", "| \\[b |", "| a |", "| \\|c |"]
+
+
+def test_bundle_without_rows_or_languages(spark):
+    files = {"head.csv": 'bundle,"key",en\n', "bare.csv": 'bundle,"key"\nshop,"OPEN"\n'}
+    docs = {r.path: r.markdown for r in tables.bundle_documents(_lines(spark, files)).collect()}
+    assert "*No translation data found*" in docs["head.csv"] and "**Total Entries:** 0" in docs["head.csv"]
+    assert "| shop | OPEN |" in docs["bare.csv"] and "**Total Languages:** 0" in docs["bare.csv"]
