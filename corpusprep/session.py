@@ -52,8 +52,8 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     Used where an expensive intermediate feeds several branches that would
     otherwise each recompute it, and to cut lineage: the table is on shared
     storage, so losing an executor afterwards costs nothing. The shuffle files
-    of the job that wrote it are removed when it ends. ``drop_tables`` removes
-    the tables.
+    of the job that wrote it are removed when it ends. ``release`` removes a
+    table that is used up, ``drop_tables`` all that are left.
     """
     spark = df.sparkSession
     folder = f"{_tables(spark)}/{uuid.uuid4().hex}"
@@ -66,7 +66,20 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table._materialized = folder
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: what was made of them is written, too."""
+    for table in tables:
+        _delete(table.sparkSession, table._materialized)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _tables(spark: SparkSession) -> str:
@@ -75,5 +88,4 @@ def _tables(spark: SparkSession) -> str:
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete this application's materialized tables, once nothing reads them any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _tables(spark))
