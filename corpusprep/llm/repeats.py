@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.llm.text_units import byte_prefix, contexts, packs, prefix_hash, span_hash, words_of
-from corpusprep.session import materialize
+from corpusprep.session import materialize, release
 
 #: Bytes of context units that one shard (one judge's task) holds, on average.
 SHARD_BYTES = 1 << 20
@@ -82,7 +82,10 @@ def repeated_anchors(docs: DataFrame, unit: str, window: int, gram: int) -> Data
     placed = materialize(docs.select("k1", "units").mapInArrow(place, "anchor bigint, k1 bigint"))
     # written first, so that the join below deals both sides out anew and can split a hot anchor
     repeated = materialize(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    return placed.join(repeated, "anchor", "left_semi").groupBy("k1").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
+    anchors = placed.join(repeated, "anchor", "left_semi").groupBy("k1").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
+    anchors = materialize(anchors)
+    release(placed, repeated)
+    return anchors
 
 
 def occurrences(docs: DataFrame, anchors: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
@@ -127,7 +130,9 @@ def distinct_contexts(places: DataFrame) -> DataFrame:
 def _to_compare(distinct: DataFrame) -> DataFrame:
     """Those whose anchor has others, with the number of its contexts."""
     anchors = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"))
-    return distinct.join(anchors, "anchor")
+    chosen = materialize(distinct.join(anchors, "anchor"))
+    release(anchors)
+    return chosen
 
 
 def _cut(units: bytes, unit: str, wanted: list[tuple[int, int]], window: int) -> list[bytes]:
@@ -233,10 +238,11 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, judge: Ju
 
     docs: as ``keyed`` returns. later_only: an occurrence without an earlier one stays.
     """
-    anchors = materialize(repeated_anchors(docs, unit, window, gram))
+    anchors = repeated_anchors(docs, unit, window, gram)
     places = materialize(occurrences(docs, anchors, unit, window, gram))
+    release(anchors)
     distinct = materialize(distinct_contexts(places))
-    chosen = materialize(_to_compare(distinct))
+    chosen = _to_compare(distinct)
     crowded = F.col("contexts") > contexts_per_anchor
     size = chosen.agg(F.sum(F.col("first.windows") + window), F.max("contexts")).first()
     units = (size[0] or 0) * (6 if unit == "word" else 1)
@@ -248,7 +254,9 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, judge: Ju
     if later_only:
         copies = copies.where(F.struct("k1", "k2", "start") > F.col("earliest"))
     spans = spans.unionByName(copies.select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + window - 1).alias("hi")))
-    return materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    release(places, distinct, chosen)
+    return spans
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
