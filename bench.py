@@ -30,6 +30,10 @@ HEADLINE = [
     "image_decisions",
     "pdf_documents",
     "package_entry_list",
+    "file_outcomes",
+    "batch_report",
+    "batch_progress",
+    "corpus_documents",
 ]
 
 

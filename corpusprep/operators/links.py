@@ -17,20 +17,22 @@ _NS = PY_SPACE[1:-1]  # the class body, to build negated classes
 MD_IMAGE = rf'!\[([^\]]*)\]\(([^){_NS}]+)(?:{PY_SPACE}*"([^"]*)")?\)'
 HTML_IMAGE = rf"(?i)<img{PY_SPACE}+[^>]*?src{PY_SPACE}*={PY_SPACE}*(['\"]){PY_SPACE}*([^'\"]+){PY_SPACE}*\1"
 
-def image_refs(docs: DataFrame, key: str = "doc_key", text_col: str = "markdown") -> DataFrame:
-    """All image refs: ``(key, syntax, pos, ref)``; syntax 0 = ``![..](..)``, 1 = ``<img src>``;
+def image_refs(docs: DataFrame, key: str = "doc_key", text_col: str = "markdown", path_col: str = "path") -> DataFrame:
+    """All image refs: ``(key, [_dir,] syntax, pos, ref)``, with the directory of the document where ``docs`` has
+    ``path_col``; syntax 0 = ``![..](..)``, 1 = ``<img src>``;
     ``pos`` counts matches of that syntax in document order."""
-    md = docs.select(key, F.lit(0).alias("syntax"),
-                     F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(MD_IMAGE), 2)).alias("pos", "ref"))
-    html = docs.select(key, F.lit(1).alias("syntax"),
-                       F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(HTML_IMAGE), 2)).alias("pos", "ref"))
-    return md.unionByName(html)
+    found = lambda rx, n: F.transform(
+        F.regexp_extract_all(F.col(text_col), F.lit(rx), 2), lambda r, i: F.struct(F.lit(n).alias("syntax"), i.alias("pos"), r.alias("ref"))
+    )
+    directory = [dirname(path_col).alias("_dir")] if path_col in docs.columns else []
+    return docs.select(key, *directory, F.inline(F.concat(found(MD_IMAGE, 0), found(HTML_IMAGE, 1))))
 
 
 def distinct_refs(refs: DataFrame, key: str = "doc_key") -> DataFrame:
     """First occurrence of every ref per document (Markdown refs come before HTML ones)."""
-    first = F.min(F.struct("syntax", "pos")).alias("first")
-    return refs.groupBy(key, "ref").agg(first).select(key, "ref", "first.syntax", "first.pos")
+    directory = [F.max("_dir").alias("_dir")] if "_dir" in refs.columns else []
+    firsts = refs.groupBy(key, "ref").agg(F.min(F.struct("syntax", "pos")).alias("first"), *directory)
+    return firsts.select(key, "ref", "first.syntax", "first.pos", *(["_dir"] if directory else []))
 
 
 def classify_ref(ref) -> Column:
@@ -80,7 +82,7 @@ def resolve_local_refs(refs: DataFrame, docs: DataFrame, media: DataFrame, key:
     on the resolved path (AQE broadcasts the listing when it is small).
     """
     local = refs.where(classify_ref("ref") == "local")
-    with_dir = local.join(docs.select(key, dirname(path_col).alias("_dir")), key)
+    with_dir = local if "_dir" in refs.columns else local.join(docs.select(key, dirname(path_col).alias("_dir")), key)
     resolved = with_dir.withColumn("resolved", normalize_path(F.concat(F.col("_dir"), F.lit("/"), F.col("ref")))).drop("_dir")
     catalogue = media.select(F.col(media_path).alias("resolved")).distinct().withColumn("exists", F.lit(True))
     out = resolved.join(catalogue, "resolved", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
@@ -98,9 +100,7 @@ def missing_refs(resolved: DataFrame) -> DataFrame:
 def media_name_clashes(resolved: DataFrame, key: str = "doc_key") -> DataFrame:
     """Different refs of one document flattened to the same media name."""
     ok = resolved.where("exists")
-    return ok.groupBy(key, "media_name").agg(
-        F.countDistinct("ref").alias("refs"), F.array_sort(F.collect_set("ref")).alias("ref_list")
-    ).where("refs > 1")
+    return ok.groupBy(key, "media_name").agg(F.countDistinct("ref").alias("refs")).where("refs > 1")
 
 
 # any Markdown image link (alt, target, title) and any <img ... src=...> tag
@@ -136,14 +136,12 @@ def rewrite_links(docs: DataFrame, resolved: DataFrame, key: str = "doc_key", te
     """
     found = resolved.where("exists")
     rank = F.struct((-F.length("ref")).alias("l"), F.col("syntax"), F.col("pos"))
-    exact = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ref", "new_ref"))).alias("_m"))
-    folded = (
-        found.groupBy(key, F.lower("ref").alias("_lref"))
-        .agg(F.min_by("new_ref", rank).alias("_new"))
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_lref", "_new"))).alias("_mi"))
+    by_lower = found.groupBy(key, F.lower("ref").alias("_lref")).agg(
+        F.collect_list(F.struct("ref", "new_ref")).alias("_exact"), F.min_by("new_ref", rank).alias("_new")
+    )
+    maps = by_lower.groupBy(key).agg(
+        F.map_from_entries(F.flatten(F.collect_list("_exact"))).alias("_m"), F.map_from_entries(F.collect_list(F.struct("_lref", "_new"))).alias("_mi")
     )
-    maps = exact.join(folded, key)
     flagged = docs.withColumn("_has_local", _has_local_ref(F.col(text_col)))
     touched = flagged.where("_has_local").join(maps, key, "left")
 

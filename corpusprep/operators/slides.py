@@ -87,9 +87,10 @@ def slide_images(slides: DataFrame, deck: str = "deck", with_bytes: bool = True)
     media entries of a package.
     """
     is_pic = lambda s: (s["kind"] == "picture") & s["image"].isNotNull()
-    pics = slides.select(deck, "slide_idx", "shapes", F.posexplode("shapes").alias("shape_idx", "s")).where(is_pic(F.col("s")))
-    pics = pics.withColumn("_in_slide", F.size(F.filter(F.slice("shapes", 1, F.col("shape_idx")), is_pic))).drop("shapes")
-    pics = pics.select(
+    # only pictures are exploded, each with its place among the shapes; its place among the pictures is its number
+    indexed = F.transform("shapes", lambda s, i: F.struct(i.alias("shape_idx"), s.alias("s")))
+    pics = slides.select(deck, "slide_idx", F.posexplode(F.filter(indexed, lambda x: is_pic(x["s"]))).alias("_in_slide", "x"))
+    pics = pics.select(deck, "slide_idx", "_in_slide", "x.shape_idx", "x.s").select(
         deck, "slide_idx", "shape_idx", "_in_slide",
         F.struct(F.col("s.name").alias("name"), F.col("s.alt").alias("alt"), (F.col("s.image") if with_bytes else F.lit(None).cast("binary")).alias("image"),
                  md5_prefix(F.col("s.image")).alias("digest"), sniff_image_type(F.col("s.image")).alias("ext")).alias("s"),
@@ -129,13 +130,18 @@ def slide_sections(slides: DataFrame, images: DataFrame, deck: str = "deck") ->
     return j.select(deck, "slide_idx", title.alias("title"), section.alias("section"))
 
 
-def deck_title(slides: DataFrame, deck: str = "deck") -> DataFrame:
-    """Stored title, else the title of the first slide (may be null)."""
+def _deck_facts(slides: DataFrame, deck: str) -> DataFrame:
     first = slides.groupBy(deck).agg(
         F.min_by(F.struct(slide_title(F.col("shapes")).alias("t")), F.col("slide_idx")).alias("f"),
         F.max(F.when(F.col("core_title") != "", F.col("core_title"))).alias("_core"),
+        F.count(F.lit(1)).alias("slide_count"),
     )
-    return first.select(deck, F.coalesce(F.col("_core"), F.col("f.t")).alias("title"))
+    return first.select(deck, F.coalesce(F.col("_core"), F.col("f.t")).alias("title"), "slide_count")
+
+
+def deck_title(slides: DataFrame, deck: str = "deck") -> DataFrame:
+    """Stored title, else the title of the first slide (may be null)."""
+    return _deck_facts(slides, deck).select(deck, "title")
 
 
 def assemble_deck(slides: DataFrame, deck: str = "deck") -> DataFrame:
@@ -143,10 +149,8 @@ def assemble_deck(slides: DataFrame, deck: str = "deck") -> DataFrame:
     images = slide_images(slides, deck, with_bytes=False)
     sections = slide_sections(slides, images, deck)
     body = ordered_concat(sections, [deck], "slide_idx", "section", "\n", "_body")
-    counts = slides.groupBy(deck).agg(F.count(F.lit(1)).alias("slide_count"))
     n_img = images.groupBy(deck).agg(F.count(F.lit(1)).alias("image_count"))
-    titles = deck_title(slides, deck)
-    out = body.join(counts, deck).join(titles, deck).join(n_img, deck, "left")
+    out = body.join(_deck_facts(slides, deck), deck).join(n_img, deck, "left")
     md = F.concat_ws("\n", F.when(F.col("title") != "", F.concat(F.lit("# "), F.col("title"), F.lit("\n"))), F.col("_body"))
     return out.select(
         deck,

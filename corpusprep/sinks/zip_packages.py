@@ -2,9 +2,10 @@
 
 A Python data source (``mdzip``). Entries arrive sorted by package inside
 each task; each task streams its packages into ZIP files under
-``<out>/_temporary/<task attempt>/`` and the driver's ``commit`` only renames
-finished files into place (overwriting older ones), so a lost or retried task
-leaves no partial package behind.
+``<out>/_temporary/<job>/<task attempt>/`` and, once all are whole, renames them
+into place (overwriting older ones). A task that is lost or retried leaves no
+partial package behind, and a retry writes the same packages again. Nothing
+about packages comes to the driver; it removes the job's own temporary folder.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 import os
 import shutil
 import zipfile
-from dataclasses import dataclass, field
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +24,10 @@ ENTRY_SCHEMA = "package string, entry string, kind string, bytes binary"
 KIND_ORDER = {"markdown": 0, "metadata": 1, "media": 2}
 
 
-@dataclass
-class _Moves(WriterCommitMessage):
-    moves: list = field(default_factory=list)
-    tmp_dir: str = ""
-
-
 class ZipPackageWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
         self.path = options.get("path")
+        self.job_dir = os.path.join(self.path, "_temporary", options.get("job", "job"))
         self.overwrite = overwrite
 
     def write(self, iterator):
@@ -39,7 +35,7 @@ class ZipPackageWriter(DataSourceWriter):
 
         ctx = TaskContext.get()
         tag = f"{ctx.partitionId()}-{ctx.attemptNumber()}-{ctx.taskAttemptId()}" if ctx else "local"
-        tmp_dir = os.path.join(self.path, "_temporary", tag)
+        tmp_dir = os.path.join(self.job_dir, tag)
         os.makedirs(tmp_dir, exist_ok=True)
         moves, current, zf = [], None, None
         try:
@@ -65,20 +61,22 @@ class ZipPackageWriter(DataSourceWriter):
             raise
         if zf is not None:
             zf.close()
-        return _Moves(moves, tmp_dir)
+        for tmp, final in moves:
+            os.replace(tmp, final)
+        return WriterCommitMessage()
 
     def commit(self, messages):
-        for m in messages:
-            if m is None:
-                continue
-            for tmp, final in m.moves:
-                os.replace(tmp, final)
-        shutil.rmtree(os.path.join(self.path, "_temporary"), ignore_errors=True)
+        self._clear()
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and m.tmp_dir:
-                shutil.rmtree(m.tmp_dir, ignore_errors=True)
+        self._clear()
+
+    def _clear(self):
+        shutil.rmtree(self.job_dir, ignore_errors=True)
+        try:
+            os.rmdir(os.path.dirname(self.job_dir))  # stays while another job writes
+        except OSError:
+            pass
 
 
 class ZipPackageSource(DataSource):
@@ -113,4 +111,4 @@ def write_packages(entries: DataFrame, out_dir: str, partitions: int | None = No
         .repartition(*parts, "package")
         .sortWithinPartitions("package", kind_ord, "entry")
     )
-    laid.write.format("mdzip").mode("append").save(out_dir)
+    laid.write.format("mdzip").mode("append").option("job", uuid.uuid4().hex).save(out_dir)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from corpusprep.functions.html import fix_media_paths, fix_table_captions, front_matter_title, html_title, html_to_markdown
+from corpusprep.functions.html import fix_media_paths, fix_table_captions, front_matter_title, html_title, html_to_markdown, page_markdown
 from corpusprep.operators import html
 
 
@@ -17,6 +17,32 @@ def test_html_to_markdown(spark):
     assert _one(spark, html_title(F.col("v")), src) == "T & U"
 
 
+def test_verbatim_tables_lists_and_entities():
+    assert page_markdown("<p>a</p><pre><code>x *\n\n\n  y &lt; z</code></pre><p>b</p>") == "a\n\n```\nx *\n\n\n  y < z\n```\n\nb"
+    table = "<table><tr><th>Name<th>Age</tr><tr><td>Ann</td><td>42</td></tr><tr><td>a|b</table>"
+    assert page_markdown(table) == "| Name | Age |\n| --- | --- |\n| Ann | 42 |\n| a\\|b |  |"
+    lists = "<ol><li>one<li>two<ul><li>in</li></ul></li><li>three</ol><ul><li>x</ul>"
+    assert page_markdown(lists) == "1. one\n2. two\n  - in\n\n3. three\n\n- x"
+    assert page_markdown("<blockquote>q <b>w</b><p>r</blockquote>s") == "> q **w**\n>\n> r\n\ns"
+    assert page_markdown("<img alt='x y' src='a.png'><IMG SRC=b.png>") == "![x y](a.png)![](b.png)"
+    assert page_markdown("&eacute;&mdash;&#8217;&#x41;&amp;lt;&copy &bogus;") == "é—’A&lt;&copy &bogus;"
+    assert page_markdown("a <code>b*c &lt;</code> d*") == "a `b*c <` d\\*"
+    nested = "<table><tr><td>o<table><tr><td>i</td><td>j</td></tr></table></td><td>p</td></tr></table>"
+    assert page_markdown(nested) == "| o i j | p |\n| --- | --- |"
+
+
+def test_broken_and_long_pages():
+    assert page_markdown("") == "" and page_markdown("a < b") == "a < b" and page_markdown("</p></td></ul></table></pre></blockquote>x") == "x"
+    assert page_markdown("<table><tr><td>a") == "| a |\n| --- |" and page_markdown("<pre>a\n b") == "```\na\n b\n```"
+    assert page_markdown("<b>open<p>next") == "open\n\nnext" and page_markdown("a\x00b\x011") == "ab1"
+    many = page_markdown("<p>x</p>" * 50_000)
+    assert many == "\n\n".join(["x"] * 50_000)
+
+
+def test_null_page(spark):
+    assert spark.createDataFrame([(None,)], "v string").select(html_to_markdown(F.col("v")).alias("o")).collect()[0].o is None
+
+
 def test_fixes(spark):
     assert _one(spark, fix_media_paths(F.col("v")), "![a](media/media/img.png)") == "![a](media/img.png)"
     assert _one(spark, fix_table_captions(F.col("v")), "x\n\n: []{#t}Tabela 1 - y") == "x\n\n**Tabela 1 - y**"
