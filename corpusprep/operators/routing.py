@@ -73,9 +73,10 @@ def route(files: DataFrame, registry: DataFrame | None = None, path_col: str = "
     converter is on) -> ``converter``; else ``simple`` and ``supported = false``.
     """
     spark = files.sparkSession
-    reg = resolve_registry(registry if registry is not None else extension_registry(spark))
+    # the library's own table is small; of a table given, Catalyst knows the size
+    reg = F.broadcast(resolve_registry(extension_registry(spark))) if registry is None else resolve_registry(registry)
     withext = files.withColumn("ext", extension(F.col(path_col)))
-    out = withext.join(F.broadcast(reg), "ext", "left")
+    out = withext.join(reg, "ext", "left")
     if settings.converter_formats:
         conv = converter_table(spark).withColumn("_conv", F.lit(True))
         out = out.join(F.broadcast(conv), "ext", "left")
@@ -96,9 +97,9 @@ def can_process(files: DataFrame, registry: DataFrame | None = None, path_col: s
     The spreadsheet processor additionally skips ``~$`` names (already covered by ``~``).
     """
     spark = files.sparkSession
-    reg = resolve_registry(registry if registry is not None else extension_registry(spark)).select("ext")
+    reg = resolve_registry(registry if registry is not None else extension_registry(spark)).select(F.col("ext").alias("_ext"))
     keyed = files.withColumn("_ext", extension(F.col(path_col)))
-    kept = keyed.join(F.broadcast(reg.withColumnRenamed("ext", "_ext")), "_ext", "left_semi")
+    kept = keyed.join(F.broadcast(reg) if registry is None else reg, "_ext", "left_semi")
     return kept.where(~is_temp_file(F.col(path_col))).drop("_ext")
 
 

@@ -163,6 +163,27 @@ MEDIA_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".svg", ".webp", ".tif",
 TEXT_KINDS = {"simple": None, "markdown": None, "converter": [".html", ".htm"], "tabular": [".csv", ".tsv"]}
 
 
+def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, folder: str) -> DataFrame:
+    """Package entries ``(package, entry, kind, bytes)`` of the files below ``folder`` that Markdown files refer to.
+
+    ``md_files``: ``path, package, text``, of the original text; ``docs``: what the files became (those without
+    Markdown have no package); ``listing``: ``path`` of all files. Bytes are read of the kinds of files referred to.
+    """
+    spark = md_files.sparkSession
+    src = md_files.select(F.col("path").alias("doc_key"), "path", "package", F.col("text").alias("markdown"))
+    found = links.resolve_local_refs(links.distinct_refs(links.image_refs(src)), src, listing).where("exists")
+    refs = materialize(found.join(src.select("doc_key", "package"), "doc_key").select("package", "media_name", "resolved", "syntax", "pos"))
+    # of refs that come to one media name, the last counts; whatever its extension is, the file is read
+    last = refs.groupBy("package", "media_name").agg(F.max_by("resolved", F.struct("syntax", "pos")).alias("resolved"))
+    exts = [r[0] for r in refs.select(extension("resolved")).distinct().collect()]  # a few kinds of files
+    media = scan_folder(spark, folder, recursive=True, glob=None if "" in exts else _glob(exts or MEDIA_EXTS))
+    rows = last.join(media.select(F.regexp_replace("path", "^file:", "").alias("resolved"), F.col("content").alias("bytes")), "resolved")
+    ok = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0)).select("package").distinct()
+    return rows.join(ok, "package", "left_semi").select(
+        "package", F.concat(F.lit("media/"), F.col("media_name")).alias("entry"), F.lit("media").alias("kind"), "bytes"
+    )
+
+
 def _glob(exts: list[str]) -> str:
     """Case-insensitive glob for file extensions: ``*.{[tT][xX][tT],...}``."""
     def ci(e: str) -> str:
@@ -230,23 +251,9 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
     outs = report.outcomes(routed, docs)
     entries = package.package_entries(docs)
 
-    # media of Markdown documents: local refs of the original text that exist;
-    # bytes come from the media scan, joined on the resolved path
-    md_src = textual.where(~F.col("_skip") & (F.col("_kind") == "markdown")).select(
-        F.col("path").alias("doc_key"), "path", "package", F.col("text").alias("markdown")
-    )
-    refs = materialize(links.resolve_local_refs(links.distinct_refs(links.image_refs(md_src)), md_src, listing_below).where("exists").join(
-        md_src.select("doc_key", "package"), "doc_key").select("doc_key", "package", "media_name", "resolved", "syntax", "pos"))
-    # of refs that come to one media name, the last counts; whatever its extension is, the file is read
-    last = refs.groupBy("package", "media_name").agg(F.max_by("resolved", F.struct("syntax", "pos")).alias("resolved"))
-    exts = [r[0] for r in refs.select(extension("resolved")).distinct().collect()]  # a few kinds of files
-    media = scan_folder(spark, in_dir, recursive=True, glob=None if "" in exts else _glob(exts or MEDIA_EXTS))
-    media_rows = last.join(media.select(strip.alias("resolved"), F.col("content").alias("bytes")), "resolved")
-    ok_pkgs = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0)).select("package").distinct()
-    media_entries = media_rows.join(ok_pkgs, "package", "left_semi").select(
-        "package", F.concat(F.lit("media/"), F.col("media_name")).alias("entry"), F.lit("media").alias("kind"), "bytes"
-    )
-    write_packages(entries.unionByName(media_entries), out_dir)
+    md_src = textual.where(~F.col("_skip") & (F.col("_kind") == "markdown"))
+    media = media_entries(md_src, docs, listing_below, in_dir)
+    write_packages(entries.unionByName(media), out_dir)
     return outs
 
 

@@ -27,9 +27,12 @@ def stream_folder(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     for the duration of the batch so the conversion branches read each file
     once (a lost block is recomputed from the source).
     """
+    from corpusprep.functions.text import decode_text
     from corpusprep.operators import package
-    from corpusprep.plans.convert import convert_files
+    from corpusprep.plans.convert import convert_files, media_entries, route_files
+    from corpusprep.session import materialize
     from corpusprep.sinks.zip_packages import write_packages
+    from corpusprep.sources.folder import scan_folder
 
     files = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
@@ -39,10 +42,14 @@ def stream_folder(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     def batch(df: DataFrame, epoch: int) -> None:
         df = df.withColumn("path", F.regexp_replace("path", "^file:", "")).persist()
         try:
-            docs, outs = convert_files(df, settings, suffix)
-            write_packages(package.package_entries(docs), out_dir)
-            if report_table:
-                outs.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(report_table)
+            listing = scan_folder(df.sparkSession, in_dir, recursive=True).select(F.regexp_replace("path", "^file:", "").alias("path"))
+            docs, outs = convert_files(df, settings, suffix, media=listing)
+            docs = materialize(docs)
+            md = route_files(df, settings, suffix).where(~F.col("_skip") & (F.col("processor") == "markdown"))
+            md = md.withColumn("text", decode_text(F.col("content"))).select("path", "package", "text")
+            write_packages(package.package_entries(docs).unionByName(media_entries(md, docs, listing, in_dir)), out_dir)
+            if report_table:  # a batch that is run again writes its own folder again
+                outs.write.mode("overwrite").parquet(f"{report_table.rstrip('/')}/epoch={epoch}")
         finally:
             df.unpersist()
 

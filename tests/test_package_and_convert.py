@@ -114,11 +114,16 @@ def test_stream_folder(spark, tmp_dir):
     q = stream_folder(spark, src, out, ck)
     q.awaitTermination(120)
     assert os.listdir(out) == ["a.zip"]
-    with open(os.path.join(src, "b.py"), "w") as f:
-        f.write("print(1)")
-    q = stream_folder(spark, src, out, ck)
+    os.makedirs(os.path.join(src, "img"))
+    for name, text in (("b.py", "print(1)"), ("c.md", "![x](img/p.png)"), ("img/p.png", "P")):
+        with open(os.path.join(src, name), "w") as f:
+            f.write(text)
+    report = os.path.join(tmp_dir, "report")
+    q = stream_folder(spark, src, out, ck, report_table=report)
     q.awaitTermination(120)
-    assert sorted(os.listdir(out)) == ["a.zip", "b.zip"]
+    assert sorted(os.listdir(out)) == ["a.zip", "b.zip", "c.zip"]
+    assert _zip(out, "c")["c.md"] == b"![x](media/img_p.png)" and _zip(out, "c")["media/img_p.png"] == b"P"
+    assert {(os.path.basename(r.path), r.status) for r in spark.read.parquet(report).collect()} == {("b.py", "ok"), ("c.md", "ok")}
     with zipfile.ZipFile(os.path.join(out, "b.zip")) as z:
         assert z.read("b.md").decode() == "```py\nprint(1)\n```"
 
