@@ -191,7 +191,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     linked = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
     heads = linked.groupBy("root").agg(F.min("least").alias("head"))
     head = linked.join(heads, "root").select("fingerprint", "head")
-    known = prints.join(head, "fingerprint", "left").select("fingerprint", F.coalesce("head", "least").alias("head"))
+    # written, so that the join below deals both sides out anew and can split a fingerprint with many documents
+    known = materialize(prints.join(head, "fingerprint", "left").select("fingerprint", F.coalesce("head", "least").alias("head")))
     return members.join(known, "fingerprint").select(
         "doc_id", "key", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("head.doc_id").alias("component_id"), (place == F.col("head")).alias("first"),
