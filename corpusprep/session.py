@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +42,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a session, where they can't import it otherwise.
+
+    A cluster has it installed or gets it by ``--py-files``; a driver that found it by ``sys.path`` alone calls this.
+    """
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = {os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if root in found or sc.applicationId in _shipped:
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="corpusprep-"), "corpusprep"), "zip", root, "corpusprep")
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
