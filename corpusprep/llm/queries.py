@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage and, where SQL can express one, its DuckDB SQL.
+"""Registered queries of this subpackage. Their DuckDB SQL, where there is any, is in ``oracles``.
 
 Every query applies its operator with production parameters to its whole table
 and returns the digest columns agreed for it.
@@ -85,7 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_language_id": op10_language_id,
 }
-
-ORACLES: dict[str, str] = {
-    "op6_chat_format": chat_format.ORACLE,
-}
