@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from corpusprep.operators.ordered import global_index
 
 
-def outcomes(routed: DataFrame, docs: DataFrame, key: str = "path") -> DataFrame:
+def outcomes(routed: DataFrame, docs: DataFrame, key: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(path, parser, status, message)``: ``skipped`` for unsupported or temp
     files, ``failed`` when no Markdown came out (or it is empty), else ``ok``.
-    A failure never stops the batch: it is just a row."""
+    A failure never stops the batch: it is just a row. ``keep``: more columns of ``routed``."""
     first = docs.where("part_no = 0") if "part_no" in docs.columns else docs
-    j = routed.select(key, "processor", "_skip").join(first.select(key, "parser", "markdown", "error"), key, "left")
+    j = routed.select(key, *keep, "processor", "_skip").join(first.select(key, "parser", "markdown", "error"), key, "left")
     produced = F.col("markdown").isNotNull() & (F.length("markdown") > 0)
     status = F.when(F.col("_skip"), F.lit("skipped")).when(produced, F.lit("ok")).otherwise(F.lit("failed"))
     message = (
@@ -21,7 +21,7 @@ def outcomes(routed: DataFrame, docs: DataFrame, key: str = "path") -> DataFrame
         .when(produced, F.lit("Successfully processed"))
         .otherwise(F.coalesce(F.col("error"), F.lit("Failed to process")))
     )
-    return j.select(key, F.coalesce(F.col("parser"), F.col("processor")).alias("parser"), status.alias("status"), message.alias("message"))
+    return j.select(key, *keep, F.coalesce(F.col("parser"), F.col("processor")).alias("parser"), status.alias("status"), message.alias("message"))
 
 
 def batch_report(outs: DataFrame) -> DataFrame:

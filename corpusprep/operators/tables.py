@@ -366,10 +366,11 @@ def csv_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT
 
 
 def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CSV", path: str = "path",
-                          encoding: Column | str = "utf-8", name: Column | None = None) -> DataFrame:
+                          encoding: Column | str = "utf-8", name: Column | None = None, is_tsv: Column | None = None) -> DataFrame:
     """Markdown document per table file in parts ``(path, part_no, ...)``: heading, facts and
     ``## Data`` in part 0, then the table. ``name`` overrides the file name shown (default: base
-    name of ``path``); ``encoding`` may be a column of ``profile``."""
+    name of ``path``); ``encoding`` may be a column of ``profile``. ``is_tsv`` tells TSV files from
+    CSV files in a mixed table (otherwise all are of ``kind``)."""
     enc = encoding if isinstance(encoding, Column) else F.lit(encoding)
     fname = basename(name if name is not None else F.col(path))
     j = profile.join(tables.select(path, "part_no", "table"), path, "left").withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("bigint")))
@@ -378,9 +379,11 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
                     F.col("total_columns").cast("string"), F.lit(" columns"))
     shown = F.concat(F.col("displayed_rows").cast("string"), F.lit(" rows × "), F.col("displayed_columns").cast("string"), F.lit(" columns)"))
     table = F.when(F.col("total_rows") == 0, F.lit("*No data found in file*")).otherwise(F.col("table"))
-    if kind == "CSV":
+    heading = F.concat(F.lit("# "), fname, F.lit("\n"))
+
+    def as_csv() -> tuple[Column, Column]:
         parts = [
-            F.concat(F.lit("# "), fname, F.lit("\n")),
+            heading,
             F.lit("**File Type:** CSV"),
             F.concat(F.lit("**Encoding:** "), enc),
             F.concat(F.lit("**Separator:** '"), F.col("separator"), F.lit("'")),
@@ -393,34 +396,41 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
             table,
         ]
         empty = F.concat(F.lit("# Empty CSV File\n\nThe file "), fname, F.lit(" appears to be empty or could not be read."))
-        md = F.when(F.col("total_rows") == 0, empty).otherwise(F.concat_ws("\n", *parts))
-        err = F.when(F.col("total_rows") == 0, F.lit("Empty or unreadable file"))
-        parser = "pandas_csv"
-    else:
+        none = F.col("total_rows") == 0
+        return F.when(none, empty).otherwise(F.concat_ws("\n", *parts)), F.when(none, F.lit("Empty or unreadable file"))
+
+    def as_plain(label: str) -> tuple[Column, Column]:
         parts = [
-            F.concat(F.lit("# "), fname, F.lit("\n")),
-            F.lit(f"**File Type:** {kind}"),
+            heading,
+            F.lit(f"**File Type:** {label}"),
             dims,
             F.when(truncated, F.concat(F.lit("**Note:** Data truncated for display (showing "), shown)),
             F.lit("\n## Data\n"),
             table,
         ]
-        md = F.concat_ws("\n", *parts)
-        err = F.lit(None).cast("string")
-        parser = f"pandas_{kind.lower()}"
+        return F.concat_ws("\n", *parts), F.lit(None).cast("string")
+
+    parser = F.lit(f"pandas_{kind.lower()}")
+    facts = ["separator", "strategy", "score", "had_parsing_issues"]
+    if is_tsv is not None:
+        (md, err), (other, _) = as_csv(), as_plain("TSV")
+        md, err = F.when(is_tsv, other).otherwise(md), F.when(~is_tsv, err)
+        parser = F.when(is_tsv, F.lit("pandas_tsv")).otherwise(F.lit("pandas_csv"))
+        only_csv = [F.when(~is_tsv, c).alias(n) for n, c in [("encoding", enc), *((f, F.col(f)) for f in facts)]]
+    else:
+        md, err = as_csv() if kind == "CSV" else as_plain(kind)
+        only_csv = [enc.alias("encoding"), *facts] if kind == "CSV" else []
     md = F.when(F.col("part_no") == 0, md).otherwise(F.col("table"))
-    return j.select(
-        path, "part_no", F.lit(parser).alias("parser"), md.alias("markdown"), err.alias("error"), "total_rows", "total_columns",
-        *([enc.alias("encoding"), "separator", "strategy", "score", "had_parsing_issues"] if kind == "CSV" else []),
-    )
+    return j.select(path, "part_no", parser.alias("parser"), md.alias("markdown"), err.alias("error"), "total_rows", "total_columns", *only_csv)
 
 
-def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path", parser: str = "pandas_csv") -> DataFrame:
+def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path", parser: Column | str = "pandas_csv") -> DataFrame:
     """Files with no non-blank line: no Markdown, an error row."""
+    parser = parser if isinstance(parser, Column) else F.lit(parser)
     return files.select(path).distinct().join(headers.select(path), path, "left_anti").select(
         path,
         F.lit(0).cast("bigint").alias("part_no"),
-        F.lit(parser).alias("parser"),
+        parser.alias("parser"),
         F.lit(None).cast("string").alias("markdown"),
         F.lit("Unable to parse CSV file with any common encoding/separator combination").alias("error"),
     )
@@ -614,15 +624,19 @@ def _once(df: DataFrame, materialize: bool) -> DataFrame:
 
 def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", kind: str = "CSV",
                   materialize: bool = True, name: Column | None = None, texts: DataFrame | None = None,
-                  encoding: Column | str = "utf-8") -> DataFrame:
+                  encoding: Column | str = "utf-8", is_tsv: Column | None = None) -> DataFrame:
     """Delimited files in line form -> documents in parts (unreadable ones as error rows).
 
-    With ``texts`` (``path, text``, the whole files), records may span lines inside quotes. The parsed
+    With ``texts`` (``path, text``, the whole files), records may span lines inside quotes. ``is_tsv``
+    tells TSV files from CSV files where both are given (otherwise all are of ``kind``). The parsed
     rows feed the profile, the table and the unreadable check; with ``materialize`` they are computed
     once into the checkpoint folder instead of once per branch.
     """
     if kind == "CSV":
         dialects = pick_csv_dialect(score_csv_dialects(lines, path=path), path=path)
+        if is_tsv is not None:
+            tab, none = F.when(is_tsv, F.lit("\t")), F.when(is_tsv, F.lit(0))
+            dialects = dialects.select(path, F.coalesce(tab, "separator").alias("separator"), F.coalesce(none, "score").alias("score"))
     else:
         dialects = lines.select(path).distinct().withColumn("separator", F.lit("\t")).withColumn("score", F.lit(0))
     dialects = _once(dialects, materialize)
@@ -630,8 +644,9 @@ def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "p
     rows, headers = parse_csv_lines(records, dialects, path=path)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
     prof = table_profile(rows, headers, dialects, settings, path=path)
-    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name, encoding=encoding)
-    return docs.unionByName(unreadable_documents(lines, headers, path=path, parser=f"pandas_{kind.lower()}"), allowMissingColumns=True)
+    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name, encoding=encoding, is_tsv=is_tsv)
+    parser = f"pandas_{kind.lower()}" if is_tsv is None else F.when(is_tsv, F.lit("pandas_tsv")).otherwise(F.lit("pandas_csv"))
+    return docs.unionByName(unreadable_documents(lines, headers, path=path, parser=parser), allowMissingColumns=True)
 
 
 def bundle_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", materialize: bool = True,

@@ -97,20 +97,19 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     html = html.withColumn("parser", F.lit("pandoc")).withColumn("error", F.lit(None).cast("string"))
     out.append(_meta(html, ["title"]).withColumn("part_no", first_part).select(*DOC_COLS))
 
-    for kind, ext_name in (("CSV", ".csv"), ("TSV", ".tsv")):
-        encoding = F.col("encoding") if "encoding" in todo.columns else F.lit("utf-8")
-        tab = todo.where((proc == "tabular") & (ext == ext_name)).select(*dict.fromkeys([key, "path"]), "text", encoding.alias("encoding"))
-        bundle = tables.is_bundle(F.substring_index("text", "\n", 1)) & F.lit(kind == "CSV")
-        keyed = tab.withColumn("_tkey", F.to_json(F.struct(key, "path", "encoding"))).withColumn("_bundle", bundle)
-        shown = {"name": F.get_json_object(F.col("_tkey"), "$.path"), "encoding": F.get_json_object(F.col("_tkey"), "$.encoding")}
-        plain = keyed.where(~F.col("_bundle"))
-        docs = tables.csv_documents(text_lines(plain, path="_tkey"), settings, path="_tkey", kind=kind, texts=plain, **shown)
-        facts = ["encoding", "separator", "strategy", "score", "had_parsing_issues", "total_rows", "total_columns"] if kind == "CSV" else ["total_rows", "total_columns"]
-        out.append(_table_docs(docs, facts, key).select(*DOC_COLS))
-        if kind == "CSV":
-            bundles = keyed.where(F.col("_bundle"))
-            docs = tables.bundle_documents(text_lines(bundles, path="_tkey"), settings, path="_tkey", texts=bundles, **shown)
-            out.append(_table_docs(docs, ["encoding", "total_entries", "languages"], key).select(*DOC_COLS))
+    encoding = F.col("encoding") if "encoding" in todo.columns else F.lit("utf-8")
+    tab = todo.where((proc == "tabular") & ext.isin(".csv", ".tsv")).select(*dict.fromkeys([key, "path"]), "text", encoding.alias("encoding"))
+    bundle = tables.is_bundle(F.substring_index("text", "\n", 1)) & (ext == ".csv")
+    keyed = tab.withColumn("_bundle", bundle).withColumn("_tkey", F.to_json(F.struct(key, "path", "encoding")))
+    shown = {"name": F.get_json_object(F.col("_tkey"), "$.path"), "encoding": F.get_json_object(F.col("_tkey"), "$.encoding")}
+    plain, bundles = keyed.where(~F.col("_bundle")), keyed.where(F.col("_bundle"))
+    docs = tables.csv_documents(
+        text_lines(plain, path="_tkey"), settings, path="_tkey", texts=plain, is_tsv=extension(shown["name"]) == ".tsv", **shown
+    )
+    facts = ["encoding", "separator", "strategy", "score", "had_parsing_issues", "total_rows", "total_columns"]
+    out.append(_table_docs(docs, facts, key).select(*DOC_COLS))
+    docs = tables.bundle_documents(text_lines(bundles, path="_tkey"), settings, path="_tkey", texts=bundles, **shown)
+    out.append(_table_docs(docs, ["encoding", "total_entries", "languages"], key).select(*DOC_COLS))
 
     if kind_col == "processor":  # with a literal kind column the caller reports unread kinds itself
         rest = todo.where(

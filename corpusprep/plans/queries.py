@@ -488,7 +488,7 @@ def package_entry_list(spark, sf_dir):
 def _table_outcomes(spark, sf_dir):
     routed = convert.route_files(doc_files(spark, sf_dir))
     docs = convert.convert_texts(routed, key="doc_id")
-    return report_ops.outcomes(routed, docs, key="doc_id").join(routed.select("doc_id", "path"), "doc_id")
+    return report_ops.outcomes(routed, docs, key="doc_id", keep=("path",))
 
 
 @query
