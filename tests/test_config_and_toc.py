@@ -4,7 +4,7 @@ from corpusprep.operators import html
 
 def test_settings_defaults_and_unknown_keys():
     s = Settings.from_dict({"max_rows_display": 10, "limit_image_download": True})
-    assert s.max_rows_display == 10 and s.max_columns_display == 50
+    assert s.max_rows_display == 10 and s.max_columns_display is None
     assert s.get("limit_image_download", "missing") == "missing"
     assert s.get("pandoc_toc") is False
     assert Settings.from_dict(s.to_dict()) == s
