@@ -1,46 +1,27 @@
-"""Delimited files read by Spark's CSV reader, grouped by detected dialect."""
+"""Delimited files: whole corpora by detected dialect, and Spark's CSV reader for TSV files and bundles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDE = 64  # string columns read per row; a non-null last one marks a line with too many fields
+from corpusprep.functions.text import normalize_newlines
+from corpusprep.operators.tables import csv_records, split_fields
+from corpusprep.sources.folder import scan_folder
 
 
-def read_csv_corpus(spark: SparkSession, dialects: DataFrame, width: int = WIDE) -> DataFrame:
-    """Read every file with its own separator and encoding, all cells as text:
-    ``(path, row_id, cells ARRAY<STRING>)``.
+def read_csv_corpus(spark: SparkSession, folder: str, dialects: DataFrame, recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """Files of ``folder`` with their own separator and encoding (``dialects``: path, separator, encoding),
+    all cells as text, in rows of any width: ``(path, row_id, cells ARRAY<STRING>)``, header included.
 
-    Files are grouped by (separator, encoding) — at most six groups — and each
-    group is one ``spark.read.csv`` over its paths (multi-line quoted fields
-    kept). Only the distinct dialect pairs and the path lists reach the driver.
+    Records may span lines inside quotes. Paths and contents stay on the executors. A file is one
+    row of ``binaryFile`` (2 GB at most); larger ones go through ``read_lines``.
     """
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    out = None
-    for row in dialects.select("separator", "encoding").distinct().collect():
-        paths = [r.path for r in dialects.where((F.col("separator") == row.separator) & (F.col("encoding") == row.encoding)).select("path").collect()]
-        if not paths:
-            continue
-        enc = "UTF-8" if row.encoding == "utf-8" else "ISO-8859-1"
-        df = (
-            spark.read.schema(schema)
-            .option("sep", row.separator)
-            .option("encoding", enc)
-            .option("multiLine", True)
-            .option("header", False)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(paths)
-        )
-        part = df.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.monotonically_increasing_id().alias("row_id"),
-            F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    files = scan_folder(spark, folder, recursive, glob).select("path", "content").join(dialects.select("path", "encoding"), "path")
+    text = F.when(F.col("encoding") == "utf-8", F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    records = csv_records(files.select("path", normalize_newlines(text).alias("text")), dialects).where(F.col("line") != "")
+    cells = records.join(dialects.select("path", "separator"), "path")
+    return cells.select("path", F.col("ord").alias("row_id"), split_fields(F.col("line"), F.col("separator")).alias("cells"))
 
 
 def read_tsv(spark: SparkSession, paths: list[str] | str, infer: bool = True) -> DataFrame:

@@ -15,20 +15,21 @@ def _write(folder, name, text, enc="utf-8"):
 
 
 def test_read_csv_corpus_by_dialect(spark, tmp_dir):
-    a = _write(tmp_dir, "a.csv", 'x;y\n1;"two\nlines"\n3;4;5\n')
-    b = _write(tmp_dir, "b.csv", "p,q\nä,2\n", enc="latin-1")
-    dialects = spark.createDataFrame(
-        [("file://" + a, ";", "utf-8"), ("file://" + b, ",", "latin-1")], "path string, separator string, encoding string"
+    wide = ",".join(f"c{i}" for i in range(70))
+    _write(tmp_dir, "a.csv", 'x;y\n1;"two\nlines"\n\n3;4;5\n')
+    _write(tmp_dir, "b.csv", "p,q\nä,2\n", enc="latin-1")
+    _write(tmp_dir, "wide.csv", wide + "\r\n" + wide.replace("c", "") + "\r\n")
+    name = F.substring_index("path", "/", -1)
+    dialects = scan_folder(spark, tmp_dir).select(
+        "path", F.when(name == "a.csv", ";").otherwise(",").alias("separator"), F.when(name == "b.csv", "latin-1").otherwise("utf-8").alias("encoding")
     )
-    rows = read_csv_corpus(spark, dialects, width=4).collect()
     by_file = {}
-    for r in rows:
-        by_file.setdefault(os.path.basename(r.path), []).append((r.row_id, r.cells))
-    a_rows = [c for _, c in sorted(by_file["a.csv"])]
-    assert a_rows[0][:2] == ["x", "y"] and a_rows[1][:2] == ["1", "two\nlines"]
-    assert a_rows[2][2] == "5"  # a third field: more than the header has (a bad line)
-    b_rows = [c for _, c in sorted(by_file["b.csv"])]
-    assert b_rows[1][:2] == ["ä", "2"]
+    for r in read_csv_corpus(spark, tmp_dir, dialects).orderBy("path", "row_id").collect():
+        by_file.setdefault(os.path.basename(r.path), []).append(r.cells)
+    # the third record of a has more fields than its header: a bad line
+    assert by_file["a.csv"] == [["x", "y"], ["1", "two\nlines"], ["3", "4", "5"]]
+    assert by_file["b.csv"] == [["p", "q"], ["ä", "2"]]
+    assert by_file["wide.csv"] == [wide.split(","), [str(i) for i in range(70)]]
 
 
 def test_read_tsv_and_bundle(spark, tmp_dir):
