@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.config import DEFAULT, Settings
-from corpusprep.functions.paths import basename, extension, is_temp_file, package_name
+from corpusprep.functions.paths import extension, is_temp_file, package_name
 
 # Processors and their extensions, in registration order (later
 # registrations of the same extension win).
@@ -149,7 +149,3 @@ def name_collisions(named: DataFrame, path_col: str = "path") -> DataFrame:
         .withColumn("survivor", F.col("path") == F.col("survivor_path"))
         .drop("survivor_path")
     )
-
-
-def file_names(files: DataFrame, path_col: str = "path") -> DataFrame:
-    return files.withColumn("source_filename", basename(F.col(path_col)))

@@ -693,6 +693,12 @@ FROM im"""
 ORACLES["image_decisions"] = f"""WITH {_IMG}
 SELECT p_partkey, action, fmt AS format, data_uri, new_path FROM dec3"""
 
+ORACLES["image_decorative"] = f"""WITH {_IMG}
+SELECT p_partkey, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height FROM im WHERE typ <> 3 AND w < 50 AND h < 50"""
+
+ORACLES["image_embedded"] = f"""WITH {_IMG}
+SELECT p_partkey, 'data:image/' || lower(fmt) || ';base64,' || to_base64(bytes) AS data_uri FROM dec WHERE octet_length(bytes) < 5120"""
+
 ORACLES["pdf_documents"] = f"""WITH {_IMG}
 SELECT doc_key, replace(string_agg('Text ' || p_name || chr(10) ||
     CASE WHEN action = 'remove' THEN '' ELSE '![Image ' || CAST(p_partkey AS VARCHAR) || '](' || coalesce(data_uri, new_path)

@@ -24,9 +24,8 @@ from corpusprep.functions.text import clean_cell, clean_column_name, decode_dete
 from corpusprep.operators import html as html_ops
 from corpusprep.operators import links
 from corpusprep.config import Settings
-from corpusprep.functions.images import sniff_image_type
+from corpusprep.functions.images import image_format, sniff_image_type
 from corpusprep.operators import images as images_ops
-from corpusprep.operators import ordered as ordered_ops
 from corpusprep.operators import package as package_ops
 from corpusprep.operators import report as report_ops
 from corpusprep.operators import routing
@@ -435,6 +434,18 @@ def image_decisions(spark, sf_dir):
     return d.select("p_partkey", "action", "format", "data_uri", "new_path")
 
 
+@query
+def image_decorative(spark, sf_dir):
+    im = images_ops.drop_decorative(images_ops.with_size(part_images(spark, sf_dir)), 50)
+    return im.select("p_partkey", "width", "height")
+
+
+@query
+def image_embedded(spark, sf_dir):
+    im = part_images(spark, sf_dir).withColumn("format", image_format(images_ops.final_name("filename")))
+    return images_ops.embed_small(im, 5).select("p_partkey", "data_uri")
+
+
 @query
 def pdf_documents(spark, sf_dir):
     d = images_ops.triage_images(part_images(spark, sf_dir), TRIAGE)

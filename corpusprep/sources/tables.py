@@ -12,8 +12,3 @@ TABLES = (
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, data_dir: str, names=TABLES) -> None:
-    for name in names:
-        table(spark, data_dir, name).createOrReplaceTempView(name)

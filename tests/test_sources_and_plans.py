@@ -73,7 +73,7 @@ def test_python_steps(spark):
     sf = "/root/testdata/sf0.001"
     # pages are converted, JSON is printed, and JPEG and TIFF headers are walked, in Arrow batches
     arrow = {"text_documents", "json_documents", "metadata_documents", "file_outcomes", "batch_report", "batch_progress", "corpus_documents",
-             "image_sizes", "image_resize_plan", "image_decisions", "pdf_documents", "image_summary",
+             "image_sizes", "image_resize_plan", "image_decisions", "image_decorative", "pdf_documents", "image_summary",
              "html_markdown", "html_toc"}
     for name, fn in QUERIES.items():
         plan = _plan(fn(spark, sf))
