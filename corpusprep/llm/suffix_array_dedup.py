@@ -47,37 +47,53 @@ def _shifted(x: np.ndarray, by: int) -> np.ndarray:
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position by its next ``length`` bytes (prefix doubling; equal rank: equal bytes)."""
+    """A number for each position that orders them by their next ``length`` bytes (equal: equal bytes).
+
+    Prefix doubling, several ranks at a time. Neighbouring prefixes may overlap: where the first agree, so does the overlap.
+    """
     wide = data.astype(np.uint64)
     done, key = 1, wide
     while done < min(8, length):
         step = min(done, min(8, length) - done)
-        # overlapping halves compare right: where the first halves agree, so does the overlap
         key = (key << np.uint64(8 * step)) | (_shifted(key, step) & np.uint64((1 << (8 * step)) - 1))
         done += step
-    rank = _dense(key)
+    if done == length:
+        return key
+    # as many ranks as fit 64 bits are compared at once
+    bits = max(1, len(data).bit_length())
     while done < length:
-        step = min(done, length - done)
-        rank = _dense((rank << np.uint64(32)) | _shifted(rank, step))
-        done += step
-    return rank
+        rank = _dense(key)
+        key, at = rank, 0
+        for _ in range(64 // bits - 1):
+            step = min(done, length - done - at)
+            at += step
+            key = (key << np.uint64(bits)) | _shifted(rank, at)
+            if at + done == length:
+                break
+        done += at
+    return key
 
 
 def longest_previous_factor_judge(length: int):
     def judge(units: list[bytes], windows: np.ndarray, n: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
         del n
-        sizes = np.array([len(u) for u in units])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        rank = suffix_ranks(np.frombuffer(b"".join(units), dtype=np.uint8), length)
-        piece = np.repeat(np.arange(len(units)), windows)
-        offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rank = rank[starts[piece] + offset]
-        # suffix order; places in the corpus follow the pieces' order, as pieces don't share windows
-        suffixes = np.lexsort((offset, order[piece], rank))
-        factor = np.zeros(len(piece), dtype=bool)
-        factor[suffixes[1:]] = rank[suffixes[1:]] == rank[suffixes[:-1]]
-        ends = np.cumsum(windows)
-        return [offset[lo:hi][factor[lo:hi]] for lo, hi in zip(ends - windows, ends, strict=True)]
+        # in the order of the corpus, so that a window's number is its place (pieces don't share windows)
+        turn = np.argsort(order)
+        units, many = [units[i] for i in turn], windows[turn].astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(u) for u in units])[:-1]]).astype(np.int64)
+        first = np.cumsum(many) - many
+        place = np.arange(int(many.sum()))
+        piece = np.repeat(np.arange(len(units)), many)
+        rank = _dense(suffix_ranks(np.frombuffer(b"".join(units), dtype=np.uint8), length)[starts[piece] + place - first[piece]])
+        # suffix order, equal ones by place
+        suffixes = np.sort(rank << np.uint64(32) | place.astype(np.uint64))
+        again = (suffixes[1:] >> np.uint64(32)) == (suffixes[:-1] >> np.uint64(32))
+        factor = np.zeros(len(place), dtype=bool)
+        factor[(suffixes[1:][again] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        out: list[np.ndarray] = [place[:0]] * len(units)
+        for at, lo, m in zip(turn.tolist(), first.tolist(), many.tolist(), strict=True):
+            out[at] = np.flatnonzero(factor[lo : lo + m])
+        return out
 
     return judge
 

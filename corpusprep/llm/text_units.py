@@ -1,7 +1,7 @@
 """Vectorised word, n-gram and minimizer helpers used inside tasks.
 
 A task sees its documents as Arrow batches. The helpers concatenate documents
-into *packs* of a few megabytes (a longer document is cut into overlapping
+into *packs* of some hundred kilobytes (a longer document is cut into overlapping
 pieces), so that tokenising and hashing are a handful of numpy passes whatever
 the mix of short and long documents, and memory stays bounded.
 """
@@ -15,7 +15,8 @@ from typing import NamedTuple
 
 import numpy as np
 
-PACK_BYTES = 1 << 20
+#: Arrays of a pack stay in a core's cache.
+PACK_BYTES = 1 << 17
 #: Positions in a pack take the low bits of a minimizer key; a pack has fewer units than this.
 POSITION_BITS = 24
 
@@ -34,12 +35,10 @@ def utf8(text: str | None) -> bytes:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer that spreads every input bit over all 64 (in place)."""
-    x ^= x >> np.uint64(30)
+    """Finalizer that spreads the input bits over the high and low ones (in place)."""
+    x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= x >> np.uint64(29)
     return x
 
 
@@ -81,6 +80,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
 
 
+def gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """``span_hash`` of every run of ``gram`` units."""
+    n = len(prefix) - gram
+    return mix((prefix[gram:] - prefix[:n]) * powers(len(prefix))[1][:n])
+
+
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive keys, by doubling."""
     done, out = 1, keys
@@ -222,34 +227,29 @@ def contexts(pack: Pack, unit: str, window: int, gram: int) -> Contexts | None:
     if n < window:
         return None
     assert n < 1 << POSITION_BITS
-    at = np.arange(n - gram + 1)
-    grams = span_hash(prefix, at, at + gram)
+    grams = gram_hashes(prefix, gram)
     low = np.uint64((1 << POSITION_BITS) - 1)
-    picked = sliding_min((grams & ~low) | at.astype(np.uint64), window - gram + 1)
-    picked = (picked & low).astype(np.int64)
+    picked = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
     if doc is not None:
         valid = doc[: n - window + 1] == doc[window - 1 :]
-        at = np.flatnonzero(valid)
         first_unit = np.searchsorted(doc, np.arange(len(pack.rows)))
     else:
-        mark = np.zeros(n + 1, dtype=np.int32)
+        mark = np.zeros(n + 1, dtype=np.int8)
         long = pack.ends - pack.starts >= window
         mark[pack.starts[long]] += 1
         mark[(pack.ends - window + 1)[long]] -= 1
-        at = np.flatnonzero(np.cumsum(mark)[: n - window + 1])
+        valid = np.cumsum(mark, dtype=np.int8)[: n - window + 1].astype(bool)
         first_unit = pack.starts
-    if not len(at):
+    # windows of two documents are never neighbours, as those across both are not valid
+    begin = np.flatnonzero(np.append(True, (picked[1:] != picked[:-1]) | (valid[1:] != valid[:-1])))
+    m = np.diff(np.append(begin, len(picked)))
+    keep = valid[begin]
+    a, m = begin[keep], m[keep]
+    if not len(a):
         return None
-    picked = picked[at]
-    new = np.empty(len(at), dtype=bool)
-    new[0] = True
-    new[1:] = (np.diff(at) != 1) | (picked[1:] != picked[:-1])
-    begin = np.flatnonzero(new)
-    a = at[begin]
-    m = np.diff(np.append(begin, len(at)))
     where = doc[a] if doc is not None else np.searchsorted(pack.starts, a, "right") - 1
     last = a + m + window - 1
     return Contexts(
-        pack.rows[where], pack.first[where] + a - first_unit[where], m, grams[picked[begin]], span_hash(prefix, a, last),
+        pack.rows[where], pack.first[where] + a - first_unit[where], m, grams[(picked[a] & low).astype(np.int64)], span_hash(prefix, a, last),
         lo[a] if doc is not None else a, hi[last - 1] if doc is not None else last,
     )
