@@ -115,13 +115,44 @@ class _Queries:
             self.groups.append((size, np.array([wid[i] for i in some]), np.searchsorted(self.vocabulary, np.array([terms[i] for i in some]))))
 
 
-def _matches(queries: _Queries, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """wid and, of each place where it matches, the first token, the last one, and whether the match is exact."""
+def _exact_matches(wids: np.ndarray, places: np.ndarray, df: np.ndarray, at: np.ndarray, offsets: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """wid and first token of every exact match, all windows at a time.
+
+    Each window starts from the list of its rarest term, shifted by the term's place; the other lists, rarest first,
+    are intersected by asking for a position's term, which inverts the lists.
+    """
+    term_at = np.empty(len(positions), dtype=np.int64)
+    term_at[positions] = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    size, freq = places.shape[1], df[places]
+    alive = np.flatnonzero(freq.min(axis=1) > 0)
+    order = np.argsort(freq[alive], axis=1, kind="stable")
+    wanted = at[places[alive]]
+    rarest = wanted[np.arange(len(alive)), order[:, 0]]
+    n = (offsets[rarest + 1] - offsets[rarest]).astype(np.int64)
+    window = np.repeat(np.arange(len(alive)), n)
+    inside = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+    start = positions[offsets[rarest][window] + inside].astype(np.int64) - order[window, 0]
+    keep = (start >= 0) & (start + size <= len(positions))
+    window, start = window[keep], start[keep]
+    for k in range(1, size):
+        place = order[window, k]
+        keep = term_at[start + place] == wanted[window, place]
+        window, start = window[keep], start[keep]
+    return wids[alive[window]], start
+
+
+def _matches(queries: _Queries, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """wid, the first token, the last one and whether it is exact, of every match."""
     if not len(terms):
         return
     at = np.searchsorted(terms, queries.vocabulary)
     at = np.minimum(at, len(terms) - 1)
     df = np.where(terms[at] == queries.vocabulary, offsets[at + 1] - offsets[at], 0)
+    if not slop:
+        for size, wids, places in queries.groups:
+            wid, start = _exact_matches(wids, places, df, at, offsets, positions)
+            yield wid, start, start + size - 1, np.ones(len(start), dtype=bool)
+        return
     for size, wids, places in queries.groups:
         freq = df[places]
         for q in np.flatnonzero(freq.min(axis=1) > 0):
@@ -140,7 +171,7 @@ def _matches(queries: _Queries, terms: np.ndarray, offsets: np.ndarray, position
                     break
                 lo, hi, exact = np.minimum(lo, near), np.maximum(hi, near), exact & (near == goal)
             if len(start):
-                yield int(wids[q]), lo, hi, exact
+                yield np.full(len(lo), wids[q]), lo, hi, exact
 
 
 def search(index: DataFrame, windows: DataFrame, slop: int = 0, windows_per_search: int = WINDOWS_PER_SEARCH) -> DataFrame:
@@ -164,9 +195,9 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0, windows_per_sear
                     for wid, lo, hi, exact in _matches(queries, terms, offsets, positions, slop):
                         piece = np.searchsorted(ends, lo, side="right")
                         inside = piece == np.searchsorted(ends, hi, side="right")
-                        piece, lo, hi, exact = (x[inside] for x in (piece, lo, hi, exact))
+                        wid, piece, lo, hi, exact = (x[inside] for x in (wid, piece, lo, hi, exact))
                         shift = first[piece] - (ends - words)[piece]
-                        out.append([k1[piece], k2[piece], np.full(len(lo), wid), lo + shift, hi + shift + 1, exact])
+                        out.append([k1[piece], k2[piece], wid, lo + shift, hi + shift + 1, exact])
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["k1", "k2", "wid", "lo", "hi", "exact"])
 

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from corpusprep.llm.text_units import byte_prefix, contexts, packs, prefix_hash, span_hash, words_of
 from corpusprep.session import materialize, release
 
-#: Bytes of context units that one shard (one judge's task) holds, on average.
-SHARD_BYTES = 1 << 20
+#: Bytes of context units that one shard holds, on average: its automaton or its ranks stay in the cache.
+SHARD_BYTES = 1 << 17
 #: Distinct contexts of one anchor that go to a shard; an anchor with more is settled window by window.
 CONTEXTS_PER_ANCHOR = 2000
 
