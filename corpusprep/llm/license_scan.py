@@ -33,7 +33,7 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 CONFIDENCE = (0.99, 0.95, 0.9, 0.8, 0.6, 0.4)
 TAG, ADDRESS, GRANT, NAME, WEAK, NOTICE = range(6)
 
-#: label; keyword (it stands in every signature); signatures by priority: t(ag), a(ddress), g(rant), n(ame), w(eak). One line for each expression.
+#: label; keyword (it stands, after a blank, in every alternative of every signature); signatures by priority: t(ag), a(ddress), g(rant), n(ame), w(eak). One line for each expression.
 SIGNATURES = r"""
 mit; mit
  t spdx license identifier mit\b
@@ -139,7 +139,9 @@ bsd-3-clause; neither the name
 bsd-2-clause; bsd
  t spdx license identifier bsd 2 clause\b
  a opensource org licenses bsd 2 clause
- n (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)
+ n (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: licen[cs]e)
+bsd-2-clause; freebsd
+ n freebsd licen[cs]e
 bsd-4-clause; bsd
  t spdx license identifier bsd 4 clause\b
  n (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)(?: licen[cs]e)?
@@ -333,9 +335,11 @@ odbl-1.0; open database
 odbl-1.0; opendatacommons
  a opendatacommons org licenses odbl
 psf-2.0; python
- t spdx license identifier (?:psf|python) 2 0
+ t spdx license identifier python 2 0
  n python software foundation licen[cs]e
  w python licen[cs]e
+psf-2.0; psf
+ t spdx license identifier psf 2 0
 php-3.01; php
  t spdx license identifier php 3 0 ?1
  n php licen[cs]e (?:version )?3 0 ?1
@@ -471,8 +475,9 @@ copyright; copyright
 proprietary; proprietary
  o proprietary and confidential
  o proprietary licen[cs]e
-confidential; confidential
+confidential; unauthorized copying
  o unauthorized copying .{0,60}?(?:is )?(?:strictly )?prohibited.{0,20}?confidential
+confidential; company
  o company confidential
 noncommercial; noncommercial
  o (?:for )?noncommercial use only

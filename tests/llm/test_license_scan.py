@@ -1,4 +1,6 @@
 import re
+from re import _constants as sre
+from re._parser import parse as sre_parse
 
 import cases
 
@@ -76,6 +78,49 @@ def test_prefilter_loses_nothing(spark):
         assert [tuple(d) for d in detections([w.encode() for w in words])] == [tuple(d) for d in _plain_detections(words)]
 
 
+def _alternatives(parsed):
+    """Texts of every alternative of an expression; any character is "z", a repeat is taken at its least and one more."""
+    outs = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            own = [chr(arg)]
+        elif op is sre.NOT_LITERAL or op is sre.ANY:
+            own = ["z"]
+        elif op is sre.IN:
+            own = [chr(x if o is sre.LITERAL else x[0]) for o, x in arg]
+        elif op is sre.BRANCH:
+            own = [t for branch in arg[1] for t in _alternatives(branch)]
+        elif op is sre.SUBPATTERN:
+            own = _alternatives(arg[-1])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            least, most, inner = arg
+            once = _alternatives(inner)
+            own = [t * n for t in once for n in range(least, min(most, least + 1) + 1)]
+        else:
+            assert op is sre.AT, op
+            own = [""]
+        outs = [a + b for a in outs for b in dict.fromkeys(own)]
+    return outs
+
+
+def test_every_alternative_holds_its_keyword():
+    assert _alternatives(sre_parse("a(?:b|c ?)[de]")) == ["abd", "abe", "acd", "ace", "ac d", "ac e"]
+    n = 0
+    for r in rules():
+        for text in _alternatives(sre_parse(r.signature)):
+            n += 1
+            assert f" {r.keyword}" in f" {text}", (r, text)
+    assert n > len(rules())
+
+
+def test_alternatives_without_the_common_keyword():
+    for text, label in [("FreeBSD License", "bsd-2-clause"), ("the FreeBSD licence", "bsd-2-clause"), ("SPDX-License-Identifier: PSF-2.0", "psf-2.0"),
+                        ("SPDX-License-Identifier: Python-2.0", "psf-2.0"), ("Unauthorized copying is prohibited, nonconfidential", "confidential")]:
+        words = _words(text)
+        got = detections([w.encode() for w in words])
+        assert got == _plain_detections(words) and label in {d.label for d in got}
+
+
 def test_containment():
     d = [Detection(0, 10, 3, "outer"), Detection(2, 4, 1, "inner"), Detection(3, 6, 2, "overlaps"), Detection(3, 4, 5, "inside"), Detection(12, 13, 5, "apart")]
     assert [x.label for x in resolved(d)] == ["inner", "overlaps", "apart"]
