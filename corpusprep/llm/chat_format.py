@@ -6,9 +6,12 @@ hash (128 bits, the exclusive or of the hashes of number, role and text) stands
 for every prefix. A conversation whose whole hash is a proper prefix of another
 is dropped by an anti-join; of equal conversations the smallest id stays.
 
-A conversation may be huge. Its turns are numbered, hashed and rendered in
-blocks of consecutive turn numbers; only a row for each block is ordered over
-the whole conversation. A long one comes out as several parts, in order.
+A conversation may be huge, and its turn numbers may be null or repeat. All rows are
+put in one order over range partitions, which gives each its position. A block is a run
+of at most ``BLOCK_ROWS`` positions inside a run of ``1 << BLOCK_BITS`` turn numbers, so it
+is bounded whatever the numbers are. Turns are hashed and rendered in blocks; only a row
+for each block is ordered over the whole conversation. A long one comes out as several
+parts, in order.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusprep.operators.ordered import global_index
 from corpusprep.session import materialize
 
 #: Turn numbers of a block, as a power of two.
 BLOCK_BITS = 9
+#: Rows of a block at most; turn numbers that are null or repeat would make it longer.
+BLOCK_ROWS = 512
 
 
 def _hashes(*cols: Column) -> tuple[Column, Column]:
@@ -31,31 +37,35 @@ def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     Turns are ordered by turn number (null last), role and text. A row logged
     twice counts once. A null role or text is empty. Rows without an id are one conversation.
+    A block is the position of its first row in the order of the whole table.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).distinct().withColumn("block", F.shiftright("turn", BLOCK_BITS))
-    inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    rows = materialize(rows.withColumn("place", F.row_number().over(inside).cast("bigint")).drop("turn"))
-
-    earlier = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col("conv").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block"))
-
-    def by_block(blocks: DataFrame) -> DataFrame:
-        return blocks.withColumnsRenamed({"conv": "b_conv", "block": "b_block"})
-
-    counts = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    before = counts.select("conv", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    rows = rows.join(by_block(before), same).withColumn("number", F.col("before") + F.col("place")).drop("before", "b_conv", "b_block")
+    ).distinct()
+    rows = global_index(rows, [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")], "at")
+    # runs of turn numbers, in pieces of BLOCK_ROWS positions of the table: no key has more rows than that
+    rows = rows.select("conv", F.shiftright("turn", BLOCK_BITS).alias("run"), F.floor(F.col("at") / BLOCK_ROWS).alias("piece"), "at", "role", "text")
+    pieces = rows.groupBy("conv", "run", "piece").agg(F.min("at").alias("first"))
+    starts = pieces.select(
+        F.col("conv").alias("p_conv"), F.col("run").alias("p_run"), F.col("piece").alias("p_piece"),
+        F.min("first").over(Window.partitionBy("conv")).alias("conv_start"), F.min("first").over(Window.partitionBy("conv", "run")).alias("run_start"),
+    )
+    own = (F.col("piece") == F.col("p_piece")) & F.col("conv").eqNullSafe(F.col("p_conv")) & F.col("run").eqNullSafe(F.col("p_run"))
+    rows = rows.join(starts, own).select(
+        "conv", (F.col("at") - (F.col("at") - F.col("run_start")) % BLOCK_ROWS).alias("block"), (F.col("at") - F.col("conv_start") + 1).alias("number"),
+        "role", "text",
+    )
     e1, e2 = _hashes(F.col("number"), F.col("role"), F.col("text"))
     rows = materialize(rows.withColumn("e1", e1).withColumn("e2", e2))
 
+    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("conv", "block").agg(F.bit_xor("e1").alias("t1"), F.bit_xor("e2").alias("t2"))
     start = totals.select("conv", "block", *(F.coalesce(F.bit_xor(f"t{i}").over(earlier), F.lit(0)).alias(f"s{i}") for i in (1, 2)))
-    so_far = Window.partitionBy("conv", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = rows.select("conv", "block", "place", "number", "role", "text", *(F.bit_xor(f"e{i}").over(so_far).alias(f"x{i}") for i in (1, 2)))
-    rolled = rolled.join(by_block(start), same)
+    start = start.drop("conv").withColumnRenamed("block", "b_block")
+    so_far = Window.partitionBy("block").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    rolled = rows.select("conv", "block", "number", "role", "text", *(F.bit_xor(f"e{i}").over(so_far).alias(f"x{i}") for i in (1, 2)))
+    rolled = rolled.join(start, F.col("block") == F.col("b_block"))
     return rolled.select("conv", "block", "number", "role", "text", *(F.col(f"x{i}").bitwiseXOR(F.col(f"s{i}")).alias(f"h{i}") for i in (1, 2)))
 
 
@@ -83,24 +93,25 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
                          text_col: str = "text") -> DataFrame:
     """conv_id, part (from 0), n_turns, n_copies, rendered of every maximal conversation.
 
-    Parts hold the turns of a block of turn numbers each; joined in order they are the
-    conversation. An empty table has an empty result.
+    Parts hold the turns of a block each; joined in order they are the conversation. An
+    empty table has an empty result.
     """
     numbered = materialize(numbered_turns(turns, conv_col, turn_col, role_col, text_col))
     keep = maximal_conversations(numbered)
     blocks = numbered.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    in_order = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_last())
+    in_order = Window.partitionBy("conv").orderBy("block")
     blocks = blocks.withColumn("part", F.row_number().over(in_order) - 1).drop("n")
     kept = keep.withColumnRenamed("conv", "k_conv")
-    parts = blocks.join(kept, F.col("conv").eqNullSafe(F.col("k_conv"))).withColumnsRenamed({"conv": "p_conv", "block": "p_block"}).drop("k_conv")
-    rows = numbered.join(parts, F.col("conv").eqNullSafe(F.col("p_conv")) & F.col("block").eqNullSafe(F.col("p_block")))
+    parts = blocks.join(kept, F.col("conv").eqNullSafe(F.col("k_conv"))).withColumnsRenamed({"block": "p_block"}).drop("k_conv", "conv")
+    rows = numbered.join(parts, F.col("block") == F.col("p_block"))
     line = F.struct("number", rendered(F.col("role"), F.col("text")).alias("line"))
     return rows.groupBy(F.col("conv").alias("conv_id"), F.col("block").alias("_block"), "part", "n_turns", "n_copies").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "").alias("rendered")
     ).select("conv_id", F.col("part").cast("bigint").alias("part"), "n_turns", "n_copies", "rendered")
 
 
-#: The same over ``conversations`` in DuckDB, with prefixes compared turn by turn instead of by hash.
+#: The same over ``conversations`` in DuckDB, with prefixes compared turn by turn instead of by hash. It doesn't cut a run
+#: of turn numbers that has more than ``BLOCK_ROWS`` rows.
 ORACLE = f"""
 WITH r AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -56,6 +56,26 @@ def test_awkward_rows(spark):
     assert len([r for r in got if r[0] == 9]) == 3
 
 
+def test_blocks_are_bounded_when_turn_numbers_are_null_or_tied(spark):
+    rows = (
+        [(None, i % 3, "user", f"no id {i}") for i in range(1700)]
+        + [(1, None, "user", f"no turn {i}") for i in range(1300)]
+        + [(2, 5, "user", f"tied {i}") for i in range(1100)] + [(2, 600, "user", "last")]
+    )
+    got = c.format_conversations(_frame(spark, rows)).collect()
+    assert max(r.rendered.count("<|im_start|>") for r in got) <= c.BLOCK_ROWS
+    assert {k: sum(r.conv_id == k for r in got) for k in (None, 1, 2)} == {None: 4, 1: 3, 2: 4}
+    said = {}
+    for r in sorted(got, key=lambda r: r.part):
+        said.setdefault(r.conv_id, []).append(r)
+    for k, parts in said.items():
+        mine = sorted(((t is None, t or 0, role, text) for x, t, role, text in rows if x == k))
+        assert [r.part for r in parts] == list(range(len(parts))) and {r.n_turns for r in parts} == {len(mine)}
+        assert "".join(r.rendered for r in parts) == "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for *_, role, text in mine)
+    numbered = c.numbered_turns(_frame(spark, rows)).groupBy("conv", "block").count().collect()
+    assert max(r["count"] for r in numbered) <= c.BLOCK_ROWS
+
+
 def test_empty_table(spark):
     assert c.format_conversations(_frame(spark, []).limit(0)).collect() == []
 
