@@ -3,19 +3,21 @@
 Input is a ``slides`` table (one row per slide):
 ``deck, core_title, slide_idx, notes, shapes ARRAY<STRUCT<kind, name, text,
 is_title, paragraphs ARRAY<STRUCT<level, text>>, image BINARY, alt>>>``.
-Each slide's section is built by a projection; the deck is assembled by a
-blocked ordered concatenation, and image numbers by a blocked running sum, so
-a deck of any size is built in parallel.
+Each slide's section is built by a projection, and image numbers by a blocked
+running sum. ``deck_parts`` returns a deck in ordered parts, so one of any size
+is built in parallel; ``assemble_deck`` joins them into one string a deck, of
+2 GB at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.functions.common import col_of, md5_prefix, py_strip
 from corpusprep.functions.images import sniff_image_type
-from corpusprep.operators.ordered import ordered_concat, running_sum_before
+from corpusprep.operators.ordered import BLOCK, running_sum_before
+from corpusprep.operators.tables import ordered_join
 
 LEGACY_NOTICE = (
     "# PPT Format Notice\n\n"
@@ -144,26 +146,49 @@ def deck_title(slides: DataFrame, deck: str = "deck") -> DataFrame:
     return _deck_facts(slides, deck).select(deck, "title")
 
 
-def assemble_deck(slides: DataFrame, deck: str = "deck") -> DataFrame:
-    """One Markdown document per deck with ``slide_count``, ``image_count``, ``title``."""
+def deck_parts(slides: DataFrame, deck: str = "deck", part_slides: int = BLOCK) -> DataFrame:
+    """Markdown of each deck in parts ``(deck, part_no, parser, markdown, slide_count, image_count, title)``.
+
+    A part holds the slides of ``part_slides`` consecutive ``slide_idx``; part 0 starts with
+    the title. Joined in order with a newline the parts are the deck. No step has a
+    whole deck in one group but the facts and a row for each part.
+    """
     images = slide_images(slides, deck, with_bytes=False)
-    sections = slide_sections(slides, images, deck)
-    body = ordered_concat(sections, [deck], "slide_idx", "section", "\n", "_body")
+    part = F.floor(F.col("slide_idx") / F.lit(part_slides)).cast("bigint").alias("_part")
+    sections = slide_sections(slides, images, deck).select(deck, part, "slide_idx", "section")
+    body = ordered_join(sections, [deck, "_part"], "slide_idx", "section", "\n", "_body")
+    numbers = F.row_number().over(Window.partitionBy(deck).orderBy("_part")) - 1
+    parts = slides.select(deck, part).distinct().withColumn("part_no", numbers.cast("bigint"))
     n_img = images.groupBy(deck).agg(F.count(F.lit(1)).alias("image_count"))
-    out = body.join(_deck_facts(slides, deck), deck).join(n_img, deck, "left")
-    md = F.concat_ws("\n", F.when(F.col("title") != "", F.concat(F.lit("# "), F.col("title"), F.lit("\n"))), F.col("_body"))
+    out = body.join(parts.join(_deck_facts(slides, deck), deck).join(n_img, deck, "left"), [deck, "_part"])
+    heading = F.when((F.col("part_no") == 0) & (F.col("title") != ""), F.concat(F.lit("# "), F.col("title"), F.lit("\n")))
     return out.select(
         deck,
+        "part_no",
         F.lit("pptx_parser").alias("parser"),
-        md.alias("markdown"),
+        F.concat_ws("\n", heading, F.col("_body")).alias("markdown"),
         F.col("slide_count").cast("bigint").alias("slide_count"),
         F.coalesce(F.col("image_count"), F.lit(0)).cast("bigint").alias("image_count"),
         "title",
     )
 
 
+def assemble_deck(slides: DataFrame, deck: str = "deck") -> DataFrame:
+    """One Markdown document per deck with ``slide_count``, ``image_count``, ``title``.
+
+    A deck above 2 GB doesn't fit a row: see ``deck_parts``.
+    """
+    parts = deck_parts(slides, deck)
+    facts = ["parser", "slide_count", "image_count", "title"]
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "markdown"))), lambda p: p["markdown"]), "\n")
+    out = parts.groupBy(deck).agg(whole.alias("markdown"), *(F.max(c).alias(c) for c in facts))
+    return out.select(deck, "parser", "markdown", *facts[1:])
+
+
 def legacy_notice(decks: DataFrame, deck: str = "deck", md_col: str = "markdown") -> DataFrame:
-    """``.ppt`` decks get a notice ahead of their Markdown unless it starts ``# Error``."""
+    """``.ppt`` decks get a notice ahead of their Markdown (of part 0, if in parts) unless it starts ``# Error``."""
     is_ppt = F.lower(F.col(deck)).endswith(".ppt")
+    if "part_no" in decks.columns:
+        is_ppt &= F.col("part_no") == 0
     ok = F.col(md_col).isNotNull() & (F.col(md_col) != "") & ~F.col(md_col).startswith("# Error")
     return decks.withColumn(md_col, F.when(is_ppt & ok, F.concat(F.lit(LEGACY_NOTICE), F.col(md_col))).otherwise(F.col(md_col)))

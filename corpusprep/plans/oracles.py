@@ -647,6 +647,17 @@ SELECT deck, 'pptx_parser' AS parser,
   CASE WHEN conv_id % 2 = 0 THEN t ELSE (SELECT s3.title FROM s3 WHERE s3.conv_id = d2.conv_id ORDER BY turn LIMIT 1) END AS title
 FROM d2"""
 
+ORACLES["slide_deck_parts"] = f"""WITH {_SLIDE_ROWS},
+p AS (SELECT deck, conv_id, (turn + 1) // 4096 AS blk, string_agg(section, chr(10) ORDER BY turn) AS body FROM s3 GROUP BY ALL),
+d AS (SELECT conv_id, count(*) AS slide_count, arg_min(struct_pack(t := title), turn).t AS first_title FROM s3 GROUP BY conv_id),
+n AS (SELECT p.*, slide_count, row_number() OVER (PARTITION BY p.conv_id ORDER BY blk) - 1 AS part_no,
+        CASE WHEN p.conv_id % 2 = 0 THEN 'Deck ' || CAST(p.conv_id AS VARCHAR) ELSE first_title END AS title FROM p JOIN d USING (conv_id))
+SELECT deck, part_no, 'pptx_parser' AS parser,
+  CASE WHEN part_no = 0 AND ends_with(deck, '.ppt') THEN {_NOTICE} ELSE '' END
+    || concat_ws(chr(10), CASE WHEN part_no = 0 AND title <> '' THEN '# ' || title || chr(10) END, body) AS markdown,
+  CAST(slide_count AS BIGINT) AS slide_count, CAST(slide_count AS BIGINT) AS image_count, title
+FROM n"""
+
 # ---------------------------------------------------------------- images
 
 _IMG = """

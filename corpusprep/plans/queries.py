@@ -392,6 +392,12 @@ def slide_decks(spark, sf_dir):
     return decks.select("deck", "parser", "markdown", "slide_count", "image_count", "title")
 
 
+@query
+def slide_deck_parts(spark, sf_dir):
+    decks = slides_ops.legacy_notice(slides_ops.deck_parts(slides(spark, sf_dir)))
+    return decks.select("deck", "part_no", "parser", "markdown", "slide_count", "image_count", "title")
+
+
 @query
 def slide_image_names(spark, sf_dir):
     imgs = slides_ops.slide_images(slides(spark, sf_dir), with_bytes=False)

@@ -28,6 +28,19 @@ def test_deck(spark):
     assert (out.slide_count, out.image_count, out.title) == (1, 1, "Deck Title")
 
 
+def test_deck_in_parts(spark):
+    shapes = [("text", "Title 1", "Intro", True, None, None, None), ("picture", "Picture", None, False, None, PNG_1x1, None)]
+    rows = [("/d/big.ppt", None, i, "note", shapes) for i in range(1, 12)] + [("/d/small.pptx", "Small", 1, None, shapes)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    parts = slides.legacy_notice(slides.deck_parts(df, part_slides=4)).collect()
+    big = sorted((r for r in parts if r.deck == "/d/big.ppt"), key=lambda r: r.part_no)
+    assert [r.part_no for r in big] == [0, 1, 2] and [r.markdown.count("\n---\n") for r in big] == [3 + 1, 4, 4]
+    assert {(r.slide_count, r.image_count, r.title) for r in big} == {(11, 11, "Intro")}
+    whole = {r.deck: r.markdown for r in slides.legacy_notice(slides.assemble_deck(df)).collect()}
+    assert "\n".join(r.markdown for r in big) == whole["/d/big.ppt"]
+    assert [r.markdown for r in parts if r.deck == "/d/small.pptx"] == [whole["/d/small.pptx"]]
+
+
 def test_legacy_notice(spark):
     df = spark.createDataFrame([("/d/old.ppt", "x"), ("/d/err.ppt", "# Error here"), ("/d/new.pptx", "y")], "deck string, markdown string")
     got = {r.deck: r.markdown for r in slides.legacy_notice(df).collect()}
