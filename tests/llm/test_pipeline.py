@@ -39,6 +39,12 @@ def test_every_stage_on_awkward_documents(spark, sf_dir):
     assert _stage("mix")(spark, docs, sf_dir).columns == [*docs.columns, "copy"]
 
 
+def test_letterless_documents_go_without_labelled_text(spark, sf_dir):
+    rows = [(1, None, None, "a"), (2, "", None, "a"), (3, "12 34 -- 56", None, "a"), (4, "plain words", None, "a"), (5, "é", None, "a")]
+    kept = _stage("language_id")(spark, cases.frame(spark, rows), sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == [4, 5]
+
+
 def test_whole_pipeline_matches_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
