@@ -123,7 +123,8 @@ def learn(docs: DataFrame, matches: DataFrame, id_col: str = "doc_id", text_col:
     clean = ~F.coalesce(text, F.lit("")).rlike("|".join(PATTERNS.values()))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _draw(F.col(id_col), text).alias("draw"))
     sizes = matches.agg(F.count(F.when(_reported(matches), 1)).alias("secrets"), F.count_distinct("uid").alias("docs")).first()
-    random = random.where(_draw(F.col("uid"), F.col("kind"), F.col("start")) < min(1.0, TRAIN_SECRETS / max(1, sizes["secrets"])))
+    # by the row's key, not its uid, which depends on how files are split
+    random = random.where(_draw(F.col("key"), F.col("kind"), F.col("start")) < min(1.0, TRAIN_SECRETS / max(1, sizes["secrets"])))
     some = rows.where((F.col("draw") < min(1.0, TRAIN_DOCS / max(1, sizes["docs"]))) & clean)
     ordinary = some.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     return transition_scores(random.select("value"), ordinary)

@@ -6,6 +6,7 @@ import string
 import cases
 
 from corpusprep.llm import secret_scan as s
+from corpusprep.session import materialize
 
 SF = "/root/testdata/sf0.01"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -80,6 +81,19 @@ def test_transition_scores_are_log_ratios(spark):
     assert abs(got["ab"] - want) < 1e-12 and abs(got["Zz"]) < 1e-12
 
 
+def test_sample_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(s, "TRAIN_SECRETS", 60)
+    rows = [(i, f"key {hashlib.sha256(str(i).encode()).hexdigest()[:40]} and some words", "en", "a") for i in range(300)]
+
+    def scores(n):
+        docs = cases.frame(spark, rows).repartition(n)
+        matches = materialize(s.pattern_matches(docs))
+        return {r.pair: round(r.llr, 9) for r in s.learn(docs, matches).collect()}
+
+    one = scores(1)
+    assert one == scores(5) == scores(11)
+
+
 def test_masked_documents(spark):
     rows = cases.awkward_rows() + [(100 + i, t, "en", "a") for i, t in enumerate(TEXTS)]
     docs = cases.frame(spark, rows)
