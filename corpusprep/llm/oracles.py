@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from corpusprep.llm import chat_format
+from corpusprep.llm import chat_format, merkle_manifest, prefix_trie
 from corpusprep.llm.quality_rules import FENCE, GAMMA, MIN_DOCS
 
 #: Islands of spans that start at i (from 0) and are ``size`` long: one row (rid, lo, hi) for each maximal run.
@@ -111,4 +111,6 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": CONTAMINATION,
     "op6_chat_format": chat_format.ORACLE,
     "op8_suffix_array_dedup": BYTE_SUBSTRINGS,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
