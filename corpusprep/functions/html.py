@@ -1,31 +1,19 @@
-"""HTML -> Markdown in one pass over a page's tags and texts.
+"""Column functions over HTML pages and converted Markdown.
 
-The reference hands HTML to an outside converter (GitHub Markdown, ATX
-headings, no wrapping). Here an Arrow-batched function reads each page once:
-nested lists, tables and verbatim blocks need a state that SQL functions don't
-keep, and a chain of replacements would read the page once for each tag.
-
-* comments, ``<!DOCTYPE>``, ``script``, ``style`` and ``title`` are dropped;
-* ``h1``-``h6`` -> ATX headings; ``p``/``div`` and the like -> blank lines; ``br`` -> line break;
-* ``li`` -> ``- `` or its number, indented by nesting; ``blockquote`` -> ``> ``;
-* ``b``/``strong`` -> ``**``, ``i``/``em`` -> ``*``, ``code`` -> backticks, ``a`` -> ``[text](href)``,
-  where they are closed in the same block; ``img`` -> ``![alt](src)``;
-* ``pre`` -> a fence with its text unchanged; tables -> pipe tables, the first row as header, cells of
-  nested tables as text;
-* other tags are removed; entities are decoded; ``*`` in text is escaped, other Markdown characters are not.
+The reference hands HTML to an outside converter (GitHub Markdown, ATX headings, no wrapping). Here an Arrow-batched
+function reads each page once (:mod:`corpusprep.functions.html_pages`): nested lists, tables and verbatim blocks need a
+state that SQL functions don't keep, and a chain of replacements would read the page once for each tag.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions.common import PY_SPACE, col_of, py_strip
+from corpusprep.functions.html_pages import page_markdown
 
 # Entities decoded in titles and text.
 ENTITIES: list[tuple[str, str]] = [
@@ -47,152 +35,6 @@ def decode_entities(c) -> Column:
     return out
 
 
-_DROPPED = re.compile(r"(?is)<!doctype[^>]*>|<!--.*?-->|<(script|style|title)\b[^>]*>.*?</\1\s*>")
-_TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[^>]*>|[^<]+|<")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
-_BLOCKS = frozenset("p div ul ol nav article section header footer main aside table tr blockquote h1 h2 h3 h4 h5 h6 li dl dt dd figure form hr pre".split())
-_INLINE = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "a": ""}
-# stand in for text that the white-space rules at the end must leave alone
-_KEPT, _INDENT = "\x00", "\x01"
-
-
-def _decoded(text: str) -> str:
-    if "&" not in text:
-        return text
-    return _ENTITY.sub(lambda m: " " if m[0] == "&nbsp;" else entities.unescape(m[0]), text)
-
-
-def _tidy(text: str) -> str:
-    text = re.sub(r"[ \t]*\n[ \t]*", "\n", text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
-
-
-def _pipe_table(rows: list[list[str]]) -> str:
-    rows = [r for r in rows if r]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    cells = [[re.sub(r"\s+", " ", c).strip().replace("|", "\\|") for c in r] + [""] * (width - len(r)) for r in rows]
-    lines = ["| " + " | ".join(r) + " |" for r in cells]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
-
-
-def page_markdown(page: str) -> str:
-    """Markdown of one page."""
-    kept: list[str] = []  # verbatim blocks
-    buffers: list[list[str]] = [[]]  # the text; above it those of open quotes and cells
-    inline: list[tuple[str, int, int, str]] = []  # open inline tags: name, depth and length of the buffer, href
-    lists: list[int | None] = []  # open lists: next number, none for bullets
-    tables: list[list[list[str]]] = []
-    cells: list[int] = []  # depth of the buffers of open cells
-    quotes: list[int] = []
-    verbatim: list[str] | None = None
-
-    def close_to(depth: int) -> str:
-        text = "".join("".join(b) for b in buffers[depth:])
-        del buffers[depth:]
-        return text
-
-    def close_cell() -> None:
-        if cells and tables:
-            depth = cells.pop()
-            text = close_to(depth)
-            tables[-1][-1].append(_tidy(text)) if tables[-1] else tables[-1].append([_tidy(text)])
-
-    for m in _TOKEN.finditer(_DROPPED.sub("", page.replace(_KEPT, "").replace(_INDENT, ""))):
-        closing, name, rest = m[1], (m[2] or "").lower(), m[3] or ""
-        if verbatim is not None:
-            if closing and name == "pre":
-                kept.append("```\n" + _decoded("".join(verbatim)).strip("\n") + "\n```")
-                buffers[-1].append(f"\n\n{_KEPT}{len(kept) - 1}{_KEPT}\n\n")
-                verbatim = None
-            elif not name:
-                verbatim.append(m[0])
-            continue
-        if not name:
-            if not m[0].startswith("<") or m[0] == "<":
-                in_code = any(t[0] == "code" for t in inline)
-                buffers[-1].append(_decoded(m[0]) if in_code else _decoded(m[0].replace("*", "\\*")))
-            continue
-        if name in _BLOCKS or name == "br":
-            inline = [t for t in inline if t[1] < len(buffers) - 1]  # not closed in its block
-        if name in _INLINE:
-            if not closing:
-                hrefs = [a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(rest) if a[1].lower() == "href"]
-                inline.append((name, len(buffers) - 1, len(buffers[-1]), hrefs[0] if hrefs else ""))
-            elif inline and inline[-1][0] == name and inline[-1][1] == len(buffers) - 1:
-                _, _, at, href = inline.pop()
-                text = "".join(buffers[-1][at:])
-                if name != "a":
-                    buffers[-1][at:] = [_INLINE[name] + text + _INLINE[name]]
-                elif href:
-                    buffers[-1][at:] = [f"[{text}]({_decoded(href)})"]
-        elif name == "img":
-            found = {a[1].lower(): _decoded(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(rest)}
-            if "src" in found:
-                buffers[-1].append(f"![{found.get('alt', '')}]({found['src']})")
-        elif name == "br":
-            buffers[-1].append("\n")
-        elif name == "pre":
-            verbatim = [] if not closing else None
-        elif name == "table":
-            if not closing:
-                tables.append([])
-                buffers[-1].append("\n\n")
-            elif tables:
-                while cells and len(cells) >= len(tables):
-                    close_cell()
-                rows = tables.pop()
-                # inside a cell, an inner table is text
-                text = " ".join(" ".join(r) for r in rows) if cells else f"\n\n{_pipe_table(rows)}\n\n"
-                buffers[-1].append(text)
-        elif name == "tr" and tables:
-            if len(cells) >= len(tables):
-                close_cell()
-            if not closing:
-                tables[-1].append([])
-        elif name in ("td", "th") and tables:
-            if len(cells) >= len(tables):
-                close_cell()
-            if not closing:
-                cells.append(len(buffers))
-                buffers.append([])
-        elif name == "blockquote":
-            buffers[-1].append("\n\n")
-            if not closing:
-                quotes.append(len(buffers))
-                buffers.append([])
-            elif quotes and not (cells and cells[-1] > quotes[-1]):
-                text = _tidy(close_to(quotes.pop()))
-                buffers[-1].append("\n\n" + "\n".join(f"> {x}" if x else ">" for x in text.split("\n")) + "\n\n")
-        elif name in ("ul", "ol"):
-            if not closing:
-                lists.append(1 if name == "ol" else None)
-            elif lists:
-                lists.pop()
-            buffers[-1].append("\n\n" if len(lists) == (0 if closing else 1) else "\n" if closing else "")
-        elif name == "li":
-            if not closing:
-                number = lists[-1] if lists else None
-                if number is not None:
-                    lists[-1] = number + 1
-                indent = _INDENT * (len(lists) - 1)
-                buffers[-1].append(f"\n{indent}- " if number is None else f"\n{indent}{number}. ")
-        elif name in _BLOCKS:
-            heading = "#" * int(name[1]) + " " if name[0] == "h" and name[1:].isdigit() and not closing else ""
-            buffers[-1].append("\n\n" + heading)
-    while tables:
-        while cells and len(cells) >= len(tables):
-            close_cell()
-        buffers[-1].append(f"\n\n{_pipe_table(tables.pop())}\n\n")
-    if verbatim is not None:
-        kept.append("```\n" + _decoded("".join(verbatim)).strip("\n") + "\n```")
-        buffers[-1].append(f"\n\n{_KEPT}{len(kept) - 1}{_KEPT}")
-    text = _tidy(close_to(0)).replace(_INDENT, "  ")
-    return re.sub(f"{_KEPT}([0-9]+){_KEPT}", lambda m: kept[int(m[1])], text)
-
-
 @F.pandas_udf(T.StringType())
 def _markdown(pages: pd.Series) -> pd.Series:
     return pages.map(lambda page: None if page is None else page_markdown(page))
@@ -210,8 +52,9 @@ def html_title(html) -> Column:
 
 
 def html_links(html) -> Column:
-    """All ``href`` values of ``<a>`` tags, in order (array)."""
-    return F.regexp_extract_all(col_of(html), F.lit(r"(?i)<a[ \t\r\n][^>]*?href=\"([^\"]*)\""), 1)
+    """All ``href`` values of ``<a>`` tags, in order (array); in quotes of either kind or bare."""
+    pattern = r"""(?i)<a[ \t\r\n](?:[^>]*?[ \t\r\n"'/])?href[ \t\r\n]*=[ \t\r\n]*("[^"]*+"|'[^']*+'|[^ \t\r\n"'>]++)"""
+    return F.transform(F.regexp_extract_all(col_of(html), F.lit(pattern), 1), lambda v: F.regexp_replace(v, r"^[\"']|[\"']$", ""))
 
 
 def with_front_matter(markdown, title) -> Column:
@@ -230,8 +73,9 @@ def front_matter_title(markdown) -> Column:
 
 
 def table_of_contents(markdown) -> Column:
-    """Bullet list of ATX headings, indented by level (empty string when none)."""
-    heads = F.regexp_extract_all(col_of(markdown), F.lit(r"(?m)^(#{1,6}) (.+)$"), 0)
+    """Bullet list of ATX headings, indented by level (empty string when none); ``#`` lines in fences are no headings."""
+    body = F.regexp_replace(col_of(markdown), r"(?ms)^(`{3,}+)[^`\n]*+\n.*?^\1`*+[ \t]*+$", "")
+    heads = F.regexp_extract_all(body, F.lit(r"(?m)^(#{1,6}) (.+)$"), 0)
     items = F.transform(
         heads,
         lambda h: F.concat(

@@ -20,6 +20,7 @@ from corpusprep.config import DEFAULT, Settings
 from corpusprep.functions.common import col_of, cut, py_strip
 from corpusprep.functions.paths import basename
 from corpusprep.functions.text import clean_cell, clean_column_name, normalize_newlines
+from corpusprep.operators.records import by_separator, closed, record_lines
 
 # Separators in the order they are tried (ties keep the first).
 SEPARATORS = [";", ",", "\t"]
@@ -44,11 +45,7 @@ def split_fields(line, sep, skip_initial_space: bool = False) -> Column:
     line = col_of(line)
     if not isinstance(sep, Column):
         return _split(line, sep, skip_initial_space)
-    # a literal pattern for each separator, so none is compiled per row
-    out = None
-    for s in SEPARATORS:
-        out = F.when(sep == s, _split(line, s, skip_initial_space)) if out is None else out.when(sep == s, _split(line, s, skip_initial_space))
-    return out
+    return by_separator(lambda s: _split(line, s, skip_initial_space), SEPARATORS, sep)
 
 
 def _split(line: Column, sep: str, skip_initial_space: bool) -> Column:
@@ -67,17 +64,20 @@ def _unquote(f: Column) -> Column:
 
 
 def csv_records(texts: DataFrame, dialects: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Records ``(path, ord, line)`` of whole texts: lines, joined where a quoted field goes on."""
+    """Records ``(path, ord, line)`` of whole texts: lines, joined where a quoted field goes on. For texts that are
+    one row each; files of any size come as lines, see :func:`corpusprep.operators.records.record_lines`."""
     def records(sep: str) -> Column:
         field = rf'(?:"[^"]*+(?:""[^"]*+)*+"[^{sep}\n]*+|"[\s\S]*\z|[^"{sep}\n][^{sep}\n]*+|)'
         return F.regexp_extract_all(normalize_newlines(text), F.lit(rf"({field}(?:{sep}{field})*+)(?:\n|\z)"), 1)
 
     sep = F.col("separator")
-    found = None
-    for s in SEPARATORS:
-        found = F.when(sep == s, records(s)) if found is None else found.when(sep == s, records(s))
     j = texts.select(path, text).join(dialects.select(path, "separator"), path)
-    return j.select(path, F.posexplode(found).alias("ord", "line")).withColumn("ord", F.col("ord").cast("bigint"))
+    found = j.select(path, "separator", F.posexplode(by_separator(records, SEPARATORS, sep)).alias("_at", "_record"))
+    # a quote that is never closed takes no further lines into its record, which is the last
+    whole = ~F.col("_record").contains("\n") | by_separator(lambda s: closed("_record", s), SEPARATORS, sep)
+    lines = F.when(whole, F.array("_record")).otherwise(F.split("_record", "\n"))
+    out = found.select(path, "_at", F.posexplode(lines).alias("_more", "line"))
+    return out.select(path, (F.col("_at") + F.col("_more")).cast("bigint").alias("ord"), "line")
 
 
 def na_to_empty(c) -> Column:
@@ -622,12 +622,19 @@ def _once(df: DataFrame, materialize: bool) -> DataFrame:
     return checkpointed(df)
 
 
+def _records(lines: DataFrame, dialects: DataFrame, path: str, texts: DataFrame | None, quoted_breaks: bool) -> DataFrame:
+    if texts is not None:
+        return csv_records(texts, dialects, path)
+    return record_lines(lines, dialects, SEPARATORS, path) if quoted_breaks else lines
+
+
 def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", kind: str = "CSV",
                   materialize: bool = True, name: Column | None = None, texts: DataFrame | None = None,
-                  encoding: Column | str = "utf-8", is_tsv: Column | None = None) -> DataFrame:
+                  encoding: Column | str = "utf-8", is_tsv: Column | None = None, quoted_breaks: bool = False) -> DataFrame:
     """Delimited files in line form -> documents in parts (unreadable ones as error rows).
 
-    With ``texts`` (``path, text``, the whole files), records may span lines inside quotes. ``is_tsv``
+    With ``quoted_breaks`` (files of any size, as :func:`corpusprep.sources.folder.read_lines` numbers their lines) or
+    ``texts`` (``path, text``, whole files of one row), records may span lines inside quotes. ``is_tsv``
     tells TSV files from CSV files where both are given (otherwise all are of ``kind``). The parsed
     rows feed the profile, the table and the unreadable check; with ``materialize`` they are computed
     once into the checkpoint folder instead of once per branch.
@@ -640,7 +647,7 @@ def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "p
     else:
         dialects = lines.select(path).distinct().withColumn("separator", F.lit("\t")).withColumn("score", F.lit(0))
     dialects = _once(dialects, materialize)
-    records = lines if texts is None else csv_records(texts, dialects, path)
+    records = _records(lines, dialects, path, texts, quoted_breaks)
     rows, headers = parse_csv_lines(records, dialects, path=path)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
     prof = table_profile(rows, headers, dialects, settings, path=path)
@@ -650,11 +657,12 @@ def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "p
 
 
 def bundle_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "path", materialize: bool = True,
-                     name: Column | None = None, texts: DataFrame | None = None, encoding: Column | str = "utf-8") -> DataFrame:
-    """Translation bundle files in line form -> documents in parts."""
+                     name: Column | None = None, texts: DataFrame | None = None, encoding: Column | str = "utf-8",
+                     quoted_breaks: bool = False) -> DataFrame:
+    """Translation bundle files in line form -> documents in parts. ``texts``, ``quoted_breaks``: as in :func:`csv_documents`."""
     first = lines.groupBy(path).agg(F.min_by(F.col("line"), F.col("ord")).alias("first_line"))
     dialects = first.where(is_bundle("first_line")).select(path, F.lit(",").alias("separator"))
-    records = lines if texts is None else csv_records(texts, dialects, path)
+    records = _records(lines, dialects, path, texts, quoted_breaks)
     rows, headers = parse_csv_lines(records, dialects, path=path, skip_initial_space=True)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
     stats = bundle_stats(rows, headers, settings, path=path)

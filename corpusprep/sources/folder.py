@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusprep.session import materialize
+
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Regular files of ``folder``: ``path, modificationTime, length, content``.
@@ -26,21 +28,31 @@ def text_lines(files: DataFrame, path: str = "path", text_col: str = "text") ->
     ).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Large delimited files in line form without loading a file into one row.
+def read_lines(spark: SparkSession, paths: list[str] | str, glob: str | None = None) -> DataFrame:
+    """Lines ``(path, ord, line, encoding)`` of delimited files of any size; ``ord`` counts a file's lines from 0.
 
-    ``spark.read.text`` splits big files across tasks; the order key is the
-    struct ``(file block start, row id inside the task)``, which keeps physical
-    line order inside each file however many lines a split holds (operators
-    only compare and sort ``ord``, and structs order field by field).
+    ``spark.read.text`` splits a big file across tasks. A line's number is its place in its split plus the
+    lines of the splits before, so nothing reads a file from its start. The encoding of a file is
+    UTF-8 if all its lines are, else latin-1. The lines are written once into the shared checkpoint folder.
     """
-    df = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_mono"),
-        F.regexp_replace("value", "\r$", "").alias("line"),
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as binaryFile spells it
+    lines = materialize(reader.text(paths).select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").cast("binary").alias("_bytes"),
+    ))
+    # a row for each split of a file
+    splits = lines.groupBy("path", "_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), F.bool_and(F.is_valid_utf8("_bytes")).alias("_utf8"))
+    of_file = Window.partitionBy("path")
+    earlier = of_file.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "path", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.min("_utf8").over(of_file).alias("_utf8")
+    )
+    text = F.when(F.col("_utf8"), F.col("_bytes").cast("string")).otherwise(F.decode("_bytes", "ISO-8859-1"))
+    return lines.join(splits, ["path", "_split"]).select(
+        "path", (F.col("_before") + F.col("_row") - F.col("_first")).alias("ord"), text.alias("line"),
+        F.when(F.col("_utf8"), "utf-8").otherwise("latin-1").alias("encoding"),
     )
-    return df.select("path", F.struct(F.col("_blk").alias("block"), F.col("_mono").alias("row")).alias("ord"), "line")
 
 
 def read_image_sizes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:

@@ -1,10 +1,13 @@
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusprep.operators import tables
+from corpusprep.operators.records import record_lines
 from corpusprep.sources.csv import read_bundle, read_csv_corpus, read_tsv
-from corpusprep.sources.folder import read_lines, scan_folder
+from corpusprep.sources.folder import read_lines, scan_folder, text_lines
 
 
 def _write(folder, name, text, enc="utf-8"):
@@ -41,18 +44,75 @@ def test_read_tsv_and_bundle(spark, tmp_dir):
     assert rows[0].asDict() == {"bundle": "shop", "key": "OPEN", "en": "Open now", "pl": "Otwarte"}
 
 
-def test_read_lines_keeps_order_across_splits(spark, tmp_dir):
-    body = "h1,h2\n" + "".join(f"{i},{i * 2}\n" for i in range(20000))
-    p = _write(tmp_dir, "big.csv", body)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
-    try:
-        lines = read_lines(spark, p)
-        assert lines.rdd.getNumPartitions() > 4
-        got = [r.line for r in lines.orderBy("ord").collect()]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert got == body.rstrip("\n").split("\n")
+@pytest.fixture
+def small_splits(spark):
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    yield lambda size: [spark.conf.set(k, size) for k in keys]
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_read_lines_keeps_order_across_splits(spark, tmp_dir, small_splits):
+    body = "h1,h2\n" + "".join(f"{i},{i * 2}\r\n" for i in range(20000))
+    _write(tmp_dir, "big +1%.csv", body)
+    _write(tmp_dir, "other.csv", "ä,b\n\nc,d", "latin-1")
+    small_splits("16k")
+    got = {}
+    for r in read_lines(spark, tmp_dir, "*.csv").orderBy("path", "ord").collect():
+        got.setdefault((os.path.basename(r.path), r.encoding), []).append((r.ord, r.line))
+    assert got["big +1%.csv", "utf-8"] == list(enumerate(body.replace("\r", "").rstrip("\n").split("\n")))
+    assert got["other.csv", "latin-1"] == [(0, "ä,b"), (1, ""), (2, "c,d")]
+
+
+def _quoted_rows(n, seed):
+    """Rows whose fields hold quotes, separators and line breaks, and their text."""
+    rnd = random.Random(seed)
+    pieces = ["plain", "", 'say "hi"', "two\nlines", 'a\n\n"b"\n', ",", '",', "it's", "x;y\tz", '""', "\n"]
+    rows = [[f"r{i}", *("".join(rnd.choices(pieces, k=rnd.randrange(4))) for _ in range(2))] for i in range(n)]
+    text = "".join(",".join([r[0], *('"' + v.replace('"', '""') + '"' for v in r[1:])]) + "\n" for r in rows)
+    return rows, "id,first,second\n" + text
+
+
+def test_quoted_breaks_across_splits_make_the_same_records_as_one_read(spark, tmp_dir, small_splits):
+    rows, text = _quoted_rows(150, 3)
+    _write(tmp_dir, "q.csv", text)
+    odd = 'a,b\n1,x"y"z\n2,"open\nclosed",5" pipe"\n3,"never closed\n4,x""y\n\n5,y\n'
+    _write(tmp_dir, "odd.csv", odd)
+    _write(tmp_dir, "plain.csv", "a;b\n1;2\n")
+    whole = scan_folder(spark, tmp_dir).select("path", F.col("content").cast("string").alias("text"))
+    small_splits("256")
+    lines = read_lines(spark, tmp_dir)
+    dialects = tables.pick_csv_dialect(tables.score_csv_dialects(lines))
+    dialects = dialects.withColumn("separator", F.when(F.col("path").contains("plain"), ";").otherwise(","))
+    found, expected = {}, {}
+    for out, df in ((found, record_lines(lines, dialects, tables.SEPARATORS)), (expected, tables.csv_records(whole, dialects))):
+        for r in df.where("line != ''").orderBy("path", "ord").collect():
+            out.setdefault(os.path.basename(r.path), []).append(r.line)
+    assert found == expected
+    assert found["odd.csv"] == ["a,b", '1,x"y"z', '2,"open\nclosed",5" pipe"', '3,"never closed', '4,x""y', "5,y"]
+    parsed, _ = tables.parse_csv_lines(record_lines(lines.where(F.col("path").contains("/q.csv")), dialects, tables.SEPARATORS), dialects)
+    assert [r.fields for r in parsed.orderBy("ord").collect()] == rows
+
+
+def test_documents_of_many_splits_equal_those_of_one_read(spark, tmp_dir, small_splits):
+    _, text = _quoted_rows(120, 5)
+    _write(tmp_dir, "q.csv", text)
+    _write(tmp_dir, "b.csv", 'bundle,"key",en\nshop,"OPEN","Open\nnow"\n')
+    whole = scan_folder(spark, tmp_dir).select("path", F.col("content").cast("string").alias("text"))
+    plain, bundle = (lambda d: d.where("path LIKE '%q.csv'")), (lambda d: d.where("path LIKE '%b.csv'"))
+    one = [r.markdown for f, pick in ((tables.csv_documents, plain), (tables.bundle_documents, bundle)) for r in f(text_lines(pick(whole)), texts=pick(whole)).collect()]
+    small_splits("256")
+    lines = read_lines(spark, tmp_dir)
+    many = [r.markdown for f, pick in ((tables.csv_documents, plain), (tables.bundle_documents, bundle)) for r in f(pick(lines), quoted_breaks=True).collect()]
+    assert many == one and len(one) == 2 and "120 rows" in one[0] and "Open now" in one[1]
+
+
+def test_empty_folder_of_lines(spark, tmp_dir):
+    _write(tmp_dir, "e.csv", "")
+    lines = read_lines(spark, tmp_dir)
+    dialects = spark.createDataFrame([], "path string, separator string")
+    assert record_lines(lines, dialects, tables.SEPARATORS).collect() == []
 
 
 def test_scan_folder_lists_files_only(spark, tmp_dir):
