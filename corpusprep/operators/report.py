@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.operators.ordered import global_index
 
 
+FAILED = "Failed to process"
+
+
+def status_of(skip: Column, produced: Column, reason: Column) -> tuple[Column, Column]:
+    """Status and message of a file."""
+    status = F.when(skip, "skipped").when(produced, "ok").otherwise("failed")
+    return status, F.when(skip, "Skipping unsupported file").when(produced, "Successfully processed").otherwise(reason)
+
+
 def outcomes(routed: DataFrame, docs: DataFrame, key: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(path, parser, status, message)``: ``skipped`` for unsupported or temp
     files, ``failed`` when no Markdown came out (or it is empty), else ``ok``.
@@ -15,12 +24,7 @@ def outcomes(routed: DataFrame, docs: DataFrame, key: str = "path", keep: tuple[
     first = docs.where("part_no = 0") if "part_no" in docs.columns else docs
     j = routed.select(key, *keep, "processor", "_skip").join(first.select(key, "parser", "markdown", "error"), key, "left")
     produced = F.col("markdown").isNotNull() & (F.length("markdown") > 0)
-    status = F.when(F.col("_skip"), F.lit("skipped")).when(produced, F.lit("ok")).otherwise(F.lit("failed"))
-    message = (
-        F.when(F.col("_skip"), F.lit("Skipping unsupported file"))
-        .when(produced, F.lit("Successfully processed"))
-        .otherwise(F.coalesce(F.col("error"), F.lit("Failed to process")))
-    )
+    status, message = status_of(F.col("_skip"), produced, F.coalesce(F.col("error"), F.lit(FAILED)))
     return j.select(key, *keep, F.coalesce(F.col("parser"), F.col("processor")).alias("parser"), status.alias("status"), message.alias("message"))
 
 

@@ -29,19 +29,29 @@ LEGACY_NOTICE = (
 )
 
 
+#: Type of a title placeholder (fixed value).
+TITLE_PLACEHOLDER = 1
+
+
 def _has_text(s: Column) -> Column:
     return s["text"].isNotNull()
 
 
-def slide_title(shapes) -> Column:
-    """Stripped text of the first shape flagged title or named ``*title*``; null when none."""
-    hits = F.filter(
-        col_of(shapes),
-        lambda s: _has_text(s) & (F.coalesce(s["is_title"], F.lit(False)) | F.lower(F.coalesce(s["name"], F.lit(""))).contains("title")),
-    )
+def slide_title(shapes, with_placeholder: bool = False) -> Column:
+    """Stripped text of the first shape flagged title, named ``*title*`` or, where shapes have a
+    ``placeholder_type``, of the type of titles; null when none."""
+    def is_title(s: Column) -> Column:
+        hit = F.coalesce(s["is_title"], F.lit(False)) | F.lower(F.coalesce(s["name"], F.lit(""))).contains("title")
+        return hit | F.coalesce(s["placeholder_type"] == TITLE_PLACEHOLDER, F.lit(False)) if with_placeholder else hit
+
+    hits = F.filter(col_of(shapes), lambda s: _has_text(s) & is_title(s))
     return py_strip(F.try_element_at(hits, F.lit(1))["text"])
 
 
+def _title_of(slides: DataFrame) -> Column:
+    return slide_title(F.col("shapes"), "placeholder_type" in slides.schema["shapes"].dataType.elementType.fieldNames())
+
+
 def bullets(shapes) -> Column:
     """Text of all non-title shapes: ``'  ' * level`` + ``* `` (level 0) or ``- ``
     per paragraph; shapes without paragraphs give their stripped text."""
@@ -117,7 +127,7 @@ def slide_sections(slides: DataFrame, images: DataFrame, deck: str = "deck") ->
         F.array_sort(F.collect_list(F.struct("shape_idx", F.concat(F.lit("\n!["), F.col("alt"), F.lit("](media/"), F.col("name"), F.lit(")\n")).alias("l")))).alias("_imgs")
     )
     j = slides.select(deck, "slide_idx", "notes", _no_bytes("shapes").alias("shapes")).join(links, [deck, "slide_idx"], "left")
-    title = slide_title(F.col("shapes"))
+    title = _title_of(j)
     heading = F.coalesce(F.when(title != "", title), F.concat(F.lit("Slide "), F.col("slide_idx").cast("string")))
     text = bullets(F.col("shapes"))
     imgs = F.array_join(F.transform(F.coalesce(F.col("_imgs"), F.array()), lambda s: s["l"]), "\n")
@@ -134,7 +144,7 @@ def slide_sections(slides: DataFrame, images: DataFrame, deck: str = "deck") ->
 
 def _deck_facts(slides: DataFrame, deck: str) -> DataFrame:
     first = slides.groupBy(deck).agg(
-        F.min_by(F.struct(slide_title(F.col("shapes")).alias("t")), F.col("slide_idx")).alias("f"),
+        F.min_by(F.struct(_title_of(slides).alias("t")), F.col("slide_idx")).alias("f"),
         F.max(F.when(F.col("core_title") != "", F.col("core_title"))).alias("_core"),
         F.count(F.lit(1)).alias("slide_count"),
     )

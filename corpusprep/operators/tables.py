@@ -186,11 +186,11 @@ def header_names(names) -> Column:
 
 def table_profile(rows: DataFrame, headers: DataFrame, dialects: DataFrame, settings: Settings = DEFAULT,
                   path: str = "path") -> DataFrame:
-    """Per file: rows, columns, shown rows/columns, strategy, score, had_parsing_issues."""
+    """Per file: rows, columns, shown rows/columns, names of the shown columns (none without rows), strategy, score, had_parsing_issues."""
     counts = rows.groupBy(path).agg(
         F.count_if(~F.col("bad")).alias("total_rows"), F.count_if(F.col("bad")).alias("bad_lines")
     )
-    prof = headers.select(path, "ncols").join(counts, path, "left").join(dialects, path)
+    prof = headers.select(path, "ncols", "names").join(counts, path, "left").join(dialects, path)
     prof = prof.fillna(0, ["total_rows", "bad_lines"])
     strategy = F.when(F.col("bad_lines") > 0, F.lit("skip_bad_lines")).otherwise(F.lit("strict"))
     return prof.select(
@@ -199,6 +199,7 @@ def table_profile(rows: DataFrame, headers: DataFrame, dialects: DataFrame, sett
         F.col("ncols").cast("bigint").alias("total_columns"),
         at_most(F.col("total_rows"), settings.max_rows_display).cast("bigint").alias("displayed_rows"),
         at_most(F.col("ncols"), settings.max_columns_display).cast("bigint").alias("displayed_columns"),
+        F.when(F.col("total_rows") > 0, truncate_columns(header_names("names"), settings.max_columns_display)).otherwise(F.array()).alias("column_names"),
         "separator",
         "score",
         strategy.alias("strategy"),
@@ -366,11 +367,12 @@ def csv_tables(rows: DataFrame, headers: DataFrame, settings: Settings = DEFAULT
 
 
 def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CSV", path: str = "path",
-                          encoding: Column | str = "utf-8", name: Column | None = None, is_tsv: Column | None = None) -> DataFrame:
+                          encoding: Column | str = "utf-8", name: Column | None = None, is_tsv: Column | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Markdown document per table file in parts ``(path, part_no, ...)``: heading, facts and
     ``## Data`` in part 0, then the table. ``name`` overrides the file name shown (default: base
     name of ``path``); ``encoding`` may be a column of ``profile``. ``is_tsv`` tells TSV files from
-    CSV files in a mixed table (otherwise all are of ``kind``)."""
+    CSV files in a mixed table (otherwise all are of ``kind``). Part 0 has the names of the shown columns: raw
+    for CSV files, cleaned for others."""
     enc = encoding if isinstance(encoding, Column) else F.lit(encoding)
     fname = basename(name if name is not None else F.col(path))
     j = profile.join(tables.select(path, "part_no", "table"), path, "left").withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("bigint")))
@@ -410,18 +412,29 @@ def render_table_document(profile: DataFrame, tables: DataFrame, kind: str = "CS
         ]
         return F.concat_ws("\n", *parts), F.lit(None).cast("string")
 
-    parser = F.lit(f"pandas_{kind.lower()}")
-    facts = ["separator", "strategy", "score", "had_parsing_issues"]
+    parser, file_type = F.lit(f"pandas_{kind.lower()}"), F.lit(kind)
+    facts = ["separator", F.col("strategy").alias("parsing_strategy"), F.col("score").alias("detection_score"), "had_parsing_issues"]
+    raw, cleaned = F.col("column_names"), F.transform("column_names", lambda n: clean_column_name(n, settings.max_name_chars))
+    names = raw if kind == "CSV" else cleaned
     if is_tsv is not None:
         (md, err), (other, _) = as_csv(), as_plain("TSV")
         md, err = F.when(is_tsv, other).otherwise(md), F.when(~is_tsv, err)
         parser = F.when(is_tsv, F.lit("pandas_tsv")).otherwise(F.lit("pandas_csv"))
-        only_csv = [F.when(~is_tsv, c).alias(n) for n, c in [("encoding", enc), *((f, F.col(f)) for f in facts)]]
+        file_type, names = F.when(is_tsv, "TSV").otherwise("CSV"), F.when(is_tsv, cleaned).otherwise(raw)
+        only_csv = [F.when(~is_tsv, c).alias(n) for n, c in [
+            ("encoding", enc), ("separator", F.col("separator")), ("parsing_strategy", F.col("strategy")),
+            ("detection_score", F.col("score")), ("had_parsing_issues", F.col("had_parsing_issues")),
+        ]]
     else:
         md, err = as_csv() if kind == "CSV" else as_plain(kind)
         only_csv = [enc.alias("encoding"), *facts] if kind == "CSV" else []
     md = F.when(F.col("part_no") == 0, md).otherwise(F.col("table"))
-    return j.select(path, "part_no", parser.alias("parser"), md.alias("markdown"), err.alias("error"), "total_rows", "total_columns", *only_csv)
+    names = F.when(F.col("part_no") == 0, names).alias("column_names")
+    return j.select(path, "part_no", parser.alias("parser"), md.alias("markdown"), err.alias("error"), file_type.alias("file_type"),
+                    "total_rows", "total_columns", "displayed_rows", "displayed_columns", names, *only_csv)
+
+
+UNREADABLE = "Unable to parse CSV file with any common encoding/separator combination"
 
 
 def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path", parser: Column | str = "pandas_csv") -> DataFrame:
@@ -432,7 +445,7 @@ def unreadable_documents(files: DataFrame, headers: DataFrame, path: str = "path
         F.lit(0).cast("bigint").alias("part_no"),
         parser.alias("parser"),
         F.lit(None).cast("string").alias("markdown"),
-        F.lit("Unable to parse CSV file with any common encoding/separator combination").alias("error"),
+        F.lit(UNREADABLE).alias("error"),
     )
 
 
@@ -526,7 +539,7 @@ def render_bundle_document(stats: DataFrame, tables: DataFrame, settings: Settin
         lambda s: F.concat(F.lit("- **"), F.upper(s["lang"]), F.lit(" Translations:** "), F.col("displayed_entries").cast("string")),
     )
     enc = encoding if isinstance(encoding, Column) else F.lit(encoding)
-    j = langs.join(last, path).join(tables.select(path, "part_no", "table"), path)
+    j = langs.join(last, path).join(tables.select(path, "part_no", "names", "table"), path)
     filled, is_first, is_last = F.col("total_entries") > 0, F.col("part_no") == 0, F.col("part_no") == F.col("_last")
     parts = [
         F.when(is_first, F.concat_ws(
@@ -550,7 +563,9 @@ def render_bundle_document(stats: DataFrame, tables: DataFrame, settings: Settin
     ]
     return j.select(
         path, "part_no", F.lit("pandas_bundle_csv").alias("parser"), F.concat_ws("\n", *parts).alias("markdown"), F.lit(None).cast("string").alias("error"),
-        "total_entries", lang_names.alias("languages"), enc.alias("encoding"),
+        F.lit("Translation Bundle").alias("file_type"), enc.alias("encoding"), F.lit(",").alias("separator"), lang_names.alias("languages"),
+        "total_entries", F.size(lang_names).cast("bigint").alias("total_languages"), "unique_bundles", "displayed_entries",
+        F.when(is_first, F.col("names")).alias("column_names"),
     )
 
 
@@ -559,12 +574,13 @@ def render_bundle_document(stats: DataFrame, tables: DataFrame, settings: Settin
 
 def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFrame:
     """Documents of workbooks in parts, from per-sheet rows in parts
-    ``(workbook, sheet_idx, sheet_name, part_no, row_count, column_count, shown_rows, shown_columns, table, error)``.
+    ``(workbook, sheet_idx, sheet_name, part_no, row_count, column_count, shown_rows, shown_columns, table, error)``,
+    and ``column_names`` where they are known; a sheet's parts count from 0.
 
-    One part per part of a sheet, in order: ``(workbook, part_no, parser, markdown, sheet_count,
+    One part per part of a sheet, in order: ``(workbook, part_no, parser, markdown, file_type, sheet_count, sheet_names,
     total_rows, max_columns, sheets_data)``. The workbook's heading opens the first. Empty sheet ->
     ``*No data found in this sheet*``; failed sheet -> its error; total rows = sum, max columns = max
-    over sheets with data; ``sheets_data`` maps each sheet with data to its size.
+    over sheets with data; ``sheets_data`` maps each sheet with data to its size and column names.
     """
     ok = F.col("error").isNull() & (F.col("row_count") > 0)
     truncated = (F.col("row_count") > F.col("shown_rows")) | (F.col("column_count") > F.col("shown_columns"))
@@ -584,7 +600,8 @@ def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFram
             )
         )
     )
-    size = F.struct(F.col("row_count").cast("bigint").alias("rows"), F.col("column_count").cast("bigint").alias("columns"))
+    named = F.col("column_names") if "column_names" in sheets.columns else F.lit(None).cast("array<string>")
+    size = F.struct(F.col("row_count").cast("bigint").alias("rows"), F.col("column_count").cast("bigint").alias("columns"), named.alias("column_names"))
     facts = sheets.where("part_no = 0").groupBy(workbook).agg(
         F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet_name"))).alias("_s"),
         F.sum(F.when(ok, F.col("row_count")).otherwise(0)).cast("bigint").alias("total_rows"),
@@ -592,10 +609,13 @@ def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFram
         F.count(F.lit(1)).cast("bigint").alias("sheet_count"),
         F.map_from_entries(F.array_distinct(F.collect_list(F.when(ok, F.struct("sheet_name", size))))).alias("sheets_data"),
     )
-    # a workbook's parts are few: a row for each part of a sheet
-    order = Window.partitionBy(workbook).orderBy("sheet_idx", "part_no")
-    parts = sheets.select(workbook, "sheet_idx", F.row_number().over(order).cast("bigint").alias("_n"), section.alias("_section"))
-    j = parts.join(facts, workbook)
+    # a part's number: its own in the sheet, after the parts of the sheets before. Only a row for each sheet is ordered
+    earlier = Window.partitionBy(workbook).orderBy("sheet_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = sheets.groupBy(workbook, "sheet_idx").agg(F.count("*").alias("_parts")).select(
+        workbook, "sheet_idx", F.coalesce(F.sum("_parts").over(earlier), F.lit(0)).alias("_before")
+    )
+    parts = sheets.select(workbook, "sheet_idx", "part_no", section.alias("_section")).join(before.join(facts, workbook), [workbook, "sheet_idx"])
+    j = parts.withColumn("_n", F.col("_before") + F.col("part_no") + 1)
     names = F.transform("_s", lambda s: s["sheet_name"])
     head = F.concat_ws(
         "\n",
@@ -607,7 +627,7 @@ def assemble_workbook(sheets: DataFrame, workbook: str = "workbook") -> DataFram
     md = F.concat_ws("\n", F.when(F.col("_n") == 1, head), F.col("_section"))
     return j.select(
         workbook, (F.col("_n") - 1).alias("part_no"), F.lit("pandas_excel").alias("parser"), md.alias("markdown"),
-        "sheet_count", "total_rows", "max_columns", "sheets_data",
+        F.lit("Excel").alias("file_type"), "sheet_count", names.alias("sheet_names"), "total_rows", "max_columns", "sheets_data",
     )
 
 
@@ -651,7 +671,7 @@ def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "p
     rows, headers = parse_csv_lines(records, dialects, path=path)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
     prof = table_profile(rows, headers, dialects, settings, path=path)
-    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name, encoding=encoding, is_tsv=is_tsv)
+    docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name, encoding=encoding, is_tsv=is_tsv, settings=settings)
     parser = f"pandas_{kind.lower()}" if is_tsv is None else F.when(is_tsv, F.lit("pandas_tsv")).otherwise(F.lit("pandas_csv"))
     return docs.unionByName(unreadable_documents(lines, headers, path=path, parser=parser), allowMissingColumns=True)
 

@@ -18,9 +18,9 @@ from corpusprep.functions.paths import basename, extension, is_temp_file
 from corpusprep.functions.text import decode_detected, decode_text, detect_encoding, normalize_newlines
 from corpusprep.operators import links, package, report, routing, tables
 from corpusprep.operators.html import with_toc
-from corpusprep.operators.text import render_simple
+from corpusprep.operators.text import CODE_EXTS, render_simple
 from corpusprep.session import materialize
-from corpusprep.sources.folder import scan_folder, text_lines
+from corpusprep.sources.folder import read_lines, scan_folder, text_lines
 
 NOT_BUILT = "no parser for this binary format in this build"
 
@@ -46,8 +46,24 @@ def _table_docs(docs: DataFrame, facts: list[str], key: str) -> DataFrame:
     return _meta(back.withColumn("source_filename", basename("path")), [*facts, "error"])
 
 
+# Fields of the metadata of delimited files and translation bundles.
+TABLE_FACTS = ["file_type", "encoding", "separator", "parsing_strategy", "detection_score", "total_rows", "total_columns", "displayed_rows",
+               "displayed_columns", "column_names", "had_parsing_issues"]
+BUNDLE_FACTS = ["file_type", "encoding", "separator", "languages", "total_entries", "total_languages", "unique_bundles", "displayed_entries", "column_names"]
+
+
+def _table_parts(plain: DataFrame, bundles: DataFrame, settings: Settings, plain_texts: DataFrame | None = None,
+                 bundle_texts: DataFrame | None = None) -> list[tuple[DataFrame, list[str]]]:
+    """Documents, and the fields of their metadata, of lines ``(_tkey, ord, line)``; with whole texts, records are found in those."""
+    shown = {"name": F.get_json_object(F.col("_tkey"), "$.path"), "encoding": F.get_json_object(F.col("_tkey"), "$.encoding")}
+    by_line = plain_texts is None
+    docs = tables.csv_documents(plain, settings, path="_tkey", texts=plain_texts, is_tsv=extension(shown["name"]) == ".tsv", quoted_breaks=by_line, **shown)
+    words = tables.bundle_documents(bundles, settings, path="_tkey", texts=bundle_texts, quoted_breaks=by_line, **shown)
+    return [(docs, TABLE_FACTS), (words, BUNDLE_FACTS)]
+
+
 def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: Settings = DEFAULT,
-                  key: str = "path", custom: dict | None = None, kind_col: str = "processor") -> DataFrame:
+                  key: str = "path", custom: dict | None = None, kind_col: str = "processor", delimited: DataFrame | None = None) -> DataFrame:
     """Documents from routed files that carry decoded ``text``:
     ``(key, path, part_no, parser, markdown, error, metadata)``; one branch per
     kind. Tables come in parts from 0, everything else as part 0. ``key`` is what
@@ -62,6 +78,9 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     ``kind_col`` selects the branch of a row. When it is a literal per union
     input (as in :func:`convert_folder`), Catalyst prunes every other input
     from each branch, so each file is read by one branch only.
+
+    ``delimited``: lines ``(path, ord, line, encoding)`` of delimited files
+    (:func:`corpusprep.sources.folder.read_lines`), which are then not looked for in ``routed``.
     """
     DOC_COLS = list(dict.fromkeys([key, "path", "part_no", "parser", "markdown", "error", "metadata"]))
     first_part = F.lit(0).cast("bigint")
@@ -97,19 +116,20 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
     html = html.withColumn("parser", F.lit("pandoc")).withColumn("error", F.lit(None).cast("string"))
     out.append(_meta(html, ["title"]).withColumn("part_no", first_part).select(*DOC_COLS))
 
-    encoding = F.col("encoding") if "encoding" in todo.columns else F.lit("utf-8")
-    tab = todo.where((proc == "tabular") & ext.isin(".csv", ".tsv")).select(*dict.fromkeys([key, "path"]), "text", encoding.alias("encoding"))
-    bundle = tables.is_bundle(F.substring_index("text", "\n", 1)) & (ext == ".csv")
-    keyed = tab.withColumn("_bundle", bundle).withColumn("_tkey", F.to_json(F.struct(key, "path", "encoding")))
-    shown = {"name": F.get_json_object(F.col("_tkey"), "$.path"), "encoding": F.get_json_object(F.col("_tkey"), "$.encoding")}
-    plain, bundles = keyed.where(~F.col("_bundle")), keyed.where(F.col("_bundle"))
-    docs = tables.csv_documents(
-        text_lines(plain, path="_tkey"), settings, path="_tkey", texts=plain, is_tsv=extension(shown["name"]) == ".tsv", **shown
-    )
-    facts = ["encoding", "separator", "strategy", "score", "had_parsing_issues", "total_rows", "total_columns"]
-    out.append(_table_docs(docs, facts, key).select(*DOC_COLS))
-    docs = tables.bundle_documents(text_lines(bundles, path="_tkey"), settings, path="_tkey", texts=bundles, **shown)
-    out.append(_table_docs(docs, ["encoding", "total_entries", "languages"], key).select(*DOC_COLS))
+    if delimited is None:
+        encoding = F.col("encoding") if "encoding" in todo.columns else F.lit("utf-8")
+        tab = todo.where((proc == "tabular") & ext.isin(".csv", ".tsv")).select(*dict.fromkeys([key, "path"]), "text", encoding.alias("encoding"))
+        bundle = tables.is_bundle(F.substring_index("text", "\n", 1)) & (ext == ".csv")
+        keyed = tab.withColumn("_bundle", bundle).withColumn("_tkey", F.to_json(F.struct(key, "path", "encoding")))
+        plain, bundles = keyed.where(~F.col("_bundle")), keyed.where(F.col("_bundle"))
+        found = _table_parts(text_lines(plain, path="_tkey"), text_lines(bundles, path="_tkey"), settings, plain, bundles)
+    else:
+        keyed = delimited.withColumn("_tkey", F.to_json(F.struct("path", "encoding")))
+        first = keyed.groupBy("path", "_tkey").agg(F.min_by("line", "ord").alias("_first"))
+        words = first.where(tables.is_bundle("_first") & (extension("path") == ".csv")).select("_tkey")
+        found = _table_parts(keyed.join(words, "_tkey", "left_anti"), keyed.join(words, "_tkey", "left_semi"), settings)
+    for docs, facts in found:
+        out.append(_table_docs(docs, facts, key).select(*DOC_COLS))
 
     if kind_col == "processor":  # with a literal kind column the caller reports unread kinds itself
         rest = todo.where(
@@ -131,21 +151,50 @@ def convert_texts(routed: DataFrame, media: DataFrame | None = None, settings: S
 
 def convert_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str = "", media: DataFrame | None = None,
                   registry: DataFrame | None = None, custom: dict | None = None):
-    """(docs, outcomes) for a ``binaryFile`` listing. ``content`` is decoded in
-    the same projection that routes, and dropped before any shuffle. Of files that
-    would have the same package, one is converted (:func:`resolve_collisions`)."""
-    routed = resolve_collisions(route_files(files.select("path", "content"), settings, suffix, registry))
-    textual = _decoded(routed)
+    """(docs, outcomes) for a ``binaryFile`` listing. ``content`` is decoded in the projection that
+    routes, and no join or shuffle sees it. Of files that would have the same package, one keeps
+    its document (:func:`resolve_collisions`)."""
+    routed = resolve_collisions(route_files(files.select("path"), settings, suffix, registry))
+    textual = _decoded(route_files(files.select("path", "content"), settings, suffix, registry))
     docs = convert_texts(textual, media, settings, custom=custom)
-    named = docs.join(routed.select("path", "package", "source_filename"), "path")
-    outs = report.outcomes(routed, docs)
-    return named, outs
+    kept = routed.where(~F.col("_skip")).select("path", "package", "source_filename")
+    return docs.join(kept, "path"), report.outcomes(routed, docs)
+
+
+def file_statuses(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, parser, status, message)`` of routed files that carry ``text``, as :func:`report.outcomes` of their documents.
+
+    No document is built for it, nor any row moved: a text or Markdown file comes out unless it is empty, code and JSON files always do
+    (invalid JSON as text), a delimited file if it has a line that isn't blank, and only HTML pages are converted to see.
+    """
+    ext, proc, text = extension("path"), F.col("processor"), F.col("text")
+    is_html = (proc == "converter") & ext.isin(".html", ".htm")
+    is_table = (proc == "tabular") & ext.isin(".csv", ".tsv")
+    page = F.when(is_html & ~F.col("_skip"), text)
+    fenced = ext.isin(".json", *CODE_EXTS)
+    produced = (
+        F.when(proc == "simple", fenced | (F.length(text) > 0)).when(proc == "markdown", F.length(text) > 0)
+        .when(is_html, html_title(page).isNotNull() | (F.length(html_to_markdown(page)) > 0)).when(is_table, text.rlike(r"[^\r\n]")).otherwise(False)
+    )
+    simple = F.when(ext == ".json", "json_simple").when(ext.isin(*CODE_EXTS), "code_simple").otherwise("txt_simple")
+    bundle = tables.is_bundle(F.substring_index("text", "\n", 1))
+    parser = (
+        F.when(F.col("_skip"), proc).when(proc == "simple", simple).when(proc == "markdown", "md_custom").when(is_html, "pandoc")
+        .when(is_table & (ext == ".tsv"), "pandas_tsv").when(is_table & bundle, "pandas_bundle_csv").when(is_table, "pandas_csv").otherwise(proc)
+    )
+    reason = F.when(is_table, tables.UNREADABLE).when(proc.isin("simple", "markdown") | is_html, report.FAILED).otherwise(NOT_BUILT)
+    status, message = report.status_of(F.col("_skip"), F.coalesce(produced, F.lit(False)), reason)
+    return routed.select(*keep, "path", parser.alias("parser"), status.alias("status"), message.alias("message"))
+
+
+def _losers(routed: DataFrame) -> DataFrame:
+    named = routed.where(~F.col("_skip")).select("path", "package")
+    return routing.name_collisions(named).where(~F.col("survivor")).select("path").distinct()
 
 
 def resolve_collisions(routed: DataFrame) -> DataFrame:
     """Files that lose their package's name to another (:func:`routing.name_collisions`) are skipped."""
-    named = routed.where(~F.col("_skip")).select("path", "package")
-    losers = routing.name_collisions(named).where(~F.col("survivor")).select("path", F.lit(True).alias("_lost")).distinct()
+    losers = _losers(routed).withColumn("_lost", F.lit(True))
     return routed.join(losers, "path", "left").withColumn("_skip", F.col("_skip") | F.coalesce("_lost", F.lit(False))).drop("_lost")
 
 
@@ -159,23 +208,29 @@ def _decoded(files: DataFrame) -> DataFrame:
 
 # Extensions of media looked for where no document refers to any.
 MEDIA_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".svg", ".webp", ".tif", ".tiff", ".ico"]
+#: Extensions that a glob of files to read names at most.
+MOST_KINDS = 100
 TEXT_KINDS = {"simple": None, "markdown": None, "converter": [".html", ".htm"], "tabular": [".csv", ".tsv"]}
 
 
-def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, folder: str) -> DataFrame:
+def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, folder: str, losers: DataFrame | None = None) -> DataFrame:
     """Package entries ``(package, entry, kind, bytes)`` of the files below ``folder`` that Markdown files refer to.
 
     ``md_files``: ``path, package, text``, of the original text; ``docs``: what the files became (those without
-    Markdown have no package); ``listing``: ``path`` of all files. Bytes are read of the kinds of files referred to.
+    Markdown have no package); ``listing``: ``path`` of all files; ``losers``: ``path`` of files that have no package of
+    their own. Bytes are read of the kinds of files referred to.
     """
     spark = md_files.sparkSession
     src = md_files.select(F.col("path").alias("doc_key"), "path", "package", F.col("text").alias("markdown"))
     found = links.resolve_local_refs(links.distinct_refs(links.image_refs(src)), src, listing).where("exists")
+    if losers is not None:
+        found = found.join(losers.select(F.col("path").alias("doc_key")), "doc_key", "left_anti")
     refs = materialize(found.join(src.select("doc_key", "package"), "doc_key").select("package", "media_name", "resolved", "syntax", "pos"))
     # of refs that come to one media name, the last counts; whatever its extension is, the file is read
     last = refs.groupBy("package", "media_name").agg(F.max_by("resolved", F.struct("syntax", "pos")).alias("resolved"))
-    exts = [r[0] for r in refs.select(extension("resolved")).distinct().collect()]  # a few kinds of files
-    media = scan_folder(spark, folder, recursive=True, glob=None if "" in exts else _glob(exts or MEDIA_EXTS))
+    # a few kinds of files, else all kinds: the result is the same
+    exts = [r[0] for r in refs.select(extension("resolved")).distinct().limit(MOST_KINDS + 1).collect()]
+    media = scan_folder(spark, folder, recursive=True, glob=None if "" in exts or len(exts) > MOST_KINDS else _glob(exts or MEDIA_EXTS))
     rows = last.join(media.select(F.regexp_replace("path", "^file:", "").alias("resolved"), F.col("content").alias("bytes")), "resolved")
     ok = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0)).select("package").distinct()
     return rows.join(ok, "package", "left_semi").select(
@@ -223,21 +278,27 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
     custom = custom or {}
     strip = F.regexp_replace("path", "^file:", "")
     listing = scan_folder(spark, in_dir).select(strip.alias("path"))
-    routed = materialize(resolve_collisions(route_files(listing, settings, suffix, registry)))
+    found = materialize(route_files(listing, settings, suffix, registry))
+    losers = materialize(_losers(found))
+    routed = materialize(resolve_collisions(found))
 
     kinds = _text_kinds(spark, registry, settings, custom)
     parts = [
         scan_folder(spark, in_dir, glob=_glob(exts)).select(strip.alias("path"), "content", F.lit(kind).alias("_kind"))
-        for kind, exts in kinds.items()
+        for kind, exts in kinds.items() if kind != "tabular"
     ]
     contents = parts[0]
     for p_ in parts[1:]:
         contents = contents.unionByName(p_)
-    kept = routed.where(~F.col("_skip")).select("path")
-    textual = _decoded(route_files(contents, settings, suffix, registry).join(kept, "path", "left_semi"))
+    textual = _decoded(route_files(contents, settings, suffix, registry))
+    delimited = None
+    if "tabular" in kinds:  # of any size, line by line
+        lines = read_lines(spark, in_dir, _glob(kinds["tabular"])).withColumn("path", strip)
+        delimited = lines.where(~is_temp_file(F.col("path"))) if settings.skip_temp_files else lines
     # the listing holds no bytes; those of the files referred to are read below
     listing_below = scan_folder(spark, in_dir, recursive=True).select(strip.alias("path"))
-    docs = materialize(convert_texts(textual, listing_below, settings, custom=custom, kind_col="_kind"))
+    converted = convert_texts(textual, listing_below, settings, custom=custom, kind_col="_kind", delimited=delimited)
+    docs = materialize(converted.join(losers, "path", "left_anti"))
     handled = F.lit(False)
     for kind, exts in kinds.items():
         handled = handled | ((F.col("processor") == kind) & extension("path").isin(*exts))
@@ -246,12 +307,18 @@ def convert_folder(spark: SparkSession, in_dir: str, out_dir: str, suffix: str =
         F.lit(NOT_BUILT).alias("error"),
         F.to_json(F.struct(F.col("source_filename"), F.col("processor").alias("parser"))).alias("metadata"),
     )
-    docs = docs.unionByName(unread).join(routed.select("path", "package"), "path")
+    docs = docs.unionByName(unread)
+    if delimited is not None:  # files without a line
+        blank = routed.where(~F.col("_skip") & (F.col("processor") == "tabular") & extension("path").isin(*kinds["tabular"]))
+        blank = blank.join(docs.select("path").distinct(), "path", "left_anti")
+        kind = F.when(extension("path") == ".tsv", "pandas_tsv").otherwise("pandas_csv")
+        docs = docs.unionByName(_meta(tables.unreadable_documents(blank, docs.limit(0), parser=kind).withColumn("source_filename", basename("path")), ["error"]).select(*docs.columns))
+    docs = docs.join(routed.select("path", "package"), "path")
     outs = report.outcomes(routed, docs)
     entries = package.package_entries(docs)
 
     md_src = textual.where(~F.col("_skip") & (F.col("_kind") == "markdown"))
-    media = media_entries(md_src, docs, listing_below, in_dir)
+    media = media_entries(md_src, docs, listing_below, in_dir, losers)
     write_packages(entries.unionByName(media), out_dir)
     return outs
 

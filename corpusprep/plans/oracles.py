@@ -444,8 +444,15 @@ ORACLES["csv_profiles"] = f"""WITH {_SCORES}
 SELECT path, CAST(total_rows AS BIGINT) AS total_rows, CAST(ncols AS BIGINT) AS total_columns,
        CAST(total_rows AS BIGINT) AS displayed_rows, CAST(ncols AS BIGINT) AS displayed_columns,
        separator, CAST(score AS BIGINT) AS score, CASE WHEN bad_lines > 0 THEN 'skip_bad_lines' ELSE 'strict' END AS strategy,
-       bad_lines > 0 AS had_parsing_issues
+       bad_lines > 0 AS had_parsing_issues,
+       CASE WHEN total_rows > 0 THEN array_to_string(list_transform(names, lambda n, i: CASE WHEN trim(n) = '' THEN 'Unnamed: ' || CAST(i - 1 AS VARCHAR) ELSE n END), '|')
+            ELSE '' END AS column_names
 FROM prof"""
+ORACLES["csv_quoted_records"] = """
+SELECT '/corpus/csv/texts_' || coalesce(source, 'none') || '.csv' AS path, CAST(doc_id AS VARCHAR) AS doc_id,
+  sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_sha256, coalesce(lang, '') AS lang,
+  CAST(3 AS BIGINT) AS n_fields, false AS bad
+FROM documents"""
 
 _CELL = clean_cell(na_empty("c"))
 _HDR_NAMES = (f"list_transform(list_transform(names, lambda n, i: CASE WHEN trim(n) = '' THEN 'Unnamed: ' || CAST(i - 1 AS VARCHAR) ELSE n END), "
@@ -580,7 +587,7 @@ _SHEETS = [("region", [("r_regionkey", False), ("r_name", True)], "r_regionkey")
 
 def _sheet_sql(i: int, name: str, cols, order: str) -> str:
     return f"""
-  SELECT {i} AS idx, {lit(name)} AS sheet_name, part_no, (SELECT count(*) FROM {name}) AS row_count, {len(cols)} AS column_count, "table" AS tbl
+  SELECT {i} AS idx, {lit(name)} AS sheet_name, part_no, (SELECT count(*) FROM {name}) AS row_count, {len(cols)} AS column_count, [{", ".join(lit(c) for c, _ in cols)}] AS col_names, "table" AS tbl
   FROM ({_frame_table(name, cols, order)})"""
 
 
@@ -588,7 +595,7 @@ ORACLES["workbook_documents"] = f"""
 WITH sheets AS ({" UNION ALL ".join(_sheet_sql(i, n, c, o) for i, (n, c, o) in enumerate(_SHEETS))}),
 facts AS (SELECT count(*) AS sheet_count, string_agg(sheet_name, ', ' ORDER BY idx) AS names, sum(row_count) AS total_rows,
                  max(column_count) AS max_columns,
-                 '{{' || string_agg('"' || sheet_name || '":{{"rows":' || row_count || ',"columns":' || column_count || '}}', ',' ORDER BY idx) || '}}' AS data
+                 '{{' || string_agg('"' || sheet_name || '":{{"rows":' || row_count || ',"columns":' || column_count || ',"column_names":["' || array_to_string(col_names, '","') || '"]}}', ',' ORDER BY idx) || '}}' AS data
           FROM sheets WHERE part_no = 0),
 sec AS (SELECT row_number() OVER (ORDER BY idx, part_no) AS n,
           CASE WHEN part_no > 0 THEN tbl || chr(10) ELSE concat_ws(chr(10), '## Sheet: ' || sheet_name || chr(10),

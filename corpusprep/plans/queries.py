@@ -32,12 +32,14 @@ from corpusprep.operators import routing
 from corpusprep.operators import slides as slides_ops
 from corpusprep.operators import tables
 from corpusprep.operators import text as text_ops
+from corpusprep.operators.records import record_lines
 from corpusprep.plans import convert
 from corpusprep.plans.standins import (
     package_docs,
     package_media,
     bundle_lines,
     csv_lines,
+    quoted_csv_lines,
     doc_files,
     img_pages,
     md_docs,
@@ -293,7 +295,8 @@ def csv_profiles(spark, sf_dir):
     _, _, dialects, rows, headers = _csv(spark, sf_dir)
     prof = tables.table_profile(rows, headers, dialects)
     return prof.select("path", "total_rows", "total_columns", "displayed_rows", "displayed_columns",
-                       "separator", _long("score").alias("score"), "strategy", "had_parsing_issues")
+                       "separator", _long("score").alias("score"), "strategy", "had_parsing_issues",
+                       F.array_join("column_names", "|").alias("column_names"))
 
 
 @query
@@ -302,6 +305,16 @@ def csv_documents(spark, sf_dir):
     return docs.select("path", "part_no", "parser", "markdown", "error")
 
 
+@query
+def csv_quoted_records(spark, sf_dir):
+    """Records with quoted line breaks, found from their lines: as many files as sources, texts as quoted fields."""
+    lines = quoted_csv_lines(spark, sf_dir)
+    dialects = lines.select("path").distinct().withColumn("separator", F.lit(",")).withColumn("score", F.lit(0))
+    rows, _ = tables.parse_csv_lines(record_lines(lines, dialects, tables.SEPARATORS), dialects)
+    cell = lambda i: F.try_element_at(F.col("fields"), F.lit(i))
+    return rows.select("path", cell(1).alias("doc_id"), F.sha2(cell(2), 256).alias("text_sha256"), cell(3).alias("lang"), _long("n_fields").alias("n_fields"), "bad")
+
+
 @query
 def table_row_lines(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
@@ -374,6 +387,7 @@ def workbook_documents(spark, sf_dir):
         facts = t.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(idx).alias("sheet_idx"), "row_count")
         sheet = tab.withColumn("sheet_idx", F.lit(idx)).join(facts, "sheet_idx").select(
             F.lit("/corpus/xlsx/tables.xlsx").alias("workbook"), "sheet_idx", F.lit(name).alias("sheet_name"), "part_no",
+            F.array(*map(F.lit, t.columns)).alias("column_names"),
             "row_count", F.lit(len(t.columns)).alias("column_count"), F.col("row_count").alias("shown_rows"),
             F.lit(len(t.columns)).alias("shown_columns"), "table", F.lit(None).cast("string").alias("error"),
         )
@@ -503,9 +517,7 @@ def package_entry_list(spark, sf_dir):
 
 
 def _table_outcomes(spark, sf_dir):
-    routed = convert.route_files(doc_files(spark, sf_dir))
-    docs = convert.convert_texts(routed, key="doc_id")
-    return report_ops.outcomes(routed, docs, key="doc_id", keep=("path",))
+    return convert.file_statuses(convert.route_files(doc_files(spark, sf_dir)), keep=("doc_id",))
 
 
 @query

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusprep.functions.text import normalize_newlines
+from corpusprep.operators.ordered import group_index
 from corpusprep.sources.tables import table
 
 # Extensions cycled over documents to make file names.
@@ -192,6 +194,17 @@ csv_lines AS (
   UNION ALL SELECT '/corpus/csv/blank.csv', 0, '' FROM (SELECT count(*) FROM region))"""
 
 
+def quoted_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of ``documents`` as quoted fields of CSV files, one file a source: ``path, ord, line``."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/corpus/csv/texts_"), F.coalesce("source", F.lit("none")), F.lit(".csv"))
+    quoted = F.replace(normalize_newlines(F.coalesce("text", F.lit(""))), F.lit('"'), F.lit('""'))
+    record = F.concat(F.col("doc_id").cast("string"), F.lit(',"'), quoted, F.lit('",'), F.coalesce("lang", F.lit("")))
+    lines = d.select(path.alias("path"), "doc_id", F.posexplode(F.split(record, "\n")).alias("_i", "line"))
+    heads = d.select(path.alias("path")).distinct().select("path", F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("_i"), F.lit("doc_id,text,lang").alias("line"))
+    return group_index(lines.unionByName(heads), ["path"], ["doc_id", "_i"], "ord").select("path", "ord", "line")
+
+
 def bundle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as one translation bundle: bundle = source, key = doc id, the
     text (quoted, newlines as spaces) in the column of its language."""

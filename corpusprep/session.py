@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,12 +35,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local session without one (tests, trial runs) gets a folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not spark.sparkContext.master.startswith("local["):
+    if current:
+        return current
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:  # a core setting, which a running session can't be given
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        current = tempfile.mkdtemp(prefix="corpusprep-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    return current
+        _own_folders[app] = tempfile.mkdtemp(prefix="corpusprep-ckpt-")
+    return _own_folders[app]
+
+
+#: Folders of local sessions, by application.
+_own_folders: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:

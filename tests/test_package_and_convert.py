@@ -77,6 +77,7 @@ def test_convert_folder_tables(spark, tmp_dir):
     files = {
         "same.csv": b"a;b\n1;2\n", "same.txt": b"the text", "latin.csv": "name;town\nJos\u00e9;K\u00f6ln\n".encode("latin-1"),
         "quoted.csv": b'n;t\n1;"two\nlines"\n2;5" pipe\n', "words.csv": 'bundle,"key",en,pl\nshop, "OPEN", "Open now", "Otwarte"\n'.encode(),
+        "tabs.tsv": b"a|b\t\n1\t2\n", "empty.csv": b"\n\n",
         "doc.md": b"![a](pic.weird) ![b](sub/../pic.weird) ![c](plain)", "pic.weird": b"W", "plain": b"P",
     }
     for name, data in files.items():
@@ -88,17 +89,37 @@ def test_convert_folder_tables(spark, tmp_dir):
     latin = _zip(out, "latin")
     assert "| Jos\u00e9 | K\u00f6ln |" in latin["latin.md"].decode() and "**Encoding:** latin-1" in latin["latin.md"].decode()
     meta = json.loads(latin["metadata.json"])
-    assert (meta["encoding"], meta["separator"], meta["strategy"], meta["total_rows"], meta["total_columns"]) == ("latin-1", ";", "strict", 1, 2)
+    assert (meta["encoding"], meta["separator"], meta["parsing_strategy"], meta["total_rows"], meta["total_columns"]) == ("latin-1", ";", "strict", 1, 2)
+    assert (meta["file_type"], meta["displayed_rows"], meta["column_names"], meta["had_parsing_issues"]) == ("CSV", 1, ["name", "town"], False)
+    assert meta["detection_score"] > 0
     quoted = _zip(out, "quoted")["quoted.md"].decode()
     assert "| 1 | two lines |\n| 2 | 5\" pipe |" in quoted and "2 rows" in quoted
     words = _zip(out, "words")
     assert "Translation Bundle" in words["words.md"].decode() and "| shop | OPEN | Open now | Otwarte |" in words["words.md"].decode()
-    assert json.loads(words["metadata.json"])["languages"] == ["en", "pl"]
+    meta = json.loads(words["metadata.json"])
+    assert meta["languages"] == ["en", "pl"] and meta["column_names"] == ["bundle", "key", "en", "pl"] and meta["total_languages"] == 2
+    meta = json.loads(_zip(out, "tabs")["metadata.json"])
+    assert meta["file_type"] == "TSV" and meta["column_names"] == ["a_b", "Unnamed: 1"] and "encoding" not in meta
+    assert outs["empty.csv"] == "failed" and "empty.zip" not in os.listdir(out)
     doc = _zip(out, "doc")
     assert doc["doc.md"].count(b"media/") == 3 and doc["media/pic.weird"] == b"W"
     assert [v for k, v in doc.items() if k.startswith("media/plain")] == [b"P"]
 
 
+def test_statuses_without_documents_equal_those_of_documents(spark):
+    from corpusprep.operators import report
+    from corpusprep.plans.convert import convert_texts, file_statuses, route_files
+
+    texts = ["", "x", "{}", "{bad", "\n\r\n", "<p></p>", "<title>t</title>", "a;b\n1;2", 'bundle,"key",en\ns,"K","v"', None]
+    names = [".txt", ".json", ".py", ".md", ".csv", ".tsv", ".html", ".pdf", ".zip", ".docx"]
+    rows = [(f"/in/f{i}{'' if e != '.md' else 'm'}_{j}{e}", t) for i, t in enumerate(texts) for j, e in enumerate(names)]
+    routed = route_files(spark.createDataFrame(rows, "path string, text string"))
+    want = report.outcomes(routed, convert_texts(routed))
+    key = lambda r: (r.path, r.parser, r.status, r.message)
+    texted = {p for p, t in rows if t is not None}
+    assert sorted(key(r) for r in file_statuses(routed).collect() if r.path in texted) == sorted(key(r) for r in want.collect() if r.path in texted)
+
+
 def test_write_markdown(spark, tmp_dir):
     docs = spark.createDataFrame([("a", "a.txt", "txt_simple", "x", "{}", None)],
                                  "package string, source_filename string, parser string, markdown string, metadata string, error string")

@@ -104,3 +104,16 @@ def test_sizes_of_every_header(spark):
         "jpeg40": (10, 20), "sof9": (30, 40), "sof2": (5, 6), "tiff": (70, 80), "tiff_be": (7, 8), "vp8x": (100, 50), "vp8l": (13, 17),
         "vp8": (21, 22), "cut": (None, None), "none": (None, None), "text": (None, None),
     }
+
+
+def test_title_by_placeholder_type(spark):
+    from corpusprep.operators import slides
+
+    shape = "kind string, name string, text string, is_title boolean, paragraphs array<struct<level:int,text:string>>, image binary, alt string, placeholder_type int"
+    shape = ", ".join(x.replace(" ", ":", 1) for x in shape.split(", "))
+    rows = [("d", None, 1, None, [("text", "Box", "body", False, None, None, None, 2), ("text", "Box 2", " The title ", False, None, None, None, 1)]),
+            ("d", None, 2, None, [("text", "Box", "no title", False, None, None, None, None)])]
+    table = spark.createDataFrame(rows, f"deck string, core_title string, slide_idx long, notes string, shapes array<struct<{shape}>>")
+    assert slides.deck_title(table).collect()[0].title == "The title"
+    sections = slides.slide_sections(table, slides.slide_images(table, with_bytes=False)).orderBy("slide_idx").collect()
+    assert sections[0].section.startswith("## The title\n") and sections[1].section.startswith("## Slide 2\n")

@@ -79,10 +79,20 @@ def test_frame_table_and_workbook(spark):
     )
     wb, rest = sorted(tables.assemble_workbook(sheets).collect(), key=lambda r: r.part_no)
     assert wb.sheet_count == 2 and wb.total_rows == 2 and wb.max_columns == 2
-    assert {k: tuple(v) for k, v in wb.sheets_data.items()} == {"Sheet1": (2, 2)}
+    assert {k: tuple(v) for k, v in wb.sheets_data.items()} == {"Sheet1": (2, 2, None)} and wb.sheet_names == ["Sheet1", "Empty"]
     assert "**Sheet Names:** Sheet1, Empty" in wb.markdown and "*No data found in this sheet*" in rest.markdown
 
 
+def test_workbook_parts_are_numbered_over_sheets(spark):
+    rows = [("w", s, f"S{s}", p, 9, 1, 9, 1, f"t{s}.{p}", None, ["c"]) for s, n in ((3, 2), (1, 3), (2, 1)) for p in range(n)]
+    sheets = spark.createDataFrame(rows, "workbook string, sheet_idx int, sheet_name string, part_no long, row_count long, column_count int,"
+                                   " shown_rows long, shown_columns int, table string, error string, column_names array<string>").repartition(4)
+    got = sorted(tables.assemble_workbook(sheets).collect(), key=lambda r: r.part_no)
+    assert [r.part_no for r in got] == list(range(6))
+    assert [next(t for t in ("t1.0", "t1.1", "t1.2", "t2.0", "t3.0", "t3.1") if t in r.markdown) for r in got] == ["t1.0", "t1.1", "t1.2", "t2.0", "t3.0", "t3.1"]
+    assert got[0].sheets_data["S1"].column_names == ["c"] and got[0].file_type == "Excel"
+
+
 def test_pandas_header_names(spark):
     df = spark.createDataFrame([(["a", "", "a", "b", "a"],)], "n array<string>")
     assert df.select(tables.header_names("n")).collect()[0][0] == ["a", "Unnamed: 1", "a.1", "b", "a.2"]
