@@ -42,8 +42,15 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(gone AS BIGINT)
   sha256(unhex(rest)) AS kept_sha256
 FROM kept"""
 
-_MEASURES = [("symbols", "n_symbols / greatest(n_words, 1)", 0.05, False), ("repeated_words", "n_repeat_words / greatest(n_words, 1)", 0.12, False),
-             ("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.2, False), ("word_length", "word_chars / greatest(n_words, 1)", 0.5, True)]
+_MEASURES = [("symbols", "n_symbols / greatest(n_words, 1)", "1.0 / sqrt(greatest(n_words, 1))", False),
+             ("repeated_words", "n_repeat_words / greatest(n_words, 1)", "2.0 / sqrt(greatest(n_words, 1))", False),
+             ("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", "0.6 / sqrt(greatest(n_lines, 1))", False),
+             ("word_length", "word_chars / greatest(n_words, 1)", "2.0 / sqrt(greatest(n_words, 1))", True)]
+
+
+def _at(bucket: str) -> str:
+    return f"CASE WHEN {bucket} = 0 THEN 0 ELSE 1e-4 * pow({GAMMA}, {bucket} - 1) * 2 / {1 + GAMMA!r} END"
+
 
 QUALITY = f"""
 WITH d AS (
@@ -60,26 +67,25 @@ c AS (
   SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
   FROM d LEFT JOIN hit USING (rid)),
-v AS ({" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS measure, {e} AS v, {s} AS spread, {str(t).lower()} AS two FROM c" for k, e, s, t in _MEASURES)}),
+v AS ({" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS measure, {e} AS v, {s} AS allowance, {str(t).lower()} AS two FROM c" for k, e, s, t in _MEASURES)}),
 b AS (SELECT *, CASE WHEN v < 1e-4 THEN 0 ELSE CAST(ceil(ln(v / 1e-4) / {math.log(GAMMA)!r}) AS INT) + 1 END AS bucket FROM v WHERE NOT base_failed),
 g AS (
-  SELECT 0 AS level, lang, source, measure, bucket, spread, two FROM b UNION ALL
-  SELECT 1, lang, '', measure, bucket, spread, two FROM b UNION ALL SELECT 2, '', '', measure, bucket, spread, two FROM b),
+  SELECT 0 AS level, lang, source, measure, bucket, two FROM b UNION ALL
+  SELECT 1, lang, '', measure, bucket, two FROM b UNION ALL SELECT 2, '', '', measure, bucket, two FROM b),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS k,
     count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM g),
 q AS (
-  SELECT level, lang, source, measure, spread, two, n, min(bucket) FILTER (WHERE 4 * k >= n) AS b1, min(bucket) FILTER (WHERE 4 * k >= 3 * n) AS b3
+  SELECT level, lang, source, measure, two, n, min(bucket) FILTER (WHERE 10 * k >= n) AS b1, min(bucket) FILTER (WHERE 10 * k >= 5 * n) AS b5,
+    min(bucket) FILTER (WHERE 10 * k >= 9 * n) AS b9
   FROM r GROUP BY ALL),
-f AS (
-  SELECT *, CASE WHEN b1 = 0 THEN 0 ELSE 1e-4 * pow({GAMMA}, b1 - 1) * 2 / {1 + GAMMA!r} END AS q1,
-    CASE WHEN b3 = 0 THEN 0 ELSE 1e-4 * pow({GAMMA}, b3 - 1) * 2 / {1 + GAMMA!r} END AS q3 FROM q),
+f AS (SELECT *, {_at('b1')} AS q1, {_at('b5')} AS q5, {_at('b9')} AS q9 FROM q),
 used AS (
-  SELECT v.rid, v.v, arg_min(struct_pack(lo := CASE WHEN f.two THEN q1 - {FENCE} * greatest(q3 - q1, f.spread) ELSE -1 END, hi := q3 + {FENCE} * greatest(q3 - q1, f.spread)), level) AS x
+  SELECT v.rid, v.v, v.allowance, arg_min(struct_pack(lo := CASE WHEN f.two THEN q5 - {FENCE} * (q5 - q1) ELSE -1e9 END, hi := q5 + {FENCE} * (q9 - q5)), level) AS x
   FROM v JOIN f ON f.measure = v.measure AND f.lang IN (v.lang, '') AND f.source IN (v.source, '')
     AND (n >= {MIN_DOCS} OR level = 2) AND (level < 2 OR f.lang = '') AND (level > 0 OR f.source = v.source)
-  GROUP BY v.rid, v.measure, v.v),
-out AS (SELECT rid FROM used WHERE v > x.hi OR v < x.lo GROUP BY rid)
+  GROUP BY v.rid, v.measure, v.v, v.allowance),
+out AS (SELECT rid FROM used WHERE v > x.hi + allowance OR v < x.lo - allowance GROUP BY rid)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND out.rid IS NULL AS kept
 FROM c LEFT JOIN out USING (rid)"""

@@ -10,10 +10,11 @@ sources, and over all languages. Merging is exact, so thresholds don't depend on
 rows are spread. The thresholds, a row for each language and source, are joined
 to the documents' measures.
 
-A document is rejected where a measure is above its upper quartile (or, for word
-length, below the lower one) by more than ``FENCE`` times the distance between
-the quartiles. That distance counts as the measure's ``spread`` at least, so a
-group in which a measure is almost always the same rejects none for a little more.
+A document is rejected where a measure is above its group's median by more than ``FENCE``
+times the distance from there to the upper decile (or, for word length, as far below with the lower
+decile), and by an allowance for chance besides, which shrinks with the square root of the
+document's words or lines: a text of three lines may repeat one. Where nine documents of ten
+have none of something, the allowance alone decides.
 """
 
 from __future__ import annotations
@@ -43,19 +44,19 @@ MIN_DOCS = 200
 
 class Measure(NamedTuple):
     value: Column
-    #: Least distance between the quartiles that counts.
-    spread: float
+    #: Allowance of a document of one unit; of n, it is this over the root of n.
+    allowance: float
+    units: Column
     two_sided: bool = False
 
 
 def measures() -> dict[str, Measure]:
-    """Spreads leave room for chance: a short text of three lines may repeat one."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return {
-        "symbols": Measure(F.col("n_symbols") / words, 0.05),
-        "repeated_words": Measure(F.col("n_repeat_words") / words, 0.12),
-        "repeated_lines": Measure(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.2),
-        "word_length": Measure(F.col("word_chars") / words, 0.5, True),
+        "symbols": Measure(F.col("n_symbols") / words, 1.0, words),
+        "repeated_words": Measure(F.col("n_repeat_words") / words, 2.0, words),
+        "repeated_lines": Measure(F.col("n_dup_lines") / lines, 0.6, lines),
+        "word_length": Measure(F.col("word_chars") / words, 2.0, words, True),
     }
 
 
@@ -141,19 +142,16 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, fence: float = FENCE) -> DataFrame:
-    """level, lang_key, source_key, n, limits (measure to its least and largest value)."""
+    """level, lang_key, source_key, n, limits (measure to its least, null for none, and largest value, without the allowance)."""
     group = ["level", "lang_key", "source_key", "measure"]
     below = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))  # as many rows as a sketch has buckets
     ranks = sketch.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
-    quartile = lambda q: _bucket_value(F.min(F.when(F.col("below") * 4 >= F.col("all") * q, F.col("bucket"))))
-    spread, two_sided = F.lit(0.0), F.lit(False)
-    for k, m in measures().items():
-        spread = F.when(F.col("measure") == k, m.spread).otherwise(spread)
-        two_sided = F.when(F.col("measure") == k, m.two_sided).otherwise(two_sided)
-    q = ranks.groupBy(*group).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("all").alias("n"))
-    reach = fence * F.greatest(F.col("q3") - F.col("q1"), spread)
-    low = F.when(two_sided, F.col("q1") - reach).otherwise(-1.0)
-    limits = F.map_from_entries(F.collect_list(F.struct("measure", F.struct(low.alias("low"), (F.col("q3") + reach).alias("high")))))
+    decile = lambda q: _bucket_value(F.min(F.when(F.col("below") * 10 >= F.col("all") * q, F.col("bucket"))))
+    two_sided = F.col("measure").isin([k for k, m in measures().items() if m.two_sided])
+    q = ranks.groupBy(*group).agg(decile(1).alias("q1"), decile(5).alias("q5"), decile(9).alias("q9"), F.max("all").alias("n"))
+    low = F.when(two_sided, F.col("q5") - fence * (F.col("q5") - F.col("q1")))
+    high = F.col("q5") + fence * (F.col("q9") - F.col("q5"))
+    limits = F.map_from_entries(F.collect_list(F.struct("measure", F.struct(low.alias("low"), high.alias("high")))))
     return q.groupBy(*group[:3]).agg(F.max("n").alias("n"), limits.alias("limits"))
 
 
@@ -177,9 +175,12 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(text_measures(docs, id_col, text_col, lang_col, source_col))
     limits = materialize(thresholds(rows, min_docs, fence)).withColumnsRenamed({"lang": "l_lang", "source": "l_source"})
     same = F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source"))
-    out = [
-        F.when((m.value > F.col("limits")[k]["high"]) | (m.value < F.col("limits")[k]["low"]), F.lit(k)) for k, m in measures().items()
-    ]
+    out = []
+    for k, m in measures().items():
+        allowance = m.allowance / F.sqrt(m.units)
+        limit = F.col("limits")[k]
+        over = (m.value > limit["high"] + allowance) | F.coalesce(m.value < limit["low"] - allowance, F.lit(False))
+        out.append(F.when(over, F.lit(k)))
     joined = rows.join(limits, same, "left").withColumn("failed", F.array_compact(F.array(*out)))
     return joined.select(
         "doc_id", "lang", "source", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed", "level"
