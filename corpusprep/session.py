@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,9 +93,42 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(folder)
     table._materialized = folder
+    for scope in _scopes:
+        scope.made.append(table)
     return table
 
 
+class Scratch:
+    """Tables materialized within a ``scratch`` block."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+
+_scopes: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Release, at the end of the block, the tables that were materialized in it, but for those kept.
+
+    What is kept must be written, not a plan that still reads the others.
+    """
+    scope = Scratch()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        kept = {t._materialized for t in scope.kept}
+        release(*(t for t in scope.made if t._materialized not in kept))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more: what was made of them is written, too."""
     for table in tables:
