@@ -6,11 +6,14 @@ products. A document bundles (sums) its trigrams, a language bundles its
 documents, and a document goes to the language prototype with the largest cosine.
 
 Letters are lower-cased; every run of other characters is one blank. Prototypes
-are sums of integers, so they don't depend on how rows are spread over tasks.
+are sums of integers, so they don't depend on how rows are spread over tasks. They are a
+table with a row for each language, however many there are; documents are held against
+``BLOCK_LANGUAGES`` or so of them at a time, and only one block is in memory.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,12 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusprep.session import materialize, release
+
 DIMENSIONS = 1024
 SEED = 20240917
 #: Labelled documents a language learns from, at most (on average, as they are drawn by a hash of their ids).
 TRAIN_DOCS = 5000
-#: A model has a prototype for each language; a table with more values than this in its language column isn't labelled by language.
-MAX_LANGUAGES = 4096
+#: Prototypes of a block.
+BLOCK_LANGUAGES = 2048
+#: Languages with more labelled documents than they learn from that may be broadcast: some megabytes. Beyond that, a shuffled join.
+BROADCAST_LANGUAGES = 100_000
+#: A document is taken for text of no language if its score is below this share of what ``FLOOR_QUANTILE`` of the labelled documents have at least.
+FLOOR_SHARE = 0.5
+FLOOR_QUANTILE = 0.01
 UNDETERMINED = "und"
 _BLANK = 32
 _PACK_CHARS = 1 << 19
@@ -107,47 +117,62 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size > 0, size, 1)
 
 
-def learn_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-                     lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """Prototype of each language with a labelled text.
-
-    A language with more than ``train_docs`` rows learns from about that many,
-    drawn by a hash of the id. The model, all that is collected, has
-    ``dimensions`` numbers a language.
-    """
+def _training(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, seed: int) -> DataFrame:
+    """text, lang of the rows that are learned from."""
     rows = labelled.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
-    rare = [r["lang"] for r in counts if r["count"] <= train_docs]
+    counts = materialize(rows.groupBy(F.col("lang").alias("c_lang")).agg(F.count("*").alias("n")).where(F.col("n") > train_docs))
+    if counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 31)) / (1 << 31)
-    share = F.lit(0.0)
-    for r in counts:
-        if r["count"] > train_docs:
-            share = F.when(F.col("lang") == r["lang"], train_docs / r["count"]).otherwise(share)
-    sample = rows.where(F.col("lang").isin(rare) | (draw < share)).select("text", "lang")
+    common = rows.join(counts, F.col("lang") == F.col("c_lang"), "left")
+    return common.where(F.col("n").isNull() | (draw < train_docs / F.col("n"))).select("text", "lang")
+
 
+def learn_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
+                     lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """lang, totals (a sum for each dimension) of each language with a labelled text that has a letter.
+
+    A language with more than ``train_docs`` rows learns from about that many,
+    drawn by a hash of the id.
+    """
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, total in sums.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * dimensions), pa.array(np.arange(dimensions)), pa.array(total)], ["lang", "dim", "total"]
+                )
+            sums.clear()
+
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            steps = np.rint(_unit(document_vectors(batch.column("text").to_pylist(), dimensions, seed)) / _STEP).astype(np.int64)
-            for lang in set(langs.tolist()):
-                own = steps[langs == lang]
-                if own.any():
-                    sums[lang] = sums.get(lang, 0) + own.sum(axis=0)
-        for lang, total in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * dimensions), pa.array(np.arange(dimensions)), pa.array(total)], ["lang", "dim", "total"]
-            )
-
-    parts = sample.mapInArrow(bundle, "lang string, dim bigint, total bigint")
-    model: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "dim").agg(F.sum("total").alias("total")).collect():
-        model.setdefault(r["lang"], np.zeros(dimensions))[r["dim"]] = r["total"]
-    return {k: _unit(model[k][None, :])[0] for k in sorted(model)}
+            texts = batch.column("text").to_pylist()
+            for at in range(0, len(texts), 1000):
+                some = langs[at : at + 1000]
+                steps = np.rint(_unit(document_vectors(texts[at : at + 1000], dimensions, seed)) / _STEP).astype(np.int64)
+                for lang in set(some.tolist()):
+                    own = steps[some == lang]
+                    if own.any():
+                        sums[lang] = sums.get(lang, 0) + own.sum(axis=0)
+                if len(sums) > BLOCK_LANGUAGES:  # however many labels a task sees
+                    yield from flushed()
+        yield from flushed()
+
+    sample = _training(labelled, id_col, text_col, lang_col, train_docs, seed)
+    parts = sample.mapInArrow(bundle, "lang string, dim bigint, total bigint").groupBy("lang", "dim").agg(F.sum("total").alias("total"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "total"))), lambda x: x["total"])
+    return materialize(parts.groupBy("lang").agg(ordered.alias("totals")))
+
+
+def prototype_blocks(model: DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    """Prototypes by language, a block at a time: one block at least, be it empty."""
+    blocks = max(1, -(-model.count() // BLOCK_LANGUAGES))
+    for block in range(blocks):
+        mine = model.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == block)
+        yield {r["lang"]: _unit(np.array(r["totals"], dtype=np.float64)[None, :])[0] for r in mine.orderBy("lang").toLocalIterator()}
 
 
 def predicted(text: Column, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED) -> Column:
@@ -178,6 +203,53 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def with_language(docs: DataFrame, model: DataFrame, text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED,
+                  out_col: str = "language") -> DataFrame:
+    """``docs`` with a struct of lang and score from all prototypes of ``model``."""
+    found = list(itertools.islice(prototype_blocks(model), 2))
+    text = F.col(text_col).cast("string")
+    if len(found) == 1:
+        return docs.withColumn(out_col, predicted(text, found[0], dimensions, seed))
+    number = "_row_number"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()))
+    best = None
+    for block in prototype_blocks(model):
+        if not block:
+            continue
+        own = materialize(rows.select(F.col(number).alias("_n"), predicted(text, block, dimensions, seed).alias("p")))
+        if best is not None:  # the larger score, then the first language
+            rank = F.struct(-F.col("p.score"), F.col("p.lang") == UNDETERMINED, F.col("p.lang"))
+            both = best.unionByName(own)
+            merged = materialize(both.groupBy("_n").agg(F.min_by("p", rank).alias("p")))
+            release(best, own)
+            own = merged
+        best = own
+    return rows.join(best.withColumnRenamed("p", out_col), F.col(number) == F.col("_n")).drop(number, "_n")
+
+
+def score_floor(labelled: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                train_docs: int = TRAIN_DOCS) -> float:
+    """``FLOOR_SHARE`` of the score that all but ``FLOOR_QUANTILE`` of the labelled documents reach (those the model learns from); 0 without any."""
+    scored = with_language(_training(labelled, id_col, text_col, lang_col, train_docs, SEED), model).where(F.col("language.lang") != UNDETERMINED)
+    least = scored.agg(F.percentile_approx("language.score", FLOOR_QUANTILE, 10_000)).first()[0]
+    return FLOOR_SHARE * (least or 0.0)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without those of no language: null texts, texts without a letter, and texts that are far from every language.
+
+    How far is taken from the labelled documents (``score_floor``). Without any, only the first two go.
+    """
+    model = learn_prototypes(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    text = F.col(text_col).cast("string")
+    if model.isEmpty():
+        return docs.where(predicted(text, {"": np.zeros(DIMENSIONS)})["lang"] != UNDETERMINED)
+    floor = score_floor(docs, model, id_col, text_col, lang_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"))
+    judged = with_language(rows, model, "_text", out_col="_language")
+    return judged.where((F.col("_language.lang") != UNDETERMINED) & (F.col("_language.score") >= floor)).select("_row.*")
+
+
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                        dimensions: int = DIMENSIONS, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the labelled documents that aren't held out (a null id isn't used).
@@ -186,5 +258,5 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     learn = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     model = learn_prototypes(learn, dimensions, SEED, id_col, text_col, lang_col, train_docs)
-    rows = docs.select(F.col(id_col).alias("doc_id"), predicted(F.col(text_col).cast("string"), model, dimensions).alias("p"))
+    rows = with_language(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text", dimensions, out_col="p")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

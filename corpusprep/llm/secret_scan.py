@@ -176,34 +176,56 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+#: Characters of a chunk of text; places in a chunk are found by counting from its start.
+CHUNK = 1024
+
+
+def _cuts_by_chunk(found: DataFrame) -> DataFrame:
+    """_key, _id, _cut: for each chunk with something to mask, its number and the pieces (from, to, whether a mask stands for it)."""
+    spans = found.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.inline("spans")).select("_key", "_id", "start", "end")
+    in_order = Window.partitionBy("_key", "_id").orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    # spans that overlap or touch are one
+    opened = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    runs = opened.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("_key", "_id", "run").agg(F.min("start").alias("lo"), F.max("end").alias("hi")).where("hi > lo")
+    chunk = F.explode(F.sequence(F.floor(F.col("lo") / CHUNK), F.floor((F.col("hi") - 1) / CHUNK))).alias("chunk")
+    pieces = runs.select("_key", "_id", "lo", "hi", chunk).select(
+        "_key", "_id", F.col("chunk").cast("int").alias("chunk"),
+        F.struct(
+            F.greatest(F.col("lo") - F.col("chunk") * CHUNK, F.lit(0)).cast("int").alias("a"),
+            F.least(F.col("hi") - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("int").alias("b"), (F.col("lo") >= F.col("chunk") * CHUNK).alias("first"),
+        ).alias("piece"),
+    )
+    chunks = pieces.groupBy("_key", "_id", "chunk").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return chunks.groupBy("_key", "_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "pieces"))).alias("_cut"))
+
+
+#: The text of ``_chunks`` with ``_mask`` for the pieces of ``_cut``: chunks without any are joined as they are.
+_MASKED = """
+concat(array_join(transform(_cut, (x, i) -> concat(
+  array_join(slice(_chunks, IF(i = 0, -1, _cut[i - 1].chunk) + 2, x.chunk - IF(i = 0, -1, _cut[i - 1].chunk) - 1), ''),
+  array_join(transform(x.pieces, (p, j) -> concat(
+    substring(_chunks[x.chunk], IF(j = 0, 0, x.pieces[j - 1].b) + 1, p.a - IF(j = 0, 0, x.pieces[j - 1].b)), IF(p.first, _mask, ''))), ''),
+  substring(_chunks[x.chunk], element_at(x.pieces, -1).b + 1))), ''),
+  array_join(slice(_chunks, element_at(_cut, -1).chunk + 2, size(_chunks)), ''))"""
+
+
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span found replaced by ``mask``; overlapping and touching ones are one. Documents without secrets are as before.
 
     length_col: a column that holds the text's length, brought up to date where the text changes.
     """
-    found = scan_secrets(docs, id_col, text_col).where(F.size("spans") > 0)
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<lo:bigint,hi:bigint>>"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (s["start"] <= F.element_at(out, -1)["hi"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.size(out) - 1),
-                F.array(F.struct(F.element_at(out, -1)["lo"].alias("lo"), F.greatest(F.element_at(out, -1)["hi"], s["end"]).alias("hi"))),
-            ),
-        ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("lo"), s["end"].alias("hi"))))),
-    )
-    spans = found.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), merged.alias("_cut")).dropDuplicates(["_key", "_id"])
+    found = scan_secrets(docs, id_col, text_col).select("key", "doc_id", "spans").where(F.size("spans") > 0).dropDuplicates(["key", "doc_id"])
+    cuts = _cuts_by_chunk(found)
     # the table's columns go into a struct, so none can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     key = F.xxhash64(F.col(f"_row.`{id_col}`"), F.col(f"_row.`{text_col}`").cast("string"))
-    joined = rows.join(spans, (key == F.col("_key")) & F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    joined = rows.join(cuts, (key == F.col("_key")) & F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")), "left")
     text = F.col(f"_row.`{text_col}`").cast("string")
-    joined = joined.withColumn("_lows", F.transform("_cut", lambda c: c["lo"])).withColumn("_from", F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cut", lambda c: c["hi"])))
-    parts = F.transform(
-        F.arrays_zip(F.col("_from").alias("a"), F.concat("_lows", F.array(F.char_length(text).cast("bigint"))).alias("b")),
-        lambda p: F.substring(text, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")),
-    )
-    masked = F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(parts, mask))
+    joined = joined.withColumn("_chunks", F.when(F.col("_cut").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    joined = joined.withColumn("_mask", F.lit(mask))
+    masked = F.when(F.col("_cut").isNull(), text).otherwise(F.expr(_MASKED))
     out = joined.withColumn("_text", masked)
     cols = []
     for c in docs.columns:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.llm.text_units import utf8
-from corpusprep.session import materialize
+from corpusprep.session import materialize, release
 
 SHINGLE = 3
 RADIUS = 3
@@ -150,11 +150,11 @@ def links(variant_rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node that has an edge (a, b)."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(rounds):
+    while True:  # until nothing changes: about as many rounds as a component's size has bits
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -166,9 +166,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: the smaller neighbours of a node, and it, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    else:
-        raise RuntimeError(f"components have not settled after {rounds} rounds")
+        before, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

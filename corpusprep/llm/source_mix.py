@@ -115,7 +115,12 @@ def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source", copy_col: str = "copy") -> DataFrame:
-    """The documents of the mix: each row as often as it is taken, numbered from 1 in ``copy_col``."""
+    """The documents of the mix: each row as often as it is taken, numbered from 1 in ``copy_col``.
+
+    If the table has a column of that name, the number's column has an underscore before its name (as many as it takes).
+    """
+    while copy_col.lower() in {c.lower() for c in docs.columns}:
+        copy_col = f"_{copy_col}"
     sizes = materialize(document_sizes(docs, id_col, text_col, source_col).select("source", "size"))
     targets = materialize(source_targets(sizes, weights, most))
     draw = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col).cast("string")))

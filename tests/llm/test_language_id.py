@@ -60,13 +60,43 @@ def test_long_texts_are_whole():
     assert cosine == pytest.approx(1, abs=1e-3)
 
 
+def _model(table):
+    return {r["lang"]: r["totals"] for r in table.collect()}
+
+
 def test_prototypes_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    one, two = lid.learn_prototypes(docs.coalesce(1)), lid.learn_prototypes(docs.repartition(6))
-    assert one.keys() == two.keys() and all((one[k] == two[k]).all() for k in one)
+    one, two = (_model(lid.learn_prototypes(d)) for d in (docs.coalesce(1), docs.repartition(6)))
+    assert one == two and set(one) == {"en", "fr", "de", "es"}
 
 
 def test_training_is_bounded(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = lid.learn_prototypes(docs, train_docs=30)
-    assert set(out) == {"en", "fr", "de", "es"}
+    sample = lid._training(docs, "doc_id", "text", "lang", 30, lid.SEED)
+    assert 60 < sample.count() < 240
+    assert set(_model(lid.learn_prototypes(docs, train_docs=30))) == {"en", "fr", "de", "es"}
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """More labels than a block holds: scored in blocks, as if they were one."""
+    rows = [(i, cases.prose(i, 12, 9), f"l{i % 61}", "s") for i in range(183)] + [(900, None, "l1", "s"), (901, "12", "l2", "s")]
+    docs = cases.frame(spark, rows)
+    seen = lambda: sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in lid.identify_languages(docs).collect())
+    whole = seen()
+    monkeypatch.setattr(lid, "BLOCK_LANGUAGES", 16)
+    assert seen() == whole
+    assert len(list(lid.prototype_blocks(lid.learn_prototypes(docs)))) >= 4
+
+
+def test_many_labels_do_not_stop_the_query(spark):
+    rows = [(i, f"word{i} text", f"label {i}", "s") for i in range(9000)]
+    assert len(lid.identify_languages(cases.frame(spark, rows), dimensions=32).collect()) == 9000
+
+
+def test_documents_of_no_language_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = [(10**6 + i, " ".join("qzxjkvwpfgh"[(i * j * 7 + j) % 11] * 2 + "xqzj"[j % 4] for j in range(1, 200)), None, "s", 9) for i in range(5)]
+    table = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in lid.keep_identified(table).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept <= lettered and len(kept) >= 0.995 * len(lettered)

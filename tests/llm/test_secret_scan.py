@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import cases
 
@@ -126,3 +127,16 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = s.secret_digest(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_masking_a_text_with_very_many_secrets_is_linear(spark):
+    rnd = random.Random(8)
+    secrets = ["".join(rnd.choices("0123456789abcdef", k=rnd.choice([24, 40, 3000]))) for _ in range(16_000 // 8)]
+    text = "é \U0001f600 ".join(f"word {x}. " for x in secrets) + "tail"
+    many = " ".join(f"w {x[:24]}" for x in secrets * 8)
+    rows = [(1, text, None, "a"), (2, many, "en", "a"), (3, "clean", "en", "a"), (4, secrets[0], None, None)]
+    start = time.process_time()
+    got = {r.doc_id: (r.text, r.n_chars) for r in s.mask_secrets(cases.frame(spark, rows), length_col="n_chars").collect()}
+    want = {1: re.sub("[0-9a-f]{24,}", "[SECRET]", text), 2: re.sub("[0-9a-f]{24}", "[SECRET]", many), 3: "clean", 4: "[SECRET]"}
+    assert {k: v for k, (v, _) in got.items()} == want and all(len(v) == n for v, n in got.values())
+    assert time.process_time() - start < 60

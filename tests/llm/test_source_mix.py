@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import cases
+from pyspark.sql import functions as F
 
 from corpusprep.llm import source_mix as m
 
@@ -102,3 +103,9 @@ def test_empty_tables(spark):
     assert m.mixed_sizes(empty).collect() == [] and m.mix(empty).collect() == []
     blank = m.mixed_sizes(cases.frame(spark, [(1, None, None, None), (2, " ", "en", "a")])).collect()
     assert [(r.taken, r.target) for r in blank] == [(0, 0.0), (0, 0.0)]
+
+
+def test_a_column_named_copy_stays(spark):
+    docs = cases.frame(spark, cases.awkward_rows()).withColumn("Copy", F.lit("own"))
+    out = m.mix(docs)
+    assert out.columns == [*docs.columns, "_copy"] and {r["Copy"] for r in out.collect()} == {"own"}
