@@ -37,15 +37,5 @@ def cut(c, limit: int | None, keep: int | None = None) -> Column:
     return F.regexp_replace(col_of(c), f"(?s)^(.{{{keep}}}).{{{limit - keep + 1},}}\\z", "$1...")
 
 
-def regex_quote(c) -> Column:
-    """Escape regex metacharacters of a data value so it matches literally."""
-    return F.regexp_replace(col_of(c), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-
-
-def replacement_quote(c) -> Column:
-    """Escape ``\\`` and ``$`` so a data value is a literal replacement string."""
-    return F.regexp_replace(col_of(c), r"([\\$])", r"\\$1")
-
-
 def md5_prefix(c, n: int = 12) -> Column:
     return F.substring(F.md5(col_of(c)), 1, n)

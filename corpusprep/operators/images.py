@@ -10,18 +10,21 @@ file headers, and the byte size used for embedding is that of the input.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusprep.config import DEFAULT, Settings
-from corpusprep.functions.common import PY_SPACE, regex_quote, replacement_quote
+from corpusprep.functions.common import PY_SPACE
 from corpusprep.functions.images import data_uri, image_format, image_size, sniff_image_type
 
 # Suggested-name extensions kept as they are (others become .png).
 KEPT_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".bmp"]
 
-DECISION_SCHEMA = "array<struct<neg_len:int,placeholder:string,action:string,target:string>>"
-
 
 def with_size(images: DataFrame, bytes_col: str = "bytes") -> DataFrame:
     """Add ``width``, ``height`` (null when unknown) and ``decodable``."""
@@ -95,12 +98,47 @@ _NS = PY_SPACE[1:-1]
 LINK = rf'!\[([^\]]*)\]\(([^){_NS}]+)({PY_SPACE}*"(?:[^"]*)")?\)'
 
 
-def _apply_one(acc, d):
-    rx = F.concat(F.lit(r"!\[([^\]]*)\]\("), regex_quote(d["placeholder"]), F.lit(rf'({PY_SPACE}*"(?:[^"]*)")?\)'))
-    rep = F.when(d["action"] == "remove", F.lit("")).otherwise(
-        F.concat(F.lit("![$1]("), replacement_quote(d["target"]), F.lit("$2)"))
-    )
-    return F.regexp_replace(acc, rx, rep)
+_OPEN = re.compile(r"!\[([^\]]*)\]\(")
+_CLOSE = re.compile(rf'({PY_SPACE}*"(?:[^"]*)")?\)')
+
+
+def edited(text: str, edits: Iterable[dict]) -> str:
+    """``text`` with the image links of ``edits`` (placeholder, action, target) removed or given their target; titles are kept.
+
+    One scan: at every link, a trie of the placeholders gives those that stand there, and the longest that ends the
+    link counts. Placeholders may hold blanks and brackets.
+    """
+    trie: dict = {}
+    for e in edits:
+        node = trie
+        for c in e["placeholder"]:
+            node = node.setdefault(c, {})
+        node[None] = e
+    out, done, at = [], 0, 0
+    while link := _OPEN.search(text, at):
+        at, node, here = link.end(), trie, link.end()
+        found = []
+        while True:
+            if None in node:
+                found.append((here, node[None]))
+            node = node.get(text[here]) if here < len(text) else None
+            if node is None:
+                break
+            here += 1
+        for end, e in reversed(found):
+            close = _CLOSE.match(text, end)
+            if close and (e["action"] == "remove" or e["target"] is not None):
+                out.append(text[done : link.start()])
+                if e["action"] != "remove":
+                    out.append(f"![{link[1]}]({e['target']}{close[1] or ''})")
+                done = at = close.end()
+                break
+    return "".join([*out, text[done:]])
+
+
+@F.pandas_udf(T.StringType())
+def _edited(texts: pd.Series, edits: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or e is None else edited(t, e) for t, e in zip(texts, edits, strict=True)], dtype=object)
 
 
 def _single_pass(md, dmap):
@@ -137,31 +175,24 @@ def _single_pass(md, dmap):
 def apply_image_decisions(docs: DataFrame, decisions: DataFrame, key: str = "doc_key", md_col: str = "markdown") -> DataFrame:
     """Edit Markdown image links by decision (remove / embed / relink); titles kept.
 
-    Placeholders without blanks or ``)`` (all extracted files) are applied in
-    one scan of the text through a per-document map, so the cost is linear in
-    the text however many images a document has. Others fall back to one
-    regex pass each, longest placeholder first.
+    One scan of the text whatever the number of images: placeholders without blanks or ``)`` (all extracted
+    files) through a per-document map, in a projection; a document with others goes through :func:`edited`, where the
+    longest placeholder that fits a link counts.
     """
     target = F.coalesce(F.col("data_uri"), F.col("new_path"))
     # of a placeholder decided on twice, the least decision counts
     once = decisions.groupBy(key, "placeholder").agg(F.min(F.struct("action", "data_uri", "new_path")).alias("_x"))
     decisions = once.select(key, "placeholder", "_x.*")
-    simple = ~F.col("placeholder").rlike(rf"[){_NS}]")
+    plain = ~F.col("placeholder").rlike(rf"[){_NS}]")
     per_doc = decisions.groupBy(key).agg(
-        F.map_from_entries(
-            F.collect_list(F.when(simple, F.struct(F.col("placeholder"), F.struct(F.col("action"), target.alias("target")))))
-        ).alias("_m"),
-        F.array_sort(
-            F.collect_list(
-                F.when(~simple, F.struct((-F.length("placeholder")).alias("neg_len"), "placeholder", "action", target.alias("target")))
-            )
-        ).alias("_d"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("placeholder"), F.struct(F.col("action"), target.alias("target"))))).alias("_m"),
+        F.bool_and(plain).alias("_plain"),
     )
     j = docs.join(per_doc, key, "left")
-    one = _single_pass(F.col(md_col), F.col("_m"))
-    return j.withColumn(
-        md_col, F.aggregate(F.coalesce(F.col("_d"), F.array().cast(DECISION_SCHEMA)), one, _apply_one)
-    ).drop("_d", "_m")
+    odd = ~F.coalesce("_plain", F.lit(True))
+    edits = F.transform(F.map_entries("_m"), lambda e: F.struct(e["key"].alias("placeholder"), e["value"]["action"].alias("action"), e["value"]["target"].alias("target")))
+    scanned = _edited(F.when(odd, F.col(md_col)), F.when(odd, edits))
+    return j.withColumn(md_col, F.when(odd, scanned).otherwise(_single_pass(F.col(md_col), F.col("_m")))).drop("_plain", "_m")
 
 
 def image_summary(decisions: DataFrame, key: str = "doc_key", bytes_col: str = "bytes") -> DataFrame:

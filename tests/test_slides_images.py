@@ -1,6 +1,10 @@
 import base64
 import hashlib
 
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from corpusprep.config import Settings
@@ -117,3 +121,34 @@ def test_title_by_placeholder_type(spark):
     assert slides.deck_title(table).collect()[0].title == "The title"
     sections = slides.slide_sections(table, slides.slide_images(table, with_bytes=False)).orderBy("slide_idx").collect()
     assert sections[0].section.startswith("## The title\n") and sections[1].section.startswith("## Slide 2\n")
+
+
+def _one_by_one(text, edits):
+    """The longest placeholder first, a pass of the text for each."""
+    for e in sorted(edits, key=lambda e: -len(e["placeholder"])):
+        pattern = r"!\[([^\]]*)\]\(" + re.escape(e["placeholder"]) + r'(\s*"(?:[^"]*)")?\)'
+        text = re.sub(pattern, lambda m, e=e: "" if e["action"] == "remove" else f"![{m[1]}]({e['target']}{m[2] or ''})", text)
+    return text
+
+
+def test_placeholders_with_blanks_and_brackets_longest_first(spark):
+    rnd = random.Random(6)
+    names = ["a", "a b", "a b (1).png", "a b (1", 'a "t"', "x)y", "p q", "p", "p q r"]
+    edits = [{"placeholder": n, "action": rnd.choice(["remove", "relink", "embed"]), "target": None if i % 9 == 8 else f"media/{i}.png"} for i, n in enumerate(names[:-1])]
+    for _ in range(200):
+        links = [f"![alt {i}]({rnd.choice(names)}{rnd.choice(['', ' "title"', ' x'])})" for i in range(6)]
+        text = " text ] ( ".join(links) + rnd.choice(["", "![open](a b", "![", "](a b)"])
+        assert images.edited(text, edits) == _one_by_one(text, edits)
+    docs = spark.createDataFrame([("d", "![x](a b) ![y](a b (1).png \"t\") ![z](plain.png)"), ("e", "![z](plain.png)"), ("f", "![n](none)"), ("g", None)], "doc_key string, markdown string")
+    rows = [("d", "a b", "relink", None, "media/1.png"), ("d", "a b (1).png", "relink", None, "media/2.png"), ("d", "plain.png", "remove", None, None), ("e", "plain.png", "embed", "data:x", None), ("g", "a b", "remove", None, None)]
+    decisions = spark.createDataFrame(rows, "doc_key string, placeholder string, action string, data_uri string, new_path string")
+    got = {r.doc_key: r.markdown for r in images.apply_image_decisions(docs, decisions).collect()}
+    assert got == {"d": "![x](media/1.png) ![y](media/2.png \"t\") ", "e": "![z](data:x)", "f": "![n](none)", "g": None}
+
+
+def test_edits_of_a_thousand_placeholders_take_one_scan():
+    edits = [{"placeholder": f"dir {i}/image ({i}).png", "action": "relink", "target": f"media/{i}.png"} for i in range(1000)]
+    text = "".join(f"some text ![alt](dir {i % 1000}/image ({i % 1000}).png) " for i in range(50_000))
+    start = time.process_time()
+    assert images.edited(text, edits).count("](media/") == 50_000
+    assert time.process_time() - start < 10
