@@ -213,12 +213,14 @@ MOST_KINDS = 100
 TEXT_KINDS = {"simple": None, "markdown": None, "converter": [".html", ".htm"], "tabular": [".csv", ".tsv"]}
 
 
-def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, folder: str, losers: DataFrame | None = None) -> DataFrame:
+def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, folder: str | None = None, losers: DataFrame | None = None,
+                  media: DataFrame | None = None) -> DataFrame:
     """Package entries ``(package, entry, kind, bytes)`` of the files below ``folder`` that Markdown files refer to.
 
     ``md_files``: ``path, package, text``, of the original text; ``docs``: what the files became (those without
     Markdown have no package); ``listing``: ``path`` of all files; ``losers``: ``path`` of files that have no package of
-    their own. Bytes are read of the kinds of files referred to.
+    their own; ``media``: ``path, content`` of the files referred to, where they are known. Otherwise bytes are read of the
+    kinds of files referred to.
     """
     spark = md_files.sparkSession
     src = md_files.select(F.col("path").alias("doc_key"), "path", "package", F.col("text").alias("markdown"))
@@ -228,9 +230,8 @@ def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, fold
     refs = materialize(found.join(src.select("doc_key", "package"), "doc_key").select("package", "media_name", "resolved", "syntax", "pos"))
     # of refs that come to one media name, the last counts; whatever its extension is, the file is read
     last = refs.groupBy("package", "media_name").agg(F.max_by("resolved", F.struct("syntax", "pos")).alias("resolved"))
-    # a few kinds of files, else all kinds: the result is the same
-    exts = [r[0] for r in refs.select(extension("resolved")).distinct().limit(MOST_KINDS + 1).collect()]
-    media = scan_folder(spark, folder, recursive=True, glob=None if "" in exts or len(exts) > MOST_KINDS else _glob(exts or MEDIA_EXTS))
+    if media is None:
+        media = _media_files(spark, refs, folder)
     rows = last.join(media.select(F.regexp_replace("path", "^file:", "").alias("resolved"), F.col("content").alias("bytes")), "resolved")
     ok = docs.where(F.col("markdown").isNotNull() & (F.length("markdown") > 0)).select("package").distinct()
     return rows.join(ok, "package", "left_semi").select(
@@ -238,6 +239,12 @@ def media_entries(md_files: DataFrame, docs: DataFrame, listing: DataFrame, fold
     )
 
 
+def _media_files(spark: SparkSession, refs: DataFrame, folder: str) -> DataFrame:
+    """Files of the kinds that are referred to: of a few kinds by name, else all; the result is the same."""
+    exts = [r[0] for r in refs.select(extension("resolved")).distinct().limit(MOST_KINDS + 1).collect()]
+    return scan_folder(spark, folder, recursive=True, glob=None if "" in exts or len(exts) > MOST_KINDS else _glob(exts or MEDIA_EXTS))
+
+
 def _glob(exts: list[str]) -> str:
     """Case-insensitive glob for file extensions: ``*.{[tT][xX][tT],...}``."""
     def ci(e: str) -> str:
@@ -246,6 +253,11 @@ def _glob(exts: list[str]) -> str:
     return "*.{" + ",".join(ci(e) for e in exts) + "}"
 
 
+def text_globs(spark: SparkSession, kind: str) -> str:
+    """Glob of the files of a kind."""
+    return _glob([r.ext for r in routing.resolve_registry(routing.extension_registry(spark)).where(F.col("processor") == kind).collect()])
+
+
 def _text_kinds(spark: SparkSession, registry: DataFrame | None, settings: Settings, custom: dict) -> dict[str, list[str]]:
     """Extensions read as text, per kind, from the (fixed-size) registry."""
     reg = routing.resolve_registry(registry if registry is not None else routing.extension_registry(spark)).collect()

@@ -1,4 +1,5 @@
 import json
+import time
 import os
 import zipfile
 
@@ -149,6 +150,44 @@ def test_stream_folder(spark, tmp_dir):
         assert z.read("b.md").decode() == "```py\nprint(1)\n```"
 
 
+def _write(folder, name, text):
+    os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(text)
+
+
+def test_a_document_waits_for_a_late_image(spark, tmp_dir):
+    src, out, ck, report = (os.path.join(tmp_dir, d) for d in ("in", "out", "ck", "report"))
+    _write(src, "doc.md", "![x](img/late[1].png) ![y](img/p.png)")
+    _write(src, "img/p.png", "P")
+    run = lambda **kw: stream_folder(spark, src, out, ck, report_table=report, **kw).awaitTermination(240)
+    run(wait_seconds=3600)
+    assert not os.path.isdir(out) or os.listdir(out) == []  # still waiting, over the end of the query
+    _write(src, "img/late[1].png", "L")
+    _write(src, "other.txt", "t")
+    run(wait_seconds=3600)
+    assert sorted(os.listdir(out)) == ["doc.zip", "other.zip"]
+    doc = _zip(out, "doc")
+    assert doc["media/img_p.png"] == b"P" and b"![y](media/img_p.png)" in doc["doc.md"]
+    assert {(os.path.basename(r.path), r.status) for r in spark.read.parquet(report).collect()} == {("doc.md", "ok"), ("other.txt", "ok")}
+
+
+def test_a_wait_ends_and_package_names_collide_across_batches(spark, tmp_dir):
+    src, out, ck, report = (os.path.join(tmp_dir, d) for d in ("in", "out", "ck", "report"))
+    run = lambda **kw: stream_folder(spark, src, out, ck, report_table=report, **kw).awaitTermination(240)
+    _write(src, "same.txt", "the first")
+    _write(src, "doc.md", "![x](img/never.png)")
+    run(wait_seconds=1)
+    assert os.listdir(out) == ["same.zip"]
+    time.sleep(1.5)
+    _write(src, "same.py", "print()")  # comes later: the package has its document
+    run(wait_seconds=1)
+    assert _zip(out, "doc")["doc.md"] == b"![x](img/never.png)"
+    assert _zip(out, "same")["same.md"] == b"the first"
+    got = {(os.path.basename(r.path), r.status) for r in spark.read.parquet(report).collect()}
+    assert got == {("same.txt", "ok"), ("doc.md", "ok"), ("same.py", "skipped")}
+
+
 def test_custom_processor(spark, tmp_dir):
     from corpusprep.operators import routing
     from corpusprep.plans.convert import convert_files
