@@ -642,6 +642,14 @@ def _once(df: DataFrame, materialize: bool) -> DataFrame:
     return checkpointed(df)
 
 
+def _typed(rows: DataFrame, headers: DataFrame, path: str, is_tsv: Column) -> DataFrame:
+    """``rows`` with the cells of TSV files written by their columns' types; CSV files are all text."""
+    from corpusprep.operators.types import column_types, typed_rows
+
+    tsv = rows.where(is_tsv)
+    return rows.where(~is_tsv).unionByName(typed_rows(tsv, column_types(tsv, headers.where(is_tsv), path), path))
+
+
 def _records(lines: DataFrame, dialects: DataFrame, path: str, texts: DataFrame | None, quoted_breaks: bool) -> DataFrame:
     if texts is not None:
         return csv_records(texts, dialects, path)
@@ -670,6 +678,8 @@ def csv_documents(lines: DataFrame, settings: Settings = DEFAULT, path: str = "p
     records = _records(lines, dialects, path, texts, quoted_breaks)
     rows, headers = parse_csv_lines(records, dialects, path=path)
     rows, headers = _once(rows, materialize), _once(headers, materialize)
+    if kind == "TSV" or is_tsv is not None:
+        rows = _typed(rows, headers, path, F.lit(True) if is_tsv is None else is_tsv)
     prof = table_profile(rows, headers, dialects, settings, path=path)
     docs = render_table_document(prof, csv_tables(rows, headers, settings, path=path), kind=kind, path=path, name=name, encoding=encoding, is_tsv=is_tsv, settings=settings)
     parser = f"pandas_{kind.lower()}" if is_tsv is None else F.when(is_tsv, F.lit("pandas_tsv")).otherwise(F.lit("pandas_csv"))

@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.functions.text import normalize_newlines
-from corpusprep.operators.tables import csv_records, split_fields
-from corpusprep.sources.folder import scan_folder
+from corpusprep.operators.records import record_lines
+from corpusprep.operators.tables import SEPARATORS, parse_csv_lines, split_fields
+from corpusprep.operators.types import column_types
+from corpusprep.sources.folder import number_lines, read_lines
 
 
 def read_csv_corpus(spark: SparkSession, folder: str, dialects: DataFrame, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Files of ``folder`` with their own separator and encoding (``dialects``: path, separator, encoding),
+    """Files of ``folder`` with their own separator (``dialects``: path, separator),
     all cells as text, in rows of any width: ``(path, row_id, cells ARRAY<STRING>)``, header included.
 
-    Records may span lines inside quotes. Paths and contents stay on the executors. A file is one
-    row of ``binaryFile`` (2 GB at most); larger ones go through ``read_lines``.
+    Records may span lines inside quotes; files are read line by line, so they may be of any size. ``row_id`` is the number of
+    a record's first line.
     """
-    files = scan_folder(spark, folder, recursive, glob).select("path", "content").join(dialects.select("path", "encoding"), "path")
-    text = F.when(F.col("encoding") == "utf-8", F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    records = csv_records(files.select("path", normalize_newlines(text).alias("text")), dialects).where(F.col("line") != "")
-    cells = records.join(dialects.select("path", "separator"), "path")
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    lines = number_lines(reader.option("pathGlobFilter", glob) if glob else reader, folder)
+    own = dialects.select("path", "separator")
+    records = record_lines(lines, own, SEPARATORS).where(F.col("line") != "")
+    cells = records.join(own, "path")
     return cells.select("path", F.col("ord").alias("row_id"), split_fields(F.col("line"), F.col("separator")).alias("cells"))
 
 
+def read_tsv_corpus(spark: SparkSession, paths: list[str] | str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (``path, ord, fields, ncols, n_fields, bad``) and column types (``path, column, name, type``) of tab-separated files
+    of any size, each with its own columns and types. :func:`corpusprep.operators.types.typed_frame` gives one file as columns."""
+    lines = read_lines(spark, paths, glob)
+    dialects = lines.select("path").distinct().withColumn("separator", F.lit("\t"))
+    rows, headers = parse_csv_lines(record_lines(lines, dialects, SEPARATORS), dialects)
+    return rows, column_types(rows, headers)
+
+
 def read_tsv(spark: SparkSession, paths: list[str] | str, infer: bool = True) -> DataFrame:
     """Tab-separated files with a header, types inferred (as the original)."""
     return spark.read.option("sep", "\t").option("header", True).option("inferSchema", infer).csv(paths)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.session import materialize
@@ -35,7 +35,11 @@ def read_lines(spark: SparkSession, paths: list[str] | str, glob: str | None = N
     lines of the splits before, so nothing reads a file from its start. The encoding of a file is
     UTF-8 if all its lines are, else latin-1. The lines are written once into the shared checkpoint folder.
     """
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    return number_lines(spark.read.option("pathGlobFilter", glob) if glob else spark.read, paths)
+
+
+def number_lines(reader: DataFrameReader, paths: list[str] | str) -> DataFrame:
+    """:func:`read_lines` through a reader with options of its own."""
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as binaryFile spells it
     lines = materialize(reader.text(paths).select(
         path.alias("path"), F.col("_metadata.file_block_start").alias("_split"),

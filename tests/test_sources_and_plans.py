@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusprep.operators import tables
 from corpusprep.operators.records import record_lines
-from corpusprep.sources.csv import read_bundle, read_csv_corpus, read_tsv
+from corpusprep.operators.types import typed_frame, typed_rows
+from corpusprep.sources.csv import read_bundle, read_csv_corpus, read_tsv, read_tsv_corpus
 from corpusprep.sources.folder import read_lines, scan_folder, text_lines
 
 
@@ -53,6 +54,23 @@ def small_splits(spark):
         spark.conf.set(k, v)
 
 
+def test_every_tsv_file_has_its_own_types(spark, tmp_dir, small_splits):
+    _write(tmp_dir, "a.tsv", "id\tprice\tok\n007\t1.50\tTRUE\n+8\t2\tfalse\n\t\t\n")
+    _write(tmp_dir, "b.tsv", 'price\tnote\tnone\n12\t"two\nlines"\t\nx\t3\tNA\n')
+    small_splits("16")
+    rows, types = read_tsv_corpus(spark, tmp_dir, "*.tsv")
+    got = {(os.path.basename(r.path), r.name): r.type for r in types.collect()}
+    assert got == {("a.tsv", "id"): "bigint", ("a.tsv", "price"): "double", ("a.tsv", "ok"): "boolean",
+                   ("b.tsv", "price"): "string", ("b.tsv", "note"): "string", ("b.tsv", "none"): "string"}
+    frame = typed_frame(rows, types, types.where("path LIKE '%a.tsv'").first().path)
+    assert frame.dtypes == [("id", "bigint"), ("price", "double"), ("ok", "boolean")]
+    assert sorted(map(tuple, frame.collect()), key=str) == sorted([(7, 1.5, True), (8, 2.0, False), (None, None, None)], key=str)
+    typed = {(os.path.basename(r.path), r.ord): r.fields for r in typed_rows(rows, types).collect()}
+    assert typed["a.tsv", 1] == ["7", "1.5", "True"] and typed["a.tsv", 2] == ["8", "2.0", "False"] and typed["b.tsv", 1] == ["12", "two\nlines", ""]
+    document = tables.csv_documents(read_lines(spark, tmp_dir, "a.tsv"), kind="TSV", quoted_breaks=True).collect()[0]
+    assert document.markdown.endswith("| 7 | 1.5 | True |\n| 8 | 2.0 | False |\n|  |  |  |")
+
+
 def test_read_lines_keeps_order_across_splits(spark, tmp_dir, small_splits):
     body = "h1,h2\n" + "".join(f"{i},{i * 2}\r\n" for i in range(20000))
     _write(tmp_dir, "big +1%.csv", body)
