@@ -156,7 +156,7 @@ def convert_files(files: DataFrame, settings: Settings = DEFAULT, suffix: str =
     its document (:func:`resolve_collisions`)."""
     routed = resolve_collisions(route_files(files.select("path"), settings, suffix, registry))
     textual = _decoded(route_files(files.select("path", "content"), settings, suffix, registry))
-    docs = convert_texts(textual, media, settings, custom=custom)
+    docs = materialize(convert_texts(textual, media, settings, custom=custom))  # read for the documents and their outcomes
     kept = routed.where(~F.col("_skip")).select("path", "package", "source_filename")
     return docs.join(kept, "path"), report.outcomes(routed, docs)
 
