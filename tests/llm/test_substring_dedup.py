@@ -6,7 +6,7 @@ import pytest
 
 from corpusprep.llm import text_units
 from corpusprep.llm.substring_dedup import SuffixAutomaton, remove_repeated_passages
-from corpusprep.llm.suffix_array_dedup import longest_previous_factor_judge, remove_later_copies, suffix_ranks
+from corpusprep.llm.suffix_array_dedup import longest_previous_factor_judge, longest_previous_factors, remove_later_copies, suffix_ranks
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +114,36 @@ def test_longest_previous_factors_follow_the_order_of_the_corpus():
     judge = longest_previous_factor_judge(4)
     flagged = judge([b"abcdef", b"xabcde"], np.array([3, 3]), np.array([1, 1]), np.array([1, 0]))
     assert [f.tolist() for f in flagged] == [[0, 1], []]
+
+
+def _plain_factors(data, starts, length):
+    def match(a, b):
+        return next((k for k in range(length) if data[a + k] != data[b + k]), length)
+
+    return [max([match(s, t) for t in starts[:i]], default=0) for i, s in enumerate(starts)]
+
+
+@pytest.mark.parametrize("length", [1, 7, 8, 9, 20, 100])
+def test_longest_previous_factors(length):
+    rng = np.random.default_rng(length)
+    for letters in (1, 2, 4):
+        for n in (0, 1, 2, 65, 150):
+            data = rng.integers(0, letters, n + length).astype(np.uint8)
+            data[n // 2 : n // 2 + n // 3] = data[: n // 3]
+            for starts in (np.arange(n), np.flatnonzero(rng.integers(0, 2, n))):
+                assert longest_previous_factors(data, starts, length).tolist() == _plain_factors(data, starts.tolist(), length)
+
+
+def test_longest_previous_factors_of_any_order_of_places():
+    # numbers in order, backwards and repeated: the smaller position is far away
+    for numbers in (range(3000), range(2999, -1, -1), [*range(1500), *range(1500)]):
+        data = np.frombuffer(b" ".join(b"%06d" % i for i in numbers), dtype=np.uint8)
+        starts = np.arange(0, len(data) - 12)
+        got = longest_previous_factors(data, starts, 12).tolist()
+        some = range(0, len(starts), 997)
+        at = {}
+        for i in range(len(starts)):  # longest prefix seen before
+            piece = bytes(data[i : i + 12])
+            if i in some:
+                assert got[i] == next((k for k in range(12, 0, -1) if piece[:k] in at), 0)
+            at.update((piece[:k], i) for k in range(1, 13))
