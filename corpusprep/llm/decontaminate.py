@@ -9,8 +9,8 @@ again with other test sets.
 A search takes the distinct windows of the test items. In a segment, a window's
 posting lists, shifted by the term's place in the window, are intersected from
 the rarest term on; most windows end at a term that the segment doesn't have.
-With a ``slop`` above 0, each term may stand that many words off its place: a
-proximity match.
+With a ``slop`` above 0, a proximity match is a start from which each term stands
+at its place or at most that many words off it.
 
 The windows go to the segments in blocks of bounded size, one search for each.
 """
@@ -28,10 +28,13 @@ from corpusprep.llm.text_units import ALNUM_FOLD, Words, packs, utf8, words_of
 from corpusprep.session import materialize
 
 WINDOW = 10
+#: Words that each word of a proximity match may be off its place: one word put in, left out or moved.
+SLOP = 1
 #: Windows of test items that one search broadcasts: 16 MB of term hashes at most with windows of ten words.
 WINDOWS_PER_SEARCH = 200_000
 SEGMENT_BYTES = 1 << 20
 _POSITION_BITS = 24
+_POSITIONS = (1 << _POSITION_BITS) - 1
 
 
 def folded(text: str | None) -> bytes:
@@ -50,7 +53,7 @@ def _segment(words: Words, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     terms, term = np.unique(words.hash.view(np.int64), return_inverse=True)
     postings = np.sort(term.astype(np.int64) << _POSITION_BITS | np.arange(len(term)))
     offsets = np.searchsorted(postings, np.arange(len(terms) + 1) << _POSITION_BITS)
-    return np.bincount(words.doc, minlength=pieces), terms, offsets, postings & ((1 << _POSITION_BITS) - 1)
+    return np.bincount(words.doc, minlength=pieces), terms, offsets, postings & _POSITIONS
 
 
 def build_index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -115,63 +118,61 @@ class _Queries:
             self.groups.append((size, np.array([wid[i] for i in some]), np.searchsorted(self.vocabulary, np.array([terms[i] for i in some]))))
 
 
-def _exact_matches(wids: np.ndarray, places: np.ndarray, df: np.ndarray, at: np.ndarray, offsets: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """wid and first token of every exact match, all windows at a time.
+def _intersected(wids: np.ndarray, places: np.ndarray, df: np.ndarray, at: np.ndarray, postings: np.ndarray, offsets: np.ndarray,
+                 ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """wid, first token, last one and exactness of every match of windows of one length, all windows at a time.
 
-    Each window starts from the list of its rarest term, shifted by the term's place; the other lists, rarest first,
-    are intersected by asking for a position's term, which inverts the lists.
+    postings: (term, position) in one number, ascending, so all lists lie in it one after the other. Each window starts
+    from the list of its rarest term, shifted by the term's place in the window (and by up to ``slop`` words either way).
+    The other lists, rarest first, are intersected with what is left: the list holds the start, shifted by its term's place,
+    or a position at most ``slop`` off, if the first posting that isn't below is near enough. A match lies within the
+    piece (up to the next of ``ends``) that holds its rarest term.
     """
-    term_at = np.empty(len(positions), dtype=np.int64)
-    term_at[positions] = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     size, freq = places.shape[1], df[places]
     alive = np.flatnonzero(freq.min(axis=1) > 0)
     order = np.argsort(freq[alive], axis=1, kind="stable")
-    wanted = at[places[alive]]
+    wanted = at[places[alive]].astype(np.int64)
     rarest = wanted[np.arange(len(alive)), order[:, 0]]
     n = (offsets[rarest + 1] - offsets[rarest]).astype(np.int64)
     window = np.repeat(np.arange(len(alive)), n)
     inside = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-    start = positions[offsets[rarest][window] + inside].astype(np.int64) - order[window, 0]
-    keep = (start >= 0) & (start + size <= len(positions))
-    window, start = window[keep], start[keep]
-    for k in range(1, size):
+    place = postings[offsets[rarest][window] + inside] & _POSITIONS
+    start = place - order[window, 0]
+    piece = np.searchsorted(ends, place, side="right")
+    begin, end = np.append(0, ends)[piece], ends[piece]
+    if slop:  # a start for each stand of the rarest term
+        near = np.arange(-slop, slop + 1)
+        window, begin, end = (np.repeat(x, len(near)) for x in (window, begin, end))
+        start = (start[:, None] + near).ravel()
+    first, last, exact = np.full(len(start), len(postings)), np.full(len(start), -1), np.ones(len(start), dtype=bool)
+    for k in range(0 if slop else 1, size):
         place = order[window, k]
-        keep = term_at[start + place] == wanted[window, place]
-        window, start = window[keep], start[keep]
-    return wids[alive[window]], start
+        goal, term = start + place, wanted[window, place] << _POSITION_BITS
+        low, high = np.maximum(goal - slop, begin), np.minimum(goal + slop, end - 1)
+        hit = postings[np.minimum(np.searchsorted(postings, term | np.minimum(low, _POSITIONS)), len(postings) - 1)]
+        keep = (low <= high) & (hit >= term | low) & (hit <= term | np.maximum(high, 0))
+        if slop:
+            hit = hit & _POSITIONS
+            first, last = np.minimum(first, hit), np.maximum(last, hit)
+            own = term | np.clip(goal, begin, end - 1)
+            exact &= (goal >= begin) & (goal < end) & (postings[np.minimum(np.searchsorted(postings, own), len(postings) - 1)] == own)
+        window, start, begin, end, first, last, exact = (x[keep] for x in (window, start, begin, end, first, last, exact))
+    if not slop:
+        return wids[alive[window]], start, start + size - 1, exact
+    # an exact match covers its own words, another one those that were found first
+    return wids[alive[window]], np.where(exact, start, first), np.where(exact, start + size - 1, last), exact
 
 
-def _matches(queries: _Queries, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _matches(queries: _Queries, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, ends: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """wid, the first token, the last one and whether it is exact, of every match."""
     if not len(terms):
         return
     at = np.searchsorted(terms, queries.vocabulary)
     at = np.minimum(at, len(terms) - 1)
     df = np.where(terms[at] == queries.vocabulary, offsets[at + 1] - offsets[at], 0)
-    if not slop:
-        for size, wids, places in queries.groups:
-            wid, start = _exact_matches(wids, places, df, at, offsets, positions)
-            yield wid, start, start + size - 1, np.ones(len(start), dtype=bool)
-        return
+    postings = np.repeat(np.arange(len(terms)), np.diff(offsets)) << _POSITION_BITS | positions
     for size, wids, places in queries.groups:
-        freq = df[places]
-        for q in np.flatnonzero(freq.min(axis=1) > 0):
-            order = np.argsort(freq[q], kind="stable")
-            lists = {int(i): positions[offsets[at[places[q, i]]] : offsets[at[places[q, i]] + 1]] for i in order}
-            start = lists[int(order[0])] - order[0]
-            lo, hi, exact = start + order[0], start + order[0], np.ones(len(start), dtype=bool)
-            for i in order[1:]:
-                own, goal = lists[int(i)], start + i
-                right = np.minimum(np.searchsorted(own, goal), len(own) - 1)
-                left = np.maximum(right - 1, 0)
-                near = np.where(np.abs(own[left] - goal) < np.abs(own[right] - goal), own[left], own[right])
-                keep = np.abs(near - goal) <= slop
-                start, lo, hi, exact, near, goal = (x[keep] for x in (start, lo, hi, exact, near, goal))
-                if not len(start):
-                    break
-                lo, hi, exact = np.minimum(lo, near), np.maximum(hi, near), exact & (near == goal)
-            if len(start):
-                yield np.full(len(lo), wids[q]), lo, hi, exact
+        yield _intersected(wids, places, df, at, postings, offsets, ends, slop)
 
 
 def search(index: DataFrame, windows: DataFrame, slop: int = 0, windows_per_search: int = WINDOWS_PER_SEARCH) -> DataFrame:
@@ -192,10 +193,8 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0, windows_per_sear
                     )
                     ends = np.cumsum(words)
                     out: list[list[np.ndarray]] = []
-                    for wid, lo, hi, exact in _matches(queries, terms, offsets, positions, slop):
+                    for wid, lo, hi, exact in _matches(queries, terms, offsets, positions, ends, slop):
                         piece = np.searchsorted(ends, lo, side="right")
-                        inside = piece == np.searchsorted(ends, hi, side="right")
-                        wid, piece, lo, hi, exact = (x[inside] for x in (wid, piece, lo, hi, exact))
                         shift = first[piece] - (ends - words)[piece]
                         out.append([k1[piece], k2[piece], wid, lo + shift, hi + shift + 1, exact])
                     if out:
@@ -223,27 +222,34 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", segment_bytes: int = SEGMENT_BYTES,
                   windows_per_search: int = WINDOWS_PER_SEARCH) -> DataFrame:
-    """doc_id, key (hash of id and text), n_words, n_hit, items (sorted ids), spans (word spans hit).
+    """doc_id, key (hash of id and text), n_words, n_hit, items (sorted ids), spans (word spans hit), near_items.
 
-    A document word is hit if it is in an occurrence of a test item's window.
+    A document word is hit if it is in an occurrence of a test item's window, and the item is among ``items``. ``near_items`` are
+    those with a window that occurs with every word at its place or at most ``slop`` words off it: all of ``items``, and
+    items with a word put in, left out or moved. (Equal words of a window may stand for each other.)
     Null texts have no words; a null item id counts as an empty one. Every row
     of ``docs`` has a row; rows equal in id and text have equal results. An
     empty table of items hits nothing.
     """
     # small row groups, as a row is a whole segment
-    index = materialize(build_index(docs, window, id_col, text_col, segment_bytes), **{"parquet.block.size": str(16 << 20)})
+    index = materialize(build_index(docs, window + 2 * slop, id_col, text_col, segment_bytes), **{"parquet.block.size": str(16 << 20)})
     windows = materialize(test_windows(items, window, item_col, item_text_col))
-    hits = materialize(search(index, windows, slop, windows_per_search).drop("exact"))
+    hits = materialize(search(index, windows, slop, windows_per_search))
     # spans and items part ways here, so a window that many items share is no product of both
-    spans = hits.select("k1", "k2", "lo", "hi").distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    by_item = hits.select("k1", "k2", "wid").distinct().join(windows.select("wid", "item"), "wid").select("k1", "k2", "item").distinct()
-    items_hit = by_item.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    spans = hits.where("exact").select("k1", "k2", "lo", "hi").distinct()
+    spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    by_window = hits.groupBy("k1", "k2", "wid").agg(F.max("exact").alias("exact"))
+    by_item = by_window.join(windows.select("wid", "item"), "wid").groupBy("k1", "k2", "item").agg(F.max("exact").alias("exact"))
+    items_hit = by_item.groupBy("k1", "k2").agg(
+        F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.array_sort(F.collect_list("item")).alias("near_items")
+    )
     pieces = index.select(F.explode(F.arrays_zip("doc_id", "k1", "k2", "first", "total")).alias("p")).select("p.*").where("first = 0")
     joined = pieces.join(spans, ["k1", "k2"], "left").join(items_hit, ["k1", "k2"], "left")
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     return joined.select(
         "doc_id", F.col("k2").alias("key"), F.col("total").alias("n_words"), F.coalesce(_covered(F.col("spans")), F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"),
+        F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"),
     )
 
 

@@ -106,10 +106,22 @@ sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (SELECT rid, size, i, w[i:i + size - 1] AS g FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
 m AS (SELECT rid, i, size, item FROM dw JOIN iw USING (size, g)),
 h AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS j FROM m) GROUP BY rid),
-k AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+k AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid),
+-- proximity: a start from which every word of a window stands at its place or one word off it
+t AS (SELECT rid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d WHERE len(w) > 0),
+gs AS (SELECT g, size, row_number() OVER () AS wid FROM (SELECT DISTINCT g, size FROM iw)),
+gt AS (SELECT wid, size, unnest(g) AS term, unnest(range(size)) AS i FROM gs),
+df AS (SELECT term, count(*) AS n FROM t GROUP BY term),
+rare AS (SELECT wid, size, arg_min(term, n * 16 + i) AS term, arg_min(i, n * 16 + i) AS i FROM gt JOIN df USING (term) GROUP BY wid, size HAVING count(*) = size),
+starts AS (SELECT DISTINCT rid, wid, size, pos - i + off AS s FROM rare JOIN t USING (term), (SELECT unnest([-1, 0, 1]) AS off)),
+close AS (
+  SELECT DISTINCT rid, wid FROM (
+    SELECT rid, wid, s FROM starts JOIN gt USING (wid, size) JOIN t USING (rid, term)
+    WHERE pos BETWEEN s + i - 1 AND s + i + 1 GROUP BY rid, wid, s, size HAVING count(DISTINCT i) = size)),
+kn AS (SELECT rid, count(DISTINCT item) AS n_near FROM close JOIN gs USING (wid) JOIN iw USING (g, size) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN k USING (rid)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (rid) LEFT JOIN k USING (rid) LEFT JOIN kn USING (rid)"""
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,

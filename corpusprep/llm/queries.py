@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.llm import best_fit_packing, chat_format, merkle_manifest, prefix_trie, source_mix
-from corpusprep.llm.decontaminate import contamination
+from corpusprep.llm.decontaminate import SLOP, contamination
 from corpusprep.llm.language_id import identify_languages
 from corpusprep.llm.license_scan import scan_licenses
 from corpusprep.llm.quality_rules import apply_quality_rules
@@ -45,10 +45,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=SLOP)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near"),
     )
 
 

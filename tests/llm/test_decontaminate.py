@@ -74,6 +74,48 @@ def test_proximity(spark):
     assert (1, 1, 4, True) in near and (2, 0, 5, False) in near and not {4} & {k for k, *_ in near}
 
 
+def _near(rows, items, window=10, slop=1):
+    """Ids of the items with a window whose words all stand at most ``slop`` off their places."""
+    out = []
+    for doc, text in rows:
+        w, found = _words(text), set()
+        at = {}
+        for p, x in enumerate(w):
+            at.setdefault(x, set()).add(p)
+        for item, other in items:
+            v = _words(other)
+            size = min(window, len(v))
+            for j in range(len(v) - size + 1 if v else 0):
+                win = v[j : j + size]
+                starts = {p - d for p in at.get(win[0], ()) for d in range(-slop, slop + 1)}
+                if any(all(any(s + i + d in at.get(x, ()) for d in range(-slop, slop + 1)) for i, x in enumerate(win)) for s in starts):
+                    found.add(str(item) if item is not None else "")
+                    break
+        out.append((doc, sorted(found)))
+    return cases.in_order(out)
+
+
+def test_near_items(spark):
+    passage = cases.prose(30, 40)
+    w = passage.split()
+    rows = cases.awkward_rows() + [
+        (70, passage, "en", "a"), (71, " ".join([*w[:14], "extra", *w[14:]]), "en", "a"), (72, " ".join([*w[:6], *w[7:18]]), "en", "a"),
+        (73, " ".join([*w[:5], w[6], w[5], *w[7:16]]), "en", "a"), (74, " ".join(reversed(w)), "en", "a"), (75, " ".join(x + " so on" for x in w), "en", "a"),
+    ]
+    items = [(1, passage), (2, " ".join(w[:12])), (3, "two three"), (4, None), (None, rows[9][1][:900]), (6, "?!")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for segment, block in ((1 << 20, 200_000), (300, 3)):
+        got = contamination(cases.frame(spark, rows), table, slop=1, segment_bytes=segment, windows_per_search=block).collect()
+        assert cases.in_order((r.doc_id, list(r.near_items)) for r in got) == _near([r[:2] for r in rows], items)
+        assert all(set(r["items"]) <= set(r.near_items) for r in got)
+        # exact results don't depend on it
+        exact = contamination(cases.frame(spark, rows), table, segment_bytes=segment)
+        assert cases.in_order((r.doc_id, r.n_hit, r["items"]) for r in got) == cases.in_order((r.doc_id, r.n_hit, r["items"]) for r in exact.collect())
+    by_doc = {r.doc_id: r for r in got}
+    assert "2" not in by_doc[73]["items"] and "2" in by_doc[73].near_items
+    assert by_doc[74].near_items == [] and by_doc[75].near_items == []
+
+
 def test_index_holds_every_token(spark):
     rows = cases.awkward_rows()
     index = build_index(cases.frame(spark, rows), segment_bytes=400).collect()
