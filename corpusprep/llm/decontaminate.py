@@ -66,12 +66,20 @@ def build_index(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         for batch in batches:
             doc_id = batch.column("doc_id").to_pylist()
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            texts = [(t or b"").translate(ALNUM_FOLD) for t in batch.column("units").to_pylist()]
-            for pack in packs(texts, "word", window, segment_bytes):
+            long: dict[int, int] = {}  # words of documents that are cut into pieces
+
+            def texts(units: pa.Array = batch.column("units"), long: dict[int, int] = long) -> Iterator[bytes]:
+                for r, unit in enumerate(units):  # one at a time, so that no second copy of the batch is held
+                    text = (unit.as_py() or b"").translate(ALNUM_FOLD)
+                    if len(text) > 2 * segment_bytes:
+                        long[r] = len(text.split())
+                    yield text
+
+            for pack in packs(texts(), "word", window, segment_bytes):
                 words = words_of(pack.buffer, pack.starts)
                 assert len(words.doc) < 1 << _POSITION_BITS
                 n, terms, offsets, positions = _segment(words, len(pack.rows))
-                total = [len(texts[r].split()) if len(texts[r]) > 2 * segment_bytes else int(m) for r, m in zip(pack.rows, n, strict=True)]
+                total = [long.get(int(r), int(m)) for r, m in zip(pack.rows, n, strict=True)]
                 row = [[doc_id[r] for r in pack.rows], k1[pack.rows], k2[pack.rows], pack.first, n.astype(np.int32), total, terms,
                        offsets.astype(np.int32), positions.astype(np.int32)]
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]

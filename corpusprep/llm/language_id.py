@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ FLOOR_QUANTILE = 0.01
 UNDETERMINED = "und"
 _BLANK = 32
 _PACK_CHARS = 1 << 19
-_GRAMS = 8192
+_GRAMS = 4096
 #: Unit vectors are summed as multiples of this step.
 _STEP = 2.0**-24
 
@@ -183,17 +182,16 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray], dimensions: int =
     names = np.array([*prototypes, UNDETERMINED], dtype=object)
     table = np.stack(list(prototypes.values())).T if prototypes else np.zeros((dimensions, 0))
 
-    @F.pandas_udf("lang string, score double")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def score(texts: pa.Array) -> pa.Array:
         lang, best = [], []
-        values = [None if t is None or t is pd.NA or t != t else t for t in texts]
-        for at in range(0, len(values), 1000):
-            vectors = document_vectors(values[at : at + 1000], dimensions, seed)
+        for at in range(0, len(texts), 1000):
+            vectors = document_vectors(texts.slice(at, 1000).to_pylist(), dimensions, seed)
             cosine = np.hstack([_unit(vectors) @ table, np.full((len(vectors), 1), -2.0)])
             pick = np.where(vectors.any(axis=1), cosine.argmax(axis=1), len(names) - 1)
             lang += names[pick].tolist()
             best += np.clip(cosine[np.arange(len(pick)), pick], 0, 1).tolist()
-        return pd.DataFrame({"lang": lang, "score": best})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(best, pa.float64())], ["lang", "score"])
 
     return score(text)
 

@@ -9,7 +9,7 @@ the mix of short and long documents, and memory stays bounded.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -167,7 +167,7 @@ def _byte_pieces(text: bytes, window: int, limit: int) -> Iterator[tuple[int, by
             return
 
 
-def packs(texts: list[bytes], unit: str, window: int, limit: int = PACK_BYTES) -> Iterator[Pack]:
+def packs(texts: Iterable[bytes], unit: str, window: int, limit: int = PACK_BYTES) -> Iterator[Pack]:
     """Documents in packs of about ``limit`` bytes; every window of ``window`` units lies whole in just one piece."""
     rows: list[int] = []
     first: list[int] = []
