@@ -35,6 +35,7 @@ BROADCAST_LANGUAGES = 100_000
 #: A document is taken for text of no language if its score is below this share of what ``FLOOR_QUANTILE`` of the labelled documents have at least.
 FLOOR_SHARE = 0.5
 FLOOR_QUANTILE = 0.01
+FLOOR_STEPS = 10_000
 UNDETERMINED = "und"
 _BLANK = 32
 _PACK_CHARS = 1 << 19
@@ -229,7 +230,8 @@ def score_floor(labelled: DataFrame, model: DataFrame, id_col: str = "doc_id", t
                 train_docs: int = TRAIN_DOCS) -> float:
     """``FLOOR_SHARE`` of the score that all but ``FLOOR_QUANTILE`` of the labelled documents reach (those the model learns from); 0 without any."""
     scored = with_language(_training(labelled, id_col, text_col, lang_col, train_docs, SEED), model).where(F.col("language.lang") != UNDETERMINED)
-    least = scored.agg(F.percentile_approx("language.score", FLOOR_QUANTILE, 10_000)).first()[0]
+    # exact, so that reruns agree, over at most as many values as steps
+    least = scored.agg(F.percentile(F.round(F.col("language.score") * FLOOR_STEPS) / FLOOR_STEPS, FLOOR_QUANTILE)).first()[0]
     return FLOOR_SHARE * (least or 0.0)
 
 
