@@ -275,7 +275,7 @@ def _csv(spark, sf_dir):
     scores = materialize(tables.score_csv_dialects(lines))
     dialects = materialize(tables.pick_csv_dialect(scores))
     rows, headers = tables.parse_csv_lines(lines, dialects)
-    return lines, scores, dialects, materialize(rows), materialize(headers)
+    return lines, scores, dialects, materialize(rows), headers
 
 
 @query
@@ -309,7 +309,7 @@ def csv_documents(spark, sf_dir):
 def csv_quoted_records(spark, sf_dir):
     """Records with quoted line breaks, found from their lines: as many files as sources, texts as quoted fields."""
     lines = quoted_csv_lines(spark, sf_dir)
-    dialects = lines.select("path").distinct().withColumn("separator", F.lit(",")).withColumn("score", F.lit(0))
+    dialects = materialize(lines.select("path").distinct().withColumn("separator", F.lit(",")).withColumn("score", F.lit(0)))
     rows, _ = tables.parse_csv_lines(record_lines(lines, dialects, tables.SEPARATORS), dialects)
     cell = lambda i: F.try_element_at(F.col("fields"), F.lit(i))
     return rows.select("path", cell(1).alias("doc_id"), F.sha2(cell(2), 256).alias("text_sha256"), cell(3).alias("lang"), _long("n_fields").alias("n_fields"), "bad")
@@ -353,8 +353,7 @@ def _bundle(spark, sf_dir):
     first = lines.groupBy("path").agg(F.min_by("line", "ord").alias("first_line"))
     dialects = first.where(tables.is_bundle("first_line")).select("path", F.lit(",").alias("separator"))
     rows, headers = tables.parse_csv_lines(lines, dialects, skip_initial_space=True)
-    rows, headers = materialize(rows), materialize(headers)
-    return lines, first, rows, headers
+    return lines, first, materialize(rows), headers
 
 
 @query
