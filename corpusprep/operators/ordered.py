@@ -97,5 +97,6 @@ def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     The global position, less that of the group's first row.
     """
     indexed = global_index(df, [*group_cols, *order_cols], "_global")
-    start = indexed.groupBy(*group_cols).agg(F.min("_global").alias("_start"))
+    # written, so that its size is known: few groups are broadcast, and no task gets a whole group
+    start = materialize(indexed.groupBy(*group_cols).agg(F.min("_global").alias("_start")))
     return indexed.join(start, group_cols).withColumn(out_col, F.col("_global") - F.col("_start")).drop("_global", "_start")

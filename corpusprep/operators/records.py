@@ -76,10 +76,27 @@ def record_spans(lines: DataFrame, dialects: DataFrame, separators: list[str], p
 def record_lines(lines: DataFrame, dialects: DataFrame, separators: list[str], path: str = "path") -> DataFrame:
     """Records ``(path, ord, line)`` of ``lines``; ``ord`` is that of the first line, the lines of a record are joined by line breaks."""
     spans = record_spans(lines, dialects, separators, path)
-    members = materialize(spans.select(F.col(path).alias("_path"), F.col("first").alias("_first"), F.explode(F.sequence("first", "last")).alias("_ord")))
-    own = (F.col(path) == F.col("_path")) & (F.col("ord") == F.col("_ord"))
-    rows = lines.select(path, "ord", "line")
-    alone = rows.join(members, own, "left_anti")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
-    joined = rows.join(members, own).groupBy(path, F.col("_first").alias("_at")).agg(F.array_join(said, "\n").alias("line"))
-    return alone.unionByName(joined.select(path, F.col("_at").alias("ord"), "line"))
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    # a mark stands where a record opens and, for one that goes on into other blocks, at their starts
+    cut = spans.select(path, "first", "last", F.explode(F.sequence(block("first"), block("last"))).alias("_block"))
+    marks = cut.select(path, "_block", F.greatest("first", F.shiftleft("_block", BLOCK_BITS)).alias("ord"), F.lit(None).cast("string").alias("line"),
+                       F.struct("first", "last").alias("_mark"))
+    rows = lines.select(path, block("ord").alias("_block"), "ord", "line", F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"))
+    earlier = Window.partitionBy(path, "_block").orderBy("ord", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = marks.unionByName(rows).withColumn("_in", F.last("_mark", ignorenulls=True).over(earlier)).where(F.col("_mark").isNull())
+    member = F.coalesce(F.col("ord") <= F.col("_in.last"), F.lit(False))
+    held = held.select(path, "_block", "ord", "line", F.when(member, F.col("_in.first")).alias("_first"), F.when(member, F.col("_in.last")).alias("_last"),
+                       F.when(~member, F.monotonically_increasing_id()).alias("_alone"))
+    # the lines of a block are in one task already, so that its pieces of records need no other shuffle
+    said = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    text = lambda whole: F.array_join(F.transform(whole, lambda x: x["line"]), "\n")
+    keys = [path, "_block", "_first", "_last", "_alone"]
+    pieces = held.groupBy(*keys).agg(said.alias("_said")).select(
+        *keys, F.coalesce("_first", F.col("_said")[0]["ord"]).alias("ord"),
+        F.when(F.col("_alone").isNotNull(), F.col("_said")[0]["line"]).otherwise(text(F.col("_said"))).alias("line"),
+    )
+    pieces = materialize(pieces)
+    whole = F.col("_alone").isNotNull() | (block("_first") == block("_last"))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "line")))
+    joined = pieces.where(~whole).groupBy(path, "ord").agg(text(parts).alias("line"))
+    return pieces.where(whole).select(path, "ord", "line").unionByName(joined.select(path, "ord", "line"))

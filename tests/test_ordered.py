@@ -22,3 +22,10 @@ def test_group_index(spark):
 
 def test_empty(spark):
     assert global_index(spark.range(0), ["id"]).collect() == []
+
+
+def test_positions_in_a_huge_group_do_not_shuffle_it_by_group(spark):
+    df = spark.range(3000).selectExpr("'g' AS g", "id AS k")
+    out = group_index(df, ["g"], ["k"])
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert [r["index"] for r in out.orderBy("k").collect()] == list(range(3000))

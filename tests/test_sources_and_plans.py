@@ -164,3 +164,19 @@ def test_package_collisions_have_rows(spark):
 
     rows = QUERIES["package_collisions"](spark, "/root/testdata/sf0.01").collect()
     assert rows and sum(r.survivor for r in rows) == len({r.package for r in rows})
+
+
+def test_records_over_several_blocks_are_joined_from_pieces(spark, monkeypatch):
+    """Blocks of four lines: records end in their block, in the next or some blocks later; lines are shuffled by block only."""
+    from corpusprep.operators import records
+
+    monkeypatch.setattr(records, "BLOCK_BITS", 2)
+    texts = ['h,t', '1,"a\nb"', '2,"' + "\n".join("cdefghijklm") + '"', "3,x", '4,"' + "\n" * 7 + '"', '5,"y"', '6,"p\nq\nr"']
+    rows = [("f.csv", i, line) for i, line in enumerate("\n".join(texts).split("\n"))] + [("f.csv", None, "no place"), (None, 3, "no file")]
+    lines = spark.createDataFrame(rows, "path string, ord long, line string").repartition(3)
+    dialects = spark.createDataFrame([("f.csv", ",")], "path string, separator string")
+    out = record_lines(lines, dialects, tables.SEPARATORS)
+    assert "LeftAnti" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = out.collect()
+    assert [r.line for r in sorted((r for r in got if r.path and r.ord is not None), key=lambda r: r.ord)] == texts
+    assert sorted(r.line for r in got if not r.path or r.ord is None) == ["no file", "no place"]
