@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from corpusprep.config import DEFAULT, Settings
 from corpusprep.functions.common import PY_SPACE
 from corpusprep.functions.images import data_uri, image_format, image_size, sniff_image_type
+from corpusprep.operators.ordered import ordered_concat
+from corpusprep.session import materialize
 
 # Suggested-name extensions kept as they are (others become .png).
 KEPT_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".bmp"]
@@ -141,58 +143,55 @@ def _edited(texts: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or e is None else edited(t, e) for t, e in zip(texts, edits, strict=True)], dtype=object)
 
 
-def _single_pass(md, dmap):
-    """Rewrite every link whose target is a key of ``dmap`` in one scan of the text:
-    split around all links, look each target up, join the pieces again.
-
-    The per-link arrays are zipped first: a lambda that referred to them would
-    re-run their regex for every element.
-    """
-    segs = F.split(md, LINK, -1)
-    z = F.arrays_zip(
+def _links(md) -> F.Column:
+    """Links of a text in order, each with the text before it, and at last the text after them: one scan."""
+    return F.arrays_zip(
         F.regexp_extract_all(md, F.lit(LINK), 0).alias("whole"),
         F.regexp_extract_all(md, F.lit(LINK), 1).alias("alt"),
-        F.regexp_extract_all(md, F.lit(LINK), 2).alias("target"),
+        F.regexp_extract_all(md, F.lit(LINK), 2).alias("link_target"),
         F.regexp_extract_all(md, F.lit(LINK), 3).alias("title"),
-        segs.alias("seg"),
+        F.split(md, LINK, -1).alias("seg"),
     )
 
-    def piece(e):
-        d = F.try_element_at(dmap, e["target"])
-        link = (
-            F.when(e["whole"].isNull(), F.lit(""))
-            .when(d.isNull(), e["whole"])
-            .when(d["action"] == "remove", F.lit(""))
-            .otherwise(F.concat(F.lit("!["), e["alt"], F.lit("]("), d["target"], e["title"], F.lit(")")))
-        )
-        return link
 
-    # element i holds link i and the text after link i-1; the first text comes first
-    pieces = F.transform(z, lambda e: F.concat(e["seg"], piece(e)))
-    return F.when(dmap.isNull(), md).otherwise(F.array_join(pieces, ""))
+def _relinked(docs: DataFrame, decisions: DataFrame, key: str, md_col: str) -> DataFrame:
+    """``(_n, _text)``: the texts ``(_n, key, md_col)`` with every link whose target has a decision removed or given its target.
+
+    A join of links and decisions: a map of a document's decisions is searched from its start for every link.
+    """
+    links = docs.select("_n", key, F.posexplode(_links(F.col(md_col))).alias("_at", "_link")).select("_n", key, "_at", "_link.*")
+    own = decisions.select(F.col(key).alias("_key"), "placeholder", "action", "target", F.lit(True).alias("_decided"))
+    found = links.join(own, (F.col(key) == F.col("_key")) & (F.col("link_target") == F.col("placeholder")), "left")
+    link = (
+        F.when(F.col("whole").isNull(), F.lit(""))
+        .when(F.col("_decided").isNull(), F.col("whole"))
+        .when(F.col("action") == "remove", F.lit(""))
+        .otherwise(F.concat(F.lit("!["), F.col("alt"), F.lit("]("), F.col("target"), F.col("title"), F.lit(")")))
+    )
+    return ordered_concat(found.select("_n", "_at", F.concat("seg", link).alias("_piece")), ["_n"], "_at", "_piece", "", "_text")
 
 
 def apply_image_decisions(docs: DataFrame, decisions: DataFrame, key: str = "doc_key", md_col: str = "markdown") -> DataFrame:
     """Edit Markdown image links by decision (remove / embed / relink); titles kept.
 
     One scan of the text whatever the number of images: placeholders without blanks or ``)`` (all extracted
-    files) through a per-document map, in a projection; a document with others goes through :func:`edited`, where the
+    files) are joined with the links; a document with others goes through :func:`edited`, where the
     longest placeholder that fits a link counts.
     """
     target = F.coalesce(F.col("data_uri"), F.col("new_path"))
     # of a placeholder decided on twice, the least decision counts
     once = decisions.groupBy(key, "placeholder").agg(F.min(F.struct("action", "data_uri", "new_path")).alias("_x"))
-    decisions = once.select(key, "placeholder", "_x.*")
+    once = materialize(once.select(key, "placeholder", "_x.*").select(key, "placeholder", "action", target.alias("target")))
     plain = ~F.col("placeholder").rlike(rf"[){_NS}]")
-    per_doc = decisions.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("placeholder"), F.struct(F.col("action"), target.alias("target"))))).alias("_m"),
-        F.bool_and(plain).alias("_plain"),
-    )
-    j = docs.join(per_doc, key, "left")
-    odd = ~F.coalesce("_plain", F.lit(True))
-    edits = F.transform(F.map_entries("_m"), lambda e: F.struct(e["key"].alias("placeholder"), e["value"]["action"].alias("action"), e["value"]["target"].alias("target")))
-    scanned = _edited(F.when(odd, F.col(md_col)), F.when(odd, edits))
-    return j.withColumn(md_col, F.when(odd, scanned).otherwise(_single_pass(F.col(md_col), F.col("_m")))).drop("_plain", "_m")
+    kinds = materialize(once.groupBy(key).agg(F.bool_and(plain).alias("_plain")))
+    # numbered and written: keys may repeat
+    numbered = materialize(docs.join(kinds, key, "left").withColumn("_n", F.monotonically_increasing_id()))
+    texts = _relinked(numbered.where("_plain"), once, key, md_col)
+    listed = once.join(kinds.where("NOT _plain"), key).groupBy(key).agg(F.collect_list(F.struct("placeholder", "action", "target")).alias("_edits"))
+    odd = numbered.where("NOT _plain").join(listed, key).select("_n", _edited(F.col(md_col), F.col("_edits")).alias("_text"))
+    changed = F.when(F.col("_plain").isNull(), F.col(md_col)).otherwise(F.col("_text")).alias(md_col)
+    out = numbered.join(texts.unionByName(odd), "_n", "left")
+    return out.select(*[changed if c == md_col else F.col(f"`{c}`") for c in [key, *[c for c in docs.columns if c != key]]])
 
 
 def image_summary(decisions: DataFrame, key: str = "doc_key", bytes_col: str = "bytes") -> DataFrame:

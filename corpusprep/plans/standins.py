@@ -264,6 +264,10 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMAGE_EXTS = [".png", ".jpg", ".gif", ".dat", ".jpeg"]
 
 
+# Rows of ``part`` that a task makes images of.
+IMAGES_OF_A_TASK = 5000
+
+
 def _hex_be(c, n):
     return F.lpad(F.hex(c), 2 * n, "0")
 
@@ -273,6 +277,8 @@ def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``p_partkey, doc_key, placeholder, filename, bytes`` (width = size*3 + key mod 7,
     height = size*2 + 1; padding of the part name repeated size*40 times)."""
     p = table(spark, sf_dir, "part")
+    # some bytes of a part make an image of some 30 KB: a split of the table would be hours of one task
+    p = p.repartition(max(1, -(-p.count() // IMAGES_OF_A_TASK)))
     k = F.col("p_partkey")
     w = F.col("p_size") * 3 + k % 7
     h = F.col("p_size") * 2 + 1

@@ -152,3 +152,25 @@ def test_edits_of_a_thousand_placeholders_take_one_scan():
     start = time.process_time()
     assert images.edited(text, edits).count("](media/") == 50_000
     assert time.process_time() - start < 10
+
+
+def test_links_are_joined_with_decisions(spark):
+    """Not looked up in a map, which is searched from its start: equal keys, order, unknown and missing targets."""
+    docs = spark.createDataFrame([("d", "".join(f"{i}![{i}](p{i} \"t\")" for i in range(300)) + "end"), ("d", "![a](p1)"), (None, "![a](p1)"), ("e", None)], "doc_key string, markdown string")
+    rows = [("d", f"p{i}", "remove" if i % 3 == 0 else "relink", None, f"m{i}") for i in range(0, 300, 2)] + [("d", "p1", "relink", None, "one"), ("e", "p1", "remove", None, None)]
+    decisions = spark.createDataFrame(rows, "doc_key string, placeholder string, action string, data_uri string, new_path string")
+    out = images.apply_image_decisions(docs, decisions)
+    assert "map_from_entries" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    target = lambda i: "one" if i == 1 else f"m{i}" if i % 2 == 0 else f"p{i}"
+    long = "".join(f"{i}" + ("" if i % 6 == 0 else f"![{i}]({target(i)} \"t\")") for i in range(300)) + "end"
+    assert sorted((r.doc_key or "", r.markdown or "") for r in out.collect()) == sorted([("d", long), ("d", "![a](one)"), ("", "![a](p1)"), ("e", "")])
+    assert images.apply_image_decisions(docs, decisions.where("doc_key = 'd'")).where("doc_key = 'e'").first().markdown is None
+
+
+def test_images_of_a_small_table_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    from corpusprep.plans import standins
+
+    monkeypatch.setattr(standins, "IMAGES_OF_A_TASK", 10)
+    spark.range(95).selectExpr("id AS p_partkey", "'some part' AS p_name", "id % 50 + 1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = standins.part_images(spark, str(tmp_path))
+    assert made.count() == 95 and made.rdd.getNumPartitions() == 10
