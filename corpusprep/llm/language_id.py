@@ -38,8 +38,10 @@ FLOOR_QUANTILE = 0.01
 FLOOR_STEPS = 10_000
 UNDETERMINED = "und"
 _BLANK = 32
-_PACK_CHARS = 1 << 19
-_GRAMS = 4096
+_PACK_CHARS = 1 << 18
+_GRAMS = 2048
+#: Texts of a batch that are Python objects and vectors at a time.
+_TEXTS = 250
 #: Unit vectors are summed as multiples of this step.
 _STEP = 2.0**-24
 
@@ -47,7 +49,8 @@ _STEP = 2.0**-24
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point to lower-case letter, or a blank."""
-    return np.array([ord(c.lower()[0]) if (c := chr(i)).isalpha() else _BLANK for i in range(0x110000)], dtype=np.uint32)
+    # from an iterator: a list of them all would stay in the worker's memory
+    return np.fromiter((ord(c.lower()[0]) if (c := chr(i)).isalpha() else _BLANK for i in range(0x110000)), np.uint32, 0x110000)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -117,11 +120,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size > 0, size, 1)
 
 
-def _training(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, seed: int) -> DataFrame:
-    """text, lang of the rows that are learned from."""
+def _training(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int | None, seed: int) -> DataFrame:
+    """text, lang of the rows that are learned from; all labelled ones for ``None``."""
     rows = labelled.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if train_docs is None:
+        return rows.select("text", "lang")
     counts = materialize(rows.groupBy(F.col("lang").alias("c_lang")).agg(F.count("*").alias("n")).where(F.col("n") > train_docs))
     if counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
         counts = F.broadcast(counts)
@@ -131,11 +136,11 @@ def _training(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, tr
 
 
 def learn_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-                     lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+                     lang_col: str = "lang", train_docs: int | None = TRAIN_DOCS) -> DataFrame:
     """lang, totals (a sum for each dimension) of each language with a labelled text that has a letter.
 
     A language with more than ``train_docs`` rows learns from about that many,
-    drawn by a hash of the id.
+    drawn by a hash of the id; from all for ``None``.
     """
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -149,10 +154,10 @@ def learn_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: in
 
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 1000):
-                some = langs[at : at + 1000]
-                steps = np.rint(_unit(document_vectors(texts[at : at + 1000], dimensions, seed)) / _STEP).astype(np.int64)
+            for at in range(0, len(langs), _TEXTS):
+                some = langs[at : at + _TEXTS]
+                texts = batch.column("text").slice(at, _TEXTS).to_pylist()
+                steps = np.rint(_unit(document_vectors(texts, dimensions, seed)) / _STEP).astype(np.int64)
                 for lang in set(some.tolist()):
                     own = steps[some == lang]
                     if own.any():
@@ -186,8 +191,8 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray], dimensions: int =
     @F.arrow_udf("lang string, score double")
     def score(texts: pa.Array) -> pa.Array:
         lang, best = [], []
-        for at in range(0, len(texts), 1000):
-            vectors = document_vectors(texts.slice(at, 1000).to_pylist(), dimensions, seed)
+        for at in range(0, len(texts), _TEXTS):
+            vectors = document_vectors(texts.slice(at, _TEXTS).to_pylist(), dimensions, seed)
             cosine = np.hstack([_unit(vectors) @ table, np.full((len(vectors), 1), -2.0)])
             pick = np.where(vectors.any(axis=1), cosine.argmax(axis=1), len(names) - 1)
             lang += names[pick].tolist()
@@ -226,28 +231,32 @@ def with_language(docs: DataFrame, model: DataFrame, text_col: str = "text", dim
     return rows.join(best.withColumnRenamed("p", out_col), F.col(number) == F.col("_n")).drop(number, "_n")
 
 
-def score_floor(labelled: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                train_docs: int = TRAIN_DOCS) -> float:
-    """``FLOOR_SHARE`` of the score that all but ``FLOOR_QUANTILE`` of the labelled documents reach (those the model learns from); 0 without any."""
-    scored = with_language(_training(labelled, id_col, text_col, lang_col, train_docs, SEED), model).where(F.col("language.lang") != UNDETERMINED)
+def score_floor(judged: DataFrame, label_col: str = "lang", language_col: str = "language") -> float:
+    """``FLOOR_SHARE`` of the score that all but ``FLOOR_QUANTILE`` of the labelled documents with a letter reach; 0 without any.
+
+    ``judged``: all documents, with the struct that ``with_language`` adds.
+    """
+    scored = judged.where(F.col(label_col).isNotNull() & (F.col(f"{language_col}.lang") != UNDETERMINED))
     # exact, so that reruns agree, over at most as many values as steps
-    least = scored.agg(F.percentile(F.round(F.col("language.score") * FLOOR_STEPS) / FLOOR_STEPS, FLOOR_QUANTILE)).first()[0]
+    least = scored.agg(F.percentile(F.round(F.col(f"{language_col}.score") * FLOOR_STEPS) / FLOOR_STEPS, FLOOR_QUANTILE)).first()[0]
     return FLOOR_SHARE * (least or 0.0)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those of no language: null texts, texts without a letter, and texts that are far from every language.
 
-    How far is taken from the labelled documents (``score_floor``). Without any, only the first two go.
+    Prototypes are learned from all labelled documents, and how far is taken from the scores of all of them
+    (``score_floor``). Without any, only the first two go. Documents are scored once: they are written with their scores.
     """
-    model = learn_prototypes(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    model = learn_prototypes(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, train_docs=None)
     text = F.col(text_col).cast("string")
     if model.isEmpty():
         return docs.where(predicted(text, {"": np.zeros(DIMENSIONS)})["lang"] != UNDETERMINED)
-    floor = score_floor(docs, model, id_col, text_col, lang_col)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"))
-    judged = with_language(rows, model, "_text", out_col="_language")
-    return judged.where((F.col("_language.lang") != UNDETERMINED) & (F.col("_language.score") >= floor)).select("_row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"), F.col(lang_col).alias("_label"))
+    judged = with_language(rows, model, "_text", out_col="_language").drop("_text")
+    judged = materialize(judged.where(F.col("_language.lang") != UNDETERMINED))
+    floor = score_floor(judged, "_label", "_language")
+    return judged.where(F.col("_language.score") >= floor).select("_row.*")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

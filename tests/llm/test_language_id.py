@@ -100,3 +100,20 @@ def test_documents_of_no_language_go_and_clean_ones_stay(spark):
     kept = {r.doc_id for r in lid.keep_identified(table).select("doc_id").collect()}
     lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     assert kept <= lettered and len(kept) >= 0.995 * len(lettered)
+
+
+def test_the_floor_and_the_prototypes_of_the_stage_come_from_all_documents(spark, monkeypatch):
+    """A bound on the documents that other callers learn from changes nothing; the floor is that of all scores."""
+    rows = [(i, cases.prose(i, 40), "ab"[i % 2] if i % 5 else None, "s") for i in range(120)]
+    docs = cases.frame(spark, rows)
+    monkeypatch.setattr(lid, "TRAIN_DOCS", 2)
+    seen = []
+    learn, floor = lid.learn_prototypes, lid.score_floor
+    monkeypatch.setattr(lid, "learn_prototypes", lambda *a, **k: seen.append(learn(*a, **k)) or seen[-1])
+    monkeypatch.setattr(lid, "score_floor", lambda judged, *a: seen.append((judged.count(), floor(judged, *a))) or seen[-1][1])
+    lid.keep_identified(docs)
+    model, (judged, least) = seen
+    assert _model(model) == _model(learn(docs, train_docs=10**6)) and judged == 120
+    scores = [r.language.score for r in lid.with_language(docs.where("lang is not null"), model).collect()]
+    steps = np.round(np.array(scores) * lid.FLOOR_STEPS) / lid.FLOOR_STEPS
+    assert least == pytest.approx(lid.FLOOR_SHARE * np.quantile(steps, lid.FLOOR_QUANTILE))
